@@ -1,7 +1,52 @@
-"""A corpus pipeline in stages."""
+"""A corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
-STAGES = []
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, all but the last with
+the columns of documents. run() applies them to the table documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+
+from starmill.llm import classifier, line_dedup, minhash, mixing, packing
+from starmill.llm.common import kept, read
+
+#: SQL has no discriminant, patience diff, dart signatures or best-fit search; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier takes for good."""
+    return classifier.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the lines that an earlier document holds; a document that loses all its words goes."""
+    return line_dedup.without_repeats(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate class."""
+    return minhash.first_of_class(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix by target weights takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words without two pieces of one source or text."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("line dedup", lines), ("near duplicates", near_duplicates), ("source mixing", mixture), ("best-fit packing", bins)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = kept(docs, f"stage-{k + 1}")
+    return docs

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from starmill.llm import chat, mixing, quality_rules
+from starmill.llm import chat, classifier, line_dedup, minhash, mixing, packing, quality_rules
 
 QUERIES = {
     "op1_ngram_ratio": quality_rules.op1_ngram_ratio,
     "op3_grammar_round_trip": chat.op3_grammar_round_trip,
+    "op4_dart_minhash": minhash.op4_dart_minhash,
+    "op5_patience_lines": line_dedup.op5_patience_lines,
     "op6_sainte_lague": mixing.op6_sainte_lague,
+    "op7_conflict_best_fit": packing.op7_conflict_best_fit,
+    "op8_quadratic_discriminant": classifier.op8_quadratic_discriminant,
 }
 
 ORACLES = {"op3_grammar_round_trip": chat.SQL, "op6_sainte_lague": mixing.SQL}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from starmill.llm import chat, classifier, line_dedup, minhash, mixing, packing, quality_rules
+from starmill.llm import chat, classifier, line_dedup, minhash, mixing, packing, quality_rules, substrings
 
 QUERIES = {
     "op1_ngram_ratio": quality_rules.op1_ngram_ratio,
+    "op2_suffix_groups": substrings.op2_suffix_groups,
     "op3_grammar_round_trip": chat.op3_grammar_round_trip,
     "op4_dart_minhash": minhash.op4_dart_minhash,
     "op5_patience_lines": line_dedup.op5_patience_lines,

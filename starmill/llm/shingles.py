@@ -46,6 +46,17 @@ def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
+def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums over the bytes for slice_hashes(), and the factors that free a slice from its place."""
+    up, down = _powers(max(1, len(data)))
+    return np.r_[U(0), np.cumsum(_BYTES[data] * up[: len(data)])], down
+
+
+def slice_hashes(sums: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings from start to end."""
+    return mix((sums[end] - sums[start]) * down[np.minimum(start, len(down) - 1)] + (end - start).astype(U))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word: a difference of prefix sums over the bytes, freed from the word's place."""
     n = len(data)
@@ -58,10 +69,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start = np.flatnonzero(inside & (first | np.r_[True, ~inside[:-1]]))
     after = np.r_[~inside[1:] | first[1:], True]
     end = np.flatnonzero(inside & after) + 1
-    up, down = _powers(n)
-    sums = np.r_[U(0), np.cumsum(_BYTES[data] * up)]
-    hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U))
-    return hashes, np.searchsorted(offsets, start, "right") - 1
+    return slice_hashes(*byte_sums(data), start, end), np.searchsorted(offsets, start, "right") - 1
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:

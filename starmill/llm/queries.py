@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starmill.llm import chat, classifier, line_dedup, minhash, mixing, packing, quality_rules, substrings
+from starmill.llm import chat, classifier, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings
 
 QUERIES = {
     "op1_ngram_ratio": quality_rules.op1_ngram_ratio,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_sainte_lague": mixing.op6_sainte_lague,
     "op7_conflict_best_fit": packing.op7_conflict_best_fit,
     "op8_quadratic_discriminant": classifier.op8_quadratic_discriminant,
+    "op9_nn_descent": neighbours.op9_nn_descent,
+    "op10_licence_paragraphs": licences.op10_licence_paragraphs,
 }
 
 ORACLES = {"op3_grammar_round_trip": chat.SQL, "op6_sainte_lague": mixing.SQL}

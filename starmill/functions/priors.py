@@ -81,7 +81,7 @@ def lognormal(x: np.ndarray, mean: float, sigma: float) -> np.ndarray:
     """Mean and sigma of the variable itself."""
     s2 = np.log(sigma**2 / mean**2 + 1)
     m = np.log(mean**2 / np.sqrt(sigma**2 + mean**2))
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         y = np.exp(-0.5 * (np.log(x) - m) ** 2 / s2) / (x * np.sqrt(2 * np.pi * s2))
     return np.where(x > 0, np.nan_to_num(y), 0.0)
 

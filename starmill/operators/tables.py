@@ -99,6 +99,6 @@ def stack(tables: Sequence[DataFrame], defaults: dict[str, object] | None = None
 def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id", parts: int = 64) -> DataFrame:
     """Consecutive numbers from 0 in an order, by two levels: ranges of the order are numbered each by itself and shifted by what lies before."""
     placed = df.repartitionByRange(parts, *order).withColumn("part_of", F.spark_partition_id())
-    inner = placed.withColumn("place", F.row_number().over(W.partitionBy("part_of").orderBy(*order)))
+    inner = placed.withColumn("place_in", F.row_number().over(W.partitionBy("part_of").orderBy(*order)))
     before = placed.groupBy("part_of").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(F.broadcast(before.select("part_of", "before")), "part_of").withColumn(name, F.col("before") + F.col("place") - 1).drop("part_of", "place", "before")
+    return inner.join(F.broadcast(before.select("part_of", "before")), "part_of").withColumn(name, F.col("before") + F.col("place_in") - 1).drop("part_of", "place_in", "before")

@@ -30,11 +30,11 @@ def grid_weight(axis: DataFrame, x: str, by: Sequence[str] = (), log: bool = Fal
     return source.distinct().join(share, [*by, "axis_value"]).select(*by, x, "grid_weight")
 
 
-def prior_column(values: Sequence[float], x: str, parameter: str, name: str, **how) -> Column:
-    """A prior over a short axis as a lookup: values are the axis, sorted."""
-    table = prior(parameter, name, values, **how)
+def prior_column(axis: Sequence[float], x: str, parameter: str, name: str, **how) -> Column:
+    """A prior over a short axis as a lookup: axis holds its values, sorted."""
+    table = prior(parameter, name, axis, **how)
     out = F.lit(None).cast("double")
-    for v, p in zip(values, table, strict=True):
+    for v, p in zip(axis, table, strict=True):
         out = F.when(F.col(x) == float(v), F.lit(float(p))).otherwise(out)
     return out
 

@@ -1 +1,190 @@
-"""Queries."""
+"""Queries of column functions, priors, weights and extinction."""
+
+from pyspark.sql import functions as F
+
+from starmill.functions import columns as C
+from starmill.functions import extinction, priors
+from starmill.operators import weights
+from starmill.plans.registry import query
+
+
+def sexa(x: str, digits: int, d: str) -> str:
+    unit = 10**digits
+    n = f"CAST(round(abs({x})*3600*{unit}) AS BIGINT)"
+    return f"CASE WHEN {x}<0 AND {n}>0 THEN '-' ELSE '' END || lpad(CAST({n}//{3600 * unit} AS VARCHAR),2,'0') || '{d}' || lpad(CAST({n}//{60 * unit}%60 AS VARCHAR),2,'0') || '{d}' || lpad(CAST({n}%{60 * unit}//{unit} AS VARCHAR),2,'0') || '.' || lpad(CAST({n}%{unit} AS VARCHAR),{digits},'0')"
+
+
+@query("m1_sphdist", "star_id ~sep", "SELECT star_id, degrees(2*asin(sqrt(power(sin(radians(-69e0-decl)/2),2)+cos(radians(decl))*cos(radians(-69e0))*power(sin(radians(80e0-ra)/2),2)))) AS sep FROM fx_stars", 9)
+def _sph(v):
+    return v("fx_stars").select("star_id", C.sphdist(F.col("ra"), F.col("decl"), F.lit(80.0), F.lit(-69.0)).alias("sep"))
+
+
+@query("m2_sexagesimal", "star_id hms dms ~back", f"SELECT star_id, {sexa('ra/15', 3, ':')} AS hms, {sexa('decl', 3, ':')} AS dms, decl AS back FROM fx_stars", 5)
+def _sexa(v):
+    rows = v("fx_stars").select("star_id", C.deg2hms(F.col("ra")).alias("hms"), C.deg2dms(F.col("decl")).alias("dms"))
+    return rows.withColumn("back", C.dms2deg(F.col("dms")))
+
+
+def rotation(phi, psi, s, c):
+    sa = f"sin(radians(ra)-{phi}e0)"
+    ca = f"cos(radians(ra)-{phi}e0)"
+    lat = f"degrees(asin(greatest(least(-({s}e0)*cos(radians(decl))*{sa}+{c}e0*sin(radians(decl)),1e0),-1e0)))"
+    turn = f"atan2({c}e0*cos(radians(decl))*{sa}+({s}e0)*sin(radians(decl)),cos(radians(decl))*{ca})"
+    return f"degrees({turn}+{psi}e0+4*pi())", lat
+
+
+GL, GB = rotation("4.9368292465", "0.57477043300", "0.88998808748", "0.45598377618")
+
+
+@query("m3_euler", "star_id ~l ~b", f"SELECT star_id, x-360*floor(x/360) AS l, b FROM (SELECT star_id, {GL} AS x, {GB} AS b FROM fx_stars)")
+def _euler(v):
+    l, b = C.equatorial_to_galactic(F.col("ra"), F.col("decl"))  # noqa: E741
+    return v("fx_stars").select("star_id", l.alias("l"), b.alias("b"))
+
+
+@query("m4_iau_name", "star_id name", f"SELECT star_id, 'BEAST J' || {sexa('ra/15', 4, '')} || '-' || {sexa('abs(decl)', 3, '')} AS name FROM fx_stars".replace("BEAST", "GRID"))
+def _iau(v):
+    return v("fx_stars").select("star_id", C.iau_name(F.col("ra"), F.col("decl"), "GRID").alias("name"))
+
+
+@query("m5_symlog", "model_id ~y ~back", "SELECT model_id, sign(x)*log10(1+abs(x/1e-20)) AS y, x*1e18 AS back FROM (SELECT model_id, (f0-15e0)*1e-19 AS x FROM fx_models)")
+def _symlog(v):
+    rows = v("fx_models").select("model_id", C.symlog((F.col("f0") - 15.0) * 1e-19).alias("y"))
+    return rows.withColumn("back", C.inverse_symlog(F.col("y")) * 1e18)
+
+
+@query("m6_magnitudes", "model_id ~mag ~flux ~magerr ~fluxerr ~vega", "SELECT model_id, -2.5e0*log10(f0) AS mag, power(10e0,-0.4e0*f1)*1e3 AS flux, -2.5e0*log10(1-e0/f0) AS magerr, power(10e0,-0.4e0*f1)*(1-power(10e0,-0.04e0))*1e3 AS fluxerr, -2.5e0*log10(f0/f1) AS vega FROM fx_models JOIN fx_noise USING (model_id)")
+def _mags(v):
+    f0, f1 = F.col("f0"), F.col("f1")
+    return v("fx_models").join(v("fx_noise"), "model_id").select("model_id", C.flux2mag(f0).alias("mag"), (C.mag2flux(f1) * 1e3).alias("flux"), C.fluxerr2magerr(f0, F.col("e0")).alias("magerr"), (C.magerr2fluxerr(f1, F.lit(0.1)) * 1e3).alias("fluxerr"), C.vega_mag(f0, f1).alias("vega"))
+
+
+@query("m7_stmag", "model_id ~st ~flux", "SELECT model_id, -2.5e0*log10(f0)-21.1e0 AS st, power(10e0,-0.4e0*(-20e0+0.1e0*f0+21.1e0)) AS flux FROM fx_models")
+def _stmag(v):
+    return v("fx_models").select("model_id", C.stmag_from_flux(F.col("f0")).alias("st"), C.stmag_to_flux(-20.0 + 0.1 * F.col("f0")).alias("flux"))
+
+
+@query("m8_digitize", "model_id #k #u", "SELECT model_id, CASE WHEN f0>=12.03e0 THEN 1 ELSE 0 END + CASE WHEN f0>=17.07e0 THEN 1 ELSE 0 END + CASE WHEN f0>=21.01e0 THEN 1 ELSE 0 END AS k, floor((f1-8e0)/0.37e0) AS u FROM fx_models")
+def _digitize(v):
+    return v("fx_models").select("model_id", C.digitize(F.col("f0"), [12.03, 17.07, 21.01]).alias("k"), C.uniform_bin(F.col("f1"), 8.0, 0.37).alias("u"))
+
+
+@query("m9_tan_pixel", "star_id ~x ~y", "WITH a AS (SELECT star_id, radians(ra-80.05e0) AS a, radians(decl) AS d, radians(-68.98e0) AS d0 FROM fx_stars), b AS (SELECT *, sin(d0)*sin(d)+cos(d0)*cos(d)*cos(a) AS w FROM a) SELECT star_id, -degrees(cos(d)*sin(a)/w)/0.001e0 AS x, degrees((cos(d0)*sin(d)-sin(d0)*cos(d)*cos(a))/w)/0.001e0 AS y FROM b")
+def _tan(v):
+    x, y = C.tan_pixel(F.col("ra"), F.col("decl"), 80.05, -68.98, 0.001)
+    return v("fx_stars").select("star_id", x.alias("x"), y.alias("y"))
+
+
+@query("m10_chi2", "model_id ~chi2 ~masked", "SELECT model_id, power(15-f0,2)*4+power(12-f1,2)*2+power(9-f2,2) AS chi2, power(15-f0,2)*4+power(9-f2,2) AS masked FROM fx_models")
+def _chi2(v):
+    f, m, w = [F.lit(15.0), F.lit(12.0), F.lit(9.0)], [F.col(f"f{k}") for k in range(3)], [F.lit(4.0), F.lit(2.0), F.lit(1.0)]
+    return v("fx_models").select("model_id", C.chi2(f, m, w).alias("chi2"), C.chi2(f, m, w, [F.lit(False), F.lit(True), F.lit(False)]).alias("masked"))
+
+
+@query("m11_lnp_diag", "model_id ~lnp", "SELECT model_id, -1.5e0*ln(2e0*pi())-ln(e0)-ln(e1)-ln(e2)-0.5e0*b0 AS lnp FROM fx_noise")
+def _lnp(v):
+    return v("fx_noise").select("model_id", C.lnp_diag(F.col("b0"), [F.col(f"e{k}") for k in range(3)]).alias("lnp"))
+
+
+@query("m22_log_band", "model_id ~a ~b", "SELECT model_id, log10(f0) AS a, CASE WHEN f0-15>0 THEN log10(f0-15) ELSE -100 END AS b FROM fx_models WHERE abs(f0-15)>1e-9")
+def _log_band(v):
+    return v("fx_models").where(F.abs(F.col("f0") - 15) > 1e-9).select("model_id", C.log_band(F.col("f0")).alias("a"), C.log_band(F.col("f0") - 15).alias("b"))
+
+
+@query("m23_radius", "track_row ~log_r", "SELECT track_row, log10(sqrt(power(10e0,log_l)*3.839e33/(4*pi()*5.67037e-5*power(10e0,4*log_t)))) AS log_r FROM fx_tracks")
+def _radius(v):
+    return v("fx_tracks").select("track_row", F.log10(C.radius(F.col("log_l"), F.col("log_t"))).alias("log_r"))
+
+
+@query("m24_metallicity", "model_id ~feh ~z", "SELECT model_id, log10(z/0.02e0) AS feh, z FROM fx_models")
+def _met(v):
+    return v("fx_models").select("model_id", C.z_to_feh(F.col("z")).alias("feh"), C.feh_to_z(C.z_to_feh(F.col("z"))).alias("z"))
+
+
+@query("m14_priors", "model_id ~flat ~absexp ~lognorm ~interp ~histo", """SELECT model_id, 2e0 AS flat, exp(-abs(log_a-8e0)/0.7e0) AS absexp, CASE WHEN av>0 THEN exp(-0.5e0*power(ln(av)-ln(4e0/sqrt(5e0)),2)/ln(1.25e0))/(av*sqrt(2*pi()*ln(1.25e0))) ELSE 0 END AS lognorm,
+ CASE WHEN log_a<8 THEN 1+(log_a-6)/2 ELSE 2+(log_a-8)*3/2 END AS interp, CASE WHEN log_a<7 THEN 1 WHEN log_a<9 THEN 2 WHEN log_a<10 THEN 5 ELSE 0 END AS histo FROM fx_models""")
+def _priors(v):
+    age, av = [6 + 0.5 * k for k in range(9)], [0.25 * k for k in range(9)]
+    col = weights.prior_column
+    return v("fx_models").select(
+        "model_id", col(age, "log_a", "age", "flat", amp=2.0).alias("flat"), col(age, "log_a", "distance", "absexponential", dist0=8.0, tau=0.7).alias("absexp"), col(av, "av", "dust", "lognormal", mean=2.0, sigma=1.0).alias("lognorm"),
+        col(age, "log_a", "age", "bins_interp", x_bins=[6, 8, 10], values=[1, 2, 5]).alias("interp"), col(age, "log_a", "age", "bins_histo", x_bins=[6, 7, 9, 10], values=[1, 2, 5]).alias("histo"),
+    )
+
+
+@query("m15_age_priors", "model_id ~flat_log ~expo", "WITH a AS (SELECT DISTINCT log_a FROM fx_models), w AS (SELECT log_a, 1/(power(10e0,log_a+0.25e0)-power(10e0,log_a-0.25e0)) AS w FROM a) SELECT model_id, w/(SELECT sum(w) FROM w) AS flat_log, exp(-power(10e0,m.log_a)/(0.1e0*1e9)) AS expo FROM fx_models m JOIN w ON w.log_a=m.log_a")
+def _age(v):
+    age = [6 + 0.5 * k for k in range(9)]
+    return v("fx_models").select("model_id", weights.prior_column(age, "log_a", "age", "flat_log").alias("flat_log"), weights.prior_column(age, "log_a", "age", "exponential", tau=0.1).alias("expo"))
+
+
+@query("m16_mass_priors", "model_id ~salpeter", "WITH a AS (SELECT DISTINCT m_ini FROM fx_models), w AS (SELECT m_ini, (power(m_ini+0.25e0,-1.35e0)-power(m_ini-0.25e0,-1.35e0))/-1.35e0 AS w FROM a) SELECT model_id, w/(SELECT avg(w) FROM w) AS salpeter FROM fx_models m JOIN w ON w.m_ini=m.m_ini")
+def _mass(v):
+    return v("fx_models").select("model_id", weights.prior_column([0.5 + 0.5 * k for k in range(41)], "m_ini", "mass", "salpeter").alias("salpeter"))
+
+
+@query("m17_prior_names", "parameter name", "SELECT * FROM (VALUES ('age','flat'),('age','flat_log'),('age','bins_histo'),('age','bins_interp'),('age','exponential'),('mass','kroupa'),('mass','salpeter'),('mass','flat'),('met','flat'),('distance','flat'),('distance','absexponential'),('dust','flat'),('dust','lognormal'),('dust','two_lognormal'),('dust','step')) t(parameter, name), (SELECT count(*) AS n FROM region) WHERE n>0")
+def _names(v):
+    pairs = F.array(*[F.struct(F.lit(p).alias("parameter"), F.lit(n).alias("name")) for p, names in priors.ALLOWED.items() for n in names])
+    return v("region").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.explode(pairs).alias("e")).select("e.*")
+
+
+CCM = """WITH w AS (SELECT p_partkey AS k, 1e4/(1100+4*p_partkey) AS x FROM part), o AS (SELECT k, x, x-1.82e0 AS y FROM w)
+SELECT k, CASE WHEN x<1.1e0 THEN 0.574e0*power(x,1.61e0)-0.527e0*power(x,1.61e0)/3.1e0
+ WHEN x<3.3e0 THEN 1+0.17699e0*y-0.50447e0*y*y-0.02427e0*power(y,3)+0.72085e0*power(y,4)+0.01979e0*power(y,5)-0.7753e0*power(y,6)+0.32999e0*power(y,7)+(1.41338e0*y+2.28305e0*y*y+1.07233e0*power(y,3)-5.38434e0*power(y,4)-0.62251e0*power(y,5)+5.3026e0*power(y,6)-2.09002e0*power(y,7))/3.1e0
+ WHEN x<8 THEN 1.752e0-0.316e0*x-0.104e0/(power(x-4.67e0,2)+0.341e0)+CASE WHEN x>=5.9e0 THEN -0.04473e0*power(x-5.9e0,2)-0.009779e0*power(x-5.9e0,3) ELSE 0 END+(-3.09e0+1.825e0*x+1.206e0/(power(x-4.62e0,2)+0.263e0)+CASE WHEN x>=5.9e0 THEN 0.213e0*power(x-5.9e0,2)+0.1207e0*power(x-5.9e0,3) ELSE 0 END)/3.1e0
+ ELSE -1.073e0-0.628e0*(x-8)+0.137e0*power(x-8,2)-0.07e0*power(x-8,3)+(13.67e0+4.257e0*(x-8)-0.42e0*power(x-8,2)+0.374e0*power(x-8,3))/3.1e0 END AS a FROM o"""
+
+
+@query("m18_ccm89", "k ~a", CCM)
+def _ccm(v):
+    return v("part").select(F.col("p_partkey").alias("k"), extinction.LAWS["ccm89"](1100.0 + 4 * F.col("p_partkey"), 3.1).alias("a"))
+
+
+@query("m18_smc_uv", "k ~a", "WITH w AS (SELECT p_partkey AS k, 1e4/(1100+0.7e0*p_partkey) AS x FROM part) SELECT k, 1+(-4.959e0+2.264e0*x+0.389e0*x*x/(power(x*x-4.6e0*4.6e0,2)+x*x)+0.461e0*CASE WHEN x>=5.9e0 THEN 0.5392e0*power(x-5.9e0,2)+0.05644e0*power(x-5.9e0,3) ELSE 0 END)/2.74e0 AS a FROM w WHERE x>=1/0.27e0")
+def _smc(v):
+    return v("part").select(F.col("p_partkey").alias("k"), extinction.LAWS["g03_smc_uv"](1100.0 + 0.7 * F.col("p_partkey")).alias("a")).where("a IS NOT NULL")
+
+
+@query("m19_mixture", "model_id ~mix ~rv_a ~back", "SELECT model_id, 0.3e0*f0+0.7e0*f1 AS mix, 1/(1/(rv*0.8e0)-0.2e0/(0.8e0*2.74e0)) AS rv_a, rv AS back FROM fx_models")
+def _mix(v):
+    from starmill.operators.grids import rv_a, rv_mixture
+
+    rows = v("fx_models").select("model_id", extinction.mixture(F.col("f0"), F.col("f1"), 0.3).alias("mix"), rv_a(F.col("rv"), F.lit(0.8)).alias("rv_a"))
+    return rows.withColumn("back", rv_mixture(F.col("rv_a"), F.lit(0.8)))
+
+
+@query("m21_extinguish", "model_id ~tau ~mag", "SELECT model_id, f0*exp(-av) AS tau, f0*power(10e0,-0.4e0*av) AS mag FROM fx_models")
+def _ext(v):
+    return v("fx_models").select("model_id", C.extinguish(F.col("f0"), F.col("av")).alias("tau"), C.extinguish(F.col("f0"), F.col("av"), "mag").alias("mag"))
+
+
+@query("w1_grid_weight", "~z ~grid_weight", "WITH v AS (SELECT DISTINCT z FROM fx_models), e AS (SELECT z, lag(z) OVER (ORDER BY z) AS lo, lead(z) OVER (ORDER BY z) AS hi FROM v), d AS (SELECT z, coalesce((z-lo)/2,(hi-z)/2)+coalesce((hi-z)/2,(z-lo)/2) AS w FROM e) SELECT z, w/avg(w) OVER () AS grid_weight FROM d", 8)
+def _w1(v):
+    return weights.grid_weight(v("fx_models"), "z")
+
+
+@query("w2_bin_boundaries", "~av ~lo ~hi", "WITH v AS (SELECT DISTINCT av FROM fx_models), e AS (SELECT av, lag(av) OVER (ORDER BY av) AS b, lead(av) OVER (ORDER BY av) AS a FROM v), g AS (SELECT av, av-coalesce((av-b)/2,(a-av)/2) AS lo, av+coalesce((a-av)/2,(av-b)/2) AS hi FROM e) SELECT av, CASE WHEN lo<0 THEN av/2 ELSE lo END AS lo, hi FROM g")
+def _w2(v):
+    return weights.bin_boundaries(v("fx_models"), "av", noneg=True)
+
+
+AGE = """WITH a AS (SELECT DISTINCT z, log_a, power(10e0,log_a) AS x FROM fx_models), a1 AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS n FROM a WINDOW w AS (PARTITION BY z ORDER BY x)), a2 AS (SELECT z, log_a, coalesce((x-b)/2,(n-x)/2)+coalesce((n-x)/2,(x-b)/2) AS d FROM a1), aw AS (SELECT z, log_a, d/avg(d) OVER (PARTITION BY z) AS w FROM a2),
+m AS (SELECT DISTINCT z, log_a, m_ini AS x FROM fx_models), m1 AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS n FROM m WINDOW w AS (PARTITION BY z, log_a ORDER BY x)), m2 AS (SELECT z, log_a, x, coalesce((x-b)/2,(n-x)/2)+coalesce((n-x)/2,(x-b)/2) AS d FROM m1), mw AS (SELECT z, log_a, x, coalesce(d/avg(d) OVER (PARTITION BY z, log_a),0) AS w FROM m2)"""
+
+
+@query("w3_age_mass_weights", "model_id ~grid_weight ~weight", f"{AGE} SELECT model_id, aw.w*mw.w AS grid_weight, aw.w*mw.w AS weight FROM fx_models f JOIN aw ON aw.z=f.z AND aw.log_a=f.log_a JOIN mw ON mw.z=f.z AND mw.log_a=f.log_a AND mw.x=f.m_ini")
+def _w3(v):
+    return weights.age_mass_weights(v("fx_models").drop("weight"), ["z"])
+
+
+@query("w4_metallicity_weights", "model_id ~weight", "WITH v AS (SELECT DISTINCT z FROM fx_models), e AS (SELECT z, lag(z) OVER (ORDER BY z) AS lo, lead(z) OVER (ORDER BY z) AS hi FROM v), d AS (SELECT z, coalesce((z-lo)/2,(hi-z)/2)+coalesce((hi-z)/2,(z-lo)/2) AS w FROM e), s AS (SELECT z, sum(weight)/(SELECT sum(weight) FROM fx_models) AS s FROM fx_models GROUP BY z) SELECT model_id, weight*(d.w/(SELECT avg(w) FROM d))/s.s AS weight FROM fx_models f JOIN d ON d.z=f.z JOIN s ON s.z=f.z")
+def _w4(v):
+    return weights.slice_weights(v("fx_models"), "z")
+
+
+@query("w5_dust_weights", "model_id ~w", "WITH a AS (SELECT av, row_number() OVER (ORDER BY av) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT av FROM fx_models)), p AS (SELECT av, CASE WHEN av>0 THEN exp(-0.5e0*power(ln(av)-ln(4e0/sqrt(5e0)),2)/ln(1.25e0))/(av*sqrt(2*pi()*ln(1.25e0))) ELSE 0 END AS p FROM a) SELECT model_id, p AS w FROM fx_models f JOIN p ON p.av=f.av")
+def _w5(v):
+    g = weights.grid_weight(v("fx_models"), "av")
+    prior = weights.prior_column([0.25 * k for k in range(9)], "av", "dust", "lognormal", mean=2.0, sigma=1.0)
+    return v("fx_models").join(g, "av").select("model_id", (F.col("grid_weight") * prior).alias("w"))

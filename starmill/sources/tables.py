@@ -74,3 +74,13 @@ def region_lines(df: DataFrame, ra: str, dec: str, flag: str, radius: float = 0.
     """One region line per row, green or, where flag is set, red."""
     colour = F.when(F.col(flag) != 0, "red").otherwise("green")
     return df.select(F.format_string(f"fk5;circle(%.6f,%.6f,{radius}\") # color=%s", F.col(ra).cast("double"), F.col(dec).cast("double"), colour).alias("value"))
+
+
+def tracks_in_range(tracks: DataFrame, feh: str, low: float, high: float) -> DataFrame:
+    """Tracks with a metallicity in the range, and those of its neighbour on either side. The list of metallicities is short; with files by metallicity only these are read."""
+    from pyspark.sql import Window as W
+
+    w = W.orderBy(feh)
+    values = tracks.select(feh).distinct().select(feh, F.lag(feh).over(w).alias("before"), F.lead(feh).over(w).alias("after"))
+    near = values.where(F.col(feh).between(low, high) | F.col("before").between(low, high) | F.col("after").between(low, high))
+    return tracks.join(F.broadcast(near.select(feh)), feh, "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starmill.llm.common import kept, read
+from starmill.llm.shingles import by_runs
 
 #: Neighbours of a node; texts of a first block and how often blocks are dealt; rounds of neighbours of neighbours at most.
 DEGREE, BLOCK, DEALS, ROUNDS = 40, 384, 4, 3
@@ -113,16 +114,8 @@ def neighbours_of_neighbours(graph: DataFrame, codes: DataFrame, degree: int) ->
         return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.float32))], NAMES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            at = batch.column(0).to_numpy()
-            full = int(np.searchsorted(at, at[-1])) if len(at) else 0
-            if full:
-                yield solve(pa.Table.from_batches([*held, batch.slice(0, full)]))
-                held = []
-            held.append(batch.slice(full))
-        if held and sum(map(len, held)):
-            yield solve(pa.Table.from_batches(held))
+        for table in by_runs(batches):
+            yield solve(table)
 
     return rows.mapInArrow(work, "u long, v long, s float")
 

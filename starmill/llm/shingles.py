@@ -103,3 +103,21 @@ def counted(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     h, r = hashes[order], rows[order]
     new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])]) if len(h) else np.zeros(0, np.int64)
     return h[new], r[new], np.diff(np.r_[new, len(h)])
+
+
+def by_runs(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[pa.Table]:
+    """Tables of `least` rows or more (but the last) that never part rows of the same first column, in whose order the rows come."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            table = pa.Table.from_batches(held)
+            key = table.column(0).to_numpy()
+            full = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if full:
+                yield table.slice(0, full)
+            held = table.slice(full).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starmill.llm.common import read
-from starmill.llm.shingles import U, byte_sums, mix, parts, slice_hashes
+from starmill.llm.shingles import U, by_runs, byte_sums, mix, parts, slice_hashes
 from starmill.llm.suffixes import suffix_arrays
 
 #: Bytes of a match and of an anchor.
@@ -184,18 +184,8 @@ def removed_runs(pieces: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row[new]], start[row[new]] + inner[new], start[row[new]] + inner[last] + length)], ["doc", "low", "high"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(map(len, held)) >= ROWS:
-                table = pa.Table.from_batches(held)
-                h = table.column("h").to_numpy()
-                full = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
-                if full:
-                    yield solve(table.slice(0, full))
-                held = table.slice(full).to_batches()
-        if held and sum(map(len, held)):
-            yield solve(pa.Table.from_batches(held))
+        for table in by_runs(batches, ROWS):
+            yield solve(table)
 
     return pieces.mapInArrow(work, "doc long, low long, high long")
 

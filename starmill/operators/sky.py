@@ -156,3 +156,17 @@ def largest_separation(df: DataFrame, by: Sequence[str], ra: str = "ra", dec: st
 
 def first_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("place = 1").drop("place")
+
+
+def nearest_rounded(left: DataFrame, right: DataFrame, r: float, digits: int = 9) -> DataFrame:
+    """nearest_match() of star_id with separations that differ by less than a rounding step taken as ties."""
+    near = pairs_within(left, right, r, "star_id", "star_id").withColumn("separation", F.round("separation", digits))
+    best = near.groupBy("left_id").agg(F.min(F.struct("separation", "right_id")).alias("n"))
+    return left.select(F.col("star_id").alias("left_id")).join(best, "left_id", "left").select("left_id", F.col("n.right_id").alias("right_id"), F.col("n.separation").alias("separation"))
+
+
+def inside_box(df: DataFrame, margin_ra: float, margin_dec: float, ra: str = "ra", dec: str = "decl") -> DataFrame:
+    """Rows further than the margins from the edges of the catalogue's box."""
+    box = df.agg(*[f(c).alias(f"{n}_{c}_of_box") for c in (ra, dec) for n, f in (("min", F.min), ("max", F.max))])
+    inside = [F.col(c).between(F.col(f"min_{c}_of_box") + m, F.col(f"max_{c}_of_box") - m) for c, m in ((ra, margin_ra), (dec, margin_dec))]
+    return df.crossJoin(F.broadcast(box)).where(inside[0] & inside[1]).select(*df.columns)

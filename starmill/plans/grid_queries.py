@@ -1 +1,124 @@
-"""Queries."""
+"""Queries of grid building."""
+
+from pyspark.sql import functions as F
+
+from starmill.operators import grids as G
+from starmill.plans.registry import query
+
+SPECTRA = "spec AS (SELECT vec_id, 1000e0+10*(i-1) AS wave, abs(CAST(embedding[i] AS DOUBLE)) AS flux FROM embeddings, range(1, 65) r(i))"
+
+
+def spectra(v):
+    return v("embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).select("vec_id", (1000.0 + 10 * F.col("i")).alias("wave"), F.abs(F.col("e").cast("double")).alias("flux"))
+
+
+def filters(v):
+    spark = v("region").sparkSession
+    return G.top_hat(spark, "A", 1100.0, 1300.0, 10.0).unionByName(G.top_hat(spark, "B", 1200.0, 1500.0, 10.0, photons=False))
+
+
+FILTERS = "filt AS (SELECT 'A' AS band, 1100e0+10*i AS wave, 1100e0/(1100e0+10*i) AS throughput FROM range(20) r(i) UNION ALL SELECT 'B', 1200e0+10*i, 1e0 FROM range(30) r(i))"
+NODES = "nodes AS (SELECT band, wave, throughput, {0}*(coalesce(wave-lag(wave) OVER w,0)+coalesce(lead(wave) OVER w-wave,0))/2 AS node FROM filt WINDOW w AS (PARTITION BY band ORDER BY wave))"
+
+
+@query("m25_top_hat", "band ~wave ~throughput", f"WITH {FILTERS}, n AS (SELECT count(*) AS n FROM region) SELECT band, wave, throughput FROM filt, n WHERE n>0")
+def _hat(v):
+    return filters(v)
+
+
+@query("a44_filter_moments", "band ~norm ~cl ~lpivot", f"WITH {FILTERS}, {NODES.format('throughput')} SELECT band, sum(node) AS norm, sum(wave*node)/sum(node) AS cl, sqrt(sum(wave*node)/sum(node/wave)) AS lpivot FROM nodes GROUP BY band")
+def _moments(v):
+    return G.filter_moments(filters(v))
+
+
+@query("a19_bandpass", "vec_id band ~flux", f"WITH {SPECTRA}, {FILTERS}, {NODES.format('throughput*wave')} SELECT vec_id, band, sum(flux*node)/sum(node) AS flux FROM spec JOIN nodes USING (wave) GROUP BY vec_id, band")
+def _bandpass(v):
+    return G.bandpass(spectra(v), filters(v), "vec_id")
+
+
+@query("io10_read_filters", "band ~wave ~throughput", f"WITH {FILTERS}, g AS (SELECT DISTINCT 1000e0+7.3e0*i AS wave FROM range(80) r(i)), s AS (SELECT band, wave AS w0, throughput AS t0, lead(wave) OVER w AS w1, lead(throughput) OVER w AS t1 FROM filt WINDOW w AS (PARTITION BY band ORDER BY wave)), x AS (SELECT s.band, g.wave, max(t0+(t1-t0)*(wave-w0)/(w1-w0)) AS throughput FROM g JOIN s ON wave>=w0 AND wave<=w1 GROUP BY ALL) SELECT b.band, g.wave, coalesce(throughput,0) AS throughput FROM g CROSS JOIN (SELECT DISTINCT band FROM filt) b LEFT JOIN x ON x.band=b.band AND x.wave=g.wave")
+def _filters(v):
+    waves = v("part").where("p_partkey < 80").select((1000.0 + 7.3 * F.col("p_partkey")).alias("wave"))
+    return G.resample(filters(v), waves)
+
+
+@query("a20_gen_spectrum", "point #wave ~flux", f"WITH {SPECTRA}, w AS (SELECT n_nationkey AS point, k AS vec_id, (k+1)/10e0 AS w FROM nation, range(4) r(k)) SELECT point, wave, sum(w*flux) AS flux FROM w JOIN spec USING (vec_id) GROUP BY point, wave")
+def _spectrum(v):
+    w = v("nation").select(F.col("n_nationkey").alias("point"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("vec_id")).withColumn("w", (F.col("vec_id") + 1) / 10.0)
+    return G.weighted_spectra(w, spectra(v), "point", "vec_id")
+
+
+@query("p21_wave_range", "#n ~flux", f"WITH {SPECTRA} SELECT count(*) AS n, sum(flux) AS flux FROM spec WHERE wave BETWEEN 1100e0 AND 1400e0")
+def _range(v):
+    return spectra(v).where(F.col("wave").between(1100.0, 1400.0)).agg(F.count(F.lit(1)).alias("n"), F.sum("flux").alias("flux"))
+
+
+@query("j15_distance_grid", "model_id ~distance ~f0 ~f2", "SELECT model_id, d AS distance, f0/power(0.1e0*d,2) AS f0, f2/power(0.1e0*d,2) AS f2 FROM fx_models, (VALUES (20e0),(35e0)) t(d)")
+def _distance(v):
+    return G.distance_grid(v("fx_models").select("model_id", "f0", "f2"), [20, 35], ["f0", "f2"])
+
+
+@query("j16_dust_grid", "model_id ~av ~rv ~f_a ~rv_a", "WITH d AS (SELECT av, rv, fa FROM (VALUES (0e0),(0.5e0),(1e0)) a(av), (VALUES (2.2e0),(2.7e0),(3.1e0),(4.5e0)) r(rv), (VALUES (0.2e0),(0.6e0),(1e0)) f(fa) WHERE 1/rv>=fa/6e0+(1-fa)/2.74e0-1e-12 AND 1/rv<=fa/2e0+(1-fa)/2.74e0+1e-12) SELECT model_id, d.av, d.rv, fa AS f_a, 1/(1/(d.rv*fa)-(1-fa)/(fa*2.74e0)) AS rv_a FROM d, fx_models m WHERE model_id<50")
+def _dust(v):
+    models = v("fx_models").where("model_id < 50").select("model_id")
+    return models.crossJoin(F.broadcast(G.dust_points(models.sparkSession, [0.0, 0.5, 1.0], [2.2, 2.7, 3.1, 4.5], [0.2, 0.6, 1.0])))
+
+
+@query("j13_quadrant_nodes", "track_row #hot #dense #node ~d", "WITH p AS (SELECT track_row, log_t, log_l AS log_g FROM fx_tracks), n AS (SELECT star_id AS node, 3.5e0+0.0052e0*star_id AS n_t, 0.03e0*(star_id*7 % 100)+0.001e0 AS n_g FROM fx_stars), b AS (SELECT track_row, CASE WHEN n_t>=log_t THEN 1 ELSE 0 END AS hot, CASE WHEN n_g>=log_g THEN 1 ELSE 0 END AS dense, node, abs(n_t-log_t)+0.1e0*abs(n_g-log_g) AS d FROM p, n) SELECT track_row, hot, dense, arg_min(node, row(d, node)) AS node, min(d) AS d FROM b GROUP BY ALL")
+def _quadrants(v):
+    points = v("fx_tracks").select("track_row", "log_t", F.col("log_l").alias("log_g"))
+    nodes = v("fx_stars").selectExpr("star_id AS node_id", "3.5e0+0.0052e0*star_id AS log_t", "0.03e0*(star_id*7 % 100)+0.001e0 AS log_g")
+    return G.quadrant_nodes(points, nodes, "track_row", "node_id")
+
+
+@query("b15_library_boundary", "~log_g ~left ~right", 'WITH g AS (SELECT mass_id*0.1e0 AS log_g, min(log_t)-0.1e0 AS l, max(log_t)+0.1e0 AS r FROM fx_tracks GROUP BY ALL) SELECT log_g, l AS "left", r AS "right" FROM g UNION ALL SELECT log_g-0.3e0, l, r FROM g WHERE log_g=(SELECT min(log_g) FROM g) UNION ALL SELECT log_g+0.3e0, l, r FROM g WHERE log_g=(SELECT max(log_g) FROM g)')
+def _boundary(v):
+    return G.library_boundary(v("fx_tracks").select((F.col("mass_id") * 0.1).alias("log_g"), "log_t"))
+
+
+@query("j14_which_osl", "track_row #osl", "SELECT track_row, CASE WHEN log_t BETWEEN 3.595e0 AND 3.755e0 AND log_l BETWEEN 0.49e0 AND 1.51e0 THEN 1 WHEN log_t BETWEEN 3.545e0 AND 3.905e0 AND log_l BETWEEN -0.01e0 AND 2.01e0 THEN 2 ELSE 0 END AS osl FROM fx_tracks")
+def _osl(v):
+    e = 1e-9
+    box = lambda a, b, c, d: [(a - e, c - e), (b + e, c - e), (b + e, d + e), (a - e, d + e)]
+    from starmill.operators.sky import in_polygon
+
+    libraries = [box(3.595, 3.755, 0.49, 1.51), box(3.545, 3.905, -0.01, 2.01)]
+    osl = F.coalesce(*[F.when(in_polygon(F.col("log_t"), F.col("log_l"), p), k + 1) for k, p in enumerate(libraries)], F.lit(0))
+    return v("fx_tracks").select("track_row", osl.alias("osl"))
+
+
+SEG = "s AS (SELECT z_id, mass_id, eep AS x0, lead(eep) OVER w AS x1, log_l AS l0, lead(log_l) OVER w AS l1 FROM fx_tracks WINDOW w AS (PARTITION BY z_id, mass_id ORDER BY eep))"
+
+
+@query("w7_regrid_masses", "z_id mass_id ~x ~log_l", f"WITH {SEG}, k AS (SELECT 0.5e0+1.7e0*i AS x FROM range(60) r(i)) SELECT z_id, mass_id, x, l0+(l1-l0)*(x-x0)/(x1-x0) AS log_l FROM s JOIN k ON x>=x0 AND x<x1")
+def _regrid(v):
+    tracks = v("fx_tracks").withColumn("x", F.col("eep").cast("double"))
+    return G.regrid(tracks, ["z_id", "mass_id"], "x", 1.7, 0.5, 0.5 + 1.7 * 59, ["log_l"])
+
+
+@query("w8_regrid_metallicities", "mass_id ~x ~log_l", "WITH t AS (SELECT mass_id, eep*1e0 AS x, avg(log_l) AS l FROM fx_tracks GROUP BY ALL), s AS (SELECT mass_id, x AS x0, lead(x) OVER w AS x1, l AS l0, lead(l) OVER w AS l1 FROM t WINDOW w AS (PARTITION BY mass_id ORDER BY x)), k AS (SELECT 0.25e0+2.3e0*i AS x FROM range(40) r(i)) SELECT mass_id, k.x, l0+(l1-l0)*(k.x-x0)/(x1-x0) AS log_l FROM s JOIN k ON k.x>=x0 AND k.x<x1")
+def _regrid_z(v):
+    tracks = v("fx_tracks").groupBy("mass_id", F.col("eep").cast("double").alias("x")).agg(F.avg("log_l").alias("log_l"))
+    return G.regrid(tracks, ["mass_id"], "x", 2.3, 0.25, 0.25 + 2.3 * 39, ["log_l"])
+
+
+@query("w9_condense_grid", "track_row", None)
+def _condense(v):
+    return G.condense(v("fx_tracks"), ["z_id", "mass_id"], "eep", "log_l", "log_t", 0.7, 0.5)
+
+
+@query("w10_densify", "z_id mass_id eep #k ~log_l", "WITH s AS (SELECT z_id, mass_id, eep, log_l, lead(log_l) OVER w AS l1, lead(eep) OVER w AS e1 FROM fx_tracks WINDOW w AS (PARTITION BY z_id, mass_id ORDER BY eep)), n AS (SELECT *, CASE WHEN e1 IS NULL THEN 0 ELSE CAST(floor(abs(l1-log_l)/0.151e0) AS INT) END AS n FROM s), x AS (SELECT *, unnest(range(0, n+1)) AS k FROM n) SELECT z_id, mass_id, eep, k, coalesce(log_l+(l1-log_l)*k/(n+1), log_l) AS log_l FROM x")
+def _densify(v):
+    return G.densify(v("fx_tracks"), ["z_id", "mass_id"], "eep", {"log_l": 0.151}, ["log_l"])
+
+
+@query("j17_iso_age_interp", "z_id #place ~log_l ~log_t", "WITH a AS (SELECT *, row_number() OVER (PARTITION BY z_id, eep ORDER BY track_row) AS place FROM fx_tracks WHERE eep IN (12, 13)) SELECT x.z_id, x.place, x.log_l*0.7e0+y.log_l*0.3e0 AS log_l, x.log_t*0.7e0+y.log_t*0.3e0 AS log_t FROM a x JOIN a y ON x.z_id=y.z_id AND x.place=y.place WHERE x.eep=12 AND y.eep=13")
+def _ages(v):
+    tracks = v("fx_tracks").withColumn("age", F.col("eep").cast("double"))
+    return G.between_ages(tracks, ["z_id"], "age", 12.3, "track_row", ["log_l", "log_t"])
+
+
+@query("j18_lattice_interp", "mass_id ~x ~log_l", "WITH t AS (SELECT mass_id, eep*1e0 AS x, max(log_l) AS l FROM fx_tracks GROUP BY ALL), s AS (SELECT mass_id, x AS x0, lead(x) OVER w AS x1, l AS l0, lead(l) OVER w AS l1 FROM t WINDOW w AS (PARTITION BY mass_id ORDER BY x)), k AS (SELECT 3.37e0+9.1e0*i AS x FROM range(9) r(i)) SELECT mass_id, k.x, l0+(l1-l0)*(k.x-x0)/(x1-x0) AS log_l FROM s JOIN k ON k.x>=x0 AND k.x<x1")
+def _lattice(v):
+    tracks = v("fx_tracks").groupBy("mass_id", F.col("eep").cast("double").alias("x")).agg(F.max("log_l").alias("log_l"))
+    return G.regrid(tracks, ["mass_id"], "x", 9.1, 3.37, 3.37 + 9.1 * 8, ["log_l"])

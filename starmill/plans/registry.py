@@ -26,8 +26,8 @@ def query(name: str, columns: str, sql: str | None = None, digits: int = 6) -> C
 
         QUERIES[name] = run
         if sql is not None:
-            kinds = {"~": f"round(CAST({{0}} AS DOUBLE), {digits}) + 0e0 AS {{0}}", "#": "CAST({0} AS BIGINT) AS {0}"}
-            ORACLES[name] = f"SELECT {', '.join(kinds[c[0]].format(c[1:]) if c[0] in kinds else c for c in names)} FROM ({with_views(sql)}) AS result"
+            kinds = {"~": f'round(CAST("{{0}}" AS DOUBLE), {digits}) + 0e0 AS "{{0}}"', "#": 'CAST("{0}" AS BIGINT) AS "{0}"'}
+            ORACLES[name] = f"SELECT {', '.join(kinds[c[0]].format(c[1:]) if c[0] in kinds else f'"{c}"' for c in names)} FROM ({with_views(sql)}) AS result"
         return f
 
     return put

@@ -1 +1,210 @@
-"""Queries."""
+"""Queries of positions, density maps and catalogues."""
+
+from pyspark.sql import functions as F
+
+from starmill.operators import catalogues as K
+from starmill.operators import samples, sky
+from starmill.plans.registry import query
+
+SEP = "degrees(2*asin(sqrt(power(sin(radians(b.decl-a.decl)/2),2)+cos(radians(a.decl))*cos(radians(b.decl))*power(sin(radians(b.ra-a.ra)/2),2))))"
+RA, DEC = [80 + 0.0101 * k for k in range(6)], [-69 + 0.0101 * k for k in range(5)]
+
+
+def tile(x: str, edges: list) -> str:
+    n, w = len(edges) - 1, (edges[-1] - edges[0]) / (len(edges) - 1)
+    return f"CAST(greatest(least(floor(({x}-({edges[0]!r}e0))/{w!r}e0),{n - 1}),0) AS INT)"
+
+
+@query("p18_zone_search", "star_id", "SELECT star_id FROM fx_stars WHERE ra BETWEEN 80.01e0 AND 80.0505e0 AND decl BETWEEN -68.9905e0 AND -68.97e0")
+def _zone(v):
+    return sky.zone_search(v("fx_stars"), 80.01, 80.0505, -68.9905, -68.97)
+
+
+@query("p19_cone_search", "star_id ~separation", "SELECT * FROM (SELECT star_id, degrees(2*asin(sqrt(power(sin(radians(-68.98e0-decl)/2),2)+cos(radians(decl))*cos(radians(-68.98e0))*power(sin(radians(80.05e0-ra)/2),2)))) AS separation FROM fx_stars) WHERE separation<=0.0151e0", 9)
+def _cone(v):
+    return sky.cone_search(v("fx_stars"), 80.05, -68.98, 0.0151)
+
+
+@query("j6_nearest_match", "left_id right_id ~separation", f"WITH p AS (SELECT a.star_id AS l, b.star_id AS r, {SEP} AS s FROM fx_stars a JOIN fx_catalog b ON abs(a.decl-b.decl)<0.003e0 WHERE {SEP}<0.0021e0), m AS (SELECT l, min(row(round(s,9), r)) AS e FROM p GROUP BY l) SELECT star_id AS left_id, e[2] AS right_id, e[1] AS separation FROM fx_stars LEFT JOIN m ON l=star_id", 8)
+def _nearest(v):
+    return sky.nearest_rounded(v("fx_stars"), v("fx_catalog"), 0.0021)
+
+
+@query("j7_radius_brightest", "left_id ~flux", f"WITH p AS (SELECT a.star_id AS l, b.f475w_rate AS f FROM fx_stars a JOIN fx_catalog b ON abs(a.decl-b.decl)<0.003e0 WHERE {SEP}<0.0021e0) SELECT star_id AS left_id, max(f) AS flux FROM fx_stars LEFT JOIN p ON l=star_id GROUP BY star_id")
+def _brightest(v):
+    return sky.brightest_within(v("fx_stars"), v("fx_catalog"), 0.0021, "star_id", "star_id", "f475w_rate")
+
+
+@query("j9_tile_for_position", "star_id #i_ra #i_dec", f"SELECT star_id, {tile('ra', RA)} AS i_ra, {tile('decl', DEC)} AS i_dec FROM fx_stars WHERE abs((ra-80)/0.0101e0-round((ra-80)/0.0101e0))>1e-6 AND abs((decl+69)/0.0101e0-round((decl+69)/0.0101e0))>1e-6")
+def _tile(v):
+    off = [F.abs(x / 0.0101 - F.round(x / 0.0101)) > 1e-6 for x in (F.col("ra") - 80, F.col("decl") + 69)]
+    return v("fx_stars").where(off[0] & off[1]).select("star_id", sky.tile_index(F.col("ra"), RA).alias("i_ra"), sky.tile_index(F.col("decl"), DEC).alias("i_dec"))
+
+
+@query("j11_points_in_polygon", "star_id", "SELECT star_id FROM fx_stars WHERE ra>80.0105e0 AND ra<80.0705e0 AND decl>-68.9955e0 AND decl<-68.9745e0")
+def _polygon(v):
+    box = [(80.0105, -68.9955), (80.0705, -68.9955), (80.0705, -68.9745), (80.0105, -68.9745)]
+    return v("fx_stars").where(sky.in_polygon(F.col("ra"), F.col("decl"), box)).select("star_id")
+
+
+@query("b14_convex_hull", "~x ~y", "WITH p AS (SELECT DISTINCT f0 AS x, CAST(star_id % 17 AS DOUBLE) AS y FROM fx_stars), e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p), s AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON (a.x, a.y) <> (b.x, b.y)), c AS (SELECT ax, ay, bx, b_y FROM s WHERE NOT EXISTS (SELECT 1 FROM p WHERE (bx-ax)*(y-ay)-(b_y-ay)*(x-ax) < 0 OR ((bx-ax)*(y-ay)-(b_y-ay)*(x-ax) = 0 AND (x-ax)*(x-bx)+(y-ay)*(y-b_y) > 0))) SELECT DISTINCT ax AS x, ay AS y FROM c")
+def _hull(v):
+    return sky.hull_of(v("fx_stars").select("f0", (F.col("star_id") % 17).cast("double").alias("y")), "f0", "y")
+
+
+@query("a22_source_density", "#i_ra #i_dec #n ~value", f"WITH t AS (SELECT i.i AS i_ra, j.j AS i_dec FROM range(5) i(i), range(4) j(j)), c AS (SELECT {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec, count(*) AS n FROM fx_stars WHERE f0>14 GROUP BY ALL) SELECT t.i_ra, t.i_dec, coalesce(n,0) AS n, coalesce(n,0)/(0.0101e0*0.0101e0*cos(radians(-69e0+0.0101e0*(t.i_dec+0.5e0)))) AS value FROM t LEFT JOIN c USING (i_ra, i_dec)", 3)
+def _density(v):
+    stars = v("fx_stars").withColumns({"ra": F.col("ra") + 0.00005, "decl": F.col("decl") + 0.00005})
+    return sky.source_density(stars, RA, DEC, F.col("f0") > 14)
+
+
+@query("a23_background_map", "#i_ra #i_dec ~median #n", f"SELECT {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec, median(f0) AS median, count(*) AS n FROM fx_stars GROUP BY ALL")
+def _background(v):
+    stars = v("fx_stars").withColumns({"ra": F.col("ra") + 0.00005, "decl": F.col("decl") + 0.00005})
+    return sky.tile_median(stars, "f0", RA, DEC)
+
+
+@query("a24_bin_density_map", "#nation #bin", "WITH t AS (SELECT s_nationkey AS nation, count(*)*1e0 AS value FROM supplier GROUP BY ALL), e AS (SELECT min(value) AS lo, max(value) AS hi FROM t) SELECT nation, CASE WHEN hi>lo THEN CAST(floor((value-(lo-0.01e0*(hi-lo)))/(1.02e0*(hi-lo)/4)) AS INT) ELSE 0 END AS bin FROM t, e")
+def _map_bins(v):
+    tiles = v("supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return sky.bin_density_map(tiles, 4)
+
+
+@query("j19_aperture_background", "star_id ~background #n_pixels", "WITH s AS (SELECT star_id, CAST(star_id*7 % 100 AS DOUBLE) AS sx, CAST(star_id*13 % 90 AS DOUBLE) AS sy FROM fx_stars), p AS (SELECT p_partkey % 100 + 0.25e0 AS x, CAST(floor(p_partkey/100e0) AS DOUBLE)*4+0.5e0 AS y, f0 AS v FROM part JOIN fx_models ON model_id=p_partkey), b AS (SELECT star_id, x, y, v, sqrt(power(x-sx,2)+power(y-sy,2)) AS d FROM s, p WHERE abs(x-sx)<=6 AND abs(y-sy)<=6) SELECT star_id, avg(v) AS background, count(*) AS n_pixels FROM b WHERE d>2 AND d<=6 AND NOT EXISTS (SELECT 1 FROM b c WHERE c.x=b.x AND c.y=b.y AND c.d<=2) GROUP BY star_id")
+def _aperture(v):
+    stars = v("fx_stars").selectExpr("star_id", "CAST(star_id*7 % 100 AS DOUBLE) AS x", "CAST(star_id*13 % 90 AS DOUBLE) AS y")
+    pixels = v("fx_models").selectExpr("model_id % 100 + 0.25e0 AS x", "CAST(floor(model_id/100e0) AS DOUBLE)*4+0.5e0 AS y", "f0 AS v")
+    return sky.aperture_background(stars, pixels, 2.0, 4.0)
+
+
+@query("p11_cut_catalog", "star_id", "SELECT star_id FROM fx_catalog WHERE (f475w_rate<>0 AND f814w_rate<>0) OR (f475w_rate=0 AND f814w_rate=0)")
+def _cut(v):
+    return K.cut_catalog(v("fx_catalog"), ["f475w_rate", "f814w_rate"])
+
+
+@query("p12_cut_asts", "star_id", "SELECT star_id FROM fx_catalog WHERE f475w_rate<>0 AND f814w_rate<>0 AND ra BETWEEN 80.02e0 AND 80.0701e0 AND decl BETWEEN -68.99e0 AND -68.95e0")
+def _cut_asts(v):
+    kept = K.cut_catalog(v("fx_catalog"), ["f475w_rate", "f814w_rate"], ["f475w_rate", "f814w_rate"])
+    return kept.where(sky.in_polygon(F.col("ra"), F.col("decl"), [(80.01999, -68.99001), (80.07011, -68.99001), (80.07011, -68.94999), (80.01999, -68.94999)]))
+
+
+@query("p13_mag_limits", "model_id", "SELECT model_id FROM fx_models WHERE (CASE WHEN f0>12 AND f0<20 THEN 1 ELSE 0 END)+(CASE WHEN f1>9 AND f1<15 THEN 1 ELSE 0 END)+(CASE WHEN f2>7 AND f2<11 THEN 1 ELSE 0 END)>=2")
+def _limits(v):
+    return K.mag_limits(v("fx_models"), ["f0", "f1", "f2"], [12, 9, 7], [20, 15, 11], 2)
+
+
+@query("p14_color_cut", "model_id", "SELECT model_id FROM fx_models WHERE f0-f1<=3.7e0 AND f0 BETWEEN 12 AND 20.05e0")
+def _color(v):
+    return K.color_cut(v("fx_models"), {"f0": (12, 20.05)}, "f0", "f1", 3.7)
+
+
+@query("p15_filter_tracks", "track_row", "SELECT track_row FROM fx_tracks WHERE NOT (eep<5 OR log_l<0.3e0)")
+def _filter(v):
+    return v("fx_tracks").where(~((F.col("eep") < 5) | (F.col("log_l") < 0.3)))
+
+
+@query("p17_remove_filters", "model_id ~first ~last #n", "SELECT model_id, f0 AS first, f2 AS last, 2 AS n FROM fx_models")
+def _bands(v):
+    rows, _ = K.remove_bands(v("fx_models").select("model_id", F.array("f0", "f1", "f2").alias("sed")), "sed", ["HST_WFC3_F275W", "HST_ACS_WFC_F475W", "HST_ACS_WFC_F814W"], ["f475w"])
+    return rows.select("model_id", F.get("sed", F.lit(0)).alias("first"), F.element_at("sed", -1).alias("last"), F.size("sed").alias("n"))
+
+
+@query("p22_erode_boundary", "star_id", "WITH b AS (SELECT min(ra)+0.0095e0 AS x0, max(ra)-0.0095e0 AS x1, min(decl)+0.0045e0 AS y0, max(decl)-0.0045e0 AS y1 FROM fx_stars) SELECT star_id FROM fx_stars, b WHERE ra BETWEEN x0 AND x1 AND decl BETWEEN y0 AND y1")
+def _erode(v):
+    return sky.inside_box(v("fx_stars"), 0.0095, 0.0045)
+
+
+@query("p23_threshold_subset", "star_id", "SELECT star_id FROM fx_stars WHERE f0 BETWEEN 14 AND 20 AND f1>12")
+def _window(v):
+    return v("fx_stars").where(F.col("f0").between(14, 20) & (F.col("f1") > 12))
+
+
+@query("w12_split_by_density", "star_id #sd_bin #sub", "WITH b AS (SELECT *, CAST(floor(f2/3e0) AS INT) AS sd_bin FROM fx_stars), r AS (SELECT *, row_number() OVER (PARTITION BY sd_bin ORDER BY f0, star_id) AS rn, count(*) OVER (PARTITION BY sd_bin) AS n FROM b) SELECT star_id, sd_bin, floor((rn-1)/ceil(n/ceil(n/7e0))) AS sub FROM r")
+def _split(v):
+    return K.even_chunks(K.density_bins(v("fx_stars"), "f2", 3.0), ["sd_bin"], ["f0", "star_id"], 7)
+
+
+@query("w13_subdivide_by_density", "star_id #sd_bin #sub", "WITH b AS (SELECT *, CAST(floor(f2/2e0) AS INT) AS sd_bin FROM fx_stars) SELECT star_id, sd_bin, floor((row_number() OVER (PARTITION BY sd_bin ORDER BY f0, star_id)-1)/6e0) AS sub FROM b")
+def _subdivide(v):
+    return K.chunks(K.density_bins(v("fx_stars"), "f2", 2.0), ["sd_bin"], ["f0", "star_id"], 6)
+
+
+@query("w14_split_simulated", "star_id #sub", "SELECT star_id, floor((row_number() OVER (ORDER BY f0, star_id)-1)/9e0) AS sub FROM fx_stars")
+def _simulated(v):
+    return K.chunks(v("fx_stars"), [], ["f0", "star_id"], 9)
+
+
+@query("w15_split_asts", "star_id #sub", "SELECT star_id, floor((row_number() OVER (ORDER BY star_id)-1)/11e0) AS sub FROM fx_stars")
+def _asts(v):
+    return K.chunks(v("fx_stars"), [], ["star_id"], 11)
+
+
+@query("a41_region_counts", "#region_x #region_y #n", "SELECT floor((ra-79.9995e0)/0.025e0) AS region_x, floor((decl+69.0005e0)/0.02e0) AS region_y, count(*) AS n FROM fx_stars GROUP BY ALL")
+def _regions(v):
+    from starmill.operators.summaries import region_counts
+
+    return region_counts(v("fx_stars").withColumns({"x": (F.col("ra") - 79.9995) / 0.025, "y": (F.col("decl") + 69.0005) / 0.02}), F.col("x"), F.col("y"), 1.0)
+
+
+@query("a45_fit_progress", "part #n #fitted state", "WITH c AS (SELECT star_id % 4 AS part, count(*) AS n, count(*) FILTER (WHERE star_id % 4=0 OR (star_id % 4=1 AND star_id % 3=0)) AS fitted FROM fx_stars GROUP BY ALL) SELECT part, n, fitted, CASE WHEN fitted>=n THEN 'done' WHEN fitted>0 THEN 'resume' ELSE 'run' END AS state FROM c")
+def _progress(v):
+    stars = v("fx_stars").withColumn("part", F.col("star_id") % 4)
+    done = stars.where("part = 0 OR (part = 1 AND star_id % 3 = 0)").withColumn("pmax", F.lit(-1.0))
+    return K.progress(done, stars, ["part"])
+
+
+@query("w16_cumulative", "model_id ~below ~upto", None)
+def _cumulative(v):
+    return samples.cumulative(v("fx_models"), "weight", "model_id", 4)
+
+
+@query("s1_sample_models", "model_id #draw", None)
+def _s1(v):
+    rows = v("fx_models").join(v("fx_noise"), "model_id")
+    return samples.sample_models(rows, 500, F.col("weight") * F.col("c0") * F.col("c1") * F.col("c2"))
+
+
+@query("s2_synthetic_catalog", "model_id #draw ~obs_0 ~mag_0 ~obs_2", None)
+def _s2(v):
+    rows = v("fx_models").join(v("fx_noise"), "model_id")
+    drawn = samples.sample_models(rows, 500, F.col("weight") * F.col("c0"))
+    return samples.synthetic_catalog(drawn, ["f0", "f1", "f2"], ["b0", "b1", "b2"], ["e0", "e1", "e2"])
+
+
+@query("s3_thinned_sample", "model_id #draw", None)
+def _s3(v):
+    rows = v("fx_models").join(v("fx_noise"), "model_id")
+    return samples.thin(samples.sample_models(rows, 500, F.col("weight")), F.col("c0") * F.col("c1") * F.col("c2"))
+
+
+@query("s4_pick_models", "~log_a #n", "WITH a AS (SELECT log_a, count(*) AS n FROM fx_models WHERE f0<20 GROUP BY log_a) SELECT log_a, least(n, 5)*3 AS n FROM a")
+def _s4(v):
+    return samples.pick_per_group(v("fx_models").where("f0 < 20"), ["log_a"], 5, 3).groupBy("log_a").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s5_flux_bin_models", "model_id", None)
+def _s5(v):
+    return samples.pick_by_flux_bins(v("fx_models"), ["f0", "f1", "f2"], 10, 3)
+
+
+@query("s6_supplement", "#n #used", "SELECT 40 AS n, 0 AS used FROM region LIMIT 1")
+def _s6(v):
+    more = samples.supplement(v("fx_models"), v("fx_stars").selectExpr("star_id AS model_id"), 40)
+    both = more.join(v("fx_stars").selectExpr("star_id AS model_id", "1 AS hit"), "model_id", "left")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("used"))
+
+
+@query("j20_positions_near_catalog", "star_id #k ~x ~y", None)
+def _j20(v):
+    return samples.positions_near(v("fx_stars").selectExpr("star_id", "ra AS x", "decl AS y"), 4, 0.001, 0.002, (80.0, 80.1, -69.0, -68.96))
+
+
+@query("j21_positions_from_map", "model_id #realization #bin ~ra ~decl", None)
+def _j21(v):
+    tiles = sky.bin_density_map(sky.source_density(v("fx_stars"), RA, DEC), 3)
+    return samples.positions_in_tiles(v("fx_models").where("model_id < 50"), tiles, 2)
+
+
+@query("a43_mass_formed", "~log_a ~share ~min_mass ~max_mass", "WITH a AS (SELECT log_a, min(m_ini) AS min_mass, max(m_ini) AS max_mass FROM fx_models GROUP BY log_a), y AS (SELECT *, power(10e0,log_a+0.25e0)-power(10e0,log_a-0.25e0) AS y FROM a) SELECT log_a, y/sum(y) OVER () AS share, min_mass, max_mass FROM y")
+def _mass(v):
+    return samples.mass_formed(v("fx_models"), "log_a", "m_ini", 0.6)

@@ -33,7 +33,7 @@ def sexagesimal(x: Column, digits: int = 3, delimiter: str = ":") -> Column:
     n = F.round(F.abs(x) * 3600 * unit).cast("long")
     sec = n % (60 * unit)
     parts = [F.lpad((n / (3600 * unit)).cast("long").cast("string"), 2, "0"), F.lpad(((n / (60 * unit)).cast("long") % 60).cast("string"), 2, "0"), F.concat(F.lpad((sec / unit).cast("long").cast("string"), 2, "0"), F.lit("."), F.lpad((sec % unit).cast("string"), digits, "0"))]
-    return F.concat(F.when((x < 0) & (n > 0), "-").otherwise(""), F.concat_ws(delimiter, *parts))
+    return F.when(x.isNotNull(), F.concat(F.when((x < 0) & (n > 0), "-").otherwise(""), F.concat_ws(delimiter, *parts)))
 
 
 def deg2hms(ra: Column, **how) -> Column:

@@ -22,12 +22,11 @@ def bin_boundaries(axis: DataFrame, x: str, by: Sequence[str] = (), noneg: bool
 
 
 def grid_weight(axis: DataFrame, x: str, by: Sequence[str] = (), log: bool = False) -> DataFrame:
-    """Width of the bin around each distinct value over the mean width (log: of 10^x). A single value has weight 0."""
-    source = axis.select(*by, F.col(x), (F.pow(F.lit(10.0), x) if log else F.col(x).cast("double")).alias("axis_value"))
-    edges = bin_boundaries(source, "axis_value", by)
-    wide = edges.select(*by, "axis_value", (F.col("hi") - F.col("lo")).alias("wide"))
-    share = wide.select(*by, "axis_value", F.coalesce(F.col("wide") / F.avg("wide").over(W.partitionBy(*by)), F.lit(0.0)).alias("grid_weight"))
-    return source.distinct().join(share, [*by, "axis_value"]).select(*by, x, "grid_weight")
+    """Width of the bin around each distinct value over the mean width (log: of 10 to the bin's ends). A single value has weight 0."""
+    edges = bin_boundaries(axis, x, by)
+    end = lambda c: F.pow(F.lit(10.0), F.col(c)) if log else F.col(c)
+    wide = edges.select(*by, x, (end("hi") - end("lo")).alias("wide"))
+    return wide.select(*by, x, F.coalesce(F.col("wide") / F.avg("wide").over(W.partitionBy(*by)), F.lit(0.0)).alias("grid_weight"))
 
 
 def prior_column(axis: Sequence[float], x: str, parameter: str, name: str, **how) -> Column:

@@ -169,7 +169,7 @@ def _w2(v):
     return weights.bin_boundaries(v("fx_models"), "av", noneg=True)
 
 
-AGE = """WITH a AS (SELECT DISTINCT z, log_a, power(10e0,log_a) AS x FROM fx_models), a1 AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS n FROM a WINDOW w AS (PARTITION BY z ORDER BY x)), a2 AS (SELECT z, log_a, coalesce((x-b)/2,(n-x)/2)+coalesce((n-x)/2,(x-b)/2) AS d FROM a1), aw AS (SELECT z, log_a, d/avg(d) OVER (PARTITION BY z) AS w FROM a2),
+AGE = """WITH a AS (SELECT DISTINCT z, log_a, log_a AS x FROM fx_models), a1 AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS n FROM a WINDOW w AS (PARTITION BY z ORDER BY x)), a2 AS (SELECT z, log_a, power(10e0,x+coalesce((n-x)/2,(x-b)/2))-power(10e0,x-coalesce((x-b)/2,(n-x)/2)) AS d FROM a1), aw AS (SELECT z, log_a, d/avg(d) OVER (PARTITION BY z) AS w FROM a2),
 m AS (SELECT DISTINCT z, log_a, m_ini AS x FROM fx_models), m1 AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS n FROM m WINDOW w AS (PARTITION BY z, log_a ORDER BY x)), m2 AS (SELECT z, log_a, x, coalesce((x-b)/2,(n-x)/2)+coalesce((n-x)/2,(x-b)/2) AS d FROM m1), mw AS (SELECT z, log_a, x, coalesce(d/avg(d) OVER (PARTITION BY z, log_a),0) AS w FROM m2)"""
 
 

@@ -130,6 +130,13 @@ def top_hat(spark, band: str, start: float, stop: float, step: float, photons: b
     return spark.range(n).select(F.lit(band).alias("band"), wave.alias("wave"), (start / wave if photons else F.lit(1.0)).alias("throughput"))
 
 
+def top_hats(bands: DataFrame, step: float, photons: bool = True) -> DataFrame:
+    """Filters of even response, one per row of bands (band, start, stop), as top_hat()."""
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.col("stop") - F.col("start")) / step + 1e-9).cast("int") - 1))
+    rows = bands.where(F.col("stop") >= F.col("start") + step).select("band", "start", k.alias("k")).select("band", "start", (F.col("start") + F.col("k") * step).alias("wave"))
+    return rows.select("band", "wave", (F.col("start") / F.col("wave") if photons else F.lit(1.0)).alias("throughput"))
+
+
 def resample(filters: DataFrame, waves: DataFrame) -> DataFrame:
     """band, wave, throughput at the wavelengths of `waves`, linear between a filter's nodes and 0 beyond. A range join with the bounded filters' segments."""
     w = W.partitionBy("band").orderBy("wave")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from starmill.functions import columns as C
-from starmill.functions import extinction, priors
+from starmill.functions import extinction
 from starmill.operators import weights
 from starmill.plans.registry import query
 
@@ -123,12 +123,6 @@ def _mass(v):
     return v("fx_models").select("model_id", weights.prior_column([0.5 + 0.5 * k for k in range(41)], "m_ini", "mass", "salpeter").alias("salpeter"))
 
 
-@query("m17_prior_names", "parameter name", "SELECT * FROM (VALUES ('age','flat'),('age','flat_log'),('age','bins_histo'),('age','bins_interp'),('age','exponential'),('mass','kroupa'),('mass','salpeter'),('mass','flat'),('met','flat'),('distance','flat'),('distance','absexponential'),('dust','flat'),('dust','lognormal'),('dust','two_lognormal'),('dust','step')) t(parameter, name), (SELECT count(*) AS n FROM region) WHERE n>0")
-def _names(v):
-    pairs = F.array(*[F.struct(F.lit(p).alias("parameter"), F.lit(n).alias("name")) for p, names in priors.ALLOWED.items() for n in names])
-    return v("region").agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.explode(pairs).alias("e")).select("e.*")
-
-
 CCM = """WITH w AS (SELECT p_partkey AS k, 1e4/(1100+4*p_partkey) AS x FROM part), o AS (SELECT k, x, x-1.82e0 AS y FROM w)
 SELECT k, CASE WHEN x<1.1e0 THEN 0.574e0*power(x,1.61e0)-0.527e0*power(x,1.61e0)/3.1e0
  WHEN x<3.3e0 THEN 1+0.17699e0*y-0.50447e0*y*y-0.02427e0*power(y,3)+0.72085e0*power(y,4)+0.01979e0*power(y,5)-0.7753e0*power(y,6)+0.32999e0*power(y,7)+(1.41338e0*y+2.28305e0*y*y+1.07233e0*power(y,3)-5.38434e0*power(y,4)-0.62251e0*power(y,5)+5.3026e0*power(y,6)-2.09002e0*power(y,7))/3.1e0

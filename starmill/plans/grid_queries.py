@@ -21,14 +21,21 @@ FILTERS = "filt AS (SELECT 'A' AS band, 1100e0+10*i AS wave, 1100e0/(1100e0+10*i
 NODES = "nodes AS (SELECT band, wave, throughput, {0}*(coalesce(wave-lag(wave) OVER w,0)+coalesce(lead(wave) OVER w-wave,0))/2 AS node FROM filt WINDOW w AS (PARTITION BY band ORDER BY wave))"
 
 
-@query("m25_top_hat", "band ~wave ~throughput", f"WITH {FILTERS}, n AS (SELECT count(*) AS n FROM region) SELECT band, wave, throughput FROM filt, n WHERE n>0")
+HATS = "filt AS (SELECT s_suppkey AS band, 1000e0+10*(s_suppkey % 40)+10*i AS wave, (1000e0+10*(s_suppkey % 40))/(1000e0+10*(s_suppkey % 40)+10*i) AS throughput FROM supplier, range(25) r(i) WHERE i<5+s_suppkey % 20)"
+
+
+def hats(v):
+    return G.top_hats(v("supplier").selectExpr("s_suppkey AS band", "1000e0+10*(s_suppkey % 40) AS start", "1000e0+10*(s_suppkey % 40)+10*(5+s_suppkey % 20) AS stop"), 10.0)
+
+
+@query("m25_top_hat", "band ~wave ~throughput", f"WITH {HATS} SELECT * FROM filt")
 def _hat(v):
-    return filters(v)
+    return hats(v)
 
 
-@query("a44_filter_moments", "band ~norm ~cl ~lpivot", f"WITH {FILTERS}, {NODES.format('throughput')} SELECT band, sum(node) AS norm, sum(wave*node)/sum(node) AS cl, sqrt(sum(wave*node)/sum(node/wave)) AS lpivot FROM nodes GROUP BY band")
+@query("a44_filter_moments", "band ~norm ~cl ~lpivot", f"WITH {HATS}, {NODES.format('throughput')} SELECT band, sum(node) AS norm, sum(wave*node)/sum(node) AS cl, sqrt(sum(wave*node)/sum(node/wave)) AS lpivot FROM nodes GROUP BY band")
 def _moments(v):
-    return G.filter_moments(filters(v))
+    return G.filter_moments(hats(v))
 
 
 @query("a19_bandpass", "vec_id band ~flux", f"WITH {SPECTRA}, {FILTERS}, {NODES.format('throughput*wave')} SELECT vec_id, band, sum(flux*node)/sum(node) AS flux FROM spec JOIN nodes USING (wave) GROUP BY vec_id, band")

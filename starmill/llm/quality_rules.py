@@ -10,6 +10,8 @@ from starmill.llm.common import WORD, constant_array, read
 SYMBOLS = "#*$%&|<>"
 #: Buckets of the multinomials, added to each count, and the least mean log ratio of a kept document.
 BUCKETS, SMOOTHING, THRESHOLD = 1 << 13, 1.0, -0.25
+#: Documents that the trusted target is fitted on, at most.
+TRUSTED = 20_000
 #: A token is a run of letters, digits and _ or a run of other characters that are not blank.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -58,23 +60,21 @@ def with_ngrams(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return df.withColumn("grams", F.concat(single, pairs)).drop("tokens_of")
 
 
-def bucket_counts(texts: DataFrame, buckets: int) -> DataFrame:
-    """bucket, n: over all n-grams of the column text."""
-    # explode() would add a filter on its array, and that is the tokenising anew, below it
-    grams = with_ngrams(texts.select("text"), buckets).select(F.explode_outer("grams").alias("bucket"))
-    return grams.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-
-
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, most: int = TRUSTED) -> DataFrame:
     """One row with the array `ratios`: log of a bucket's probability in the trusted target over that in the raw corpus.
 
-    The raw multinomial counts every n-gram of every document. The target's documents are those labelled quality 1 and not
-    toxic. Without any of them all ratios are 0. The array has `buckets` doubles, whatever the corpus.
+    The raw multinomial counts every n-gram of every document. The target is fitted on documents labelled quality 1 and not
+    toxic, the `most` of them with the least hashes of their ids: so many ids, and no more, go to every executor, and one pass over the
+    texts counts both. Without any of them all ratios are 0. The array has `buckets` doubles, whatever the corpus.
     """
-    trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(F.col("doc_id").alias("trusted_id")).distinct()
-    raw = bucket_counts(docs.select("text"), buckets)
-    target = bucket_counts(docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("trusted_id"), "left_semi"), buckets)
-    both = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(raw.withColumnRenamed("n", "n_raw"), "bucket", "left").join(target.withColumnRenamed("n", "n_target"), "bucket", "left").fillna(0)
+    trusted = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("trusted_id")).distinct()
+    trusted = trusted.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most)
+    told = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
+    told = told.select("text", F.col("trusted_id").isNotNull().cast("int").alias("is_target"))
+    # explode() would add a filter on its array, and that is the tokenising anew, below it
+    grams = with_ngrams(told, buckets).select("is_target", F.explode_outer("grams").alias("bucket")).where(F.col("bucket").isNotNull())
+    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("is_target").alias("n_target"))
+    both = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     added = float(buckets * smoothing)
     told = both.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n_raw", "n_target"))), lambda b: F.struct(b["n_raw"].alias("r"), b["n_target"].alias("t"))).alias("b"), F.sum("n_raw").alias("raw"), F.sum("n_target").alias("target"))
     ratio = lambda b: F.when(F.col("target") > 0, F.log((b["t"] + smoothing) / (F.col("target") + added)) - F.log((b["r"] + smoothing) / (F.col("raw") + added))).otherwise(F.lit(0.0))

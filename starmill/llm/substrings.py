@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starmill.llm.common import read
+from starmill.llm.common import kept, read
 from starmill.llm.shingles import U, by_runs, byte_sums, mix, parts, slice_hashes
 from starmill.llm.suffixes import suffix_arrays
 
@@ -51,16 +51,20 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     return value, text[first], start[first], start[last], spot
 
 
-def with_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """h, doc: the anchors of each text."""
+def with_anchors(texts: DataFrame, length: int) -> DataFrame:
+    """h, tag: the anchors of texts (tag, text). A tag that a task has met before is passed over: it is the same text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
+            tags = batch.column(0).to_pylist()
+            new = [t not in met and not met.add(t) for t in tags]
+            batch = batch.filter(pa.array(new))
             for at, data, offsets in parts(batch.column(1)):
                 h, text, *_ = anchors(data, offsets, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).slice(at, len(offsets) - 1).take(pa.array(text))], ["h", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).slice(at, len(offsets) - 1).take(pa.array(text))], ["h", "tag"])
 
-    return docs.mapInArrow(work, "h long, doc long")
+    return texts.mapInArrow(work, "h long, tag long")
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
@@ -68,6 +72,7 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             for at, data, offsets in parts(batch.column(1)):
                 n = len(offsets) - 1
                 shared = batch.column(2).slice(at, n)
@@ -215,19 +220,23 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, frequent: int = FREQ
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
     tags = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")).where("doc is not null")
     firsts = tags.groupBy("tag").agg(F.min("doc").alias("first"))
-    spread = rows.repartition("doc_id")
+    # the anchors need no text beside them: only hashes are dealt out to find those of several texts
+    texts = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.xxhash64("text").alias("tag"), "text")
+    by_anchor = W.partitionBy("h")
+    shared = with_anchors(texts, length).select("h", "tag", F.min("tag").over(by_anchor).alias("low"), F.max("tag").over(by_anchor).alias("high"), F.count(F.lit(1)).over(by_anchor).alias("times")).where("low <> high")
+    of_tag = shared.groupBy("tag").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("times") > frequent, F.col("h"))).alias("frequent"))
+    of_doc = kept(of_tag.join(firsts, "tag").select(F.col("first").alias("doc"), "tag", "shared", "frequent"), "shared")
     copied = tags.join(firsts, "tag").groupBy("doc").agg(F.min("tag").alias("tag"), F.min("first").alias("first"))
-    marked = spread.join(copied, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "tag", "first")
+    # one exchange of the texts serves the comparison and the cutting
+    marked = rows.repartition("doc_id").join(copied, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "tag", "first")
     marked = marked.withColumn("is_text", F.coalesce(F.xxhash64("text") == F.col("tag"), F.lit(False)))
-    single = marked.where(F.col("is_text") & (F.col("doc_id") == F.col("first")) & (F.octet_length("text") >= length)).select(F.col("doc_id").alias("doc"), "text")
-    found = with_anchors(single, length)
-    by_anchor = W.partitionBy("h")
-    shared = found.select("h", "doc", F.min("doc").over(by_anchor).alias("low"), F.max("doc").over(by_anchor).alias("high"), F.count(F.lit(1)).over(by_anchor).alias("times")).where("low <> high")
-    of_doc = shared.groupBy("doc").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("times") > frequent, F.col("h"))).alias("frequent"))
-    at = single.join(of_doc, "doc")
-    pieces = contexts(at.select("doc", "text", F.array_except("shared", "frequent").alias("shared")), length)
+    # outer joins on either side of the cut: a filter below the exchange would make two of it
+    known = of_doc.withColumnsRenamed({"doc": "shared_doc", "tag": "shared_tag"})
+    at = marked.join(known, (F.col("doc_id") == F.col("shared_doc")) & (F.col("tag") == F.col("shared_tag")), "left")
+    some = lambda c: at.select(F.col("doc_id").alias("doc"), "text", F.when(F.col("is_text"), c).alias("shared"))
+    pieces = contexts(some(F.array_except("shared", "frequent")), length)
     rare = removed_runs(pieces.repartition("h").sortWithinPartitions("h"), length)
-    often = frequent_runs(contexts(at.where(F.size("frequent") > 0).select("doc", "text", F.col("frequent").alias("shared")), length), length)
+    often = frequent_runs(contexts(some(F.when(F.size("frequent") > 0, F.col("frequent"))), length), length)
     runs = rare.union(often).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
     joined = marked.join(runs.withColumnRenamed("doc", "run_doc"), F.col("doc_id") == F.col("run_doc"), "left")
     joined = joined.select("doc_id", "text", (F.col("is_text") & (F.col("first") < F.col("doc_id"))).alias("copy"), F.when(F.col("is_text"), F.col("runs")).alias("runs"))

@@ -15,9 +15,11 @@ from starmill.llm.shingles import U, by_runs, byte_sums, mix, parts, slice_hashe
 from starmill.llm.suffixes import suffix_arrays
 
 #: Bytes of a match and of an anchor.
-LENGTH, ANCHOR = 50, 20
+LENGTH, ANCHOR = 50, 16
 #: Rows that a task takes to its suffix arrays at once. An anchor with more occurrences is dealt by whole windows.
 ROWS, FREQUENT = 1 << 16, 20_000
+#: Bits of an anchor that its own text can do without.
+BRIEF = 17
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -77,7 +79,7 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                 n = len(offsets) - 1
                 shared = batch.column(2).slice(at, n)
                 h, text, first, last, spot = anchors(data, offsets, length)
-                key = mix(h.view(U) + mix(text.astype(U)))
+                key = mix((h >> BRIEF).view(U) + mix(text.astype(U)))
                 lists = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 of = np.repeat(np.arange(n), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
                 take = np.flatnonzero(np.isin(key, mix(lists.view(U) + mix(of.astype(U)))))
@@ -224,7 +226,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, frequent: int = FREQ
     texts = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.xxhash64("text").alias("tag"), "text")
     by_anchor = W.partitionBy("h")
     shared = with_anchors(texts, length).select("h", "tag", F.min("tag").over(by_anchor).alias("low"), F.max("tag").over(by_anchor).alias("high"), F.count(F.lit(1)).over(by_anchor).alias("times")).where("low <> high")
-    of_tag = shared.groupBy("tag").agg(F.collect_set("h").alias("shared"), F.collect_set(F.when(F.col("times") > frequent, F.col("h"))).alias("frequent"))
+    # within a text 31 bits tell its anchors apart; one too many costs a comparison
+    brief = F.shiftright("h", BRIEF).cast("int")
+    of_tag = shared.groupBy("tag").agg(F.collect_set(brief).alias("shared"), F.collect_set(F.when(F.col("times") > frequent, brief)).alias("frequent"))
     of_doc = kept(of_tag.join(firsts, "tag").select(F.col("first").alias("doc"), "tag", "shared", "frequent"), "shared")
     copied = tags.join(firsts, "tag").groupBy("doc").agg(F.min("tag").alias("tag"), F.min("first").alias("first"))
     # one exchange of the texts serves the comparison and the cutting

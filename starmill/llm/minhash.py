@@ -134,28 +134,28 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def across(buckets: DataFrame, best: int) -> DataFrame:
     """Pairs (a, b) of one bucket and of different classes: for each text the `best` others by agreeing signature bytes.
 
-    buckets: band, place (of the band in the signature), tag, root, signature. A bucket is cut into blocks of about BLOCK texts,
+    buckets: band, place (of the band in the signature), tag, root, signature, bands. A bucket is cut into blocks of about BLOCK texts,
     and every two blocks of it meet in a group of their own, so no group grows with the bucket. Two texts that share several
-    bands are compared in the first of them only.
+    bands are compared in the first of them only; bands are shared if their hashes are, since bytes of a signature also agree by chance.
     """
     sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
     dealt = buckets.join(sizes, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
-    meets = dealt.select("band", "place", "tag", "root", "signature", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meets = meets.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "place", "tag", "root", "signature").repartition("at").sortWithinPartitions("at")
+    meets = dealt.select("band", "place", "tag", "root", "signature", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    meets = meets.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "place", "tag", "root", "signature", "bands").repartition("at").sortWithinPartitions("at")
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
         at, place, tag, root = (rows.column(c).to_numpy() for c in ("at", "place", "tag", "root"))
         sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(at), -1)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(at), -1)
         ends = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
         out = set()
         for x, y in zip(ends[:-1], ends[1:], strict=True):
             if (root[x:y] == root[x]).all():
                 continue
             for i in range(x, y - (y - x == 2)):
-                same = sig[x:y] == sig[i]
-                agree = same.sum(1)
+                agree = (sig[x:y] == sig[i]).sum(1)
                 agree[root[x:y] == root[i]] = 0
-                agree[same.reshape(y - x, -1, ROWS).all(2).argmax(1) != place[x]] = 0
+                agree[(bands[x:y] == bands[i]).argmax(1) != place[x]] = 0
                 for j in np.argsort(-agree, kind="stable")[:best] + x:
                     if agree[j - x] >= AGREE:
                         out.add((min(tag[i], tag[j]), max(tag[i], tag[j])))
@@ -208,7 +208,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         roots = components(links)
         at = met.select("band", "place", "tag").join(roots.withColumnRenamed("node", "tag"), "tag", "left").withColumn("root", F.coalesce("root", "tag"))
         open_bands = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        members = at.join(open_bands, "band", "left_semi").join(single.select("tag", "signature"), "tag").select("band", "place", "tag", "root", "signature")
+        members = at.join(open_bands, "band", "left_semi").join(single.select("tag", "signature", "bands"), "tag").select("band", "place", "tag", "root", "signature", "bands")
         pairs = across(members, CLOSEST).join(tried, ["a", "b"], "left_anti")
         pairs = kept(pairs, f"pairs-{step}")
         more = kept(similar(pairs, sets, least), f"links-{step}")

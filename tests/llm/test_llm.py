@@ -170,6 +170,15 @@ def test_near_classes_of_a_hub(spark):
     assert got == near_brute(rows)
 
 
+def test_first_common_band_is_by_hash(spark):
+    """Bytes that agree by chance in an earlier band don't hide the band in which two texts meet."""
+    one, bands = bytes(range(128)), list(range(100, 132))
+    other = bytes(b if k < 100 else b ^ 1 for k, b in enumerate(one))
+    rows = [(105, 5, 1, 1, one, bands), (105, 5, 2, 2, other, [-k for k in range(1, 6)] + bands[5:])]
+    df = spark.createDataFrame(rows, "band long, place int, tag long, root long, signature binary, bands array<long>")
+    assert [tuple(r) for r in minhash.across(df, 3).collect()] == [(1, 2)]
+
+
 def test_signature_agreement():
     r = np.random.default_rng(2)
     a = r.integers(1, 1 << 62, 400).astype(np.uint64)

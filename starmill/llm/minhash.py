@@ -18,7 +18,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 128, 4
 #: Bytes of two signatures that have to agree for a second look: 0.8 gives fewer once in 1e6 pairs. Texts in a block.
 AGREE, BLOCK = 80, 512
-#: Texts of other classes that a text is compared with in each bucket and round.
+#: Texts of other classes that a text is compared with in each bucket and round, before all that are left are.
 CLOSEST = 3
 
 
@@ -131,42 +131,107 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(work, "a long, b long")
 
 
-def across(buckets: DataFrame, best: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and of different classes: for each text the `best` others by agreeing signature bytes.
+def runs(buckets: DataFrame) -> DataFrame:
+    """at, place, tag, root, signature, bands: the rows of `buckets` (band, place of the band in the signature, tag, root, signature, bands) in the groups in which they meet.
 
-    buckets: band, place (of the band in the signature), tag, root, signature, bands. A bucket is cut into blocks of about BLOCK texts,
-    and every two blocks of it meet in a group of their own, so no group grows with the bucket. Two texts that share several
-    bands are compared in the first of them only; bands are shared if their hashes are, since bytes of a signature also agree by chance.
+    A bucket is cut into blocks of about BLOCK texts, and every two blocks of it meet in a group of their own, so no group grows with the bucket.
     """
     sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
     dealt = buckets.join(sizes, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
     meets = dealt.select("band", "place", "tag", "root", "signature", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meets = meets.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "place", "tag", "root", "signature", "bands").repartition("at").sortWithinPartitions("at")
-
-    def solve(rows: pa.Table) -> pa.RecordBatch:
-        at, place, tag, root = (rows.column(c).to_numpy() for c in ("at", "place", "tag", "root"))
-        sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(at), -1)
-        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(at), -1)
-        ends = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
-        out = set()
-        for x, y in zip(ends[:-1], ends[1:], strict=True):
-            if (root[x:y] == root[x]).all():
-                continue
-            for i in range(x, y - (y - x == 2)):
-                agree = (sig[x:y] == sig[i]).sum(1)
-                agree[root[x:y] == root[i]] = 0
-                agree[(bands[x:y] == bands[i]).argmax(1) != place[x]] = 0
+    return meets.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "place", "tag", "root", "signature", "bands")
+
+
+def candidates(rows: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each row i of a table of whole groups of runs(): i, the first row of its group, and how many signature bytes agree with each row of the group.
+
+    0 stands at rows of the same class and where this is not the first band that the two texts share. Bands are shared if
+    their hashes are, since bytes of a signature also agree by chance.
+    """
+    at, place, root = (rows.column(c).to_numpy() for c in ("at", "place", "root"))
+    sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(at), -1)
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(at), -1)
+    ends = np.r_[np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at)]
+    for x, y in zip(ends[:-1], ends[1:], strict=True):
+        if (root[x:y] == root[x]).all():
+            continue
+        for i in range(x, y):
+            agree = (sig[x:y] == sig[i]).sum(1)
+            agree[root[x:y] == root[i]] = 0
+            agree[(bands[x:y] == bands[i]).argmax(1) != place[x]] = 0
+            yield i, x, agree
+
+
+def across(buckets: DataFrame, best: int) -> DataFrame:
+    """Pairs (a, b) of one bucket and of different classes: for each text the `best` others by agreeing signature bytes.
+
+    Two texts that share several bands are compared in the first of them only.
+    """
+    meets = runs(buckets).repartition("at").sortWithinPartitions("at")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_runs(batches):
+            tag, out = table.column("tag").to_numpy(), set()
+            for i, x, agree in candidates(table):
                 for j in np.argsort(-agree, kind="stable")[:best] + x:
                     if agree[j - x] >= AGREE:
                         out.add((min(tag[i], tag[j]), max(tag[i], tag[j])))
-        pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return meets.mapInArrow(work, "a long, b long").distinct()
+
+
+def remaining(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) among all pairs of one bucket, of different classes and with AGREE bytes: none of them is left out.
+
+    Two steps, so that no row is made per pair: the texts that have such a pair in a group, then the same groups of these texts with their
+    whole shingle sets. Within a group, pairs that its links connect already are not compared again.
+    """
+    schema = "at long, place int, tag long, root long, signature binary, bands array<long>"
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_runs(batches):
-            yield solve(table)
+            keep = np.zeros(len(table), bool)
+            for i, _, agree in candidates(table):
+                keep[i] = (agree >= AGREE).any()
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return meets.mapInArrow(work, "a long, b long").distinct()
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_runs(batches):
+            tag, roots = table.column("tag").to_numpy(), table.column("root").to_pylist()
+            hashes, counts = (table.column(c).combine_chunks() for c in ("shingles", "counts"))
+            ends = hashes.offsets.to_numpy()
+            ends = ends - ends[0]
+            hashes, counts = (c.flatten().to_numpy(zero_copy_only=False) for c in (hashes, counts))
+            total = np.add.reduceat(counts, ends[:-1]) if len(counts) else np.zeros(len(tag), int)
+            parent: dict[int, int] = {}
+            links, group = [], -1
+
+            def find(x: int) -> int:
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for i, x, agree in candidates(table):
+                if x != group:
+                    parent, group = {}, x
+                for j in np.flatnonzero(agree >= AGREE) + x:
+                    low, high = sorted((int(total[i]), int(total[j])))
+                    if j <= i or low < least * high or find(roots[i]) == find(roots[j]):
+                        continue
+                    p, q = slice(ends[i], ends[i + 1]), slice(ends[j], ends[j + 1])
+                    _, ia, ib = np.intersect1d(hashes[p], hashes[q], assume_unique=True, return_indices=True)
+                    both = int(np.minimum(counts[p][ia], counts[q][ib]).sum())
+                    if both >= least * (low + high - both):
+                        parent[find(roots[i])] = find(roots[j])
+                        links.append((tag[i], tag[j]))
+            pairs = np.array(links, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1, initial=np.iinfo(np.int64).max)), pa.array(pairs.max(1, initial=np.iinfo(np.int64).min))], ["a", "b"])
+
+    meets = kept(runs(buckets).repartition("at").sortWithinPartitions("at").mapInArrow(some, schema), "open")
+    full = meets.join(sets, "tag").select("at", "place", "tag", "root", "signature", "bands", "shingles", "counts")
+    return full.repartition("at").sortWithinPartitions("at").mapInArrow(check, "a long, b long").distinct()
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -176,6 +241,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     counts, is `least` or more. Texts of the same words are one from the start. Texts that share a band meet through the bucket's most central text; a
     pair is a link only if its whole shingle sets say so. Buckets that still hold several classes then compare all their
     texts by signature; of each text the CLOSEST of other classes in each bucket are checked in the same way, round by round, until no round finds a link.
+    Then all the pairs of different classes that share a bucket and have AGREE bytes in common are checked, so the rounds spare work and decide nothing.
 
     A text of fewer than five words has one shingle, all its words. Texts without words (null, empty, blank) are classes of
     their own. Rows of one doc_id are told apart by their text and get the least class_id of them; a null doc_id has a null class_id.
@@ -215,6 +281,9 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if more.isEmpty():
             break
         links, tried = links.unionByName(more), tried.unionByName(pairs)
+    rest = kept(remaining(members, sets, least), "rest")
+    if not rest.isEmpty():
+        roots = components(links.unionByName(rest))
     roots = roots.withColumnRenamed("node", "tag")
     of_text = single.select("tag", "doc_id").join(roots, "tag", "left").withColumn("root", F.coalesce("root", "tag"))
     named = of_text.groupBy("root").agg(F.min("doc_id").alias("class_id"))

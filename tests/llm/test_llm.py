@@ -170,6 +170,21 @@ def test_near_classes_of_a_hub(spark):
     assert got == near_brute(rows)
 
 
+@pytest.mark.parametrize("closest", [0, 3])
+def test_near_classes_of_families(spark, monkeypatch, closest):
+    """Families of edited copies about as similar as a link has to be: rejected partners hide no others, whatever the rounds look at."""
+    monkeypatch.setattr(minhash, "CLOSEST", closest)
+    r, rows = random.Random(7), []
+    for f in range(3):
+        for i in range(60):
+            words = [f"f{f}w{k}" for k in range(300)]
+            for k in r.sample(range(300), r.choice((4, 4, 5))):
+                words[k] = f"x{f}_{i}_{k}"
+            rows.append((len(rows), " ".join(words)))
+    got = {x.doc_id: x.class_id for x in minhash.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == near_brute(rows)
+
+
 def test_first_common_band_is_by_hash(spark):
     """Bytes that agree by chance in an earlier band don't hide the band in which two texts meet."""
     one, bands = bytes(range(128)), list(range(100, 132))

@@ -17,21 +17,26 @@ SHRINKAGE, RIDGE = 0.1, 1e-3
 MOST_ODDS = 30.0
 
 
+def nameless(docs: DataFrame) -> Column:
+    """A hash of the text of rows with a null doc_id, by which they are told apart; null for others."""
+    return F.when(docs["doc_id"].isNull(), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the transformed statistics of each whole text (null: empty), one row per row of docs."""
-    one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    one = one.select("doc_id", "text", F.lower("text").alias("low"), F.split("text", "\n", -1).alias("rows"))
-    one = one.select("doc_id", "text", "rows", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("words"))
+    """doc_id, tag (see nameless) and the transformed statistics of each whole text (null: empty), one row per row of docs."""
+    one = docs.select("doc_id", nameless(docs).alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    one = one.select("doc_id", "tag", "text", F.lower("text").alias("low"), F.split("text", "\n", -1).alias("rows"))
+    one = one.select("doc_id", "tag", "text", "rows", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("words"))
     chars = F.length("text").cast("double")
     without = lambda pattern: chars - F.length(F.regexp_replace("text", pattern, ""))
     share = lambda n: F.log((n + 0.5) / (F.col("chars") + 1.0))
     one = one.select(
-        "doc_id", F.size("words").cast("double").alias("n"), chars.alias("chars"), (chars - F.length(F.translate("text", "#*$%&|<>", ""))).alias("symbols"), without(r"\p{Lu}+").alias("capitals"),
+        "doc_id", "tag", F.size("words").cast("double").alias("n"), chars.alias("chars"), (chars - F.length(F.translate("text", "#*$%&|<>", ""))).alias("symbols"), without(r"\p{Lu}+").alias("capitals"),
         without(r"[.,;:!?]+").alias("marks"), without(r"\p{N}+").alias("digits"), without(r"[\x20\x09-\x0D]+").alias("blanks"), F.size(F.array_distinct("words")).cast("double").alias("distinct"),
         F.size("rows").cast("double").alias("rows"), F.size(F.array_distinct("rows")).cast("double").alias("own_rows"),
     )
     return one.select(
-        "doc_id", F.log1p("n").alias("log_words"), F.log1p(F.when(F.col("n") > 0, (F.col("chars") - F.col("blanks")) / F.col("n")).otherwise(0.0)).alias("word_length"),
+        "doc_id", "tag", F.log1p("n").alias("log_words"), F.log1p(F.when(F.col("n") > 0, (F.col("chars") - F.col("blanks")) / F.col("n")).otherwise(0.0)).alias("word_length"),
         *[share(F.col(c)).alias(c) for c in ("symbols", "capitals", "marks", "digits")], F.log((F.col("distinct") + 1.0) / (F.col("n") + 1.0)).alias("distinct"), F.log(F.col("rows") / (F.col("n") + 1.0)).alias("lines"),
         F.log((F.col("own_rows") + 1.0) / (F.col("rows") + 1.0)).alias("repeats"),
     )
@@ -84,13 +89,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of every row of docs.
-
-    All labelled rows that are not held out teach; of several labels of a doc_id the highest counts; null labels
-    and ids teach nothing. Null and empty texts get a score as others do. Repeated rows get a row each. Empty
-    tables give no rows, and no labels a score of 0.5. Other columns are not read.
-    """
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of classify() and their tag (see nameless)."""
     stats = kept(statistics(docs), "statistics")
     taught = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("taught_id")).agg(F.max("quality").alias("label"))
     model = fit(stats.where(~held_out(F.col("doc_id"))).join(taught, F.col("doc_id") == F.col("taught_id")))
@@ -99,14 +99,24 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         odds = model.log_odds([F.col(c) for c in FEATURES])
         score = 1 / (1 + F.exp(-F.greatest(F.least(odds, F.lit(MOST_ODDS)), F.lit(-MOST_ODDS))))
-    scored = stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    scored = stats.select("doc_id", "tag", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of every row of docs.
+
+    All labelled rows that are not held out teach; of several labels of a doc_id the highest counts; null labels
+    and ids teach nothing. Null and empty texts get a score as others do. Repeated rows get a row each. Empty
+    tables give no rows, and no labels a score of 0.5. Other columns are not read.
+    """
+    return judged(docs, labels).drop("tag")
+
+
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier takes for good; an id whose rows differ stays if one of them is good, a null id goes."""
-    good = classify(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
+    """The rows of docs that the classifier takes for good; an id whose rows differ stays if one of them is good, rows with a null id are judged by their own text."""
+    good = judged(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("good_id"), F.col("tag").alias("good_tag")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(F.col("good_id")) & nameless(docs).eqNullSafe(F.col("good_tag")), "left_semi")
 
 
 def op8_quadratic_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,8 +95,9 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     taken = mix(docs, **how).groupBy(F.col("doc_id").alias("mixed_id")).agg(F.sum("taken").alias("words_taken"), F.sum("size").alias("words_held"))
     times = F.when(F.col("words_held") > 0, F.floor(F.col("words_taken") / F.col("words_held") + 0.5)).otherwise(F.lit(0)).cast("int")
     taken = taken.select("mixed_id", times.alias("times_mixed")).where("times_mixed > 0")
-    joined = docs.join(taken, F.col("doc_id") == F.col("mixed_id"))
-    return joined.withColumn("copy_mixed", F.explode(F.array_repeat(F.lit(1), F.col("times_mixed")))).select(*[docs[c] for c in docs.columns])
+    joined = docs.join(taken, F.col("doc_id") == F.col("mixed_id"), "left")
+    times = F.when(docs["doc_id"].isNull(), F.lit(1)).otherwise(F.coalesce("times_mixed", F.lit(0)))
+    return joined.withColumn("copy_mixed", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
 
 
 def op6_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -362,6 +362,18 @@ def test_licences(spark, docs, rows):
     assert right >= 0.85 * len(notices) and licences.scan(df.limit(0), model).isEmpty()
 
 
+def test_null_ids_in_stages(spark, docs, labels):
+    """Rows with a null id pass the mix once and the classifier by their own text; the other stages keep them as they are."""
+    text = "a null id has this text of nine words here"
+    some = docs.unionByName(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit("one").alias("text"), *docs.columns[2:]))
+    nulls = lambda df: sorted(r.text for r in df.where("doc_id is null").collect())
+    assert nulls(mixing.mixed_rows(some)) == nulls(some) == [text, "one"]
+    predicted = [r.predicted for r in classifier.classify(some, labels).where("doc_id is null").collect()]
+    assert len(nulls(classifier.accepted(some, labels))) == sum(predicted) and nulls(classifier.accepted(some, labels)) == [text]
+    assert nulls(line_dedup.without_repeats(some)) == nulls(minhash.first_of_class(some)) == nulls(some)
+    assert packing.pack(some).where("doc_id is null").count() == 2
+
+
 def test_pipeline(spark, tmp_path, docs, labels, rows):
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
     docs.write.parquet(f"{tmp_path}/documents.parquet")

@@ -6,22 +6,70 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starmill.llm.common import kept, read, word_count
+from starmill.llm.shingles import U, mix
 
 #: A common block goes if its lines have so many characters together.
 LEAST_CHARS = 60
-
-
-def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+_STEP = 0x9E3779B97F4A7C15
+
+
+class Runs:
+    """Hashes of the runs of neighbouring lines of a text, from hashes and lengths of its lines."""
+
+    def __init__(self, lines: list[int] | np.ndarray, chars: list[int] | np.ndarray) -> None:
+        n = len(lines)
+        up, self.down = (np.cumprod(np.r_[U(1), np.full(n, x, U)]) for x in (U(_STEP), U(pow(_STEP, -1, 1 << 64))))
+        self.sums = np.r_[U(0), np.cumsum(mix(np.asarray(lines, np.int64).view(U)) * up[:n])]
+        self.chars = np.r_[0, np.cumsum(np.asarray(chars, np.int64))]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U))
+
+    def reach(self, i: int, m: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the shortest run of `least` characters or more from each line between i and m that has one."""
+        start = np.arange(i, m)
+        end = np.searchsorted(self.chars, self.chars[i:m] + least)
+        return start[end <= m], np.maximum(end, start + 1)[end <= m]
+
+    def reach_back(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of the shortest run of `least` characters or more up to each line that has one."""
+        end = np.arange(1, len(self.chars))
+        start = np.searchsorted(self.chars, self.chars[1:] - least, "right") - 1
+        return np.minimum(start, end - 1)[start >= 0], end[start >= 0]
+
+
+def longest(a: Runs, b: Runs, i: int, m: int, j: int, n: int, least: int) -> tuple[int, int, int] | None:
+    """Place in a, place in b and lines of the common run of most characters, `least` or more, between i and m, j and n."""
+    found, low, high = None, least, int(min(a.chars[m] - a.chars[i], b.chars[n] - b.chars[j]))
+    want = low
+    while low <= high:
+        (x, xe), (y, ye) = a.reach(i, m, want), b.reach(j, n, want)
+        _, p, q = np.intersect1d(a.hashes(x, xe), b.hashes(y, ye), return_indices=True)
+        if len(p):
+            k = int(np.argmin(q))
+            found, low = (int(x[p[k]]), int(y[q[k]]), int(xe[p[k]] - x[p[k]])), want + 1
+        else:
+            high = want - 1
+        want = (low + high + 1) // 2
+    return found
+
+
+def aligned(a: list[int], b: list[int], chars: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
     """Patience diff: pairs of places of equal lines, rising in both.
 
     Common starts and ends are taken first. Between them the lines found once in either side and in the longest
-    rising chain are anchors, and the parts between anchors are aligned in the same way; a part without any is left.
+    rising chain are anchors, and the parts between anchors are aligned in the same way. In a part without any the common run of most
+    characters (chars: of the lines of b; 1 each by default) is taken and the parts beside it are aligned, until none of `least` is left.
     """
+    chars = [1] * len(b) if chars is None else chars
+    of_line = dict(zip(b, chars, strict=True))
+    runs: list[Runs] = []
     found, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, m, j, n = todo.pop()
@@ -37,6 +85,14 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
         place = {x: k for k, x in enumerate(a[i:m], i) if in_a[x] == 1 and in_b.get(x) == 1}
         both = [(place[x], k) for k, x in enumerate(b[j:n], j) if x in place]
         if not both:
+            if not in_a.keys() & in_b.keys():
+                continue
+            runs = runs or [Runs(a, [of_line.get(x, 1) for x in a]), Runs(b, chars)]
+            run = longest(*runs, i, m, j, n, least)
+            if run and a[run[0] : run[0] + run[2]] == b[run[1] : run[1] + run[2]]:
+                x, y, k = run
+                found += [(x + t, y + t) for t in range(k)]
+                todo += [(i, x, j, y), (x + k, m, y + k, n)]
             continue
         ends: list[int] = []
         last: list[int] = []
@@ -66,7 +122,7 @@ def common_lines(a: list[int], b: list[int], chars: list[int], least: int) -> li
     out: list[int] = []
     run: list[int] = []
     before = (-2, -2)
-    for x, y in [*aligned(a, b), (-9, -9)]:
+    for x, y in [*aligned(a, b, chars, least), (-9, -9)]:
         if (x - 1, y - 1) != before:
             if sum(chars[k] for k in run) >= least:
                 out += run
@@ -83,17 +139,40 @@ def line_arrays(docs: DataFrame) -> DataFrame:
     return one.select("doc_id", "tag", F.transform("rows", lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("hashes"), F.transform("rows", lambda x: F.length(x)).alias("chars"))
 
 
+def with_runs(arrays: DataFrame, least: int) -> DataFrame:
+    """doc_id, tag, line: hashes of each text's lines (0: empty), and of its shortest runs of two lines or more that reach `least` characters from a line on or up to one.
+
+    A common block of `least` characters lies in both texts and is covered by such runs inside it; runs of a single line are lines.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for hashes, chars in zip(batch.column(2), batch.column(3), strict=True):
+                h, c = (x.values.to_numpy(zero_copy_only=False) for x in (hashes, chars))
+                runs = Runs(h, c)
+                spans = [np.r_[x, y] for x, y in zip(runs.reach(0, len(h), least), runs.reach_back(least), strict=True)]
+                start, end = (x[spans[1] - spans[0] > 1] for x in spans)
+                lists.append(np.unique(np.r_[h, runs.hashes(start, end).view(np.int64)]))
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32))
+            values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, values)], ["doc_id", "tag", "lines"])
+
+    told = arrays.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "hashes", "chars").mapInArrow(work, "doc_id long, tag long, lines array<long>")
+    return told.select("doc_id", "tag", F.explode("lines").alias("line"))
+
+
 def overlaps(arrays: DataFrame, least: int) -> DataFrame:
-    """Pairs (later_id, later_tag, first_id, first_tag): for each line of a text, the first document that holds it.
+    """Pairs (later_id, later_tag, first_id, first_tag): for each line of a text and each of its runs (see with_runs), the first document that holds it.
 
-    The lines that a document shares lead to the holders; each occurrence gives one pair at most, so the pairs never
-    exceed the lines, however many documents share one. Lines held once drop out before the join. A line of a block
-    counts only as long as blocks of `least` characters may hold it.
+    What a document shares leads to the holders; each occurrence gives one pair at most, so the pairs never
+    exceed the lines and runs (two for each line at most), however many documents share one. What is held once drops out before the join. The
+    runs bring a block to a document that holds it where its lines stand earlier elsewhere, one by one.
     """
-    lines = arrays.select("doc_id", "tag", F.explode_outer(F.array_distinct("hashes")).alias("line")).where("line <> 0")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1")
-    pairs = lines.join(first, "line").where(F.struct("doc_id", "tag") != F.col("first"))
-    return pairs.groupBy("doc_id", "tag", "first").agg(F.min("holders").alias("rarest")).select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag"), "rarest")
+    lines = with_runs(arrays, least).where("line <> 0")
+    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("line", "first")
+    pairs = lines.join(first, "line").where(F.struct("doc_id", "tag") != F.col("first")).select("doc_id", "tag", "first").distinct()
+    return pairs.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag"))
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
@@ -130,7 +209,7 @@ def drop_lines(text: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs without the lines that an earlier document holds, and `n_removed_lines` beside.
 
-    Documents that share a line meet through the first document with it; a patience diff aligns them, and the blocks
+    Documents that share a line, or a run of lines of `least` characters, meet through the first document with it; a patience diff aligns them, and the blocks
     in common of `least` characters or more are deleted from the later document (the greater doc_id). All is judged on the texts
     as they come. A copy of a whole text loses every line; its text is then empty.
 

@@ -229,6 +229,38 @@ def test_lines(docs, empty, rows):
     assert line_dedup.dedup_lines(empty).isEmpty()
 
 
+def test_lines_of_all_earlier_documents(spark):
+    """A block goes whose lines stand earlier elsewhere, one by one; of a passage that stands twice in the later document goes what can be aligned."""
+    menu = [f"menu item number {k} of this" for k in range(5)]
+    tail = ["p" * 40, "q" * 15, "r" * 5]
+    twice = [f"a line of the passage, {k}" for k in range(4)]
+    own = lambda k: [f"own line {k} {i}" for i in range(3)]
+    texts = [[x, *own(k)] for k, x in enumerate([*menu, *tail])]
+    texts += [[*own(20), *menu, *own(21)], [*own(22), *menu, *own(23)], [*own(24), *tail, *own(25)], [*own(26), *tail, *own(27)]]
+    texts += [[*own(30), *twice, *own(31)], [*own(32), *twice, *own(33), *twice, *own(34)], [*own(35), *twice, *own(36)]]
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup_lines(df).collect()}
+    for k in (9, 11, 14):
+        assert got[k] == [x for x in texts[k] if x.startswith("own")], k
+    assert got[13] == [*own(32), *own(33), *twice, *own(34)] or got[13] == [*own(32), *twice, *own(33), *own(34)]
+    assert all(got[k] == texts[k] for k in (*range(9), 10, 12))
+
+
+def test_longest_run():
+    """Parts without a line of its own on both sides: the blocks found are those of a search over all runs."""
+    r = random.Random(2)
+    for _ in range(200):
+        a, b = ([r.randint(1, 4) for _ in range(r.randint(0, 14))] for _ in "ab")
+        size = {1: 5, 2: 10, 3: 20, 4: 0}
+        chars = [size[x] for x in b]
+        fits = [sum(chars[y : y + k]) for x in range(len(a)) for y in range(len(b)) for k in range(1, 15) if len(a[x : x + k]) == k and a[x : x + k] == b[y : y + k]]
+        found = line_dedup.longest(line_dedup.Runs(a, [size[x] for x in a]), line_dedup.Runs(b, chars), 0, len(a), 0, len(b), 15)
+        assert (found is None) == (max(fits, default=0) < 15)
+        if found:
+            x, y, k = found
+            assert a[x : x + k] == b[y : y + k] and sum(chars[y : y + k]) == max(fits)
+
+
 def test_patience():
     assert line_dedup.aligned([1, 2, 3, 4, 5], [9, 2, 3, 8, 5]) == [(1, 1), (2, 2), (4, 4)]
     assert line_dedup.aligned([1, 2, 3], [3, 2, 1]) in ([(1, 1)], [(0, 2)], [(2, 0)])

@@ -377,6 +377,23 @@ def test_neighbours(spark):
     assert set(got) == set(range(0, 600, 50)) and hit >= 0.9 * 5 * len(asked)
 
 
+def test_neighbours_of_copies(spark):
+    """Of a large group of copies the smallest ids are the nearest, for its members and for the vectors nearest to it."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(1200, 16))
+    x[r.permutation(1200)[:900]] = x[7]
+    x[50] = x[7] + 0.01 * r.normal(size=16)
+    x[100], x[150] = x[7], x[7]
+    out = neighbours.nearest(spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3))
+    got = {}
+    for q in out.orderBy("query_id", "rank").collect():
+        got.setdefault(q.query_id, []).append(q.vec_id)
+    copies = [i for i in range(1200) if (x[i] == x[7]).all()]
+    for q in (50, *[c for c in copies if c % 50 == 0]):
+        assert got[q] == [c for c in copies if c != q][:5], q
+    assert set(got) == set(range(0, 1200, 50)) and all(len(v) == 5 for v in got.values())
+
+
 def test_few_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 0.0]), (3, [2.0, 0.0]), (9, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.rank, r.vec_id, r.score) for r in neighbours.nearest(df).orderBy("rank").collect()] == [(1, 3, 1.0), (2, 7, 1.0), (3, 9, 0.0)]

@@ -202,7 +202,7 @@ def _j20(v):
 @query("j21_positions_from_map", "model_id #realization #bin ~ra ~decl", None)
 def _j21(v):
     tiles = sky.bin_density_map(sky.source_density(v("fx_stars"), RA, DEC), 3)
-    return samples.positions_in_tiles(v("fx_models").where("model_id < 50"), tiles, 2)
+    return samples.positions_in_tiles(v("fx_models"), tiles, 2)
 
 
 @query("a43_mass_formed", "~log_a ~share ~min_mass ~max_mass", "WITH a AS (SELECT log_a, min(m_ini) AS min_mass, max(m_ini) AS max_mass FROM fx_models GROUP BY log_a), y AS (SELECT *, power(10e0,log_a+0.25e0)-power(10e0,log_a-0.25e0) AS y FROM a) SELECT log_a, y/sum(y) OVER () AS share, min_mass, max_mass FROM y")

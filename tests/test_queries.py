@@ -35,3 +35,8 @@ def test_samples_repeat(spark):
     for name in ("s1_sample_models", "s2_synthetic_catalog", "s3_thinned_sample", "s5_flux_bin_models", "j20_positions_near_catalog", "j21_positions_from_map"):
         one, two = (text(QUERIES[name](spark, SF).toPandas()) for _ in range(2))
         assert one == two and one
+
+
+def test_positions_of_all_models(spark):
+    ids = lambda name: {r.model_id for r in QUERIES[name](spark, SF).select("model_id").distinct().collect()}
+    assert ids("j21_positions_from_map") == ids("j15_distance_grid")

@@ -93,7 +93,7 @@ def hull_of(df: DataFrame, x: str, y: str) -> DataFrame:
             yield pd.DataFrame(held.reshape(-1, 2), columns=["x", "y"])
 
     some = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    return some.mapInPandas(work, "x double, y double").coalesce(1).mapInPandas(work, "x double, y double")
+    return some.mapInPandas(work, "x double, y double").repartition(1).mapInPandas(work, "x double, y double")
 
 
 def in_polygon(x: Column, y: Column, corners: Sequence[tuple[float, float]]) -> Column:

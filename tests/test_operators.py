@@ -197,3 +197,11 @@ def test_stream_resumes(spark, tmp_path):
     run()
     got = spark.read.parquet(f"{tmp_path}/out")
     assert first == stars.where("star_id % 2 = 0").count() and got.count() == stars.count() == got.select("star_id").distinct().count()
+
+
+def test_hull_of_partitions(spark):
+    """Only corners meet in one task: the hulls of the partitions come before the exchange."""
+    df = spark.range(0, 900, 1, 6).selectExpr("id % 30 AS x", "floor(id / 30) AS y")
+    hull = sky.hull_of(df, "x", "y")
+    assert "SinglePartition" in hull._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, hull.collect())) == [(0, 0), (0, 29), (29, 0), (29, 29)]

@@ -13,15 +13,23 @@ BUCKETS, SMOOTHING, THRESHOLD = 1 << 13, 1.0, -0.25
 #: Documents that the trusted target is fitted on, at most.
 TRUSTED = 20_000
 #: A token is a run of letters, digits and _ or a run of other characters that are not blank.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+TOKEN = r"[a-z0-9_\p{L}\p{N}]+|[^a-z0-9_\p{L}\p{N}\s]+"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 
 
-def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words that lie in a window of `window` words found twice or more in the array."""
-    starts = F.sequence(F.lit(1), F.size(words) - (window - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + (k - 1)) for k in range(window)]))
-    return F.when(F.size(words) <= window, F.array().cast("array<long>")).otherwise(hashes)
+def neighbours(hashes: str, apart: int) -> Column:
+    """The hash of each element with the one `apart` places on, of a column of hashes."""
+    some = F.greatest(F.size(hashes) - apart, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), some), F.slice(hashes, F.lit(apart + 1), some), lambda x, y: F.xxhash64(x, y))
+
+
+def with_windows(df: DataFrame, words: str, to: str, window: int = WINDOW) -> DataFrame:
+    """Adds the hashes of all runs of `window` words (a power of two): of twos by hashes of words, of fours by twos, and on."""
+    df = df.withColumn(to, F.transform(words, lambda w: F.xxhash64(w)))
+    apart = 1
+    while apart < window:
+        df, apart = df.withColumn(to, neighbours(to, apart)), apart * 2
+    return df
 
 
 def with_starts(df: DataFrame, hashes: str, to: str) -> DataFrame:
@@ -38,26 +46,25 @@ def base_rules(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     one = docs.select("doc_id", text.alias("text"))
     one = one.select("doc_id", "text", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("words"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("lines"))
-    blank = F.length(F.regexp_replace("text", WORD, ""))
     one = one.select(
-        "doc_id", "text", "words", F.size("words").cast("long").alias("n_words"), (F.length("text") - blank).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "doc_id", "text", "words", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     rest = [c for c in one.columns if c != "words"]
-    one = one.select(*rest, repeated_words(F.col("words")).alias("hashes"))
-    one = with_starts(one, "hashes", "starts").select(*rest, "starts")
+    one = with_starts(with_windows(one, "words", "hashes").select(*rest, "hashes"), "hashes", "starts").select(*rest, "starts")
     span = F.aggregate("starts", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("last")), lambda a, i: F.struct((a["n"] + F.least(i - a["last"], F.lit(WINDOW))).alias("n"), i.alias("last")))["n"]
     one = one.select(*rest, F.coalesce(span, F.lit(0)).cast("long").alias("n_repeat_words"))
     return one.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
 
 
-def with_ngrams(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Adds `grams`: the buckets of the single tokens and of the pairs of neighbours in the column text, in lower case."""
-    df = df.withColumn("tokens_of", F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t)))
-    tokens = F.col("tokens_of")
-    single = F.transform(tokens, lambda t: F.pmod(t, F.lit(buckets)).cast("int"))
-    pairs = F.transform(F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.pmod(F.xxhash64(F.get(tokens, i), t), F.lit(buckets)).cast("int"))
-    return df.withColumn("grams", F.concat(single, pairs)).drop("tokens_of")
+def with_ngrams(df: DataFrame) -> DataFrame:
+    """Adds hashes of the tokens of the column text, in lower case, and of the pairs of neighbours: `singles` and `pairs`."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
+    return df.withColumn("singles", F.transform(tokens, lambda t: F.xxhash64(t))).withColumn("pairs", neighbours("singles", 1))
+
+
+def bucket(gram: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING, most: int = TRUSTED) -> DataFrame:
@@ -72,7 +79,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoot
     told = docs.select("doc_id", "text").join(F.broadcast(trusted), F.col("doc_id") == F.col("trusted_id"), "left")
     told = told.select("text", F.col("trusted_id").isNotNull().cast("int").alias("is_target"))
     # explode() would add a filter on its array, and that is the tokenising anew, below it
-    grams = with_ngrams(told, buckets).select("is_target", F.explode_outer("grams").alias("bucket")).where(F.col("bucket").isNotNull())
+    grams = with_ngrams(told).select("is_target", F.explode_outer(F.concat("singles", "pairs")).alias("gram"))
+    grams = grams.where(F.col("gram").isNotNull()).select("is_target", bucket(F.col("gram"), buckets).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("is_target").alias("n_target"))
     both = docs.sparkSession.range(buckets).select(F.col("id").alias("bucket")).join(counts, "bucket", "left").fillna(0)
     added = float(buckets * smoothing)
@@ -88,9 +96,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sm
     each; labels of unknown or null doc_ids are not used. Empty tables give no rows. Other columns are not read.
     """
     ratios = constant_array(log_ratios(docs, labels, buckets, smoothing).first()["ratios"])
-    scored = with_ngrams(base_rules(docs), buckets)
-    total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(ratios, g))
-    scored = scored.withColumn("log_ratio", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0)))
+    scored = with_ngrams(base_rules(docs))
+    total = lambda grams, start: F.aggregate(grams, start, lambda a, g: a + F.get(ratios, bucket(g, buckets)))
+    n_grams = F.size("singles") + F.size("pairs")
+    scored = scored.withColumn("log_ratio", F.when(n_grams > 0, total("pairs", total("singles", F.lit(0.0))) / n_grams).otherwise(F.lit(0.0)))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("log_ratio") >= threshold)).alias("kept"), "log_ratio")
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -74,15 +75,28 @@ def test_rules(spark, docs, empty, labels, rows):
 
 
 def test_ratio(spark, docs, labels, rows):
-    """Mean log ratio from hashed counts, recomputed from Spark's hashes."""
-    out = quality_rules.score_quality(docs, labels).select("doc_id", "log_ratio").where("doc_id = 7").first()
-    grams = [(r.doc_id, g) for r in quality_rules.with_ngrams(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).collect() for g in r.grams]
+    """Mean log ratio and verdict of every document, recomputed from Spark's hashes of tokens found in Python."""
+    token = regex.compile(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+")
+    grams = []
+    for d, t, *_ in rows:
+        one = token.findall((t or "").lower())
+        grams.append((d, one, list(zip(one[:-1], one[1:], strict=True))))
+    named = sorted({x for _, one, _ in grams for x in one})
+    table = spark.createDataFrame([(x,) for x in named], "x string").select("x", F.xxhash64("x").alias("h")).collect()
+    single = {r.x: r.h for r in table}
+    twos = sorted({p for _, _, two in grams for p in two})
+    pair = {(r.x, r.y): r.h for r in spark.createDataFrame([(*p, single[p[0]], single[p[1]]) for p in twos], "x string, y string, a long, b long").select("x", "y", F.xxhash64("a", "b").alias("h")).collect()}
+    m = quality_rules.BUCKETS
+    own = [(d, [single[x] % m for x in one] + [pair[p] % m for p in two]) for d, one, two in grams]
     good = {r.doc_id for r in labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").collect()}
-    raw, target = Counter(g for _, g in grams), Counter(g for d, g in grams if d in good)
-    a, b, m = sum(target.values()), sum(raw.values()), quality_rules.BUCKETS
-    own = [g for d, g in grams if d == 7]
-    want = np.mean([np.log((target[g] + 1) / (a + m)) - np.log((raw[g] + 1) / (b + m)) for g in own])
-    assert abs(out.log_ratio - want) < 2e-4
+    raw, target = Counter(g for _, gs in own for g in gs), Counter(g for d, gs in own if d in good for g in gs)
+    a, b = sum(target.values()), sum(raw.values())
+    want = sorted((str(d), round(float(np.mean([np.log((target[g] + 1) / (a + m)) - np.log((raw[g] + 1) / (b + m)) for g in gs] or [0.0])), 3)) for d, gs in own)
+    out = quality_rules.score_quality(docs, labels).collect()
+    got = sorted((str(r.doc_id), round(r.log_ratio, 3)) for r in out)
+    assert all(x[0] == y[0] and abs(x[1] - y[1]) < 2e-3 for x, y in zip(got, want, strict=True))
+    assert all(r.kept == (not r.base_failed and r.log_ratio >= quality_rules.THRESHOLD) for r in out) and {r.kept for r in out} == {True, False}
+    assert {r.log_ratio for r in quality_rules.score_quality(docs, labels.limit(0)).collect()} == {0.0}
 
 
 def test_suffix_arrays():

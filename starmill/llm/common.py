@@ -42,6 +42,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that tell texts apart, however many there are."""
+    return F.unhex(F.md5(text))
+
+
 def key_text(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("null"))
 

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starmill.llm.common import kept, read
+from starmill.llm.common import kept, read, text_key
 from starmill.llm.shingles import U, by_runs, byte_sums, mix, parts, slice_hashes
 from starmill.llm.suffixes import suffix_arrays
 
 #: Bytes of a match and of an anchor.
 LENGTH, ANCHOR = 50, 16
-#: Rows that a task takes to its suffix arrays at once. An anchor with more occurrences is dealt by whole windows.
-ROWS, FREQUENT = 1 << 16, 20_000
-#: Bits of an anchor that its own text can do without.
-BRIEF = 17
+#: Rows that a task takes to its suffix arrays at once. An anchor with more occurrences is dealt by whole windows; of such anchors so many are broadcast.
+ROWS, FREQUENT, BROADCAST = 1 << 17, 20_000, 100_000
+#: Bits of an anchor that its own text can do without, and parts over which the rows of an anchor known to be shared are spread.
+BRIEF, SALTS = 17, 1 << 12
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -33,7 +33,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     at = np.arange(n - k + 1)
     bits = max(1, int(n).bit_length())
-    least = (slice_hashes(*byte_sums(data), at, at + k) >> U(bits) << U(bits)) | at.astype(U)
+    hashes = slice_hashes(*byte_sums(data), at, at + k)
+    least = (hashes >> U(bits) << U(bits)) | at.astype(U)
     span = 1
     while span * 2 <= w:
         least = np.minimum(least[:-span], least[span:])
@@ -49,49 +50,112 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int
     last = np.r_[first[1:], len(start)] - 1
     spot = spot[first]
     # 48 bits tell anchors apart well enough: a wrong meeting costs a comparison, no result
-    value = (slice_hashes(*byte_sums(data), spot, spot + k) >> U(16)).astype(np.int64)
+    value = (hashes[spot] >> U(16)).astype(np.int64)
     return value, text[first], start[first], start[last], spot
 
 
 def with_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """h, tag: the anchors of texts (tag, text). A tag that a task has met before is passed over: it is the same text."""
+    """to, tag, mark: the anchors of texts (key, tag, text), each once a text. A text that a task has met before is passed over.
+
+    An anchor of several texts of one part of the input needs no look at other parts to be shared: of these texts one speaks for it
+    elsewhere. That row, and that of an anchor of one text alone, has the anchor as `to` and in `mark` how often it occurs, times two, plus one
+    if several texts have it. The rows of the others have a negative `to` with the anchor's brief() and mark 0. So no anchor brings
+    more rows to one place than there are parts.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[bytes] = set()
         for batch in batches:
-            tags = batch.column(0).to_pylist()
-            new = [t not in met and not met.add(t) for t in tags]
+            new = [k not in met and not met.add(k) for k in batch.column(0).to_pylist()]
             batch = batch.filter(pa.array(new))
-            for at, data, offsets in parts(batch.column(1)):
+            for at, data, offsets in parts(batch.column(2)):
                 h, text, *_ = anchors(data, offsets, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0).slice(at, len(offsets) - 1).take(pa.array(text))], ["h", "tag"])
-
-    return texts.mapInArrow(work, "h long, tag long")
+                if not len(h):
+                    continue
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                own = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+                times = np.diff(np.r_[own, len(h)])
+                h, text = h[own], text[own]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                mark = np.zeros(len(h), np.int64)
+                mark[first] = 2 * np.add.reduceat(times, first) + (np.diff(np.r_[first, len(h)]) > 1)
+                to = np.where(mark > 0, h, -1 - ((h >> BRIEF) | (text % SALTS << (48 - BRIEF))))
+                by_text = np.argsort(text, kind="stable")  # tags in a row take little room
+                tags = batch.column(1).slice(at, len(offsets) - 1).take(pa.array(text[by_text]))
+                yield pa.RecordBatch.from_arrays([pa.array(to[by_text]), tags, pa.array(mark[by_text].astype(np.int32))], ["to", "tag", "mark"])
+
+    return texts.mapInArrow(work, "to long, tag long, mark int")
+
+
+def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
+    """tag, brief, times: the anchors that several texts have; times (occurrences) stands in one row of each at least."""
+    w = W.partitionBy("to")
+    rows = with_anchors(texts, length).select("to", "tag", "mark", F.min("tag").over(w).alias("low"), F.max("tag").over(w).alias("high"), F.max(F.col("mark") % 2).over(w).alias("many"), F.sum(F.floor(F.col("mark") / 2)).over(w).alias("times"))
+    of = F.when(F.col("to") < 0, (-1 - F.col("to")).bitwiseAND((1 << (48 - BRIEF)) - 1)).otherwise(F.shiftright("to", BRIEF))
+    return rows.where("to < 0 OR many > 0 OR low <> high").select("tag", of.cast("int").alias("brief"), F.when(F.col("to") >= 0, F.col("times")).alias("times"))
+
+
+def bytes_at(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of slices of data, one behind the other."""
+    ends = np.cumsum(size)
+    return data[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def leaders(content: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of slices of data whose hashes are `content`: one of each kind, and each slice's place among these. Equal hashes are checked byte by byte."""
+    while True:
+        _, lead, back = np.unique(content, return_index=True, return_inverse=True)
+        of = lead[back]
+        other = np.flatnonzero((of != np.arange(len(of))) & (size == size[of]))
+        differs = bytes_at(data, begin[other], size[other]) != bytes_at(data, begin[of[other]], size[other])
+        wrong = size != size[of]
+        wrong[np.repeat(other, size[other])[differs]] = True
+        if not wrong.any():
+            return lead, back
+        content = np.where(wrong, mix(content + U(1)), content)
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """h, doc, start, spot, piece: for each anchor of a text that is in its array `shared`, the bytes of its windows, their start and the anchor's distance."""
+    """h, doc, which, start, spot, piece: for each anchor of a text (doc, which, text) that is in its array `shared`, the bytes of its windows, their start and the anchor's distance.
+
+    Of equal pieces in one part of the input the least doc's go on. What another doc has of them is known then to be removed: a negative h,
+    no piece, and its length in bytes as spot.
+    """
+    names = ["h", "doc", "which", "start", "spot", "piece"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
-            for at, data, offsets in parts(batch.column(1)):
+            batch = batch.filter(batch.column(3).is_valid())
+            for at, data, offsets in parts(batch.column(2)):
                 n = len(offsets) - 1
-                shared = batch.column(2).slice(at, n)
+                shared = batch.column(3).slice(at, n)
                 h, text, first, last, spot = anchors(data, offsets, length)
                 key = mix((h >> BRIEF).view(U) + mix(text.astype(U)))
                 lists = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 of = np.repeat(np.arange(n), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
                 take = np.flatnonzero(np.isin(key, mix(lists.view(U) + mix(of.astype(U)))))
-                first, last, text = first[take], last[take], text[take]
+                if not len(take):
+                    continue
+                h, text, first, last, spot = (x[take] for x in (h, text, first, last, spot))
                 size = last - first + length
-                ends = np.r_[0, np.cumsum(size)]
-                flat = data[np.repeat(first - ends[:-1], size) + np.arange(ends[-1])]
-                pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(take), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-                docs_of = batch.column(0).slice(at, n).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), docs_of, pa.array(first - offsets[text]), pa.array((spot[take] - first).astype(np.int32)), pieces], ["h", "doc", "start", "spot", "piece"])
-
-    return docs.mapInArrow(work, "h long, doc long, start long, spot int, piece binary")
+                content = mix(slice_hashes(*byte_sums(data), first, first + size) ^ mix(h.view(U) + mix((spot - first).astype(U))))
+                doc = batch.column(0).slice(at, n).to_numpy()[text]
+                lead, back = leaders(content, data, first, size)
+                least = np.full(len(lead), np.iinfo(np.int64).max)
+                np.minimum.at(least, back, doc)
+                gone = doc > least[back]
+                spread = -1 - (mix(mix(doc.view(U)) + first.astype(U)) >> U(2)).astype(np.int64)
+                go = ~gone
+                ends = np.r_[0, np.cumsum(np.where(gone, 0, size))]
+                flat = bytes_at(data, first[go], size[go])
+                pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.where(gone, spread, h)), pa.array(doc), batch.column(1).slice(at, n).take(pa.array(text)), pa.array(first - offsets[text]),
+                    pa.array(np.where(gone, size, spot - first).astype(np.int32)), pieces,
+                ], names)
+
+    return docs.mapInArrow(work, "h long, doc long, which long, start long, spot int, piece binary")
 
 
 def first_owners(data: np.ndarray, begin: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -133,7 +197,7 @@ def owned(h: np.ndarray, doc: np.ndarray, spot: np.ndarray, data: np.ndarray, be
     """
     sums = byte_sums(data)
     content = mix(slice_hashes(*sums, begin[:-1], begin[1:]) ^ mix(h.view(U) + mix(spot.astype(U))))
-    _, lead, back = np.unique(content, return_index=True, return_inverse=True)
+    lead, back = leaders(content, data, begin[:-1], np.diff(begin))
     least = np.full(len(lead), np.iinfo(np.int64).max)
     np.minimum.at(least, back, doc)
     b, e, s = begin[:-1][lead], begin[1:][lead], begin[:-1][lead] + spot[lead]
@@ -164,17 +228,16 @@ def owned(h: np.ndarray, doc: np.ndarray, spot: np.ndarray, data: np.ndarray, be
         result[where(one)] = np.repeat(who[one], count[one])
     if len(many):
         size = count[many] + length - 1
-        ends = np.r_[0, np.cumsum(size)]
-        flat = data[np.repeat(pb[many] - ends[:-1], size) + np.arange(ends[-1])]
-        result[where(many)] = first_owners(flat, ends, group[many], who[many], length)
+        result[where(many)] = first_owners(bytes_at(data, pb[many], size), np.r_[0, np.cumsum(size)], group[many], who[many], length)
     return result, np.c_[at_lead[:-1], at_lead[1:]][back]
 
 
 def removed_runs(pieces: DataFrame, length: int) -> DataFrame:
-    """doc, runs: byte ranges that a smaller doc's windows cover. pieces: the rows of contexts(), those of one h together."""
+    """doc, which, low, high: byte ranges that a smaller doc's windows cover. pieces: the rows of contexts(), those of one h together."""
+    names = ["doc", "which", "low", "high"]
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        h, doc, start, spot = (rows.column(c).to_numpy() for c in ("h", "doc", "start", "spot"))
+        h, doc, which, start, spot = (rows.column(c).to_numpy() for c in ("h", "doc", "which", "start", "spot"))
         column = rows.column("piece").combine_chunks().cast(pa.large_binary())
         begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2], np.uint8)[begin[0] : begin[-1]]
@@ -184,25 +247,59 @@ def removed_runs(pieces: DataFrame, length: int) -> DataFrame:
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         gone = least[span[row, 0] + inner] < doc[row]
         row, inner = row[gone], inner[gone]
-        if not len(row):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 3, ["doc", "low", "high"])
-        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)])
-        last = np.r_[new[1:], len(row)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[row[new]], start[row[new]] + inner[new], start[row[new]] + inner[last] + length)], ["doc", "low", "high"])
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)][: len(row)])
+        last = np.r_[new[1:], len(row)][: len(new)] - 1
+        at = row[new]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], which[at], start[at] + inner[new], start[at] + inner[last] + length)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_runs(batches, ROWS):
-            yield solve(table)
+            h = table.column("h").to_numpy()
+            known = int(np.searchsorted(h, 0))
+            if known:
+                doc, which, start, size = (table.column(c).to_numpy()[:known] for c in ("doc", "which", "start", "spot"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, which, start, start + size)], names)
+            if known < len(h):
+                yield solve(table.slice(known))
 
-    return pieces.mapInArrow(work, "doc long, low long, high long")
+    return pieces.mapInArrow(work, "doc long, which long, low long, high long")
 
 
 def frequent_runs(pieces: DataFrame, length: int) -> DataFrame:
     """As removed_runs(), for anchors of any number of rows: every window is a row, and the least doc of each is a plain aggregate with sums before the shuffle."""
     at = F.explode(F.sequence(F.lit(1), F.length("piece") - (length - 1)))
-    windows = pieces.select("doc", "start", "piece", at.alias("k")).select("doc", (F.col("start") + F.col("k") - 1).alias("low"), F.substring("piece", F.col("k"), F.lit(length)).alias("window"))
+    windows = pieces.where("h >= 0").select("doc", "which", "start", "piece", at.alias("k")).select("doc", "which", (F.col("start") + F.col("k") - 1).alias("low"), F.substring("piece", F.col("k"), F.lit(length)).alias("window"))
     least = windows.groupBy("window").agg(F.min("doc").alias("least"))
-    return windows.join(least, "window").where("least < doc").select("doc", "low", (F.col("low") + length).alias("high"))
+    cut = windows.join(least, "window").where("least < doc").select("doc", "which", "low", (F.col("low") + length).alias("high"))
+    return cut.union(pieces.where("h < 0").select("doc", "which", "start", F.col("start") + F.col("spot")))
+
+
+def cut(texts: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept of rows (doc_id, text, lows, highs): the text without the ranges, which rise by their low ends."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in parts(batch.column(1)):
+                n = len(offsets) - 1
+                low, high = (batch.column(c).slice(at, n) for c in (2, 3))
+                row = np.repeat(np.arange(n), low.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+                low, high = (offsets[row] + x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (low, high))
+                top = np.maximum.accumulate(high) if len(high) else high
+                # a new span begins beyond all ranges before it, or in a new text
+                new = np.flatnonzero(np.r_[True, (low[1:] > top[:-1]) | (row[1:] != row[:-1])][: len(row)])
+                end = top[np.r_[new[1:], len(row)][: len(new)] - 1]
+                edge = np.zeros(len(data) + 1, np.int32)
+                np.add.at(edge, low[new], 1)
+                np.add.at(edge, end, -1)
+                left = np.cumsum(edge[:-1]) == 0
+                ends = np.r_[0, np.cumsum(left)][offsets]
+                spans = np.bincount(row[new], minlength=n)
+                size = np.diff(offsets)
+                kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[left]))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(size), pa.array(size - np.diff(ends)), pa.array(spans.astype(np.int64)), kept], names)
+
+    return texts.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, frequent: int = FREQUENT) -> DataFrame:
@@ -213,56 +310,43 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, frequent: int = FREQ
     the bytes around, all equal strings meet in one place, where suffix arrays find the equal ones. A copy of a whole text needs none
     of that: each of its strings starts in the first copy.
 
-    A null text is empty. Rows with a null doc_id are neither cut nor a reason to cut. Rows with one doc_id don't cut each other; their
-    runs are told apart only by their doc_id, so of rows with one doc_id and other texts the one with the least hash is compared. An empty
-    table gives no rows. Other columns are not read.
+    A null text is empty. Rows with a null doc_id are neither cut nor a reason to cut. Rows with one doc_id don't cut each other,
+    whether their texts differ or not; each is compared with the documents of smaller ids. An empty table gives no rows. Other columns are not read.
     """
     if length < ANCHOR + 2:
         raise ValueError(f"length must be {ANCHOR + 2} or more")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
-    tags = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag")).where("doc is not null")
-    firsts = tags.groupBy("tag").agg(F.min("doc").alias("first"))
+    named = rows.where(F.col("doc_id").isNotNull()).select("doc_id", text_key(F.col("text")).alias("key"), "text")
+    keys = named.select(F.col("doc_id").alias("doc"), "key", F.xxhash64("text").alias("tag"))
+    firsts = keys.groupBy("key").agg(F.min("doc").alias("first"), F.min("tag").alias("tag"))
     # the anchors need no text beside them: only hashes are dealt out to find those of several texts
-    texts = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select(F.xxhash64("text").alias("tag"), "text")
-    by_anchor = W.partitionBy("h")
-    shared = with_anchors(texts, length).select("h", "tag", F.min("tag").over(by_anchor).alias("low"), F.max("tag").over(by_anchor).alias("high"), F.count(F.lit(1)).over(by_anchor).alias("times")).where("low <> high")
-    # within a text 31 bits tell its anchors apart; one too many costs a comparison
-    brief = F.shiftright("h", BRIEF).cast("int")
-    of_tag = shared.groupBy("tag").agg(F.collect_set(brief).alias("shared"), F.collect_set(F.when(F.col("times") > frequent, brief)).alias("frequent"))
-    of_doc = kept(of_tag.join(firsts, "tag").select(F.col("first").alias("doc"), "tag", "shared", "frequent"), "shared")
-    copied = tags.join(firsts, "tag").groupBy("doc").agg(F.min("tag").alias("tag"), F.min("first").alias("first"))
+    long = F.octet_length("text") >= length
+    shared = kept(shared_anchors(named.where(long).select("key", F.xxhash64("text").alias("tag"), "text"), length), "anchors")
+    many = kept(shared.where(F.col("times") > frequent).select("brief").distinct(), "frequent")
+    few = many.limit(BROADCAST + 1).count() <= BROADCAST
+    shared = shared.join(F.broadcast(many.withColumn("often", F.col("brief"))) if few else many.withColumn("often", F.col("brief")), "brief", "left")
+    of_tag = shared.groupBy("tag").agg(F.collect_set("brief").alias("shared"), F.collect_set("often").alias("frequent"))
+    # of copies the first one is compared; docs of several texts have a number for each beside their id
+    several = keys.groupBy("doc").agg((F.min("key") != F.max("key")).alias("several"))
+    copied = keys.distinct().join(several, "doc").join(firsts.select("key", "first"), "key")
+    known = copied.join(of_tag, (copied["tag"] == of_tag["tag"]) & (F.col("doc") == F.col("first")), "left")
+    known = kept(known.select("doc", "key", F.when(F.col("several"), copied["tag"]).otherwise(F.lit(0)).alias("which"), (F.col("first") < F.col("doc")).alias("copy"), "shared", "frequent"), "shared")
     # one exchange of the texts serves the comparison and the cutting
-    marked = rows.repartition("doc_id").join(copied, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "tag", "first")
-    marked = marked.withColumn("is_text", F.coalesce(F.xxhash64("text") == F.col("tag"), F.lit(False)))
-    # outer joins on either side of the cut: a filter below the exchange would make two of it
-    known = of_doc.withColumnsRenamed({"doc": "shared_doc", "tag": "shared_tag"})
-    at = marked.join(known, (F.col("doc_id") == F.col("shared_doc")) & (F.col("tag") == F.col("shared_tag")), "left")
-    some = lambda c: at.select(F.col("doc_id").alias("doc"), "text", F.when(F.col("is_text"), c).alias("shared"))
+    at = known.withColumnsRenamed({"doc": "doc_id"})
+    marked = named.join(at, ["doc_id", "key"]).select("doc_id", "which", "text", "shared", "frequent")
+    some = lambda c: marked.select(F.col("doc_id").alias("doc"), "which", "text", c.alias("shared"))
     pieces = contexts(some(F.array_except("shared", "frequent")), length)
-    rare = removed_runs(pieces.repartition("h").sortWithinPartitions("h"), length)
-    often = frequent_runs(contexts(some(F.when(F.size("frequent") > 0, F.col("frequent"))), length), length)
-    runs = rare.union(often).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
-    joined = marked.join(runs.withColumnRenamed("doc", "run_doc"), F.col("doc_id") == F.col("run_doc"), "left")
-    joined = joined.select("doc_id", "text", (F.col("is_text") & (F.col("first") < F.col("doc_id"))).alias("copy"), F.when(F.col("is_text"), F.col("runs")).alias("runs"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, copy, some in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                runs = [{"low": 0, "high": len(text)}] if copy and len(text) >= length else some or []
-                kept, at, spans, gone = [], 0, 0, 0
-                for r in runs:
-                    low, high = max(r["low"], at), r["high"]
-                    if r["low"] > at or not spans:
-                        spans += 1
-                    kept.append(text[at:low])
-                    gone += max(0, high - low)
-                    at = max(at, high)
-                out.append((len(text), gone, spans, b"".join([*kept, text[at:]])))
-            cols = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    runs = removed_runs(pieces.repartition("h").sortWithinPartitions("h"), length)
+    if not many.isEmpty():
+        runs = runs.union(frequent_runs(contexts(some(F.when(F.size("frequent") > 0, F.col("frequent"))), length), length))
+    runs = runs.groupBy("doc", "which").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    runs = at.select("doc_id", "key", "which", "copy").join(runs.withColumnRenamed("doc", "doc_id"), ["doc_id", "which"], "left").select("doc_id", "key", "copy", "runs")
+    joined = named.join(runs, ["doc_id", "key"])
+    whole = F.col("copy") & (F.octet_length("text") >= length)
+    lows, highs = (F.when(whole, F.array(end.cast("long"))).otherwise(F.col("runs")[name]) for name, end in (("low", F.lit(0)), ("high", F.octet_length("text"))))
+    none = F.lit(None).cast("array<long>")
+    nameless = rows.where(F.col("doc_id").isNull()).select("doc_id", "text", none.alias("lows"), none.alias("highs"))
+    return cut(joined.select("doc_id", "text", lows.alias("lows"), highs.alias("highs"))).unionByName(cut(nameless))
 
 
 def op2_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Strings left in a pass that are taken one by one.
+FEW = 12
+
 
 def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Places of all suffixes, string by string, each string's in ascending order.
@@ -20,7 +23,8 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """
     n, size = len(symbols), np.diff(begin)
     string = np.repeat(np.arange(len(size)), size)
-    sa = np.lexsort((symbols, string))
+    sa = np.argsort(narrow(symbols), kind="stable")
+    sa = sa[np.argsort(narrow(string)[sa], kind="stable")]
     head = np.r_[True, (symbols[sa][1:] != symbols[sa][:-1]) | (string[sa][1:] != string[sa][:-1])][:n]
     starts = np.flatnonzero(head)
     group, place, stop = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n + 1, np.int64)
@@ -72,9 +76,14 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
         going = going[low > begin[going]]
     free, done = np.arange(n), np.zeros(n, bool)
     by_size = np.argsort(-size, kind="stable")
-    ends, step = np.sort(size), 0
-    while step < ends[-1] if len(ends) else False:
-        live = by_size[: len(size) - int(np.searchsorted(ends, step, "right"))]
+    ends = np.sort(size)
+    count = len(size) - np.searchsorted(ends, np.arange(ends[-1] if len(ends) else 0), "right")
+    for step, many in enumerate(count.tolist()):
+        live = by_size[:many]
+        if many <= FEW:
+            for b, e in zip(begin[live].tolist(), begin[live + 1].tolist(), strict=True):
+                emit_rest(sa, group, prev, free, done, b, e, step)
+            break
         p = (sa[begin[live] + step - 1] if step else begin[live + 1]) - 1
         p = p[p >= begin[live]]
         while len(p):
@@ -85,5 +94,23 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
             done[p] = True
             p = prev[p]
             p = p[p >= 0]
-        step += 1
     return sa
+
+
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in 16 bits where these hold them: sorting them is linear then."""
+    return values.astype(np.uint16) if len(values) and values.min() >= 0 and values.max() < 1 << 16 else values
+
+
+def emit_rest(sa: np.ndarray, group: np.ndarray, prev: np.ndarray, free: np.ndarray, done: np.ndarray, b: int, e: int, step: int) -> None:
+    """The pass over the string from b to e, from `step` on, one suffix after the other: for strings much longer than the others."""
+    out, slots, before, place, ready = (x[b:e].tolist() for x in (sa, group, prev, free, done))
+    for k in range(step, e - b):
+        p = (out[k - 1] if k else e) - 1
+        while p >= b and not ready[p - b]:
+            slot = slots[p - b] - b
+            out[place[slot] - b] = p
+            place[slot] += 1
+            ready[p - b] = True
+            p = before[p - b]
+    sa[b:e] = out

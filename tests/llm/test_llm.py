@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starmill.llm import chat, classifier, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings
+from starmill.llm import chat, classifier, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings, suffixes
 from starmill.llm.suffixes import suffix_arrays
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -99,10 +99,12 @@ def test_ratio(spark, docs, labels, rows):
     assert {r.log_ratio for r in quality_rules.score_quality(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("few", [0, 3, 12])
+def test_suffix_arrays(monkeypatch, few):
+    monkeypatch.setattr(suffixes, "FEW", few)
     r = np.random.default_rng(0)
     for _ in range(60):
-        some = [r.integers(0, r.integers(1, 5), r.integers(0, 30)) for _ in range(r.integers(1, 6))]
+        some = [r.integers(0, r.integers(1, 5), r.integers(0, 30)) for _ in range(r.integers(1, 20))]
         begin = np.r_[0, np.cumsum([len(s) for s in some])]
         sa = suffix_arrays(np.concatenate(some).astype(np.int64), begin)
         for k, s in enumerate(some):
@@ -127,6 +129,38 @@ def test_substrings(docs, empty, rows, length, frequent):
     assert got[None, 42][0] == 0 and substrings.dedup_substrings(empty).isEmpty()
 
 
+@pytest.mark.parametrize("frequent", [20_000, 30])
+def test_substrings_of_one_id(spark, monkeypatch, frequent):
+    """Texts of one doc_id are each compared with smaller ids, not with each other; a passage that most texts have; texts of one letter; hashes that collide."""
+    r = random.Random(3)
+    word = lambda: r.choice(WORDS)
+    passage = " ".join(word() for _ in range(30))
+    rows = [(i // 2, " ".join(word() for _ in range(r.randint(5, 40))) + " " + passage * (i % 3) + " " + " ".join(word() for _ in range(20))) for i in range(80)]
+    rows += [(k, "a" * (40 + k)) for k in range(40, 60)] + [(70, rows[4][1]), (70, rows[5][1]), (71, passage), (3, passage)]
+    if frequent == 30:
+        monkeypatch.setattr(substrings, "BROADCAST", 3)
+    out = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50, frequent).collect()
+    first = {}
+    for d, t in sorted(rows):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i : i + 50], d)
+    want = []
+    for d, t in rows:
+        gone = bytearray(len(t))
+        for i in range(len(t) - 49):
+            if first[t[i : i + 50]] < d:
+                gone[i : i + 50] = b"\1" * 50
+        want.append((d, len(t), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), "".join(c for c, g in zip(t, gone, strict=True) if not g).encode()))
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in out) == sorted(want)
+
+
+def test_equal_hashes_of_slices():
+    data = np.frombuffer(b"abcabdabcxyzab", np.uint8)
+    begin, size = np.array([0, 3, 6, 9, 12]), np.array([3, 3, 3, 3, 2])
+    lead, back = substrings.leaders(np.zeros(5, np.uint64), data, begin, size)
+    assert len(lead) == 4 and back[0] == back[2] and len({*back}) == 4
+
+
 def test_chats(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "<\\|im_end|>", "a\\n\\\\", "<|im_escaped|>x", "", None, "plain\ntext <| |>", "<\\\\|", "|>" * 3]
     rows = [(c, t, ["user", "assistant", None, "a\nb", "<|im_end|>"][(c + t) % 5], odd[(c * 3 + t) % len(odd)], "f") for c in range(9) for t in range(4)]

@@ -17,7 +17,7 @@ from starmill.llm.suffixes import suffix_arrays
 #: Bytes of a match and of an anchor.
 LENGTH, ANCHOR = 50, 16
 #: Rows that a task takes to its suffix arrays at once. An anchor with more occurrences is dealt by whole windows; of such anchors so many are broadcast.
-ROWS, FREQUENT, BROADCAST = 1 << 17, 20_000, 100_000
+ROWS, FREQUENT, BROADCAST = 1 << 17, 100_000, 100_000
 #: Bits of an anchor that its own text can do without, and parts over which the rows of an anchor known to be shared are spread.
 BRIEF, SALTS = 17, 1 << 12
 
@@ -117,12 +117,12 @@ def leaders(content: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.n
 
 
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """h, doc, which, start, spot, piece: for each anchor of a text (doc, which, text) that is in its array `shared`, the bytes of its windows, their start and the anchor's distance.
+    """h, doc, which, starts, spot, piece: for each anchor of a text (doc, which, text) that is in its array `shared`, the bytes of its windows, their start and the anchor's distance.
 
-    Of equal pieces in one part of the input the least doc's go on. What another doc has of them is known then to be removed: a negative h,
+    Of equal pieces in one part of the input the least doc's go on, as one with all its starts. What another doc has of them is known then to be removed: a negative h,
     no piece, and its length in bytes as spot.
     """
-    names = ["h", "doc", "which", "start", "spot", "piece"]
+    names = ["h", "doc", "which", "starts", "spot", "piece"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,18 +144,20 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                 lead, back = leaders(content, data, first, size)
                 least = np.full(len(lead), np.iinfo(np.int64).max)
                 np.minimum.at(least, back, doc)
-                gone = doc > least[back]
-                spread = -1 - (mix(mix(doc.view(U)) + first.astype(U)) >> U(2)).astype(np.int64)
-                go = ~gone
-                ends = np.r_[0, np.cumsum(np.where(gone, 0, size))]
-                flat = bytes_at(data, first[go], size[go])
-                pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(h), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.where(gone, spread, h)), pa.array(doc), batch.column(1).slice(at, n).take(pa.array(text)), pa.array(first - offsets[text]),
-                    pa.array(np.where(gone, size, spot - first).astype(np.int32)), pieces,
-                ], names)
-
-    return docs.mapInArrow(work, "h long, doc long, which long, start long, spot int, piece binary")
+                start = first - offsets[text]
+                gone, own = np.flatnonzero(doc > least[back]), np.flatnonzero(doc == least[back])
+                own = own[np.lexsort((text[own], back[own]))]
+                new = np.flatnonzero(np.r_[True, (back[own][1:] != back[own][:-1]) | (text[own][1:] != text[own][:-1])])
+                go = own[new]
+                row = np.r_[gone, go]
+                spread = -1 - (mix(mix(doc[gone].view(U)) + first[gone].astype(U)) >> U(2)).astype(np.int64)
+                starts = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(len(gone)), len(gone) + np.r_[new, len(own)]].astype(np.int32)), pa.array(np.r_[start[gone], start[own]]))
+                ends = np.r_[np.zeros(len(gone) + 1, np.int64), np.cumsum(size[go])]
+                pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bytes_at(data, first[go], size[go])))]).cast(pa.binary())
+                which = batch.column(1).slice(at, n).take(pa.array(text[row]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[spread, h[go]]), pa.array(doc[row]), which, starts, pa.array(np.r_[size[gone], (spot - first)[go]].astype(np.int32)), pieces], names)
+
+    return docs.mapInArrow(work, "h long, doc long, which long, starts array<long>, spot int, piece binary")
 
 
 def first_owners(data: np.ndarray, begin: np.ndarray, group: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
@@ -237,7 +239,7 @@ def removed_runs(pieces: DataFrame, length: int) -> DataFrame:
     names = ["doc", "which", "low", "high"]
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
-        h, doc, which, start, spot = (rows.column(c).to_numpy() for c in ("h", "doc", "which", "start", "spot"))
+        h, doc, which, spot = (rows.column(c).to_numpy() for c in ("h", "doc", "which", "spot"))
         column = rows.column("piece").combine_chunks().cast(pa.large_binary())
         begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2], np.uint8)[begin[0] : begin[-1]]
@@ -249,15 +251,23 @@ def removed_runs(pieces: DataFrame, length: int) -> DataFrame:
         row, inner = row[gone], inner[gone]
         new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (inner[1:] != inner[:-1] + 1)][: len(row)])
         last = np.r_[new[1:], len(row)][: len(new)] - 1
-        at = row[new]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], which[at], start[at] + inner[new], start[at] + inner[last] + length)], names)
+        # each run once for each start of its piece
+        starts = rows.column("starts").combine_chunks()
+        many = starts.value_lengths().to_numpy()
+        begins, at = np.cumsum(many) - many, row[new]
+        times = many[at]
+        of = np.repeat(np.arange(len(at)), times)
+        start = starts.flatten().to_numpy()[np.repeat(begins[at] - (np.cumsum(times) - times), times) + np.arange(times.sum())]
+        at, low, high = at[of], inner[new][of], inner[last][of]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[at], which[at], start + low, start + high + length)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_runs(batches, ROWS):
             h = table.column("h").to_numpy()
             known = int(np.searchsorted(h, 0))
             if known:
-                doc, which, start, size = (table.column(c).to_numpy()[:known] for c in ("doc", "which", "start", "spot"))
+                doc, which, size = (table.column(c).to_numpy()[:known] for c in ("doc", "which", "spot"))
+                start = table.column("starts").slice(0, known).combine_chunks().flatten().to_numpy()  # one each
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, which, start, start + size)], names)
             if known < len(h):
                 yield solve(table.slice(known))
@@ -268,10 +278,10 @@ def removed_runs(pieces: DataFrame, length: int) -> DataFrame:
 def frequent_runs(pieces: DataFrame, length: int) -> DataFrame:
     """As removed_runs(), for anchors of any number of rows: every window is a row, and the least doc of each is a plain aggregate with sums before the shuffle."""
     at = F.explode(F.sequence(F.lit(1), F.length("piece") - (length - 1)))
-    windows = pieces.where("h >= 0").select("doc", "which", "start", "piece", at.alias("k")).select("doc", "which", (F.col("start") + F.col("k") - 1).alias("low"), F.substring("piece", F.col("k"), F.lit(length)).alias("window"))
+    windows = pieces.where("h >= 0").select("doc", "which", "starts", "piece", at.alias("k")).select("doc", "which", "starts", "k", F.substring("piece", F.col("k"), F.lit(length)).alias("window"))
     least = windows.groupBy("window").agg(F.min("doc").alias("least"))
-    cut = windows.join(least, "window").where("least < doc").select("doc", "which", "low", (F.col("low") + length).alias("high"))
-    return cut.union(pieces.where("h < 0").select("doc", "which", "start", F.col("start") + F.col("spot")))
+    cut = windows.join(least, "window").where("least < doc").select("doc", "which", F.explode(F.transform("starts", lambda x: x + F.col("k") - 1)).alias("low"))
+    return cut.select("doc", "which", "low", (F.col("low") + length).alias("high")).union(pieces.where("h < 0").select("doc", "which", F.get("starts", F.lit(0)), F.get("starts", F.lit(0)) + F.col("spot")))
 
 
 def cut(texts: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import uuid
-
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,11 +35,54 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+_written: list[str] = []
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read back: later steps don't compute them again."""
+    """The rows of df, written once to the shared folder and read back: later steps don't compute them again.
+
+    The result may be read long after, so the folder stays; forget() or the end of cleaned_up() delete it.
+    """
     path = f"{shared_dir(df.sparkSession)}/starmill-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes results of kept() that nothing will read any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.kept_at)
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what kept() wrote inside, whatever happened: for callers that have read or written their results by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [x for x in _written if x not in before]:
+            _delete(spark, path)
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: list[str], parts: int = 32) -> DataFrame:
+    """many.join(one, key), where one key may have any share of the rows of `many` and `one` has a row for each key.
+
+    The rows of a key are dealt to `parts` parts by a hash of the columns `by`, and its row of `one` is copied to those that have some.
+    """
+    dealt = many.withColumn("dealt_to", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int"))
+    present = dealt.select(*key, "dealt_to").distinct()
+    return dealt.join(one.join(present, key), [*key, "dealt_to"]).drop("dealt_to")
 
 
 def text_key(text: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmill.llm.common import kept
+from starmill.llm.common import forget, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node of its component) of every node of edges (a, b).
+    """node and root (the smallest node of its component) of every node of edges (a, b), a result of kept().
 
     Each round a node takes the least root among its own, its neighbours' and that of its root, so paths shrink by
     more than half; it ends when no root has changed. Only that yes or no comes to the driver.
@@ -18,9 +18,12 @@ def components(edges: DataFrame) -> DataFrame:
     roots = kept(both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("node").alias("next"), "root"), "next").groupBy("node").agg(F.min("root").alias("near"))
-        own = roots.join(near, "node")
+        own = roots.select("node", "root").join(near, "node")
         above = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        step = kept(own.join(above, "root").select("node", F.col("root").alias("was"), F.least("root", "near", "above").alias("root")), "roots")
-        if step.where("was <> root").isEmpty():
-            return step.select("node", "root")
-        roots = step.select("node", "root")
+        step = kept(own.join(above, "root").select("node", F.least("root", "near", "above").alias("root"), F.col("root").alias("was")), "roots")
+        done = step.where("was <> root").isEmpty()
+        forget(roots)
+        roots = step
+        if done:
+            forget(both)
+            return roots

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmill.llm.common import kept, read
+from starmill.llm.common import forget, kept, read
 from starmill.llm.graph import components
 from starmill.llm.shingles import U, by_runs, counted, mix, parts, sequence_tags, shingle_hashes, word_hashes
 
@@ -18,6 +18,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 COORDINATES, ROWS = 128, 4
 #: Bytes of two signatures that have to agree for a second look: 0.8 gives fewer once in 1e6 pairs. Texts in a block.
 AGREE, BLOCK = 80, 512
+#: Parts to which the pairs of one hub are dealt.
+PARTS = 32
 #: Texts of other classes that a text is compared with in each bucket and round, before all that are left are.
 CLOSEST = 3
 
@@ -71,15 +73,15 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, n_rows:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (of the words in order), bands and signature (a byte of each coordinate) of each text with a word."""
+    """doc_id, text_hash, tag and check (hashes of the words in order), bands and signature (a byte of each coordinate) of each text with a word."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, data, offsets in parts(batch.column(1)):
+            for at, data, offsets in parts(batch.column(2)):
                 n = len(offsets) - 1
                 words, rows = word_hashes(data, offsets)
                 some = np.bincount(rows, minlength=n) > 0
-                tags = sequence_tags(words, rows, n)
+                tags, checks = sequence_tags(words, rows, n), sequence_tags(mix(words + U(1)), rows, n)
                 sig = signatures(*counted(*shingle_hashes(words, rows, n, SHINGLE)), n)[some]
                 bands = np.zeros((len(sig), COORDINATES // ROWS), U)
                 for j in range(ROWS):
@@ -87,11 +89,21 @@ def sign(docs: DataFrame) -> DataFrame:
                 bands = mix(bands + np.arange(bands.shape[1], dtype=U))
                 ends = pa.array(np.arange(len(sig) + 1, dtype=np.int32) * bands.shape[1])
                 small = (sig >> U(32)).astype(np.uint8)
-                ids = batch.column(0).slice(at, n).filter(pa.array(some))
-                cols = [ids, pa.array(tags[some].view(np.int64)), pa.ListArray.from_arrays(ends, pa.array(bands.ravel().view(np.int64))), pa.array([x.tobytes() for x in small], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", "bands", "signature"])
+                ids = [batch.column(k).slice(at, n).filter(pa.array(some)) for k in (0, 1)]
+                cols = [*ids, *[pa.array(x[some].view(np.int64)) for x in (tags, checks)], pa.ListArray.from_arrays(ends, pa.array(bands.ravel().view(np.int64))), pa.array([x.tobytes() for x in small], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "tag", "check", "bands", "signature"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(work, "doc_id long, text_hash long, tag long, check long, bands array<long>, signature binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, tag long, bands array<long>, signature binary")
+def told_apart(signed: DataFrame) -> DataFrame:
+    """The rows of sign(), where texts of one tag and other words (another check) get a tag of their own."""
+    shared = signed.groupBy("tag").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("tag", "low")
+    shared = kept(shared, "collisions")
+    if shared.isEmpty():
+        return signed
+    joined = signed.join(shared, "tag", "left").withColumn("tag", F.when(F.col("check") == F.coalesce("low", "check"), F.col("tag")).otherwise(F.xxhash64("tag", "check")))
+    return kept(joined.select(signed.columns), "signatures")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -127,18 +139,30 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     keep[i] = both >= least * (low + high - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "a_shingles", "a_counts", "b_shingles", "b_counts")
+    # a hub may be the b of any share of the pairs: they are dealt to parts, and its shingles copied to those that have some
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(PARTS)).cast("int").alias("part"))
+    hubs = two.join(dealt.select("b", "part").distinct(), "b")
+    joined = dealt.join(one, "a").join(hubs, ["b", "part"]).select("a", "b", "a_shingles", "a_counts", "b_shingles", "b_counts")
     return joined.mapInArrow(work, "a long, b long")
 
 
 def runs(buckets: DataFrame) -> DataFrame:
     """at, place, tag, root, signature, bands: the rows of `buckets` (band, place of the band in the signature, tag, root, signature, bands) in the groups in which they meet.
 
-    A bucket is cut into blocks of about BLOCK texts, and every two blocks of it meet in a group of their own, so no group grows with the bucket.
+    Of a bucket's largest class the texts don't meet each other. Both they and the others are cut into blocks of about BLOCK texts; each block
+    meets each block of the others in a group of their own, so no group grows with the bucket, and a bucket that is almost one class stays cheap.
     """
-    sizes = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
-    dealt = buckets.join(sizes, "band").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("tag"), F.col("blocks")).cast("int"))
-    meets = dealt.select("band", "place", "tag", "root", "signature", "bands", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    classes = buckets.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = classes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("members"))
+    count = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = sizes.select("band", F.col("main.root").alias("main"), count(F.col("main.n")).alias("main_blocks"), count(F.col("members") - F.col("main.n")).alias("blocks"))
+    dealt = buckets.join(sizes, "band").withColumn("is_main", F.col("root") == F.col("main"))
+    own = F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("tag"), own).cast("int"))
+    # the others' blocks count from 0 on, those of the largest class from -1 down
+    met = F.when(F.col("is_main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.concat(F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(-1), -F.col("main_blocks"), F.lit(-1))))
+    block = F.when(F.col("is_main"), -1 - F.col("block")).otherwise(F.col("block"))
+    meets = dealt.select("band", "place", "tag", "root", "signature", "bands", block.alias("block"), F.explode(met).alias("other"))
     return meets.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("at"), "place", "tag", "root", "signature", "bands")
 
 
@@ -248,9 +272,9 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     An empty table gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = kept(sign(docs.where(F.col("doc_id").isNotNull())), "signatures")
-    first = signed.groupBy("tag").agg(F.min("doc_id").alias("doc_id"))
-    single = kept(signed.join(first, ["tag", "doc_id"], "left_semi").dropDuplicates(["tag"]), "texts")
+    signed = told_apart(kept(sign(docs.where(F.col("doc_id").isNotNull())), "signatures"))
+    first = signed.groupBy("tag").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("tag", "first.*")
+    single = kept(signed.join(first, ["tag", "doc_id", "text_hash"], "left_semi").dropDuplicates(["tag"]), "texts")
     bands = single.select("tag", "doc_id", F.posexplode_outer("bands").alias("place", "band"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = kept(bands.join(sizes, "band"), "shared")
@@ -261,14 +285,14 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     stars = met.where("tag <> hub").groupBy("tag", "hub").agg(F.count(F.lit(1)).alias("shared"), F.min("hub_id").alias("hub_id"))
     stars = kept(stars, "stars")
     needed = met.select("tag").distinct()
-    wanted = kept(single.join(needed, "tag", "left_semi").select("tag", "doc_id"), "needed")
+    wanted = kept(single.join(needed, "tag", "left_semi").select("tag", "doc_id", "text_hash"), "needed")
     # merged, not broadcast, at every size: `wanted` grows with the corpus
-    texts = docs.join(wanted.hint("merge"), "doc_id").select("tag", "text")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("tag", "text")
     sets = kept(shingle_sets(texts), "shingles")
     nearest = stars.groupBy("tag").agg(F.max_by("hub", F.struct("shared", -F.col("hub_id"))).alias("hub"))
     links = kept(similar(nearest.select(F.col("tag").alias("a"), F.col("hub").alias("b")), sets, least), "links-0")
     tried = kept(nearest.select(F.least("tag", "hub").alias("a"), F.greatest("tag", "hub").alias("b")), "tried-0")
-    step = 0
+    step, spent = 0, [links, tried]
     while True:
         step += 1
         roots = components(links)
@@ -278,12 +302,16 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         pairs = across(members, CLOSEST).join(tried, ["a", "b"], "left_anti")
         pairs = kept(pairs, f"pairs-{step}")
         more = kept(similar(pairs, sets, least), f"links-{step}")
+        spent += [pairs, more]
         if more.isEmpty():
             break
+        forget(roots)
         links, tried = links.unionByName(more), tried.unionByName(pairs)
     rest = kept(remaining(members, sets, least), "rest")
     if not rest.isEmpty():
+        forget(roots)
         roots = components(links.unionByName(rest))
+    forget(shared, met, stars, wanted, sets, rest, *spent)
     roots = roots.withColumnRenamed("node", "tag")
     of_text = single.select("tag", "doc_id").join(roots, "tag", "left").withColumn("root", F.coalesce("root", "tag"))
     named = of_text.groupBy("root").agg(F.min("doc_id").alias("class_id"))

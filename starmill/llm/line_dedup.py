@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmill.llm.common import kept, read, word_count
+from starmill.llm.common import kept, read, spread_join, text_key, word_count
 from starmill.llm.shingles import U, mix
 
 #: A common block goes if its lines have so many characters together.
 LEAST_CHARS = 60
+#: Parts to which the holders of a line, and the partners of a document, are dealt.
+PARTS = 32
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -135,7 +137,7 @@ def common_lines(a: list[int], b: list[int], chars: list[int], least: int) -> li
 def line_arrays(docs: DataFrame) -> DataFrame:
     """doc_id, tag (of the text), hashes and lengths of the lines; a line counts without blanks at its ends, and an empty one hashes to 0."""
     text = F.coalesce("text", F.lit(""))
-    one = docs.select("doc_id", F.xxhash64(text).alias("tag"), F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)).alias("rows"))
+    one = docs.select("doc_id", text_key(text).alias("tag"), F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)).alias("rows"))
     return one.select("doc_id", "tag", F.transform("rows", lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(F.xxhash64(x))).alias("hashes"), F.transform("rows", lambda x: F.length(x)).alias("chars"))
 
 
@@ -158,7 +160,7 @@ def with_runs(arrays: DataFrame, least: int) -> DataFrame:
             values = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, values)], ["doc_id", "tag", "lines"])
 
-    told = arrays.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "hashes", "chars").mapInArrow(work, "doc_id long, tag long, lines array<long>")
+    told = arrays.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "hashes", "chars").mapInArrow(work, "doc_id long, tag binary, lines array<long>")
     return told.select("doc_id", "tag", F.explode("lines").alias("line"))
 
 
@@ -169,9 +171,10 @@ def overlaps(arrays: DataFrame, least: int) -> DataFrame:
     exceed the lines and runs (two for each line at most), however many documents share one. What is held once drops out before the join. The
     runs bring a block to a document that holds it where its lines stand earlier elsewhere, one by one.
     """
-    lines = with_runs(arrays, least).where("line <> 0")
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("holders")).where("holders > 1").select("line", "first")
-    pairs = lines.join(first, "line").where(F.struct("doc_id", "tag") != F.col("first")).select("doc_id", "tag", "first").distinct()
+    lines = with_runs(arrays, least).where("line <> 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    # any share of the documents may hold one line: they are dealt to parts, and its first holder is told to those that have some
+    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("holders"), F.collect_set("part").alias("parts")).where("holders > 1")
+    pairs = lines.join(first.select("line", "first", F.explode("parts").alias("part")), ["line", "part"]).where(F.struct("doc_id", "tag") != F.col("first")).select("doc_id", "tag", "first").distinct()
     return pairs.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag"))
 
 
@@ -180,11 +183,11 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     arrays = kept(line_arrays(docs.where(F.col("doc_id").isNotNull())), "lines")
     texts = arrays.groupBy("tag").agg(F.min("doc_id").alias("doc_id"))
     single = kept(arrays.join(texts, ["tag", "doc_id"], "left_semi").dropDuplicates(["tag", "doc_id"]), "texts")
-    pairs = overlaps(single, least)
+    pairs = kept(overlaps(single, least), "pairs")
     # which is `later` follows from the order of ids; the pairs get both line arrays, not the texts
     firsts = single.select(F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("hashes").alias("first_hashes"))
     laters = single.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), "hashes", "chars")
-    both = pairs.join(firsts, ["first_id", "first_tag"]).join(laters, ["later_id", "later_tag"]).select("later_id", "later_tag", "first_hashes", "hashes", "chars")
+    both = spread_join(pairs, firsts, ["first_id", "first_tag"], ["later_id"], PARTS).join(laters, ["later_id", "later_tag"]).select("later_id", "later_tag", "first_hashes", "hashes", "chars")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,12 +195,12 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
             gone = [common_lines(a, b, chars, least) for a, b, chars in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "tag", "removed"])
 
-    cut = both.mapInArrow(align, "doc_id long, tag long, removed array<int>").where(F.size("removed") > 0)
+    cut = both.mapInArrow(align, "doc_id long, tag binary, removed array<int>").where(F.size("removed") > 0)
     cut = cut.groupBy("tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
     # copies of an earlier text are aligned with it from end to end
-    copies = arrays.join(texts.withColumnRenamed("doc_id", "first_id"), "tag").select("doc_id", "tag", F.when(F.col("doc_id") > F.col("first_id"), F.when(F.aggregate("chars", F.lit(0), lambda a, c: a + c) >= least, F.sequence(F.lit(0), F.size("chars") - 1))).alias("whole"))
-    out = copies.join(cut, "tag", "left").select("doc_id", "tag", F.coalesce("whole", "removed").alias("removed")).where("removed is not null")
-    return out.dropDuplicates(["doc_id", "tag"])
+    sizes = arrays.select("doc_id", "tag", F.size("chars").alias("n_lines"), F.aggregate("chars", F.lit(0), lambda a, c: a + c).alias("n_chars")).where(F.col("n_chars") >= least).distinct()
+    copies = spread_join(sizes, texts.withColumnRenamed("doc_id", "first_id"), ["tag"], ["doc_id"], PARTS).where("doc_id > first_id")
+    return copies.select("doc_id", "tag", F.sequence(F.lit(0), F.col("n_lines") - 1).alias("removed")).unionByName(texts.join(cut, "tag").select("doc_id", "tag", "removed"))
 
 
 def drop_lines(text: Column, removed: Column) -> Column:
@@ -217,7 +220,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     one doc_id with other texts are ordered by a hash. An empty table gives no rows. A column `n_removed_lines` of docs is replaced.
     """
     lost = repeated_lines(docs, least).select(F.col("doc_id").alias("lost_id"), F.col("tag").alias("lost_tag"), F.col("removed").alias("lost_lines"))
-    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    tag = text_key(F.coalesce("text", F.lit("")))
     joined = docs.join(lost, (F.col("doc_id") == F.col("lost_id")) & (tag == F.col("lost_tag")), "left")
     columns = [drop_lines(docs["text"], F.col("lost_lines")).alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_removed_lines"]
     return joined.select(*columns, F.coalesce(F.array_size("lost_lines"), F.lit(0)).cast("long").alias("n_removed_lines"))

@@ -13,29 +13,48 @@ from pyspark.sql import functions as F
 
 from starmill.llm.common import constant_array, kept, read
 
-# Customary notices of licence families.
+# Customary notices of licence families, and the texts or headers that their publishers ask for.
 NOTICES = {
-    "apache": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"],
-    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "bsd": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "apache": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "mit": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."],
+    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "bsd": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "cc_by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc_by_sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc_by_nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-}
+}
 # Notices of no family above, which teach the unknown class.
 OTHERS = [
     "Licensed under the terms of the agreement between the parties.", "This work is licensed under a proprietary license.", "Released under our own license.", "All rights reserved.", "Copyright by the authors.",
     "See the license file for details.", "Permission is granted to members only.", "This software is subject to the terms of use of the vendor.", "Redistribution is not permitted.", "Licensed to the public by the publisher.",
+    "Licensed under the Eclipse Public License, version 2.0.", "Released under the zlib License.", "This software is distributed under the Boost Software License.", "Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: ISC",
+]
+# Notices in other words than those above, and of licences that are not among them. They calibrate, and teach nothing.
+CALIBRATION = [
+    ("apache", "This project is available under the Apache License 2.0, see the file for the License text."), ("apache", "Distributed under the Apache License, Version 2.0"), ("mit", "The code is made available under the terms of the MIT License"), ("mit", "MIT License, free of charge to any person"),
+    ("gpl", "You may redistribute this under the GNU General Public License version 2 or later"), ("gpl", "Covered by the GNU General Public License, version 3"), ("lgpl", "Linked code is under the GNU Lesser General Public License"), ("bsd", "Use in source and binary forms is permitted under the BSD License"),
+    ("mpl", "Files here are subject to the Mozilla Public License, version 2.0"), ("cc_by", "Text is available under a Creative Commons Attribution 4.0 License"), ("cc_by_sa", "Text is available under the Creative Commons Attribution-ShareAlike License"), ("cc_by_nc", "For use under CC BY-NC 4.0 only"),
+    ("unknown", "Licensed under the European Union Public Licence"), ("unknown", "This is released under the Do What You Want Public License"), ("unknown", "SPDX-License-Identifier: Unlicense"), ("unknown", "Distributed under the terms of the Common Development and Distribution License"),
+    ("unknown", "Use of this material is governed by a license of the company"), ("unknown", "This software is licensed, not sold"), ("unknown", "Licensed under the Open Software License version 3.0"), ("unknown", "Copyright held by the owner, used with permission"),
 ]
 NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [*NOTICES, UNKNOWN, NONE]
-#: Buckets of word n-grams; paragraphs of the corpus that teach `none`, at most; variants of each notice.
-BUCKETS, SAMPLE, VARIANTS = 4096, 3000, 12
+#: Buckets of word n-grams; documents and lines of the corpus that teach `none`, at most; variants of each notice.
+BUCKETS, SAMPLE_DOCS, SAMPLE, VARIANTS = 4096, 1000, 3000, 12
 #: Share of a template's word triples that confirms a family, and the grid of the calibration's factor.
 CONFIRMED, FACTORS = 0.5, (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
+#: Share of the evidence a licence needs that a line must have to be part of a paragraph of several lines.
+PART = 0.3
 WORDS = r"[\p{L}\p{N}]+"
 
 
@@ -65,20 +84,27 @@ def rows(spark: SparkSession, values: list[tuple], names: list[str]) -> DataFram
 
 
 def taught_notices(variants: int) -> list[tuple[str, int, int]]:
-    """(text, label, held out) of each notice and of variants of it without some words or with words around; a fifth is held out to calibrate."""
+    """(text, label, 0) of each notice and of variants of it without some words or with words around, and (text, label, 1) of the calibration's."""
     chance, out = random.Random(3), []
     around = ["", "this file is ", "note: ", "the code here is "]
     for label, name in enumerate(FAMILIES[:-1]):
         for text, k in product(NOTICES.get(name, OTHERS), range(variants)):
             words = text.split(" ")
             some = [w for w in words if len(words) < 8 or chance.random() > 0.04 * k / variants * 4]
-            out.append(((around[k % 4] if k else "") + " ".join(some), label, int(k % 5 == 4)))
-    return out
+            out.append(((around[k % 4] if k else "") + " ".join(some), label, 0))
+    return out + [(text, FAMILIES.index(name), 1) for name, text in CALIBRATION]
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (place from 0) and line of every line of the texts."""
-    return docs.select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("paragraph", "line"))
+def plain_lines(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_lines: int = SAMPLE) -> DataFrame:
+    """line and least (its hash) of at most `n_lines` lines without the words of any licence notice, from about `n_docs` documents of least text hash.
+
+    The bound on the hash follows from the number of documents, so the rest of the corpus drops out where it is read.
+    """
+    hint = r"(?i)licen[cs]|copyright|permission|rights reserved|redistribut|spdx|creative commons"
+    share = min(1.0, n_docs / max(1, docs.count()))
+    some = docs.where(F.col("text").isNotNull() & (F.shiftrightunsigned(F.xxhash64("text"), 11) < int(share * 2**53)))
+    lines = some.select(F.explode(F.split("text", "\n", -1)).alias("line")).where((F.col("line") != "") & ~F.col("line").rlike(hint))
+    return lines.select(F.xxhash64("line").alias("least"), "line").distinct().orderBy("least", "line").limit(n_lines)
 
 
 def _adder(weights: Column):  # noqa: ANN202
@@ -88,13 +114,12 @@ def _adder(weights: Column):  # noqa: ANN202
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Weights (families x buckets) and intercepts of a sparse multinomial logistic regression, calibrated.
 
-    It learns from the notices with their variants and from `sample` paragraphs of the corpus at most, those of least hash among
-    the ones without the words of any licence notice, as class none. A factor on all logits, the best of a grid on the held-out fifth, calibrates the probabilities.
+    It learns from the notices with their variants and from `sample` lines of the corpus at most, which are class none (see plain_lines).
+    A factor on all logits, the best of a grid, calibrates the probabilities: on notices in other words, on licences that taught nothing,
+    and on a fifth of the lines that is held out.
     """
     spark = docs.sparkSession
-    hint = r"(?i)licen[cs]|copyright|permission|rights reserved|redistribut|spdx|creative commons"
-    plain = docs.select(F.explode_outer(F.filter(F.split("text", "\n", -1), lambda x: (x != "") & ~x.rlike(hint))).alias("line")).where(F.col("line").isNotNull())
-    plain = plain.select(F.xxhash64("line").alias("least"), "line").distinct().orderBy("least", "line").limit(sample)
+    plain = plain_lines(docs, n_lines=sample)
     plain = plain.select("line", F.lit(len(FAMILIES) - 1).alias("label"), (F.pmod("least", F.lit(5)) == 4).cast("int").alias("held"))
     taught = rows(spark, taught_notices(VARIANTS), ["line", "label", "held"]).union(plain)
     taught = taught.select("label", "held", F.transform(ngrams(F.col("line")), lambda b: b.cast("string")).alias("grams"))
@@ -114,13 +139,29 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray
     return weights * best, biases * best
 
 
+def runs_of_lines(text: Column, evidence, start: float) -> Column:  # noqa: ANN001
+    """The parts of a text that may be a licence: arrays (paragraph: place of the first line, lines) of neighbouring lines with some evidence each, of one line with enough."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line"), evidence(x).alias("e")))
+    some = F.filter(lines, lambda x: x["e"] >= -start * PART - 1e-6)
+    none = F.array().cast("array<struct<paragraph:int,lines:array<struct<at:int,line:string,e:double>>>>")
+
+    def add(runs: Column, x: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        joins = F.coalesce(last["paragraph"] + F.size(last["lines"]) == x["at"], F.lit(False))
+        longer = F.array(F.struct(last["paragraph"].alias("paragraph"), F.concat(last["lines"], F.array(x)).alias("lines")))
+        return F.when(joins, F.concat(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), longer)).otherwise(F.concat(runs, F.array(F.struct(x["at"].alias("paragraph"), F.array(x).alias("lines")))))
+
+    return F.filter(F.aggregate(some, none, add), lambda r: (F.size(r["lines"]) > 1) | (F.get(r["lines"], F.lit(0))["e"] >= -start - 1e-6))
+
+
 def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """One row per licence paragraph: doc_id, paragraph, family, probability, similarity, confirmed.
+    """One row per licence paragraph: doc_id, paragraph (place of its first line), n_lines, family, probability, similarity, confirmed.
 
-    A paragraph is a line. The classifier scores every one of them; those it takes for a licence are compared with
-    its family's templates: the best share of a template's word triples that it holds. family is `unknown` where the
+    A paragraph is a line, or a run of neighbouring lines that each have some words of a licence, as notices are wrapped: the run counts as one where none
+    of its lines is a licence by itself. Marks of comments are no words and change nothing. The classifier scores every paragraph; those it takes
+    for a licence are compared with its family's templates: the best share of a template's word triples that it holds. family is `unknown` where the
     classifier says so or where that share is below CONFIRMED. Before the families' logits comes their common bound: per
-    n-gram the largest weight of any family over that of `none`, so paragraphs below it can't be a licence.
+    n-gram the largest weight of any family over that of `none`, so lines below it can't be a licence.
 
     Null and empty texts have no paragraphs to find. Repeated rows are scanned each on its own; a null doc_id is kept. An empty table
     gives no rows. Other columns are not read.
@@ -128,24 +169,32 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) ->
     weights, biases = model or train(docs)
     n = len(FAMILIES)
     weights, biases = np.round(weights, 3), np.round(biases, 3)
-    above = (weights[:-1] - weights[-1]).max(0)
-    bound, start = constant_array(above, 3), float((biases[:-1] - biases[-1]).max())
-    gate = lambda line: F.aggregate(ngrams(line), F.lit(start), _adder(bound))
-    found = docs.select("doc_id", F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda x: gate(x["line"]) >= -1e-6).alias("hits"))
-    found = found.select("doc_id", F.explode_outer("hits").alias("hit")).where(F.col("hit").isNotNull()).select("doc_id", "hit.paragraph", "hit.line")
-    found = kept(found, "hits").select("*", ngrams(F.col("line")).alias("grams"))
-    logit = [F.aggregate("grams", F.lit(float(b)), _adder(constant_array(w, 3))) for w, b in zip(weights, biases, strict=True)]
-    found = found.select("doc_id", "paragraph", "line", F.array(*logit).alias("z")).select("*", F.array_max("z").alias("top"))
-    found = found.select("doc_id", "paragraph", "line", F.array_position("z", F.col("top")).alias("at"), (1 / F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top")))).alias("probability"))
-    found = found.where(F.col("at") < n)
-    told = found.select("doc_id", "paragraph", "line", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("at").cast("int")).alias("guess"), "probability")
-    templates = rows(docs.sparkSession, [(f, t) for f, texts in NOTICES.items() for t in texts], ["family", "template"]).select("family", triples(F.col("template")).alias("wanted"))
-    wanted = templates.groupBy("family").agg(F.collect_list("wanted").alias("templates"))
-    told = told.join(F.broadcast(wanted), told["guess"] == wanted["family"], "left").select("doc_id", "paragraph", "guess", "probability", "templates", triples(F.col("line")).alias("held"))
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("held"))) / F.size(t)))
-    told = told.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "guess", "probability", F.coalesce(share, F.lit(0.0)).alias("similarity"))
-    confirmed = (F.col("guess") != UNKNOWN) & (F.col("similarity") >= CONFIRMED)
-    return told.select("doc_id", "paragraph", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", confirmed.alias("confirmed"))
+    bound, start = constant_array((weights[:-1] - weights[-1]).max(0), 3), float((biases[:-1] - biases[-1]).max())
+    found = docs.select("doc_id", runs_of_lines(F.col("text"), lambda line: F.aggregate(ngrams(line), F.lit(0.0), _adder(bound)), start).alias("runs"))
+    found = kept(found.select("doc_id", F.explode_outer("runs").alias("run")).where(F.col("run").isNotNull()).select("doc_id", "run.paragraph", F.transform("run.lines", lambda x: x["line"]).alias("lines")), "hits")
+    templates = rows(docs.sparkSession, [(f, t) for f, texts in NOTICES.items() for t in texts], ["family", "template"]).select("family", triples(F.col("template")).alias("wanted")).collect()
+    of_family = F.create_map(*[c for f in NOTICES for c in (F.lit(f), F.array(*[F.lit(r["wanted"]) for r in templates if r["family"] == f]))])
+
+    def judged(text: Column, at: Column, n_lines: Column) -> Column:
+        logits = lambda grams: F.array(*[F.aggregate(grams, F.lit(float(b)), _adder(constant_array(w, 3))) for w, b in zip(weights, biases, strict=True)])
+        share = lambda family: F.array_max(F.transform(F.element_at(of_family, family), lambda t: F.size(F.array_intersect(t, triples(text))) / F.size(t)))
+
+        def told(z: Column) -> Column:
+            top = F.array_max(z)
+            guess = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position(z, top).cast("int"))
+            probability = 1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+            return F.struct(at.cast("long").alias("paragraph"), n_lines.cast("long").alias("n_lines"), guess.alias("guess"), probability.alias("probability"), F.when(~guess.isin(NONE, UNKNOWN), share(guess)).otherwise(0.0).alias("similarity"))
+
+        return let(let(ngrams(text), logits), told)
+
+    one = F.transform("lines", lambda x, i: judged(x, F.col("paragraph") + i, F.lit(1)))
+    licences = lambda x: x["guess"] != NONE
+    whole = F.when(F.size("lines") > 1, F.array(judged(F.array_join("lines", " "), F.col("paragraph"), F.size("lines")))).otherwise(F.array().cast("array<struct<paragraph:bigint,n_lines:bigint,guess:string,probability:double,similarity:double>>"))
+    found = found.select("doc_id", F.filter(one, licences).alias("one"), F.filter(whole, licences).alias("whole"))
+    sure = lambda name: F.exists(name, lambda x: x["similarity"] >= CONFIRMED)
+    told = found.select("doc_id", F.explode(F.when(sure("whole") & ~sure("one"), F.col("whole")).otherwise(F.col("one"))).alias("p")).select("doc_id", "p.*")
+    confirmed = F.col("similarity") >= CONFIRMED
+    return told.select("doc_id", "paragraph", "n_lines", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", confirmed.alias("confirmed"))
 
 
 def op10_licence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

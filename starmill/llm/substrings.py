@@ -16,8 +16,8 @@ from starmill.llm.suffixes import suffix_arrays
 
 #: Bytes of a match and of an anchor.
 LENGTH, ANCHOR = 50, 16
-#: Rows that a task takes to its suffix arrays at once. An anchor with more occurrences is dealt by whole windows; of such anchors so many are broadcast.
-ROWS, FREQUENT, BROADCAST = 1 << 17, 100_000, 100_000
+#: Rows that a task looks at at once, and symbols that it takes to suffix arrays at once. An anchor with more occurrences than FREQUENT is dealt by whole windows; of such anchors so many are broadcast.
+ROWS, SYMBOLS, FREQUENT, BROADCAST = 1 << 16, 1 << 20, 100_000, 100_000
 #: Bits of an anchor that its own text can do without, and parts over which the rows of an anchor known to be shared are spread.
 BRIEF, SALTS = 17, 1 << 12
 
@@ -168,11 +168,11 @@ def first_owners(data: np.ndarray, begin: np.ndarray, group: np.ndarray, owner:
     """
     size = np.diff(begin)
     ends = begin[1:] + np.arange(1, len(size) + 1)
-    symbols = np.zeros(len(data) + len(size), np.int64)
+    symbols = np.zeros(len(data) + len(size), np.uint16)
     fill = np.ones(len(symbols), bool)
     fill[ends - 1] = False
-    symbols[fill] = data.astype(np.int64) + 1
-    piece = np.repeat(np.arange(len(size)), size + 1)
+    symbols[fill] = data.astype(np.uint16) + 1
+    piece = np.repeat(np.arange(len(size), dtype=np.int32), size + 1)
     head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     starts = np.r_[0, ends[:-1]]
     sa = suffix_arrays(symbols, np.r_[starts[head], len(symbols)])
@@ -229,8 +229,14 @@ def owned(h: np.ndarray, doc: np.ndarray, spot: np.ndarray, data: np.ndarray, be
     if len(one):
         result[where(one)] = np.repeat(who[one], count[one])
     if len(many):
+        # whole groups, as many at once as have SYMBOLS bytes
         size = count[many] + length - 1
-        result[where(many)] = first_owners(bytes_at(data, pb[many], size), np.r_[0, np.cumsum(size)], group[many], who[many], length)
+        lead_of = np.flatnonzero(np.r_[True, group[many][1:] != group[many][:-1]])
+        turn = np.cumsum(np.add.reduceat(size, lead_of)) // SYMBOLS
+        cuts = lead_of[np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]])]
+        for a, b in zip(cuts, np.r_[cuts[1:], len(many)], strict=True):
+            some = many[a:b]
+            result[where(some)] = first_owners(bytes_at(data, pb[some], size[a:b]), np.r_[0, np.cumsum(size[a:b])], group[some], who[some], length)
     return result, np.c_[at_lead[:-1], at_lead[1:]][back]
 
 

@@ -22,7 +22,7 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
     renamed or sorted again. All strings go one step at a time together, so that a step is a few array operations.
     """
     n, size = len(symbols), np.diff(begin)
-    string = np.repeat(np.arange(len(size)), size)
+    string = np.repeat(np.arange(len(size), dtype=np.int64), size)
     sa = np.argsort(narrow(symbols), kind="stable")
     sa = sa[np.argsort(narrow(string)[sa], kind="stable")]
     head = np.r_[True, (symbols[sa][1:] != symbols[sa][:-1]) | (string[sa][1:] != string[sa][:-1])][:n]
@@ -74,7 +74,7 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
             group[at] = np.repeat(to[sub], length)
         top[going] = low
         going = going[low > begin[going]]
-    free, done = np.arange(n), np.zeros(n, bool)
+    free, done = np.arange(n, dtype=np.int64), np.zeros(n, bool)
     by_size = np.argsort(-size, kind="stable")
     ends = np.sort(size)
     count = len(size) - np.searchsorted(ends, np.arange(ends[-1] if len(ends) else 0), "right")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starmill.functions.columns import total
+from starmill.operators.tables import row_ids
 
 
 def cut_catalog(df: DataFrame, rates: Sequence[str], flag_filters: Sequence[str] = ()) -> DataFrame:
@@ -48,7 +49,9 @@ def remove_bands(models: DataFrame, array: str, bands: Sequence[str], drop: Sequ
 
 
 def chunks(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], size: int) -> DataFrame:
-    """Adds `sub`: pieces of `size` rows in an order within `by`."""
+    """Adds `sub`: pieces of `size` rows in an order within `by`; without `by` by ranges of the order (columns), so no task has all rows."""
+    if not by:
+        return row_ids(df, order, "place_of").withColumn("sub", F.floor(F.col("place_of") / size).cast("int")).drop("place_of")
     w = W.partitionBy(*by).orderBy(*order)
     return df.withColumn("sub", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
@@ -69,3 +72,20 @@ def progress(stats: DataFrame, catalog: DataFrame, by: Sequence[str]) -> DataFra
     done = stats.groupBy(*by).agg(F.count(F.when(F.col("pmax") != 0, 1)).alias("fitted"))
     out = catalog.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(done, list(by), "left").withColumn("fitted", F.coalesce("fitted", F.lit(0)))
     return out.withColumn("state", F.when(F.col("fitted") >= F.col("n"), "done").when(F.col("fitted") > 0, "resume").otherwise("run"))
+
+
+def filter_tracks(tracks: DataFrame, order: str = "eep", first: float = 5, luminosity: str = "log_l", least: float = 0.3) -> DataFrame:
+    """Without the points before the main sequence (an order below `first`) and the unphysical ones (a luminosity below `least`)."""
+    return tracks.where(~((F.col(order) < first) | (F.col(luminosity) < least)))
+
+
+def region_subset(df: DataFrame, windows: dict[str, tuple[float, float]]) -> DataFrame:
+    """Rows inside a window of each column, ends included."""
+    for c, (lo, hi) in windows.items():
+        df = df.where(F.col(c).between(lo, hi))
+    return df
+
+
+def threshold_subset(df: DataFrame, column: str, threshold: float, above: bool = True) -> DataFrame:
+    """Rows whose column is above (or below) a threshold."""
+    return df.where(F.col(column) > threshold if above else F.col(column) < threshold)

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log, pi
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,8 +56,9 @@ def stars_to_models(stars: DataFrame, prepared: DataFrame, columns: Sequence[str
     """Every star with every model: star_id, model_id, columns, chi2 and lnp.
 
     Up to `most` stars go to every executor (their number is looked up first) and each partition of models meets them
-    there; more are joined block by block by Spark's Cartesian product.
+    there; more are joined block by block by Spark's Cartesian product. The models are dealt out anew first: however few files hold them, all cores get some.
     """
+    prepared = prepared.repartition(2 * max(prepared.sparkSession.sparkContext.defaultParallelism, int(prepared.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     few = len(stars.select(F.lit(1)).limit(most + 1).groupBy().count().where(F.col("count") <= most).take(1)) > 0
     sides = (prepared, F.broadcast(stars)) if few else (prepared, stars)
     c2 = chi2([F.col(f) for f in bands.flux], [F.col(f"p_{k}") for k in range(len(bands.flux))], [F.col(f"w_{k}") for k in range(len(bands.flux))])
@@ -156,13 +158,14 @@ def percentile_of_sorted(pairs: Column, p: float) -> Column:
     return F.get(F.transform(F.array(sums), pick), F.lit(0))
 
 
-def weighted_percentile(rows: DataFrame, by: str, value: str, weight: str, percentiles: Sequence[float]) -> DataFrame:
+def weighted_percentile(rows: DataFrame, by: str | Sequence[str], value: str, weight: str, percentiles: Sequence[float]) -> DataFrame:
     """One row per key with p<percentile> columns; weights must not be negative and not all 0. Equal values are one point. By windows, so any number of rows per key."""
     if any(not 0 <= p <= 100 for p in percentiles):
         raise ValueError("percentiles lie in 0 to 100")
-    points = rows.groupBy(by, F.col(value).alias("x")).agg(F.sum(weight).alias("w")).where("w > 0")
-    order = W.partitionBy(by).orderBy("x")
-    c = points.select(by, "x", ((F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("w") / 2) / F.sum("w").over(W.partitionBy(by))).alias("c"))
+    by = [by] if isinstance(by, str) else list(by)
+    points = rows.groupBy(*by, F.col(value).alias("x")).agg(F.sum(weight).alias("w")).where("w > 0")
+    order = W.partitionBy(*by).orderBy("x")
+    c = points.select(*by, "x", ((F.sum("w").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("w") / 2) / F.sum("w").over(W.partitionBy(*by))).alias("c"))
     c = c.select("*", F.lead("x").over(order).alias("x1"), F.lead("c").over(order).alias("c1"), F.row_number().over(order).alias("rn"))
 
     def at(p: float) -> Column:
@@ -170,21 +173,22 @@ def weighted_percentile(rows: DataFrame, by: str, value: str, weight: str, perce
         inside = F.when((F.col("c") <= q) & (F.col("c1") > q), F.col("x") + (F.col("x1") - F.col("x")) * (q - F.col("c")) / (F.col("c1") - F.col("c")))
         return F.coalesce(F.max(inside), F.max(F.when((F.col("rn") == 1) & (F.col("c") > q), F.col("x"))), F.max("x"))
 
-    return c.groupBy(by).agg(*[at(p).alias(f"p{p:g}") for p in percentiles])
+    return c.groupBy(*by).agg(*[at(p).alias(f"p{p:g}") for p in percentiles])
 
 
 def fit(stars: DataFrame, models: DataFrame, noise: DataFrame, params: Sequence[str], percentiles: Sequence[float] = (16, 50, 84), threshold: float = THRESHOLD, max_bins: int = 50, bands: Bands = BANDS) -> dict[str, DataFrame]:
-    """stats, pdf1d, pdf2d and lnp of a catalogue. Percentiles come from the 1-D tables."""
+    """stats, pdf1d, pdf2d and lnp of a catalogue. Percentiles come from the 1-D tables.
+
+    The likely rows are kept on the executors' disks (persist), so the product of stars and models is made once for all four; what an executor loses is made anew.
+    """
     ready = positive_weight(attach_noise(models, noise), bands)
-    rows = sparse(stars, ready, params, threshold, bands)
-    specs = [bin_spec(models, p, max_bins) for p in params]
-    one = pdf1d(rows, specs)
-    stats = summary(rows, params)
-    for p in params:
-        some = weighted_percentile(one.where(F.col("param") == p), "star_id", "bin_val", "p", percentiles)
-        stats = stats.join(some.select("star_id", *[F.col(f"p{q:g}").alias(f"{p}_p{q:g}") for q in percentiles]), "star_id")
+    rows = sparse(stars, ready, params, threshold, bands).persist(StorageLevel.DISK_ONLY)
+    one = pdf1d(rows, [bin_spec(models, p, max_bins) for p in params])
+    some = weighted_percentile(one, ["star_id", "param"], "bin_val", "p", percentiles)
+    # one row per star again: each parameter has one row there
+    wide = some.groupBy("star_id").agg(*[F.max(F.when(F.col("param") == p, F.col(f"p{q:g}"))).alias(f"{p}_p{q:g}") for p in params for q in percentiles])
     even = [bin_spec(models, p, max_bins, uniform=True) for p in params]
-    return {"stats": stats, "pdf1d": one, "pdf2d": pdf2d(rows, even), "lnp": rows.select("star_id", "model_id", "lnp", "chi2")}
+    return {"stats": summary(rows, params).join(wide, "star_id"), "pdf1d": one, "pdf2d": pdf2d(rows, even), "lnp": rows.select("star_id", "model_id", "lnp", "chi2")}
 
 
 def lnp_sample(rows: DataFrame, most: int, seed: int = 1) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starmill.functions import extinction
 from starmill.functions.columns import dilute
+from starmill.operators.sky import in_polygon
 
 
 def regrid(tracks: DataFrame, by: Sequence[str], x: str, step: float, low: float, high: float, columns: Sequence[str]) -> DataFrame:
@@ -48,15 +50,57 @@ def condense(tracks: DataFrame, by: Sequence[str], order: str, l: str, t: str, d
 
 
 def between_ages(iso: DataFrame, by: Sequence[str], age: str, target: float, rank: str, columns: Sequence[str]) -> DataFrame:
-    """An isochrone at `target` from those of the two nearest ages around it: rows paired by their place in `rank`, blended in log age."""
-    ages = iso.agg(F.max(F.when(F.col(age) <= target, F.col(age))).alias("a0"), F.min(F.when(F.col(age) >= target, F.col(age))).alias("a1")).first()
-    a0, a1 = (ages["a0"] if ages["a0"] is not None else ages["a1"]), (ages["a1"] if ages["a1"] is not None else ages["a0"])
+    """An isochrone at `target` from those of two ages: rows paired by their place in `rank`, blended in log age.
+
+    The ages are the nearest on either side; where the target lies outside, the two nearest, from which it is carried on. Of a single age it is that one's.
+    """
+    near = lambda c, order: [r[0] for r in iso.where(c).select(age).distinct().orderBy(order).limit(2).collect()]
+    below, above = near(F.col(age) <= target, F.desc(age)), near(F.col(age) > target, F.asc(age))
+    if not below and not above:
+        return iso.select(*by, F.lit(0).alias("place"), *columns).limit(0)
+    a0, a1 = (below[0], above[0]) if below and above else (*(below or above), *(below or above)[-1:])[:2]
     t = 0.0 if a1 == a0 else (target - a0) / (a1 - a0)
     w = W.partitionBy(*by).orderBy(rank)
     one, two = (iso.where(F.col(age) == a).withColumn("place", F.row_number().over(w)).select(*by, "place", *[F.col(c).alias(f"{c}_{k}") for c in columns]) for k, a in enumerate((a0, a1)))
     return one.join(two, [*by, "place"]).select(*by, "place", *[(F.col(f"{c}_0") * (1 - t) + F.col(f"{c}_1") * t).alias(c) for c in columns])
 
 
+def lattice_interp(points: DataFrame, lattice: DataFrame, axes: Sequence[str], columns: Sequence[str], point: str) -> DataFrame:
+    """point and each column, linear along every axis between the corners of the lattice's cell around a point.
+
+    The axes' values are short lists and go to every executor; corners are met by an equi-join on them, so the lattice may have any size.
+    Points outside the axes, and those with a corner of some weight that the lattice lacks, get no row. The lattice has a row per node.
+    """
+    marks = lattice.agg(*[F.array_sort(F.collect_set(a)).alias(f"{a}_marks") for a in axes])
+    rows = points.select(point, *axes).crossJoin(F.broadcast(marks))
+    for a in axes:
+        x = F.col(a)
+        inside = (x >= F.element_at(f"{a}_marks", 1)) & (x <= F.element_at(f"{a}_marks", -1))
+        below, above = F.array_max(F.filter(f"{a}_marks", lambda m: m <= F.col(a))), F.array_min(F.filter(f"{a}_marks", lambda m: m >= F.col(a)))
+        rows = rows.where(inside).withColumn(f"{a}_0", below).withColumn(f"{a}_1", above)
+        t = F.when(F.col(f"{a}_1") > F.col(f"{a}_0"), (F.col(a) - F.col(f"{a}_0")) / (F.col(f"{a}_1") - F.col(f"{a}_0"))).otherwise(0.0)
+        rows = rows.withColumn(f"{a}_corner", F.explode(F.filter(F.array(F.struct(F.col(f"{a}_0").alias("at"), (1 - t).alias("w")), F.struct(F.col(f"{a}_1").alias("at"), t.alias("w"))), lambda e: e["w"] > 0)))
+    weight = F.lit(1.0)
+    for a in axes:
+        weight = weight * F.col(f"{a}_corner.w")
+    corners = rows.select(point, weight.alias("w"), *[F.col(f"{a}_corner.at").alias(a) for a in axes])
+    met = corners.join(lattice.select(*axes, *columns), list(axes)).groupBy(point).agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
+    return met.where(F.col("w") > 1 - 1e-9).select(point, *columns)
+
+
+def which_library(x: Column, y: Column, libraries: Sequence[Sequence[tuple[float, float]]], padded: Sequence[Sequence[tuple[float, float]]] = ()) -> Column:
+    """Number from 1 of the first library whose boundary holds a point, then of the first whose padded boundary does; 0 for none."""
+    return F.coalesce(*[F.when(in_polygon(x, y, p), k % len(libraries) + 1) for k, p in enumerate([*libraries, *padded])], F.lit(0))
+
+
+def stack_libraries(*libraries: DataFrame) -> DataFrame:
+    """Spectra of several libraries as one: `library` is the place in the list from 1, by which which_library() prefers them."""
+    out = libraries[0].withColumn("library", F.lit(1))
+    for k, more in enumerate(libraries[1:], 2):
+        out = out.unionByName(more.withColumn("library", F.lit(k)), allowMissingColumns=True)
+    return out
+
+
 def distance_grid(spectra: DataFrame, parsecs: Sequence[float], fluxes: Sequence[str]) -> DataFrame:
     """Every spectrum at every distance; fluxes are those at 10 pc."""
     d = spectra.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(p)) for p in parsecs])).alias("distance"))
@@ -73,6 +117,17 @@ def dust_points(spark, av: Sequence[float], rv: Sequence[float], fa: Sequence[fl
     return d.where(ok).withColumn("rv_a", rv_a(F.col("rv"), F.col("f_a"), rv_b))
 
 
+def dust_grid(models: DataFrame, dust: DataFrame, waves: dict[str, float], law: str = "ccm89", other: str = "g03_smc", unit: str = "tau") -> DataFrame:
+    """Every model behind every dust point (see dust_points; a bounded table): the fluxes of bands at effective wavelengths `waves`, dimmed by f_a of one law with R_V of rv_a and the rest of another.
+
+    unit: tau for exp(-A), mag for 10 ** (-0.4 A), with A the law's value times av.
+    """
+    curves = [extinction.mixture(extinction.LAWS[law](F.lit(w), F.col("rv_a")), extinction.LAWS[other](F.lit(w)), F.col("f_a")).alias(f"a_{b}") for b, w in waves.items()]
+    both = models.crossJoin(F.broadcast(dust.select("av", "rv", "f_a", "rv_a", *curves)))
+    dim = (lambda a: F.exp(-a)) if unit == "tau" else (lambda a: F.pow(F.lit(10.0), -0.4 * a))
+    return both.select(*[c for c in models.columns if c not in waves], "av", "rv", "f_a", "rv_a", *[(F.col(b) * dim(F.col("av") * F.col(f"a_{b}"))).alias(b) for b in waves])
+
+
 def rv_a(rv: Column, f_a: Column, rv_b: float = 2.74) -> Column:
     """R_V of the part of a mixture that follows the first law."""
     return F.when(f_a > 0, 1 / (1 / (rv * f_a) - (1 - f_a) / (f_a * rv_b)))

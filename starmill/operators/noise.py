@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,11 +73,49 @@ def ast_covariance(asts: DataFrame, key: str, inputs: Sequence[str], outputs: Se
 
 
 def knn_blend(models: DataFrame, nodes: DataFrame, fluxes: Sequence[str], values: Sequence[str], k: int = 10) -> DataFrame:
-    """model_id and each value blended over the k nearest nodes in log10 flux, by 1 / max(distance, 0.01). Nodes are the distinct inputs of the tests, a bounded table."""
-    near = nodes.select(F.col("node_id"), *[F.log10(f).alias(f"n_{f}") for f in fluxes], *values)
-    logs = models.select("model_id", *[F.log10(f).alias(f"m_{f}") for f in fluxes])
-    d = F.sqrt(sum((F.pow(F.col(f"m_{f}") - F.col(f"n_{f}"), 2) for f in fluxes), F.lit(0.0)))
-    both = logs.crossJoin(F.broadcast(near)).select("model_id", F.struct(d.alias("d"), "node_id", *values).alias("e"))
-    top = both.withColumn("place", F.row_number().over(W.partitionBy("model_id").orderBy("e.d", "e.node_id"))).where(F.col("place") <= k)
-    w = 1 / F.greatest(F.col("e.d"), F.lit(0.01))
-    return top.groupBy("model_id").agg(*[(F.sum(w * F.col(f"e.{v}")) / F.sum(w)).alias(v) for v in values])
+    """model_id and each value blended over the k nearest nodes in log10 flux, by 1 / max(distance, 0.01). Nodes are the distinct inputs of the tests, a bounded table.
+
+    All nodes are one array that goes to every executor, and a model sorts its distances in its own row: no pair is shuffled.
+    """
+    logs = lambda prefix: [F.log10(f).alias(f"{prefix}_{f}") for f in fluxes]
+    near = nodes.select(F.struct("node_id", *logs("n"), *values).alias("e")).agg(F.array_sort(F.collect_list("e")).alias("nodes"))
+    both = models.select("model_id", *logs("m")).crossJoin(F.broadcast(near))
+
+    def at(e: Column) -> Column:
+        d = F.sqrt(sum(((F.col(f"m_{f}") - e[f"n_{f}"]) * (F.col(f"m_{f}") - e[f"n_{f}"]) for f in fluxes), F.lit(0.0)))
+        return F.struct(d.alias("d"), e["node_id"].alias("node_id"), (1 / F.greatest(d, F.lit(0.01))).alias("w"), *[e[v].alias(v) for v in values])
+
+    top = both.select("model_id", F.slice(F.array_sort(F.transform("nodes", at)), 1, k).alias("top"))
+    total = lambda f: F.aggregate("top", F.lit(0.0), lambda a, e: a + f(e))
+    return top.select("model_id", *[(total(lambda e, v=v: e["w"] * e[v]) / total(lambda e: e["w"])).alias(v) for v in values])
+
+
+#: Noise models by name: functions of models and what they are fitted on, giving model_id with bias, error and completeness.
+MODELS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def register(name: str) -> Callable:
+    def put(f: Callable) -> Callable:
+        MODELS[name] = f
+        return f
+
+    return put
+
+
+@register("toothpick")
+def toothpick(models: DataFrame, asts: DataFrame, flux: str, absflux: float = 0.0, **how: object) -> DataFrame:
+    """A band's noise from bins of artificial-star tests."""
+    return toothpick_noise(models, toothpick_bins(asts, **how), flux, absflux)
+
+
+@register("splinter")
+def splinter(models: DataFrame, asts: DataFrame | None, flux: str, absflux: float = 0.0, fraction: float = 0.1) -> DataFrame:
+    """A band's noise as a fraction of the flux; takes no tests."""
+    return splinter_noise(models, [flux], fraction, absflux).select("model_id", F.col("bias_0").alias("bias"), F.col("error_0").alias("error"), F.col("compl_0").alias("completeness"))
+
+
+def noise_model(name: str, models: DataFrame, asts: DataFrame | None, flux: str, **how: object) -> DataFrame:
+    """The noise of one band by a registered model."""
+    if name not in MODELS:
+        raise ValueError(f"no noise model {name}; there are {', '.join(sorted(MODELS))}")
+    return MODELS[name](models, asts, flux, **how)

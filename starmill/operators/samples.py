@@ -3,33 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starmill.operators.tables import in_ranges
+
 
 def unit(seed: int, *keys: Column | str) -> Column:
-    """A number in (0, 1) by a hash of the keys: the same on every run and partitioning."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1) by a hash of the keys: the same on every run, partitioning and engine (the first 13 hexadecimal digits of an MD5)."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
-def cumulative(df: DataFrame, weight: str, order: str, parts: int = 64) -> DataFrame:
-    """Adds `below` and `upto`, the running sums of a weight before and with each row, by two levels: within hashed parts, and over the parts' totals."""
+def cumulative(df: DataFrame, weight: str, order: str, rows_per_part: int = 1 << 20) -> DataFrame:
+    """Adds `below` and `upto`, the running sums of a weight before and with each row in an order, by two levels: within ranges of the order, and over the ranges' totals."""
     w = W.partitionBy("part_of").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    rows = df.withColumn("part_of", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int")).withColumn("inner_sum", F.sum(weight).over(w))
-    totals = rows.groupBy("part_of").agg(F.sum(weight).alias("part_sum"))
+    placed = in_ranges(df, [order], rows_per_part)
+    rows = placed.withColumn("inner_sum", F.sum(weight).over(w))
+    totals = placed.groupBy("part_of").agg(F.sum(weight).alias("part_sum"))
     before = totals.select("part_of", F.coalesce(F.sum("part_sum").over(W.orderBy("part_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     out = rows.join(F.broadcast(before), "part_of").withColumn("upto", F.col("before") + F.col("inner_sum"))
-    return out.withColumn("below", F.col("upto") - F.col(weight)).drop("inner_sum", "before")
+    return out.withColumn("below", F.col("upto") - F.col(weight)).drop("inner_sum", "before", "part_of")
+
+
+def offset(seed: int) -> float:
+    """A number in (0, 1) for a whole draw: unit() of the seed alone."""
+    return (int(md5(str(seed).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
 
 
 def sample_models(models: DataFrame, n: int, weight: Column, seed: int = 1) -> DataFrame:
     """n draws with replacement by weight: model columns and `draw`. Systematic over the running sums: draw k takes the model that holds (k + u) / n of the total, u by the seed; so each model knows its own draws, and no draw is joined."""
     rows = cumulative(models.withColumn("draw_w", weight.cast("double")).where("draw_w > 0"), "draw_w", "model_id")
     total = rows.agg(F.sum("draw_w").alias("t")).scalar()
-    u = (hash((seed, 7)) % 997 + 0.5) / 997
-    first, last = F.ceil(F.col("below") / total * n - u), F.ceil(F.col("upto") / total * n - u) - 1
+    first, last = F.ceil(F.col("below") / total * n - offset(seed)), F.ceil(F.col("upto") / total * n - offset(seed)) - 1
     drawn = rows.withColumn("k0", F.greatest(first, F.lit(0))).withColumn("k1", F.least(last, F.lit(n - 1))).where("k0 <= k1")
     return drawn.select(*models.columns, F.explode(F.sequence("k0", "k1")).alias("draw"))
 
@@ -92,12 +101,22 @@ def positions_near(stars: DataFrame, n_per: int, r0: float, r1: float, box: tupl
     return out.where(F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3]))
 
 
-def positions_in_tiles(models: DataFrame, tiles: DataFrame, realize: int, seed: int = 1) -> DataFrame:
-    """Each model `realize` times in each bin of a density map: a tile of the bin by the seed, and a place in it."""
+def positions_in_tiles(models: DataFrame, tiles: DataFrame, realize: int, seed: int = 1, inside: Column | None = None, tries: int = 8) -> DataFrame:
+    """Each model `realize` times in each bin of a density map: a tile of the bin by the seed, and a place in it.
+
+    inside: a condition on ra and decl (the catalogue's box, a region, a filter's hull). Of `tries` seeded places the first that it holds for is taken;
+    a row whose places all lie outside is left out.
+    """
     ranked = tiles.withColumn("rank", F.row_number().over(W.partitionBy("bin").orderBy("i_ra", "i_dec")))
     bins = ranked.groupBy("bin").agg(F.count(F.lit(1)).alias("tiles"))
     rows = models.select("model_id", F.explode(F.sequence(F.lit(0), F.lit(realize - 1))).alias("realization")).crossJoin(F.broadcast(bins))
-    rows = rows.withColumn("rank", F.floor(unit(seed, "model_id", "realization", "bin") * F.col("tiles")).cast("int") + 1)
-    placed = rows.join(F.broadcast(ranked), ["bin", "rank"])
-    at = lambda a, b, s: F.col(a) + (F.col(b) - F.col(a)) * unit(s, "model_id", "realization", "bin")
-    return placed.select("model_id", "realization", "bin", at("min_ra", "max_ra", seed + 1).alias("ra"), at("min_dec", "max_dec", seed + 2).alias("decl"))
+    rows = rows.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1 if inside is not None else 0))))
+    keys = ["model_id", "realization", "bin", "try"]
+    rows = rows.withColumn("rank", F.floor(unit(seed, *keys) * F.col("tiles")).cast("int") + 1)
+    placed = rows.join(ranked.select("bin", "rank", "min_ra", "max_ra", "min_dec", "max_dec"), ["bin", "rank"])
+    at = lambda a, b, s: F.col(a) + (F.col(b) - F.col(a)) * unit(s, *keys)
+    placed = placed.select(*keys, at("min_ra", "max_ra", seed + 1).alias("ra"), at("min_dec", "max_dec", seed + 2).alias("decl"))
+    if inside is None:
+        return placed.drop("try")
+    first = placed.where(inside).groupBy(*keys[:3]).agg(F.min(F.struct("try", "ra", "decl")).alias("p"))
+    return first.select(*keys[:3], "p.ra", "p.decl")

@@ -110,8 +110,40 @@ def map_shape(ra0: float, ra1: float, dec0: float, dec1: float, pixel: float) ->
     return max(1, ceil((ra1 - ra0) * cos(radians((dec0 + dec1) / 2)) / pixel)), max(1, ceil((dec1 - dec0) / pixel))
 
 
-def source_density(df: DataFrame, ra_edges: Sequence[float], dec_edges: Sequence[float], condition: Column | None = None, ra: str = "ra", dec: str = "decl") -> DataFrame:
-    """i_ra, i_dec, n, value (rows per square degree) and edges of every tile, empty ones too."""
+def clipped_area(box: tuple[float, float, float, float], corners: np.ndarray) -> float:
+    """Area of the part of a box (x0, x1, y0, y1) inside a convex polygon with counter-clockwise corners: the box is cut along each side."""
+    x0, x1, y0, y1 = box
+    shape = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    for (ax, ay), (bx, by) in zip(corners, np.roll(corners, -1, 0), strict=True):
+        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in shape]
+        cut = []
+        for k, (p, d) in enumerate(zip(shape, side, strict=True)):
+            q, e = shape[k - 1], side[k - 1]
+            if (d >= 0) != (e >= 0):
+                t = e / (e - d)
+                cut.append((q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
+            if d >= 0:
+                cut.append(p)
+        shape = cut
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(shape, [*shape[1:], *shape[:1]], strict=True))) / 2
+
+
+def overlap_fraction(tiles: DataFrame, corners: Sequence[tuple[float, float]]) -> DataFrame:
+    """Adds `overlap`: the share of a tile (min_ra, max_ra, min_dec, max_dec) inside a hull, by its counter-clockwise corners."""
+    hull = np.asarray(corners, float)
+
+    def share(x0: pd.Series, x1: pd.Series, y0: pd.Series, y1: pd.Series) -> pd.Series:
+        boxes = zip(x0, x1, y0, y1, strict=True)
+        return pd.Series([clipped_area(b, hull) / ((b[1] - b[0]) * (b[3] - b[2])) for b in boxes], dtype=float)
+
+    return tiles.withColumn("overlap", F.pandas_udf(share, "double")("min_ra", "max_ra", "min_dec", "max_dec"))
+
+
+def source_density(df: DataFrame, ra_edges: Sequence[float], dec_edges: Sequence[float], condition: Column | None = None, ra: str = "ra", dec: str = "decl", hull: Sequence[tuple[float, float]] | None = None) -> DataFrame:
+    """i_ra, i_dec, n, value (rows per square degree) and edges of every tile, empty ones too.
+
+    hull: counter-clockwise corners of the catalogue's hull. A tile's area is then the part inside; tiles with half of their area or less there have the value 0.
+    """
     spark = df.sparkSession
     n_ra, n_dec = len(ra_edges) - 1, len(dec_edges) - 1
     step_ra, step_dec = (ra_edges[-1] - ra_edges[0]) / n_ra, (dec_edges[-1] - dec_edges[0]) / n_dec
@@ -120,7 +152,14 @@ def source_density(df: DataFrame, ra_edges: Sequence[float], dec_edges: Sequence
     tiles = spark.range(n_ra * n_dec).select((F.col("id") % n_ra).cast("int").alias("i_ra"), F.floor(F.col("id") / n_ra).cast("int").alias("i_dec"))
     tiles = tiles.select("*", (F.col("i_ra") * step_ra + ra_edges[0]).alias("min_ra"), ((F.col("i_ra") + 1) * step_ra + ra_edges[0]).alias("max_ra"), (F.col("i_dec") * step_dec + dec_edges[0]).alias("min_dec"), ((F.col("i_dec") + 1) * step_dec + dec_edges[0]).alias("max_dec"))
     area = step_dec * step_ra * F.cos(F.radians((F.col("min_dec") + F.col("max_dec")) / 2))
-    return tiles.join(counts, ["i_ra", "i_dec"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("value", F.col("n") / area)
+    found = (tiles if hull is None else overlap_fraction(tiles, hull)).join(counts, ["i_ra", "i_dec"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.withColumn("value", F.col("n") / area if hull is None else F.when(F.col("overlap") > 0.5, F.col("n") / (area * F.col("overlap"))).otherwise(0.0))
+
+
+def onto_rows(df: DataFrame, tiles: DataFrame, value: str, ra_edges: Sequence[float], dec_edges: Sequence[float], ra: str = "ra", dec: str = "decl") -> DataFrame:
+    """The rows with the value of the tile that holds them."""
+    at = df.withColumn("i_ra", tile_index(F.col(ra), ra_edges)).withColumn("i_dec", tile_index(F.col(dec), dec_edges))
+    return at.join(F.broadcast(tiles.select("i_ra", "i_dec", value)), ["i_ra", "i_dec"], "left").drop("i_ra", "i_dec")
 
 
 def bin_density_map(tiles: DataFrame, n: int, mode: str = "linear") -> DataFrame:
@@ -149,6 +188,22 @@ def tile_median(rows: DataFrame, value: str, ra_edges: Sequence[float], dec_edge
     return rows.groupBy(tile_index(F.col(ra), ra_edges).alias("i_ra"), tile_index(F.col(dec), dec_edges).alias("i_dec")).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
 
 
+def background_map(stars: DataFrame, pixels: DataFrame, r: float, width: float, ra_edges: Sequence[float], dec_edges: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """Of stars (star_id, ra, decl, x, y): the median of their aperture backgrounds and their number per tile, and the stars with their own and their tile's background."""
+    own = stars.join(aperture_background(stars, pixels, r, width).select("star_id", "background"), "star_id")
+    tiles = tile_median(own, "background", ra_edges, dec_edges)
+    return tiles, onto_rows(own, tiles, "median", ra_edges, dec_edges)
+
+
+def inside_hull(x: Column, y: Column, corners: Sequence[tuple[float, float]], margin: float = 0.0) -> Column:
+    """Whether a point lies in a convex polygon (counter-clockwise corners) and further than `margin` from each of its sides."""
+    inside = F.lit(True)
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
+        inside = inside & (((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / length >= margin)
+    return inside
+
+
 def largest_separation(df: DataFrame, by: Sequence[str], ra: str = "ra", dec: str = "decl") -> DataFrame:
     """Box of the positions of each part."""
     return df.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in (ra, dec) for n, f in (("min", F.min), ("max", F.max))])

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starmill.functions.columns import flux2mag
+from starmill.functions.columns import digitize, flux2mag
+from starmill.operators.tables import row_ids
 
 
 def star_type_prob(pdf2d: DataFrame, p1: str, p2: str, box1: tuple[float, float], box2: tuple[float, float]) -> DataFrame:
@@ -70,7 +71,7 @@ def faint_limit(df: DataFrame, mag: str, offset: float = 0.0) -> DataFrame:
 
 def noise_curves(models: DataFrame, flux: str, bias: str, sigma: str, compl: str, every: int) -> DataFrame:
     """log flux, relative bias and sigma, completeness of every `every`-th model (by id) of positive sigma."""
-    rows = models.where(F.col(sigma) > 0).withColumn("place", F.row_number().over(W.orderBy("model_id"))).where((F.col("place") - 1) % every == 0)
+    rows = row_ids(models.where(F.col(sigma) > 0), ["model_id"], "place").where(F.col("place") % every == 0)
     return rows.select("model_id", F.log10(flux).alias("log_flux"), (F.col(bias) / F.col(flux)).alias("rel_bias"), (F.col(sigma) / F.col(flux)).alias("rel_sigma"), F.col(compl).alias("compl"))
 
 
@@ -86,3 +87,29 @@ def region_counts(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame
 def one_star(stats: DataFrame, bands: Sequence[str], quantities: Sequence[str]) -> DataFrame:
     """Long form (star_id, band, quantity, value) of columns <band>_<quantity>."""
     return stats.select("star_id", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(q).alias("quantity"), F.col(f"{b}_{q}").alias("value")) for b in bands for q in quantities])).alias("e")).select("star_id", "e.*")
+
+
+def flux_hist(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
+    """k (number of edges at or below a value) and share of all rows over 4 units of width, of rows that are few kinds apart."""
+    n = df.agg(F.count(F.lit(1)).alias("all"))
+    counts = df.groupBy(digitize(F.col(value), list(edges)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(F.broadcast(n)).select("k", (F.col("n") / (F.col("all") * float(edges[1] - edges[0]))).alias("share"))
+
+
+def condense_regions(df: DataFrame, region: Column, value: str) -> DataFrame:
+    """region, largest, smallest and n: what a region's gathered values start and end with, and how many they are, without gathering them."""
+    return df.groupBy(region.alias("region")).agg(F.max(value).alias("largest"), F.min(value).alias("smallest"), F.count(F.lit(1)).alias("n"))
+
+
+def colour_magnitude(df: DataFrame, blue: str, red: str, key: str = "star_id") -> DataFrame:
+    """Colour blue - red and red magnitude of the rows with positive rates in both bands."""
+    good = df.where((F.col(blue) > 0) & (F.col(red) > 0))
+    return good.select(key, (flux2mag(F.col(blue)) - flux2mag(F.col(red))).alias("colour"), flux2mag(F.col(red)).alias("mag"))
+
+
+def positive_in_all(df: DataFrame, rates: Sequence[str], key: str = "star_id") -> DataFrame:
+    """Keys of the rows with a positive rate in every band: the intersection of the bands' sets, in one pass."""
+    out = df
+    for r in rates:
+        out = out.where(F.col(r) > 0)
+    return out.select(key).distinct()

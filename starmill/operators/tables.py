@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def names_like(df: DataFrame, fields: str | Sequence[str], full: bool = False) -> list[str]:
@@ -96,9 +98,92 @@ def stack(tables: Sequence[DataFrame], defaults: dict[str, object] | None = None
     return out.fillna(defaults) if defaults else out
 
 
-def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id", parts: int = 64) -> DataFrame:
-    """Consecutive numbers from 0 in an order, by two levels: ranges of the order are numbered each by itself and shifted by what lies before."""
-    placed = df.repartitionByRange(parts, *order).withColumn("part_of", F.spark_partition_id())
-    inner = placed.withColumn("place_in", F.row_number().over(W.partitionBy("part_of").orderBy(*order)))
+def sort_keys(order: Sequence[str]) -> list[Column]:
+    """Sort columns of an order: names, with - ahead for descending ones (nulls last there)."""
+    return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+
+
+def in_ranges(df: DataFrame, order: Sequence[str], rows_per_part: int = 1 << 20, most: int = 256) -> DataFrame:
+    """Adds `part_of`: the number of a row's range of the order (see sort_keys), from 0 up; as many ranges of nearly equal size as hold `rows_per_part` rows, up to `most`.
+
+    The ranges' ends are fixed numbers of the plan, drawn by a hash from the rows (a hundred a range at most come to the driver): every use of the result has the same ranges.
+    A descending column that is no number ends the part of the order that the ranges follow.
+    """
+    n = df.count()
+    parts = max(1, min(most, -(-n // rows_per_part)))
+    keys: list[Column] = []
+    for c in order:
+        if not c.startswith("-"):
+            keys.append(F.col(c))
+        elif isinstance(df.schema[c[1:]].dataType, NumericType):
+            keys += [F.col(c[1:]).isNull(), -F.col(c[1:])]
+        else:
+            break
+    if parts == 1 or not keys:
+        return df.withColumn("part_of", F.lit(0))
+    share = min(1.0, 50 * parts / n)
+    names = [f"k{i}" for i in range(len(keys))]
+    some = df.select(*[k.alias(c) for k, c in zip(keys, names, strict=True)])
+    drawn = some.where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct().orderBy(*names).limit(100 * parts).collect()
+    ends = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
+    key = F.struct(*[k.alias(c) for k, c in zip(keys, names, strict=True)])
+    ends = [F.struct(*[F.lit(v).cast(some.schema[c].dataType).alias(c) for c, v in zip(names, e, strict=True)]) for e in ends]
+
+    def at(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key < ends[mid], at(low, mid)).otherwise(at(mid + 1, high))
+
+    return df.withColumn("part_of", at(0, len(ends)))
+
+
+def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id", rows_per_part: int = 1 << 20) -> DataFrame:
+    """Consecutive numbers from 0 in an order (see sort_keys), by two levels: ranges of the order are numbered each by itself and shifted by what lies before."""
+    placed = in_ranges(df, order, rows_per_part)
+    inner = placed.withColumn("place_in", F.row_number().over(W.partitionBy("part_of").orderBy(*sort_keys(order))))
     before = placed.groupBy("part_of").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return inner.join(F.broadcast(before.select("part_of", "before")), "part_of").withColumn(name, F.col("before") + F.col("place_in") - 1).drop("part_of", "place_in", "before")
+
+
+def unique_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """q: the distinct values of several columns together."""
+    return df.select(F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("q")).distinct()
+
+
+def without(df: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among the used ones."""
+    return df.join(used.select(key), key, "left_anti")
+
+
+def callables(df: DataFrame, functions: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The grid after each of a caller's functions, in their order: each takes a grid and gives it back with what it adds."""
+    for f in functions:
+        df = df.transform(f)
+    return df
+
+
+def elementwise(f: Callable[[pd.Series], pd.Series], returns: str = "double") -> Callable[[Column], Column]:
+    """A column function from one of numpy arrays or pandas Series, for what columns can't say; a batch at a time."""
+
+    def batch(values: pd.Series) -> pd.Series:
+        return pd.Series(f(values))
+
+    return F.pandas_udf(batch, returns)
+
+
+# Names that expressions know from numpy, and what Spark calls them.
+NUMPY_NAMES = {"log10": "log10", "log": "ln", "exp": "exp", "sqrt": "sqrt", "abs": "abs", "absolute": "abs", "power": "power", "where": "if", "maximum": "greatest", "minimum": "least", "sin": "sin", "cos": "cos", "tan": "tan", "arcsin": "asin", "arccos": "acos", "arctan": "atan", "arctan2": "atan2", "isnan": "isnan", "floor": "floor", "ceil": "ceil", "sign": "signum", "deg2rad": "radians", "rad2deg": "degrees"}
+
+
+def expression(text: str, **values: float | str) -> Column:
+    """An expression over columns with numpy's names of functions (np. ahead or not), & | ~ ** == between terms, and bound values by :name."""
+    out = re.sub(r"\b(?:np|numpy)\.", "", text)
+    out = re.sub(r"\b(" + "|".join(NUMPY_NAMES) + r")\s*\(", lambda m: NUMPY_NAMES[m[1]] + "(", out)
+    out = out.replace("==", "=").replace("&", " AND ").replace("|", " OR ").replace("~", " NOT ")
+    while (cut := re.sub(r"(\w*\([^()]*\)|[\w.]+)\s*\*\*\s*(-?[\w.]+|\([^()]*\))", r"power(\1, \2)", out)) != out:
+        out = cut
+    for name, value in values.items():
+        quoted = "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+        out = re.sub(rf":{name}\b", lambda _, q=quoted: q, out)
+    return F.expr(out)

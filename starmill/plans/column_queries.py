@@ -1,5 +1,6 @@
 """Queries of column functions, priors, weights and extinction."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from starmill.functions import columns as C
@@ -42,7 +43,7 @@ def _euler(v):
     return v("fx_stars").select("star_id", l.alias("l"), b.alias("b"))
 
 
-@query("m4_iau_name", "star_id name", f"SELECT star_id, 'BEAST J' || {sexa('ra/15', 4, '')} || '-' || {sexa('abs(decl)', 3, '')} AS name FROM fx_stars".replace("BEAST", "GRID"))
+@query("m4_iau_name", "star_id name", f"SELECT star_id, 'GRID J' || {sexa('ra/15', 4, '')} || '-' || {sexa('abs(decl)', 3, '')} AS name FROM fx_stars")
 def _iau(v):
     return v("fx_stars").select("star_id", C.iau_name(F.col("ra"), F.col("decl"), "GRID").alias("name"))
 
@@ -135,6 +136,45 @@ def _ccm(v):
     return v("part").select(F.col("p_partkey").alias("k"), extinction.LAWS["ccm89"](1100.0 + 4 * F.col("p_partkey"), 3.1).alias("a"))
 
 
+def pieces_sql(knots, values, x: str) -> str:
+    """A spline's cubics as cases."""
+    rows = extinction.spline_basis(knots) @ np.asarray(values)
+    cases = " ".join(f"WHEN {x}<{float(knots[i + 1])!r}e0 THEN " + "+".join(f"({c!r}e0)*power({x}-{float(knots[i])!r}e0,{k})" for k, c in enumerate(map(float, row))) for i, row in enumerate(rows))
+    return f"CASE {cases} END"
+
+
+def uv_number(x: float, rv: float, c, x0: float, gamma: float) -> float:
+    return 1 + (c[0] + c[1] * x + c[2] * x * x / ((x * x - x0 * x0) ** 2 + x * x * gamma * gamma)) / rv
+
+
+F99_SLOPE = -0.824 + 4.717 / 3.1
+F99_UV = (2.030 - 3.007 * F99_SLOPE, F99_SLOPE, 3.23, 0.41)
+F99_KNOTS = [*extinction.F99_ANCHORS, *extinction.UV_ANCHORS]
+F99_AT = [*[v / 3.1 for v in extinction.F99_INFRARED], *[sum(c * 3.1**k for k, c in enumerate(cs)) / 3.1 for cs in extinction.F99_OPTICAL], *[uv_number(k, 3.1, F99_UV, 4.596, 0.99) for k in extinction.UV_ANCHORS]]
+SMC_KNOTS = [*extinction.SMC_ANCHORS, *extinction.UV_ANCHORS]
+SMC_AT = [*extinction.SMC_VALUES, *[uv_number(k, 2.74, extinction.SMC_UV, 4.6, 1.0) for k in extinction.UV_ANCHORS]]
+
+
+def law_sql(knots, values, rv: float, c, x0: float, gamma: float) -> str:
+    far = f"({c[3]!r}e0)*CASE WHEN x>=5.9e0 THEN 0.5392e0*power(x-5.9e0,2)+0.05644e0*power(x-5.9e0,3) ELSE 0 END"
+    uv = f"1+(({c[0]!r}e0)+({c[1]!r}e0)*x+({c[2]!r}e0)*x*x/(power(x*x-{x0 * x0!r}e0,2)+x*x*{gamma * gamma!r}e0)+{far})/{rv!r}e0"
+    return f"WITH w AS (SELECT p_partkey AS k, 0.3001e0+0.0048e0*(p_partkey % 2000) AS x FROM part) SELECT k, CASE WHEN x>=1e4/2700e0 THEN {uv} ELSE {pieces_sql(knots, values, 'x')} END AS a FROM w"
+
+
+def at_x(v, law, *rv):
+    return v("part").select(F.col("p_partkey").alias("k"), law(1e4 / (0.3001 + 0.0048 * (F.col("p_partkey") % 2000)), *rv).alias("a"))
+
+
+@query("m18_f99", "k ~a", law_sql(F99_KNOTS, F99_AT, 3.1, F99_UV, 4.596, 0.99))
+def _f99(v):
+    return at_x(v, extinction.LAWS["f99"], 3.1)
+
+
+@query("m18_smc", "k ~a", law_sql(SMC_KNOTS, SMC_AT, 2.74, extinction.SMC_UV, 4.6, 1.0))
+def _smc_all(v):
+    return at_x(v, extinction.LAWS["g03_smc"])
+
+
 @query("m18_smc_uv", "k ~a", "WITH w AS (SELECT p_partkey AS k, 1e4/(1100+0.7e0*p_partkey) AS x FROM part) SELECT k, 1+(-4.959e0+2.264e0*x+0.389e0*x*x/(power(x*x-4.6e0*4.6e0,2)+x*x)+0.461e0*CASE WHEN x>=5.9e0 THEN 0.5392e0*power(x-5.9e0,2)+0.05644e0*power(x-5.9e0,3) ELSE 0 END)/2.74e0 AS a FROM w WHERE x>=1/0.27e0")
 def _smc(v):
     return v("part").select(F.col("p_partkey").alias("k"), extinction.LAWS["g03_smc_uv"](1100.0 + 0.7 * F.col("p_partkey")).alias("a")).where("a IS NOT NULL")

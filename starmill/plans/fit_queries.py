@@ -115,9 +115,10 @@ def _info(v):
     return merge.grid_info(v("fx_models"), PARAMS)
 
 
-@query("a11_reduce_grid_info", "param ~min ~max", "WITH u AS (SELECT 'av' AS param, av AS q FROM fx_models UNION ALL SELECT 'rv', rv FROM fx_models UNION ALL SELECT 'log_a', log_a FROM fx_models) SELECT param, min(q) AS min, max(q) AS max FROM u GROUP BY param")
+@query("a11_reduce_grid_info", "param ~min ~max #num_unique ~q_sum", "WITH u AS (SELECT 'av' AS param, av AS q FROM fx_models UNION ALL SELECT 'rv', rv FROM fx_models UNION ALL SELECT 'log_a', log_a FROM fx_models) SELECT param, min(q) AS min, max(q) AS max, count(DISTINCT q) AS num_unique, sum(DISTINCT q) AS q_sum FROM u GROUP BY param")
 def _reduce(v):
-    return merge.reduce_grid_info(merge.grid_info(merge.split_grid(v("fx_models"), 4), PARAMS, ["subgrid"]))
+    out = merge.reduce_grid_info(merge.grid_info(merge.split_grid(v("fx_models"), 4), PARAMS, ["subgrid"]))
+    return out.withColumn("q_sum", F.aggregate("unique_vals", F.lit(0.0), lambda a, q: a + q))
 
 
 def _parts(v):
@@ -205,9 +206,9 @@ def _cov(v):
     return noise.ast_covariance(a, "k", ["i0", "i1"], ["o0", "o1"], ["m"])
 
 
-@query("j12_knn_blend", "model_id ~bias", "WITH n AS (SELECT star_id AS node_id, f0, f1, f2, f0*0.01e0 AS bias FROM fx_stars WHERE star_id % 2 = 0), d AS (SELECT m.model_id, n.node_id, n.bias, sqrt(power(log10(m.f0)-log10(n.f0),2)+power(log10(m.f1)-log10(n.f1),2)+power(log10(m.f2)-log10(n.f2),2)) AS d FROM fx_models m CROSS JOIN n), k AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY d, node_id) AS r FROM d) SELECT model_id, sum(bias/greatest(d,0.01e0))/sum(1/greatest(d,0.01e0)) AS bias FROM k WHERE r<=10 GROUP BY model_id")
+@query("j12_knn_blend", "model_id ~bias", "WITH n AS (SELECT star_id AS node_id, f0, f1, f2, f0*0.01e0 AS bias FROM fx_stars), d AS (SELECT m.model_id, n.node_id, n.bias, sqrt(power(log10(m.f0)-log10(n.f0),2)+power(log10(m.f1)-log10(n.f1),2)+power(log10(m.f2)-log10(n.f2),2)) AS d FROM fx_models m CROSS JOIN n), k AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY d, node_id) AS r FROM d) SELECT model_id, sum(bias/greatest(d,0.01e0))/sum(1/greatest(d,0.01e0)) AS bias FROM k WHERE r<=10 GROUP BY model_id")
 def _knn(v):
-    nodes = v("fx_stars").where("star_id % 2 = 0").selectExpr("star_id AS node_id", "f0", "f1", "f2", "f0*0.01e0 AS bias")
+    nodes = v("fx_stars").selectExpr("star_id AS node_id", "f0", "f1", "f2", "f0*0.01e0 AS bias")
     return noise.knn_blend(v("fx_models"), nodes, ["f0", "f1", "f2"], ["bias"])
 
 

@@ -49,4 +49,13 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not ahead:
         return body
-    return f"WITH {ahead}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {ahead} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{ahead}, {body[len(start):]}"
+    return f"WITH {ahead} {body}"
+
+
+def unit_sql(seed: int, *keys: str) -> str:
+    """samples.unit() in SQL."""
+    text = ", ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"((CAST('0x' || substr(md5(concat_ws(':', {text})), 1, 13) AS BIGINT)+0.5e0)/4503599627370496e0)"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from starmill.operators import catalogues as K
 from starmill.operators import samples, sky
+from starmill.plans.fixtures import unit_sql
 from starmill.plans.registry import query
 
 SEP = "degrees(2*asin(sqrt(power(sin(radians(b.decl-a.decl)/2),2)+cos(radians(a.decl))*cos(radians(b.decl))*power(sin(radians(b.ra-a.ra)/2),2))))"
@@ -35,10 +36,9 @@ def _brightest(v):
     return sky.brightest_within(v("fx_stars"), v("fx_catalog"), 0.0021, "star_id", "star_id", "f475w_rate")
 
 
-@query("j9_tile_for_position", "star_id #i_ra #i_dec", f"SELECT star_id, {tile('ra', RA)} AS i_ra, {tile('decl', DEC)} AS i_dec FROM fx_stars WHERE abs((ra-80)/0.0101e0-round((ra-80)/0.0101e0))>1e-6 AND abs((decl+69)/0.0101e0-round((decl+69)/0.0101e0))>1e-6")
+@query("j9_tile_for_position", "star_id #i_ra #i_dec", f"SELECT star_id, {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec FROM fx_stars")
 def _tile(v):
-    off = [F.abs(x / 0.0101 - F.round(x / 0.0101)) > 1e-6 for x in (F.col("ra") - 80, F.col("decl") + 69)]
-    return v("fx_stars").where(off[0] & off[1]).select("star_id", sky.tile_index(F.col("ra"), RA).alias("i_ra"), sky.tile_index(F.col("decl"), DEC).alias("i_dec"))
+    return v("fx_stars").select("star_id", sky.tile_index(F.col("ra") + 0.00005, RA).alias("i_ra"), sky.tile_index(F.col("decl") + 0.00005, DEC).alias("i_dec"))
 
 
 @query("j11_points_in_polygon", "star_id", "SELECT star_id FROM fx_stars WHERE ra>80.0105e0 AND ra<80.0705e0 AND decl>-68.9955e0 AND decl<-68.9745e0")
@@ -58,6 +58,26 @@ def _density(v):
     return sky.source_density(stars, RA, DEC, F.col("f0") > 14)
 
 
+HULL = [(80.0043, -68.9957), (80.0457, -68.9957), (80.0457, -68.9637), (80.0043, -68.9637)]
+SHARE = "(greatest(0e0, least(80e0+0.0101e0*(t.i_ra+1), 80.0457e0)-greatest(80e0+0.0101e0*t.i_ra, 80.0043e0))*greatest(0e0, least(-69e0+0.0101e0*(t.i_dec+1), -68.9637e0)-greatest(-69e0+0.0101e0*t.i_dec, -68.9957e0))/(0.0101e0*0.0101e0))"
+
+
+@query("a22_hull_density", "#i_ra #i_dec #n ~overlap ~value", f"WITH t AS (SELECT i.i AS i_ra, j.j AS i_dec FROM range(5) i(i), range(4) j(j)), c AS (SELECT {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec, count(*) AS n FROM fx_stars GROUP BY ALL) SELECT t.i_ra, t.i_dec, coalesce(n,0) AS n, {SHARE} AS overlap, CASE WHEN {SHARE}>0.5e0 THEN coalesce(n,0)/(0.0101e0*0.0101e0*cos(radians(-69e0+0.0101e0*(t.i_dec+0.5e0)))*{SHARE})/3600 ELSE 0 END AS value FROM t LEFT JOIN c USING (i_ra, i_dec)", 3)
+def _hull_density(v):
+    stars = v("fx_stars").withColumns({"ra": F.col("ra") + 0.00005, "decl": F.col("decl") + 0.00005})
+    return sky.source_density(stars, RA, DEC, hull=HULL).withColumn("value", F.col("value") / 3600)  # per square minute
+
+
+APERTURE = "s AS (SELECT star_id, CAST(star_id*7 % 100 AS DOUBLE) AS sx, CAST(star_id*13 % 90 AS DOUBLE) AS sy FROM fx_stars), p AS (SELECT model_id % 100 + 0.25e0 AS x, CAST(floor(model_id/100e0) AS DOUBLE)*4+0.5e0 AS y, f0 AS v FROM fx_models), b AS (SELECT star_id, x, y, v, sqrt(power(x-sx,2)+power(y-sy,2)) AS d FROM s, p WHERE abs(x-sx)<=6 AND abs(y-sy)<=6), g AS (SELECT star_id, avg(v) AS background FROM b WHERE d>2 AND d<=6 AND NOT EXISTS (SELECT 1 FROM b c WHERE c.x=b.x AND c.y=b.y AND c.d<=2) GROUP BY star_id)"
+
+
+@query("a23_background_on_stars", "star_id ~background ~median", f"WITH {APERTURE}, o AS (SELECT star_id, background, {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec FROM g JOIN fx_stars USING (star_id)) SELECT star_id, background, median(background) OVER (PARTITION BY i_ra, i_dec) AS median FROM o")
+def _background_back(v):
+    stars = v("fx_stars").selectExpr("star_id", "ra+0.00005e0 AS ra", "decl+0.00005e0 AS decl", "CAST(star_id*7 % 100 AS DOUBLE) AS x", "CAST(star_id*13 % 90 AS DOUBLE) AS y")
+    pixels = v("fx_models").selectExpr("model_id % 100 + 0.25e0 AS x", "CAST(floor(model_id/100e0) AS DOUBLE)*4+0.5e0 AS y", "f0 AS v")
+    return sky.background_map(stars, pixels, 2.0, 4.0, RA, DEC)[1]
+
+
 @query("a23_background_map", "#i_ra #i_dec ~median #n", f"SELECT {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec, median(f0) AS median, count(*) AS n FROM fx_stars GROUP BY ALL")
 def _background(v):
     stars = v("fx_stars").withColumns({"ra": F.col("ra") + 0.00005, "decl": F.col("decl") + 0.00005})
@@ -100,7 +120,7 @@ def _color(v):
 
 @query("p15_filter_tracks", "track_row", "SELECT track_row FROM fx_tracks WHERE NOT (eep<5 OR log_l<0.3e0)")
 def _filter(v):
-    return v("fx_tracks").where(~((F.col("eep") < 5) | (F.col("log_l") < 0.3)))
+    return K.filter_tracks(v("fx_tracks"))
 
 
 @query("p17_remove_filters", "model_id ~first ~last #n", "SELECT model_id, f0 AS first, f2 AS last, 2 AS n FROM fx_models")
@@ -114,9 +134,18 @@ def _erode(v):
     return sky.inside_box(v("fx_stars"), 0.0095, 0.0045)
 
 
+CORNERS = [(80.003, -68.997), (80.061, -68.991), (80.037, -68.961)]
+SIDES = " AND ".join(f"(({bx - ax!r}e0)*(decl-({ay!r}e0))-({by - ay!r}e0)*(ra-({ax!r}e0)))/{((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5!r}e0>=0.0023e0" for (ax, ay), (bx, by) in zip(CORNERS, [*CORNERS[1:], CORNERS[0]], strict=True))
+
+
+@query("p22_erode_hull", "star_id", f"SELECT star_id FROM fx_stars WHERE {SIDES}")
+def _erode_hull(v):
+    return v("fx_stars").where(sky.inside_hull(F.col("ra"), F.col("decl"), CORNERS, 0.0023)).select("star_id")
+
+
 @query("p23_threshold_subset", "star_id", "SELECT star_id FROM fx_stars WHERE f0 BETWEEN 14 AND 20 AND f1>12")
 def _window(v):
-    return v("fx_stars").where(F.col("f0").between(14, 20) & (F.col("f1") > 12))
+    return K.threshold_subset(K.region_subset(v("fx_stars"), {"f0": (14, 20)}), "f1", 12)
 
 
 @query("w12_split_by_density", "star_id #sd_bin #sub", "WITH b AS (SELECT *, CAST(floor(f2/3e0) AS INT) AS sd_bin FROM fx_stars), r AS (SELECT *, row_number() OVER (PARTITION BY sd_bin ORDER BY f0, star_id) AS rn, count(*) OVER (PARTITION BY sd_bin) AS n FROM b) SELECT star_id, sd_bin, floor((rn-1)/ceil(n/ceil(n/7e0))) AS sub FROM r")
@@ -153,25 +182,36 @@ def _progress(v):
     return K.progress(done, stars, ["part"])
 
 
-@query("w16_cumulative", "model_id ~below ~upto", None)
+@query("w16_cumulative", "model_id ~below ~upto", "SELECT model_id, sum(weight) OVER w - weight AS below, sum(weight) OVER w AS upto FROM fx_models WINDOW w AS (ORDER BY model_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def _cumulative(v):
-    return samples.cumulative(v("fx_models"), "weight", "model_id", 4)
+    return samples.cumulative(v("fx_models"), "weight", "model_id", 300)
+
 
+def drawn_sql(weight: str) -> str:
+    """samples.sample_models() of 500 in SQL: a common table `drawn`."""
+    u = f"{samples.offset(1)!r}e0"
+    return f"""m AS (SELECT fx_models.model_id, {weight} AS w FROM fx_models JOIN fx_noise ON fx_noise.model_id=fx_models.model_id WHERE {weight}>0), c AS (SELECT *, sum(w) OVER (ORDER BY model_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, sum(w) OVER () AS t FROM m),
+r AS (SELECT model_id, CAST(greatest(ceil((upto-w)/t*500-{u}), 0) AS BIGINT) AS k0, CAST(least(ceil(upto/t*500-{u})-1, 499) AS BIGINT) AS k1 FROM c), drawn AS (SELECT model_id, unnest(range(k0, k1+1)) AS draw FROM r WHERE k0<=k1)"""
 
-@query("s1_sample_models", "model_id #draw", None)
+
+@query("s1_sample_models", "model_id #draw", f"WITH {drawn_sql('weight*c0*c1*c2')} SELECT model_id, draw FROM drawn")
 def _s1(v):
     rows = v("fx_models").join(v("fx_noise"), "model_id")
     return samples.sample_models(rows, 500, F.col("weight") * F.col("c0") * F.col("c1") * F.col("c2"))
 
 
-@query("s2_synthetic_catalog", "model_id #draw ~obs_0 ~mag_0 ~obs_2", None)
+def normal_sql(seed: int) -> str:
+    return f"sqrt(-2e0*ln({unit_sql(seed, 'model_id', 'draw')}))*cos(2e0*pi()*{unit_sql(seed + 1, 'model_id', 'draw')})"
+
+
+@query("s2_synthetic_catalog", "model_id #draw ~obs_0 ~mag_0 ~obs_2", f"WITH {drawn_sql('weight*c0')}, o AS (SELECT d.model_id, draw, f0+b0+abs(e0)*{normal_sql(1).replace('model_id', 'd.model_id')} AS obs_0, f2+b2+abs(e2)*{normal_sql(5).replace('model_id', 'd.model_id')} AS obs_2 FROM drawn d JOIN fx_models m ON m.model_id=d.model_id JOIN fx_noise n ON n.model_id=d.model_id) SELECT *, CASE WHEN obs_0>0 THEN -2.5e0*log10(obs_0) ELSE 99.999e0 END AS mag_0 FROM o")
 def _s2(v):
     rows = v("fx_models").join(v("fx_noise"), "model_id")
     drawn = samples.sample_models(rows, 500, F.col("weight") * F.col("c0"))
     return samples.synthetic_catalog(drawn, ["f0", "f1", "f2"], ["b0", "b1", "b2"], ["e0", "e1", "e2"])
 
 
-@query("s3_thinned_sample", "model_id #draw", None)
+@query("s3_thinned_sample", "model_id #draw", f"WITH {drawn_sql('weight')} SELECT d.model_id, draw FROM drawn d JOIN fx_noise n ON n.model_id=d.model_id WHERE {unit_sql(1, 'd.model_id', 'draw')}<=c0*c1*c2")
 def _s3(v):
     rows = v("fx_models").join(v("fx_noise"), "model_id")
     return samples.thin(samples.sample_models(rows, 500, F.col("weight")), F.col("c0") * F.col("c1") * F.col("c2"))
@@ -182,7 +222,10 @@ def _s4(v):
     return samples.pick_per_group(v("fx_models").where("f0 < 20"), ["log_a"], 5, 3).groupBy("log_a").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s5_flux_bin_models", "model_id", None)
+BINNED = " UNION ALL ".join(f"SELECT model_id, {k} AS band, least(floor((f{k}-lo)/((hi-lo)/10)), 9) AS bin FROM fx_models, (SELECT min(f{k}) AS lo, max(f{k}) AS hi FROM fx_models)" for k in range(3))
+
+
+@query("s5_flux_bin_models", "model_id", f"WITH b AS ({BINNED}), r AS (SELECT model_id, row_number() OVER (PARTITION BY band, bin ORDER BY {unit_sql(1, 'model_id')}, model_id) AS place FROM b) SELECT DISTINCT model_id FROM r WHERE place<=3")
 def _s5(v):
     return samples.pick_by_flux_bins(v("fx_models"), ["f0", "f1", "f2"], 10, 3)
 
@@ -194,15 +237,23 @@ def _s6(v):
     return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("used"))
 
 
-@query("j20_positions_near_catalog", "star_id #k ~x ~y", None)
+@query("j20_positions_near_catalog", "star_id #k ~x ~y", f"WITH k AS (SELECT star_id, ra, decl, k FROM fx_stars, range(4) r(k)), p AS (SELECT star_id, k, ra, decl, sqrt(0.001e0*0.001e0+(0.002e0*0.002e0-0.001e0*0.001e0)*{unit_sql(1, 'star_id', 'k')}) AS r, 2e0*pi()*{unit_sql(2, 'star_id', 'k')} AS a FROM k) SELECT * FROM (SELECT star_id, k, ra+r*cos(a) AS x, decl+r*sin(a) AS y FROM p) WHERE x BETWEEN 80e0 AND 80.1e0 AND y BETWEEN -69e0 AND -68.96e0", 9)
 def _j20(v):
     return samples.positions_near(v("fx_stars").selectExpr("star_id", "ra AS x", "decl AS y"), 4, 0.001, 0.002, (80.0, 80.1, -69.0, -68.96))
 
 
-@query("j21_positions_from_map", "model_id #realization #bin ~ra ~decl", None)
+DRAWN_FROM = ["model_id", "realization", "bin", "try"]
+
+
+@query("j21_positions_from_map", "model_id #realization #bin ~ra ~decl", f"""WITH t AS (SELECT i.i AS i_ra, j.j AS i_dec FROM range(5) i(i), range(4) j(j)), c AS (SELECT {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec, count(*) AS n FROM fx_stars GROUP BY ALL),
+d AS (SELECT t.i_ra, t.i_dec, coalesce(n,0)/(0.0101e0*0.0101e0*cos(radians(-69e0+0.0101e0*(t.i_dec+0.5e0)))) AS value FROM t LEFT JOIN c USING (i_ra, i_dec)), e AS (SELECT min(value) AS lo, max(value) AS hi FROM d), b AS (SELECT i_ra, i_dec, CASE WHEN hi>lo THEN CAST(floor((value-(lo-0.01e0*(hi-lo)))/(1.02e0*(hi-lo)/3)) AS INT) ELSE 0 END AS bin FROM d, e),
+k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY i_ra, i_dec) AS rk, count(*) OVER (PARTITION BY bin) AS tiles FROM b), x AS (SELECT model_id, realization, bin, "try", CAST(floor({unit_sql(1, *DRAWN_FROM)}*tiles) AS INT)+1 AS rk FROM fx_models, range(2) r(realization), range(8) y("try"), (SELECT DISTINCT bin, tiles FROM k)),
+p AS (SELECT model_id, realization, x.bin, "try", 80e0+0.0101e0*i_ra+0.0101e0*{unit_sql(2, 'model_id', 'realization', 'x.bin', '"try"')} AS ra, -69e0+0.0101e0*i_dec+0.0101e0*{unit_sql(3, 'model_id', 'realization', 'x.bin', '"try"')} AS decl FROM x JOIN k ON k.bin=x.bin AND k.rk=x.rk),
+i AS (SELECT * FROM p WHERE {SIDES.replace('0.0023e0', '0e0')}) SELECT model_id, realization, bin, arg_min(ra, "try") AS ra, arg_min(decl, "try") AS decl FROM i GROUP BY model_id, realization, bin""".replace("CAST(try AS", 'CAST("try" AS'), 7)
 def _j21(v):
-    tiles = sky.bin_density_map(sky.source_density(v("fx_stars"), RA, DEC), 3)
-    return samples.positions_in_tiles(v("fx_models"), tiles, 2)
+    stars = v("fx_stars").withColumns({"ra": F.col("ra") + 0.00005, "decl": F.col("decl") + 0.00005})
+    tiles = sky.bin_density_map(sky.source_density(stars, RA, DEC), 3)
+    return samples.positions_in_tiles(v("fx_models"), tiles, 2, inside=sky.inside_hull(F.col("ra"), F.col("decl"), CORNERS))
 
 
 @query("a43_mass_formed", "~log_a ~share ~min_mass ~max_mass", "WITH a AS (SELECT log_a, min(m_ini) AS min_mass, max(m_ini) AS max_mass FROM fx_models GROUP BY log_a), y AS (SELECT *, power(10e0,log_a+0.25e0)-power(10e0,log_a-0.25e0) AS y FROM a) SELECT log_a, y/sum(y) OVER () AS share, min_mass, max_mass FROM y")

@@ -73,10 +73,7 @@ def _hist(v):
 
 @query("a38_flux_hist", "#k ~share", "WITH h AS (SELECT CASE WHEN f0>=13.03e0 THEN 1 ELSE 0 END+CASE WHEN f0>=17.03e0 THEN 1 ELSE 0 END+CASE WHEN f0>=21.03e0 THEN 1 ELSE 0 END AS k FROM fx_models) SELECT k, count(*)/((SELECT count(*) FROM fx_models)*4e0) AS share FROM h GROUP BY k")
 def _flux(v):
-    from starmill.functions.columns import digitize
-
-    m = v("fx_models")
-    return m.groupBy(digitize(F.col("f0"), [13.03, 17.03, 21.03]).alias("k")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(m.agg(F.count(F.lit(1)).alias("all")))).withColumn("share", F.col("n") / (F.col("all") * 4.0))
+    return S.flux_hist(v("fx_models"), "f0", [13.03, 17.03, 21.03])
 
 
 @query("a39_noise_curves", "model_id ~log_flux ~rel_bias ~rel_sigma ~compl", "WITH r AS (SELECT model_id, f0, b0, e0, c0, row_number() OVER (ORDER BY model_id)-1 AS p FROM fx_models JOIN fx_noise USING (model_id) WHERE e0>0) SELECT model_id, log10(f0) AS log_flux, b0/f0 AS rel_bias, e0/f0 AS rel_sigma, c0 AS compl FROM r WHERE p % 10=0")
@@ -91,16 +88,13 @@ def _faint(v):
 
 @query("a42_condense_regions", "#region ~p0 ~p2 #n", "SELECT star_id % 6 AS region, max(f0) AS p0, CASE WHEN count(*)>2 THEN NULL END AS p2, count(*) AS n FROM fx_stars GROUP BY ALL".replace("CASE WHEN count(*)>2 THEN NULL END AS p2", "min(f0) AS p2"))
 def _condense(v):
-    r = v("fx_stars").groupBy((F.col("star_id") % 6).alias("region")).agg(F.sort_array(F.collect_list("f0"), False).alias("p"))
-    return r.select("region", F.get("p", F.lit(0)).alias("p0"), F.element_at("p", -1).alias("p2"), F.size("p").alias("n"))
+    r = S.condense_regions(v("fx_stars"), F.col("star_id") % 6, "f0")
+    return r.select("region", F.col("largest").alias("p0"), F.col("smallest").alias("p2"), "n")
 
 
 @query("m26_colour_magnitude", "star_id ~colour ~mag", "SELECT star_id, -2.5e0*log10(f475w_rate)+2.5e0*log10(f814w_rate) AS colour, -2.5e0*log10(f814w_rate) AS mag FROM fx_catalog WHERE f475w_rate>0 AND f814w_rate>0")
 def _cmd(v):
-    from starmill.functions.columns import flux2mag
-
-    good = v("fx_catalog").where("f475w_rate > 0 AND f814w_rate > 0")
-    return good.select("star_id", (flux2mag(F.col("f475w_rate")) - flux2mag(F.col("f814w_rate"))).alias("colour"), flux2mag(F.col("f814w_rate")).alias("mag"))
+    return S.colour_magnitude(v("fx_catalog"), "f475w_rate", "f814w_rate")
 
 
 @query("m27_one_star", "star_id band quantity ~value", "SELECT star_id, 'f0' AS band, 'p16' AS quantity, f0*0.9e0 AS value FROM fx_stars UNION ALL SELECT star_id, 'f0', 'p84', f0*1.1e0 FROM fx_stars UNION ALL SELECT star_id, 'f1', 'p16', f1*0.9e0 FROM fx_stars UNION ALL SELECT star_id, 'f1', 'p84', f1*1.1e0 FROM fx_stars")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from starmill.operators import tables as T
+from starmill.operators import summaries
 from starmill.plans.registry import query
 from starmill.sources import tables as S
 
@@ -61,7 +62,7 @@ def _j2(v):
 
 @query("j8_anti_join", "model_id", "SELECT model_id FROM fx_models WHERE model_id NOT IN (SELECT s_suppkey FROM supplier)")
 def _j8(v):
-    return v("fx_models").join(v("supplier").select(F.col("s_suppkey").alias("model_id")), "model_id", "left_anti").select("model_id")
+    return T.without(v("fx_models"), v("supplier").select(F.col("s_suppkey").alias("model_id")), "model_id").select("model_id")
 
 
 @query("a27_stats", "field ~mean ~std ~min ~max ~p16 ~p50 has_nan", "WITH u AS (SELECT 'f0' AS field, f0 AS x FROM fx_models UNION ALL SELECT 'm_ini', m_ini FROM fx_models) SELECT field, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, quantile_cont(x,0.16) AS p16, median(x) AS p50, false AS has_nan FROM u GROUP BY field")
@@ -102,35 +103,33 @@ def _u3(v):
 
 @query("u4_unique_values", "~q", "SELECT DISTINCT av AS q FROM fx_models UNION SELECT DISTINCT rv FROM fx_models")
 def _u4(v):
-    m = v("fx_models")
-    return m.select(F.col("av").alias("q")).union(m.select("rv")).distinct()
+    return T.unique_values(v("fx_models"), ["av", "rv"])
 
 
 @query("u5_positive_sets", "star_id", "SELECT star_id FROM fx_catalog WHERE f475w_rate>0 INTERSECT SELECT star_id FROM fx_catalog WHERE f814w_rate>0")
 def _u5(v):
-    c = v("fx_catalog")
-    return c.where("f475w_rate > 0").select("star_id").intersect(c.where("f814w_rate > 0").select("star_id"))
+    return summaries.positive_in_all(v("fx_catalog"), ["f475w_rate", "f814w_rate"])
 
 
 @query("u6_difference", "model_id", "SELECT model_id FROM fx_models EXCEPT SELECT star_id FROM fx_stars")
 def _u6(v):
-    return v("fx_models").select("model_id").exceptAll(v("fx_stars").select(F.col("star_id").alias("model_id")))
+    return T.without(v("fx_models").select("model_id"), v("fx_stars").select(F.col("star_id").alias("model_id")), "model_id")
 
 
-@query("u7_isochrone_stack", "track_row ~z", "SELECT track_row, CASE z_id WHEN 0 THEN 0.004e0 ELSE 0.008e0 END AS z FROM fx_tracks WHERE z_id<2")
+@query("u7_isochrone_stack", "track_row ~z", "SELECT track_row, CASE z_id WHEN 0 THEN 0.004e0 WHEN 1 THEN 0.008e0 WHEN 2 THEN 0.019e0 ELSE 0.03e0 END AS z FROM fx_tracks")
 def _u7(v):
     t = v("fx_tracks")
-    return T.stack([t.where(F.col("z_id") == k).withColumn("z", F.lit(z)) for k, z in ((0, 0.004), (1, 0.008))])
+    return T.stack([t.where(F.col("z_id") == k).withColumn("z", F.lit(z)) for k, z in enumerate((0.004, 0.008, 0.019, 0.03))])
 
 
 @query("s7_sort", "#place model_id", "SELECT row_number() OVER (ORDER BY av, rv DESC, model_id)-1 AS place, model_id FROM fx_models")
 def _s7(v):
-    return T.row_ids(v("fx_models"), ["av", F.desc("rv"), "model_id"], "place", 4)
+    return T.row_ids(v("fx_models"), ["av", "-rv", "model_id"], "place", 300)
 
 
 @query("w6_row_ids", "#row_id model_id", "SELECT row_number() OVER (ORDER BY f0, model_id)-1 AS row_id, model_id FROM fx_models")
 def _w6(v):
-    return T.row_ids(v("fx_models"), ["f0", "model_id"], parts=5)
+    return T.row_ids(v("fx_models"), ["f0", "model_id"], rows_per_part=300)
 
 
 @query("io4_read_obs", "star_id ~a ~b", "SELECT star_id, f475w_rate AS a, f814w_rate AS b FROM fx_catalog")
@@ -140,12 +139,13 @@ def _io4(v):
 
 @query("io5_read_columns", "~av ~z", "SELECT av, z FROM fx_models")
 def _io5(v):
-    return v("fx_models").select("av", "z")
+    return S.read_sed_data(v("fx_models"), ["av", "z"])
 
 
 @query("io6_noise_band", "model_id ~error", "SELECT model_id, e1 AS error FROM fx_noise")
 def _io6(v):
-    return v("fx_noise").select("model_id", F.array("e0", "e1", "e2").alias("error")).select("model_id", F.element_at("error", 2).alias("error"))
+    noise = v("fx_noise").select("model_id", *[F.array(*[f"{n}{k}" for k in range(3)]).alias(c) for n, c in (("b", "bias"), ("e", "error"), ("c", "completeness"))])
+    return S.read_noise_data(noise, ["error"], 1)
 
 
 @query("io11_band_lookup", "#pos name #n_regionkey", "SELECT pos, name, n_regionkey FROM (VALUES (0,'FRANCE'),(1,'NOWHERE'),(2,'CHINA')) t(pos, name) LEFT JOIN nation ON n_name=name")
@@ -168,9 +168,10 @@ def _io14(v):
     return S.region_lines(v("fx_stars").withColumn("flag", F.col("star_id") % 2), "ra", "decl", "flag")
 
 
-@query("io15_flatten", "vec_id ~c0 ~c1", "SELECT vec_id, embedding[1] AS c0, embedding[2] AS c1 FROM embeddings")
+@query("io15_flatten", "star_id ~RATE_A ~RATE_B ~MAG_A", 'SELECT star_id, f475w_rate AS "RATE_A", f814w_rate AS "RATE_B", f475w_vega AS "MAG_A" FROM fx_catalog')
 def _io15(v):
-    return v("embeddings").select("vec_id", *[F.get("embedding", F.lit(k)).alias(f"c{k}") for k in range(2)])
+    blocks = v("fx_catalog").select("star_id", F.array("f475w_rate", "f814w_rate").alias("rates"), F.array("f475w_vega").alias("mags"))
+    return S.flat_catalogue(blocks, {"rates": ["rate_a", "rate_b"], "mags": ["mag_a"]}, "star_id")
 
 
 @query("io16_load_tracks", "~feh #n", "WITH f AS (SELECT z_id*0.5e0-1 AS feh, count(*) AS n FROM fx_tracks GROUP BY ALL), g AS (SELECT *, lag(feh) OVER (ORDER BY feh) AS b, lead(feh) OVER (ORDER BY feh) AS a FROM f) SELECT feh, n FROM g WHERE feh BETWEEN -0.6e0 AND -0.4e0 OR a BETWEEN -0.6e0 AND -0.4e0 OR b BETWEEN -0.6e0 AND -0.4e0")
@@ -180,4 +181,4 @@ def _io16(v):
 
 @query("io17_load_isochrones", "~log_a ~z", "SELECT DISTINCT round(log_a,6) AS log_a, round(z,6) AS z FROM fx_models")
 def _io17(v):
-    return v("fx_models").where(~F.isnan("log_a")).select(F.round("log_a", 6).alias("log_a"), F.round("z", 6).alias("z")).distinct()
+    return S.load_isochrones(v("fx_models"))

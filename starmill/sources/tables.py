@@ -84,3 +84,54 @@ def tracks_in_range(tracks: DataFrame, feh: str, low: float, high: float) -> Dat
     values = tracks.select(feh).distinct().select(feh, F.lag(feh).over(w).alias("before"), F.lead(feh).over(w).alias("after"))
     near = values.where(F.col(feh).between(low, high) | F.col("before").between(low, high) | F.col("after").between(low, high))
     return tracks.join(F.broadcast(near.select(feh)), feh, "left_semi")
+
+
+def write_fit(products: dict[str, DataFrame], path: str, by: Sequence[str] = (), mode: str = "errorifexists") -> None:
+    """The tables of fit() side by side: <path>/stats.parquet, pdf1d.parquet, pdf2d.parquet and lnp.parquet; by: columns such as sd_bin and sub that part each."""
+    for name, df in products.items():
+        write_table(df, f"{path}/{name}.parquet", [c for c in by if c in df.columns], mode)
+
+
+def read_fit(spark: SparkSession, path: str, names: Sequence[str] = ("stats", "pdf1d", "pdf2d", "lnp")) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}.parquet") for n in names}
+
+
+def read_sed_data(models: DataFrame, columns: Sequence[str] | None = None) -> DataFrame | list[str]:
+    """The named parameters of a grid and no others; without names, the list of those it has."""
+    return models.columns if columns is None else models.select(*columns)
+
+
+def read_noise_data(noise: DataFrame, params: Sequence[str] = ("bias", "error", "completeness"), band: int | None = None) -> DataFrame:
+    """model_id and the arrays of a noise model, or of each array the element of one band (from 0)."""
+    return noise.select("model_id", *[F.col(p) if band is None else F.get(p, F.lit(band)).alias(p) for p in params])
+
+
+def flat_catalogue(df: DataFrame, blocks: dict[str, Sequence[str]], key: str) -> DataFrame:
+    """A catalogue of array blocks as flat columns with upper-case names: blocks has the names of each array's elements."""
+    return df.select(key, *[F.get(b, F.lit(k)).alias(n.upper()) for b, names in blocks.items() for k, n in enumerate(names)])
+
+
+def load_isochrones(df: DataFrame, age: str = "log_a", metal: str = "z", digits: int = 6) -> DataFrame:
+    """The distinct ages and metallicities, rounded, of the rows with a finite age."""
+    finite = F.col(age).isNotNull() & ~F.isnan(age) & (F.abs(age) < float("inf"))
+    return df.where(finite).select(F.round(age, digits).alias(age), F.round(metal, digits).alias(metal)).distinct()
+
+
+def read_described(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """Blank-separated text whose comment lines describe it: `# alias NAME = COLUMN`, `## COLUMN UNIT DESCRIPTION`; the last comment line or first line names the columns.
+
+    Gives the table, all columns as strings with unit and comment in their metadata, and the aliases. The comment lines come to the driver, a header's worth.
+    """
+    lines = spark.read.text(path)
+    head = [r.value for r in lines.where(F.col("value").startswith("#")).limit(10_000).collect()]
+    aliases = {a.strip(): b.strip() for x in head if x.startswith("# alias ") for a, b in [x.removeprefix("# alias ").split("=", 1)]}
+    told = {w[0]: (w[1] if len(w) > 1 else "", " ".join(w[2:])) for x in head if x.startswith("##") and (w := x[2:].split())}
+    names = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).limit(1).collect()
+    columns = names[0].value.split() if names else []
+    words = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.trim("value") != F.lit(names[0].value.strip() if names else ""))).select(words.alias("w"))
+    out = rows.select(*[F.get("w", F.lit(k)).alias(c) for k, c in enumerate(columns)])
+    for c in columns:
+        if c in told:
+            out = out.withMetadata(c, {"unit": told[c][0], "comment": told[c][1]})
+    return out, aliases

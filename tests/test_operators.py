@@ -164,7 +164,7 @@ def test_weighted_draws_follow_the_weights(spark):
 
 def test_row_ids_are_consecutive(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
-    assert [r.row_id for r in tables.row_ids(df, ["k"], parts=7).orderBy("k").collect()] == list(range(1000))
+    assert [r.row_id for r in tables.row_ids(df, ["k"], rows_per_part=90).orderBy("k").collect()] == list(range(1000))
 
 
 def test_inverse_covariance(spark):
@@ -205,3 +205,87 @@ def test_hull_of_partitions(spark):
     hull = sky.hull_of(df, "x", "y")
     assert "SinglePartition" in hull._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, hull.collect())) == [(0, 0), (0, 29), (29, 0), (29, 29)]
+
+
+def test_running_sums_follow_the_order(spark):
+    from starmill.operators import samples
+
+    df = spark.range(1000).select((999 - F.col("id")).alias("k"), F.lit(1.0).alias("w")).repartition(5)
+    got = [(r.below, r.upto) for r in samples.cumulative(df, "w", "k", rows_per_part=70).orderBy("k").collect()]
+    assert got == [(float(k), float(k + 1)) for k in range(1000)]
+
+
+def test_ranges_of_mixed_orders(spark):
+    rows = [(k % 3, None if k % 10 == 0 else float(k % 7), k) for k in range(300)]
+    df = spark.createDataFrame(rows, "a int, b double, c int").repartition(4)
+    got = [r.c for r in tables.row_ids(df, ["a", "-b", "c"], rows_per_part=20).orderBy("row_id").collect()]
+    assert got == [c for _, _, c in sorted(rows, key=lambda r: (r[0], r[1] is None, -(r[1] or 0), r[2]))]
+    assert tables.row_ids(df.limit(0), ["a"]).isEmpty()
+
+
+def test_splines_of_extinction_laws(spark):
+    """Not-a-knot cubics give a cubic back, pass through the anchors, and meet the ultraviolet forms without a step."""
+    from starmill.functions import extinction as X
+
+    knots = [0.0, 0.4, 1.0, 1.5, 2.7, 3.1]
+    cubic = lambda x: 1 - 2 * x + 0.3 * x**2 - 0.7 * x**3
+    at = spark.range(32).select((F.col("id") / 10.0).alias("x"))
+    for r in at.select("x", X.spline(F.col("x"), knots, [cubic(k) for k in knots]).alias("y")).collect():
+        assert abs(r.y - cubic(r.x)) < 1e-9
+    waves = spark.createDataFrame([(1e4 / x,) for x in (0.2, 0.3, *X.SMC_ANCHORS[1:], 1e4 / 2700 - 1e-9, 1e4 / 2700 + 1e-9, 10.0, 10.1)], "wave double")
+    got = waves.select("wave", X.g03_smc(F.col("wave")).alias("smc"), X.f99(F.col("wave"), 3.1).alias("f99"), X.f99(F.col("wave"), F.lit(5.0)).alias("f99_5")).collect()
+    assert got[0].smc is None and got[-1].f99 is None and got[1].f99 is not None
+    assert all(abs(r.smc - v) < 1e-9 for r, v in zip(got[2:10], X.SMC_VALUES[1:], strict=True))
+    assert all(abs(got[10][c] - got[11][c]) < 1e-6 for c in ("smc", "f99", "f99_5"))
+    v = waves.select(X.f99(F.lit(1e4 / 1.82), 3.1).alias("v")).first().v
+    assert abs(v - 1) < 0.03 and X.wave_range(waves, "f99").count() == waves.count() - 2
+
+
+def test_registered_noise_models(spark):
+    from starmill.operators import noise
+
+    models = spark.createDataFrame([(1, 10.0), (2, 20.0)], "model_id long, f double")
+    assert [(r.bias, r.error, r.completeness) for r in noise.noise_model("splinter", models, None, "f", fraction=0.5).orderBy("model_id").collect()] == [(0.0, 5.0, 1.0), (0.0, 10.0, 1.0)]
+    noise.register("flat")(lambda m, asts, flux: m.select("model_id", F.lit(0.0).alias("bias"), F.lit(1.0).alias("error"), F.lit(1.0).alias("completeness")))
+    assert noise.noise_model("flat", models, None, "f").count() == 2
+    with pytest.raises(ValueError):
+        noise.noise_model("nothing", models, None, "f")
+
+
+def test_extension_points(spark):
+    from starmill.operators import grids
+
+    df = spark.createDataFrame([(1, 100.0, -2.0), (2, 1000.0, 3.0)], "k long, f double, g double")
+    assert [r.y for r in df.select(tables.expression("np.log10(f)**2 + where(g > :limit, 1, 0)", limit=0).alias("y")).collect()] == [4.0, 10.0]
+    assert [r.k for r in df.where(tables.expression("(f == 100) | (g > 2) & ~(k == 1)")).collect()] == [1, 2]
+    out = tables.callables(df, [lambda d: d.withColumn("h", F.col("f") * 2), lambda d: d.withColumn("i", F.col("h") + 1)])
+    assert [r.i for r in out.orderBy("k").collect()] == [201.0, 2001.0]
+    assert [r.c for r in df.select(tables.elementwise(lambda x: x.clip(0, 500))(F.col("f")).alias("c")).collect()] == [100.0, 500.0]
+    both = grids.stack_libraries(df, df.drop("g"))
+    assert sorted((r.library, r.k) for r in both.collect()) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_fit_products_together(spark, tmp_path):
+    from starmill.sources import tables as S
+
+    products = {n: spark.createDataFrame([(k, k % 2) for k in range(4)], "star_id long, sub int") for n in ("stats", "pdf1d", "pdf2d", "lnp")}
+    S.write_fit(products, f"{tmp_path}/fit", ["sub"])
+    back = S.read_fit(spark, f"{tmp_path}/fit")
+    assert all(sorted(r.star_id for r in df.collect()) == [0, 1, 2, 3] for df in back.values()) and (tmp_path / "fit" / "lnp.parquet" / "sub=1").exists()
+
+
+def test_described_text(spark, tmp_path):
+    from starmill.sources import tables as S
+
+    (tmp_path / "t.txt").write_text("# a comment\n## mass Msun initial mass\n# alias M = mass\nmass  age\n1.0 7\n\n2.5  8\n")
+    df, aliases = S.read_described(spark, f"{tmp_path}/t.txt")
+    assert aliases == {"M": "mass"} and df.schema["mass"].metadata == {"unit": "Msun", "comment": "initial mass"}
+    assert sorted(tuple(r) for r in df.collect()) == [("1.0", "7"), ("2.5", "8")]
+
+
+def test_hull_overlap():
+    from starmill.operators.sky import clipped_area, convex_hull
+
+    triangle = convex_hull(np.array([(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]))
+    assert abs(clipped_area((0, 4, 0, 4), triangle) - 8) < 1e-12 and abs(clipped_area((1, 2, 1, 2), triangle) - 1) < 1e-12
+    assert clipped_area((3, 4, 3, 4), triangle) == 0 and abs(clipped_area((-1, 1, -1, 1), triangle) - 1) < 1e-12

@@ -9,7 +9,6 @@ from starmill.llm.common import read
 
 START, END, ESCAPED = "<|im_start|>", "<|im_end|>", "<|im_escaped|>"
 #: A turn is START role \n text END \n. A conversation whose texts are escaped starts with ESCAPED.
-LEVELS = 2
 
 
 def escape(text: Column) -> Column:
@@ -64,12 +63,14 @@ def format_chats(rows: DataFrame) -> DataFrame:
     """One row per conv_id: conv_id, formatted, turns (as read back), escaped, round_trip.
 
     Turns lie in the order of turn, role, text (nulls first); a repeated row is a turn of its own. Null roles and
-    texts are empty. Rows with a null conv_id are one conversation. The text is rendered as it is and read back; where that gives
+    texts are empty. A row with a null conv_id is a conversation of its own, as nothing says what it belongs to. The text is rendered as it is and read back; where that gives
     other turns, it is rendered with its control strings escaped. round_trip tells that the last reading gave the
     source's turns. A conversation is one text, so its rows meet in one place. An empty table gives no rows.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = rows.select("conv_id", turn.alias("one")).groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("rows"))
+    some = rows.select("conv_id", turn.alias("one"))
+    chats = some.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("rows"))
+    chats = chats.unionByName(some.where("conv_id is null").select("conv_id", F.array("one").alias("rows")))
     chats = chats.select("conv_id", F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"))
     done = chats.select("conv_id", "source", render(F.col("source"), 0).alias("plain"))
     done = done.select("conv_id", "source", "plain", F.coalesce(parse(F.col("plain")) == F.col("source"), F.lit(False)).alias("as_is"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from starmill.llm.common import kept, key_text, read, word_count
 
 WEIGHTS = (5, 2, 1)
-#: Words of a block, words of a shard, and how often a source may be repeated at most.
-BLOCK, SHARD, REPEATS = 32, 1 << 22, 3
+#: Words of a block, words and rows of a shard, and how often a source may be repeated at most.
+BLOCK, SHARD, SHARD_ROWS, REPEATS = 32, 1 << 22, 1 << 17, 3
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -25,7 +25,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats:
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     filling = W.orderBy(F.col("full") / F.col("weight"), "source_rank")
     before, onward = filling.rowsBetween(W.unboundedPreceding, -1), filling.rowsBetween(0, W.unboundedFollowing)
-    named = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("source_rank", F.row_number().over(by_name))
+    named = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")).withColumn("source_rank", F.row_number().over(by_name))
     cycle = F.array(*[F.lit(int(w)) for w in weights])
     named = named.withColumn("weight", F.get(cycle, (F.col("source_rank") - 1) % len(weights)).cast("long")).withColumn("full", F.lit(repeats) * F.col("source_size"))
     filled = named.select("*", (F.sum("source_size").over(W.partitionBy()) - F.coalesce(F.sum("full").over(before), F.lit(0))).alias("rest"), F.sum("weight").over(onward).alias("open_weight"))
@@ -34,7 +34,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats:
     filled = filled.withColumn("first_open", first)
     shared = F.max(F.when(F.col("full") / F.col("weight") == F.col("first_open"), F.col("rest") / F.col("open_weight"))).over(W.partitionBy())
     return filled.withColumn("level", shared).select(
-        "source", "source_rank", "source_size", F.when(F.col("is_full"), F.col("full").cast("double")).otherwise(F.least(F.col("full").cast("double"), F.col("weight") * F.col("level"))).alias("target")
+        "source", "source_rank", "source_size", "source_rows", F.when(F.col("is_full"), F.col("full").cast("double")).otherwise(F.least(F.col("full").cast("double"), F.col("weight") * F.col("level"))).alias("target")
     )
 
 
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, s
     """Words that the mix takes from each document: doc_id, size, source_size, target, taken.
 
     The targets are made of blocks of `block` words. Highest quotients give each source a whole number of blocks and
-    each of its shards (documents dealt by a hash, about `shard` words each) a part of them. In a shard the documents
+    each of its shards (documents dealt by a hash, about `shard` words or SHARD_ROWS rows each) a part of them. In a shard the documents
     lie in a seeded order; the mix takes the shard whole as often as its quota holds it, then the blocks from its
     start, so the last document may be cut.
 
@@ -72,8 +72,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, block: int = BLOCK, s
     sizes = kept(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), md5.alias("seeded")), "sizes")
     sources = kept(source_targets(sizes, weights, repeats), "sources")
     blocks = F.round(F.sum("source_size").over(W.partitionBy()) / block).cast("long")
-    quotas = sainte_lague(sources.select("source", "source_rank", "source_size", "target", blocks.alias("seats"), F.lit(0).alias("all")), ["all"], "source_rank", "seats", "target")
-    quotas = quotas.select("source", "source_rank", "source_size", "target", F.col("quota").alias("seats"), F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).cast("long").alias("n_shards"))
+    quotas = sainte_lague(sources.select("source", "source_rank", "source_size", "source_rows", "target", blocks.alias("seats"), F.lit(0).alias("all")), ["all"], "source_rank", "seats", "target")
+    quotas = quotas.select("source", "source_rank", "source_size", "target", F.col("quota").alias("seats"), F.greatest(F.ceil(F.col("source_size") / shard), F.ceil(F.col("source_rows") / SHARD_ROWS), F.lit(1)).cast("long").alias("n_shards"))
     placed = sizes.join(quotas.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).withColumn("shard", F.conv(F.substring("seeded", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
     shards = placed.groupBy("source_rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
     shards = sainte_lague(shards.withColumn("votes", F.col("shard_size").cast("double")), ["source_rank"], "shard", "seats", "votes")
@@ -107,17 +107,17 @@ def op6_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH sizes AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
     md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS seeded FROM documents),
-named AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_rank FROM sizes GROUP BY source),
+named AS (SELECT source, sum(size) AS source_size, count(*) AS source_rows, row_number() OVER (ORDER BY source ASC NULLS LAST) AS source_rank FROM sizes GROUP BY source),
 weighed AS (SELECT *, CASE (source_rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, {REPEATS} * source_size AS fill FROM named),
 filled AS (SELECT *, (SELECT sum(size) FROM sizes) - coalesce(sum(fill) OVER (ORDER BY fill / weight, source_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
     sum(weight) OVER (ORDER BY fill / weight, source_rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM weighed),
 told AS (SELECT *, CAST(fill AS DOUBLE) * open_weight <= CAST(weight AS DOUBLE) * rest AS is_full FROM filled),
 lev AS (SELECT arg_min(CAST(rest AS DOUBLE) / open_weight, row(CAST(fill AS DOUBLE) / weight, source_rank)) FILTER (WHERE NOT is_full) AS level FROM told),
-src AS (SELECT source, source_rank, CAST(source_size AS BIGINT) AS source_size, CASE WHEN is_full THEN CAST(fill AS DOUBLE) ELSE least(CAST(fill AS DOUBLE), weight * level) END AS target FROM told, lev),
+src AS (SELECT source, source_rank, source_rows, CAST(source_size AS BIGINT) AS source_size, CASE WHEN is_full THEN CAST(fill AS DOUBLE) ELSE least(CAST(fill AS DOUBLE), weight * level) END AS target FROM told, lev),
 seats AS (SELECT CAST(round((SELECT sum(size) FROM sizes) / {BLOCK}.0) AS BIGINT) AS n, (SELECT count(*) FROM src WHERE target > 0) AS k, (SELECT sum(target) FROM src WHERE target > 0) AS v),
 q1 AS (SELECT source_rank, target, unnest(range(0, CAST(ceil(target / v * n) AS BIGINT) + k + 3)) AS j FROM src, seats WHERE target > 0),
 w1 AS (SELECT source_rank, count(*) AS quota FROM (SELECT source_rank, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source_rank) AS place FROM q1) p, seats WHERE place <= n GROUP BY source_rank),
-s AS (SELECT src.*, coalesce(quota, 0) AS quota, greatest(CAST(ceil(source_size / {SHARD}.0) AS BIGINT), 1) AS n_shards FROM src LEFT JOIN w1 USING (source_rank)),
+s AS (SELECT src.*, coalesce(quota, 0) AS quota, greatest(CAST(ceil(source_size / {SHARD}.0) AS BIGINT), CAST(ceil(source_rows / {SHARD_ROWS}.0) AS BIGINT), 1) AS n_shards FROM src LEFT JOIN w1 USING (source_rank)),
 placed AS (SELECT doc_id, size, seeded, s.source_rank, s.source_size, s.target, s.quota, CAST('0x' || substr(seeded, 1, 8) AS BIGINT) % n_shards AS shard FROM sizes JOIN s ON sizes.source IS NOT DISTINCT FROM s.source),
 sh AS (SELECT source_rank, shard, sum(size) AS shard_size, first(quota) AS quota, sum(sum(size)) OVER (PARTITION BY source_rank) AS v, count(*) FILTER (WHERE sum(size) > 0) OVER (PARTITION BY source_rank) AS k FROM placed GROUP BY source_rank, shard),
 q2 AS (SELECT source_rank, shard, shard_size, quota, unnest(range(0, CAST(ceil(shard_size * 1.0 / v * quota) AS BIGINT) + k + 3)) AS j FROM sh WHERE shard_size > 0),

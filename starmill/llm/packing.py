@@ -90,7 +90,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
 
     A document of more than `capacity` words gives full pieces, which are bins of their own, and the rest. No bin
     holds two pieces of one source or of one duplicate cluster (documents of the same text). The documents are dealt
-    by a hash into shards of about `shard_rows`, so neither a source nor a cluster decides where its rows go, and each
+    by a hash into shards of about `shard_rows`, so neither a source nor a cluster nor repeated rows decide where a row goes, and each
     shard is packed by itself.
 
     Nulls: a null text has no words, a null source conflicts with none, a null doc_id is kept. A document without
@@ -100,7 +100,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     some = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"), word_count(F.col("text")).alias("n_words"))
     some = kept(some, "lengths")
     shards = max(1, -(-some.count() // shard_rows))
-    dealt = some.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("long"))
+    # repeated rows are told apart by a number each, dealt out in chunks: they may be any share of all
+    columns = ["doc_id", "source", "cluster", "n_words"]
+    chunks = some.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / shard_rows).cast("int"))))
+    chunks = chunks.repartition("doc_id", "cluster", "chunk").withColumn("copy", F.explode(F.sequence(F.col("chunk") * F.lit(shard_rows).cast("long"), F.least(F.col("n"), (F.col("chunk") + 1) * F.lit(shard_rows).cast("long")) - 1)))
+    dealt = chunks.select(*columns, F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(shards)).cast("long").alias("shard"))
 
     def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return pack_shard(int(key[0]), rows.drop(columns="shard"), capacity)

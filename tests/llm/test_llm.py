@@ -169,6 +169,11 @@ def test_chats(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     out = chat.format_chats(df).collect()
     assert all(r.round_trip for r in out) and any(r.escaped for r in out) and not all(r.escaped for r in out)
+    rows.append((None, 5, "assistant", "no id either", "f"))
+    df = spark.createDataFrame(rows, df.schema)
+    out = chat.format_chats(df).collect()
+    assert sorted([(t.role, t.text) for t in r.turns] for r in out if r.conv_id is None) == [[("assistant", "no id either")], [("user", "no id")]]
+    out, rows = [r for r in out if r.conv_id is not None], [r for r in rows if r[0] is not None]
     by = {}
     for c, t, role, text, _ in rows:
         by.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
@@ -366,6 +371,15 @@ def test_pack(docs, empty, rows):
     assert packing.pack(empty).isEmpty()
 
 
+def test_pack_repeated_rows(spark):
+    """Rows that are one like the other, without an id, spread over the shards; none is lost."""
+    df = spark.createDataFrame([(None, "one two three", "a")] * 500 + [(k, f"w{k} " * 3, "b") for k in range(20)], "doc_id long, text string, source string")
+    out = packing.pack(df, 12, 64).toPandas()
+    same = out[out.source == "a"]
+    assert len(out) == 520 and len(same) == 500 and (same.bin_id // (1 << 32)).nunique() > 4 and out.piece_words.sum() == 1560
+    assert not out.duplicated(["bin_id", "source"]).any()
+
+
 def test_best_fit_is_tightest():
     r, bins, plain = random.Random(6), packing.Bins(64), []
     for _ in range(400):

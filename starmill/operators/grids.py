@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -169,6 +171,86 @@ def quadrant_nodes(points: DataFrame, nodes: DataFrame, point: str, node: str) -
     return both.groupBy(point, "hot", "dense").agg(F.min("e").alias("e")).select(point, "hot", "dense", F.col("e.node").alias("node"), F.col("e.d").alias("d"))
 
 
+def quadrant_weights(t: np.ndarray, g: np.ndarray, ts: np.ndarray, gs: np.ndarray, far: float = 0.1, eps: float = 1e-6) -> np.ndarray:
+    """Weights [point, 4] of the nearest nodes of the quadrants (hot and dense, hot, dense, neither; NaN for none) around points (t, g).
+
+    Of two nodes on one side in t the one further than `far` behind the other drops out. One node has all the weight; two on one side share it by g where their t agree, else
+    the nearer one has it; two on either side share it by t. Three share it as a triangle's corners, or by t the two that differ in both where the
+    point lies outside. Four share it by t between each pair of one g side, then by g.
+    """
+    has, w = ~np.isnan(ts), np.zeros(ts.shape)
+    for a, b, sign in ((0, 1, 1), (2, 3, -1)):
+        gap = np.nan_to_num(sign * (ts[:, b] - ts[:, a]))
+        has[:, b] &= ~(gap > far)
+        has[:, a] &= ~(-gap > far)
+    share = lambda x, y: np.where(y != 0, x / np.where(y != 0, y, 1), 0.5)
+    is_in = lambda *nodes: (has == [k in nodes for k in range(4)]).all(1)
+
+    def pair(rows: np.ndarray, a: int, b: int, x: np.ndarray, xs: np.ndarray) -> None:
+        w[rows, a] = share(x[rows] - xs[rows, b], xs[rows, a] - xs[rows, b])
+        w[rows, b] = 1 - w[rows, a]
+
+    for k in range(4):
+        w[is_in(k), k] = 1
+    for a, b, sign in ((0, 1, 1), (2, 3, -1)):
+        both, near = is_in(a, b), np.abs(ts[:, a] - ts[:, b]) < eps
+        pair(both & near, a, b, g, gs)
+        nearer = sign * (ts[:, b] - ts[:, a]) > 0
+        w[both & ~near & nearer, a] = 1
+        w[both & ~near & ~nearer, b] = 1
+    for a in (0, 1):
+        for b in (2, 3):
+            pair(is_in(a, b), a, b, t, ts)
+    for missing in range(4):
+        rows = np.flatnonzero(is_in(*[k for k in range(4) if k != missing]))
+        if not len(rows):
+            continue
+        corners = [k for k in range(4) if k != missing]
+        m = np.stack([ts[np.ix_(rows, corners)], gs[np.ix_(rows, corners)], np.ones((len(rows), 3))], 1)
+        flat = np.abs(np.linalg.det(m)) < 1e-300
+        m[flat] = np.eye(3)
+        bary = np.linalg.solve(m, np.stack([t[rows], g[rows], np.ones(len(rows))], 1)[:, :, None])[:, :, 0]
+        inside = ~flat & ((bary >= 0) & (bary <= 1)).all(1)
+        w[np.ix_(rows[inside], corners)] = bary[inside]
+        pair(rows[~inside], *((1, 2) if missing in (0, 3) else (0, 3)), t, ts)
+    four = np.flatnonzero(has.all(1))
+    x, y = (share(t[four] - ts[four, b], ts[four, a] - ts[four, b]) for a, b in ((0, 2), (1, 3)))
+    high, low = x * gs[four, 0] + (1 - x) * gs[four, 2], y * gs[four, 1] + (1 - y) * gs[four, 3]
+    z = share(g[four] - low, high - low)
+    w[four] = np.stack([x * z, y * (1 - z), (1 - x) * z, (1 - y) * (1 - z)], 1)
+    return w
+
+
+def atmosphere_interp(points: DataFrame, nodes: DataFrame, point: str, node: str, far: float = 0.1, compat: bool = False) -> DataFrame:
+    """point, node and w: the library nodes (node, z, log_t, log_g) that a point (z, log_t, log_g) is blended from, and their weights above 0.
+
+    In the plane of the point's metallicity, or the planes on either side of it (sharing by z; the one there is, if only one), the nearest node of each quadrant
+    takes part (see quadrant_nodes and quadrant_weights). compat: the planes' shares the other way round. A library is a bounded table and goes to every executor.
+    """
+    planes = nodes.agg(F.array_sort(F.collect_set("z")).alias("planes"))
+    below, above = (F.array_max(F.filter("planes", lambda p: p <= F.col("z"))), F.array_min(F.filter("planes", lambda p: p >= F.col("z"))))
+    at = points.select(F.col(point).alias("point"), "z", "log_t", "log_g").crossJoin(F.broadcast(planes)).withColumn("z0", below).withColumn("z1", above)
+    part = F.when(F.col("z1") > F.col("z0"), (F.col("z") - F.col("z0")) / (F.col("z1") - F.col("z0")))
+    up = F.coalesce(1 - part if compat else part, F.lit(1.0))
+    shares = F.filter(F.array(F.struct(F.col("z0").alias("plane"), F.coalesce(part if compat else 1 - part, F.lit(1.0)).alias("share")), F.struct(F.when(F.col("z0").isNull() | (F.col("z1") > F.col("z0")), F.col("z1")).alias("plane"), up.alias("share"))), lambda e: e["plane"].isNotNull())
+    at = at.select("point", "log_t", "log_g", F.explode(shares).alias("s")).select("point", "log_t", "log_g", "s.plane", "s.share")
+    lib = nodes.select(F.col(node).alias("node"), F.col("z").alias("plane"), F.col("log_t").alias("n_t"), F.col("log_g").alias("n_g"))
+    both = at.join(F.broadcast(lib), "plane")
+    d_t, d_g = F.col("n_t") - F.col("log_t"), F.col("n_g") - F.col("log_g")
+    e = F.struct((F.abs(d_t) + 0.1 * F.abs(d_g)).alias("d"), "node", "n_t", "n_g")
+    sides = [(d_t >= 0) & (d_g >= 0), (d_t >= 0) & (d_g < 0), (d_t < 0) & (d_g >= 0), (d_t < 0) & (d_g < 0)]
+    near = both.groupBy("point", "log_t", "log_g", "plane", "share").agg(*[F.min(F.when(c, e)).alias(f"q{k}") for k, c in enumerate(sides)])
+
+    def weigh(t: pd.Series, g: pd.Series, ts: pd.Series, gs: pd.Series) -> pd.Series:
+        ts, gs = (np.array([[np.nan if v is None else v for v in row] for row in x], float).reshape(-1, 4) for x in (ts, gs))
+        return pd.Series(list(quadrant_weights(t.to_numpy(float), g.to_numpy(float), ts, gs, far)))
+
+    columns = [F.array(*[F.col(f"q{k}.{c}") for k in range(4)]) for c in ("n_t", "n_g", "node")]
+    told = near.select("point", "share", columns[2].alias("nodes"), F.pandas_udf(weigh, "array<double>")("log_t", "log_g", columns[0], columns[1]).alias("ws"))
+    long = told.select("point", "share", F.explode(F.arrays_zip("nodes", "ws")).alias("e")).where(F.col("e.ws") > 0)
+    return long.select(F.col("point").alias(point), F.col("e.nodes").alias("node"), (F.col("e.ws") * F.col("share")).alias("w"))
+
+
 def library_boundary(nodes: DataFrame, d_log_t: float = 0.1, d_log_g: float = 0.3) -> DataFrame:
     """log_g, left, right: least and largest log_t of each log_g, padded; the first and last log_g once more, moved out."""
     rows = nodes.groupBy("log_g").agg((F.min("log_t") - d_log_t).alias("left"), (F.max("log_t") + d_log_t).alias("right"))

@@ -167,3 +167,12 @@ def _lattice(v):
     lattice = v("fx_models").groupBy("z", "log_a", "m_ini").agg(F.avg("f0").alias("f0"))
     points = v("fx_stars").selectExpr("star_id", "0.004e0+0.00025e0*(star_id % 101) AS z", "6e0+0.0397e0*(star_id % 99) AS log_a", "0.5e0+0.19e0*(star_id % 97) AS m_ini")
     return G.lattice_interp(points, lattice, ["z", "log_a", "m_ini"], ["f0"], "star_id")
+
+
+@query("j13_atmosphere_interp", "star_id node ~w", f"""WITH l AS (SELECT z, 3.5e0+0.02e0*weight AS t, rv AS g, min(model_id) AS node FROM fx_models GROUP BY ALL), p AS (SELECT star_id, 0.004e0+0.00025e0*(star_id % 101) AS za, 3.521e0+0.00079e0*(star_id % 97) AS ta, 2.01e0+0.0297e0*(star_id % 98) AS ga FROM fx_stars),
+c AS (SELECT *, (SELECT max(z) FROM l WHERE z<=za) AS za_0, (SELECT min(z) FROM l WHERE z>=za) AS za_1, (SELECT max(t) FROM l WHERE t<=ta) AS ta_0, (SELECT min(t) FROM l WHERE t>=ta) AS ta_1, (SELECT max(g) FROM l WHERE g<=ga) AS ga_0, (SELECT min(g) FROM l WHERE g>=ga) AS ga_1 FROM p),
+j AS (SELECT star_id, node, ({corner('za', 'z')})*({corner('ta', 't')})*({corner('ga', 'g')}) AS w FROM c JOIN l ON (l.z=za_0 OR l.z=za_1) AND (l.t=ta_0 OR l.t=ta_1) AND (l.g=ga_0 OR l.g=ga_1)) SELECT star_id, node, w FROM j WHERE w>0""")
+def _atmosphere(v):
+    nodes = v("fx_models").groupBy("z", (3.5 + 0.02 * F.col("weight")).alias("log_t"), F.col("rv").alias("log_g")).agg(F.min("model_id").alias("node"))
+    points = v("fx_stars").selectExpr("star_id", "0.004e0+0.00025e0*(star_id % 101) AS z", "3.521e0+0.00079e0*(star_id % 97) AS log_t", "2.01e0+0.0297e0*(star_id % 98) AS log_g")
+    return G.atmosphere_interp(points, nodes, "star_id", "node")

@@ -289,3 +289,26 @@ def test_hull_overlap():
     triangle = convex_hull(np.array([(0.0, 0.0), (4.0, 0.0), (0.0, 4.0)]))
     assert abs(clipped_area((0, 4, 0, 4), triangle) - 8) < 1e-12 and abs(clipped_area((1, 2, 1, 2), triangle) - 1) < 1e-12
     assert clipped_area((3, 4, 3, 4), triangle) == 0 and abs(clipped_area((-1, 1, -1, 1), triangle) - 1) < 1e-12
+
+
+def test_atmosphere_weights(spark):
+    """Against the rules one point at a time; the blend gives back a function linear in t, g and z inside a full cell."""
+    rng = np.random.default_rng(4)
+    nodes = [(k, z, float(t), float(g)) for k, (z, t, g) in enumerate((z, t, g) for z in (0.01, 0.02) for t in (3.5, 3.6, 3.7) for g in (1.0, 2.0, 3.0))]
+    points = [(k, float(z), float(t), float(g)) for k, (z, t, g) in enumerate(zip(rng.uniform(0.01, 0.02, 40), rng.uniform(3.51, 3.69, 40), rng.uniform(1.1, 2.9, 40), strict=True))]
+    points += [(100, 0.01, 3.55, 1.5), (101, 0.005, 3.8, 0.5), (102, 0.03, 3.45, 3.5)]
+    lib = spark.createDataFrame(nodes, "node long, z double, log_t double, log_g double")
+    out = grids.atmosphere_interp(spark.createDataFrame(points, "p long, z double, log_t double, log_g double"), lib, "p", "node").collect()
+    of, by = {n[0]: n for n in nodes}, {}
+    for r in out:
+        by.setdefault(r.p, []).append((of[r.node], r.w))
+    assert set(by) == {p[0] for p in points} and all(abs(sum(w for _, w in v) - 1) < 1e-9 for v in by.values())
+    for p in points[:41]:
+        for axis in (1, 2, 3):
+            assert abs(sum(n[axis] * w for n, w in by[p[0]]) - p[axis]) < 1e-9
+    assert by[101][0][0][1:] == (0.01, 3.7, 1.0) and by[102][0][0][1:] == (0.02, 3.5, 3.0)
+    nan = np.nan
+    w = lambda ts, gs, t=0.0, g=0.0: grids.quadrant_weights(np.array([t]), np.array([g]), np.array([ts]), np.array([gs]), 0.5)[0].round(9).tolist()
+    assert w([0.2, 0.2, nan, nan], [1.0, -3.0, nan, nan]) == [0.75, 0.25, 0, 0] and w([0.3, 0.2, nan, nan], [1.0, -3.0, nan, nan]) == [0, 1, 0, 0]
+    assert w([0.2, 0.9, nan, nan], [1.0, -3.0, nan, nan]) == [1, 0, 0, 0] and w([0.3, nan, nan, -0.1], [1.0, nan, nan, -1.0]) == [0.25, 0, 0, 0.75]
+    assert w([0.2, 0.2, -0.2, nan], [1.0, -1.0, 1.0, nan]) == [0, 0.5, 0.5, 0] and w([0.4, nan, -0.1, -0.1], [0.1, nan, 3.0, -0.1])[2] >= 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +75,15 @@ def cleaned_up(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """kept(make()), without the tables that make() has kept on its way."""
+    before = set(_written)
+    out = kept(make(), name)
+    for path in [x for x in _written if x not in before and x != out.kept_at]:
+        _delete(out.sparkSession, path)
+    return out
+
+
 def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: list[str], parts: int = 32) -> DataFrame:
     """many.join(one, key), where one key may have any share of the rows of `many` and `one` has a row for each key.
 

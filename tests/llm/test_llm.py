@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from starmill.llm import chat, classifier, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings, suffixes
+from starmill.llm import chat, classifier, common, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings, suffixes
 from starmill.llm.suffixes import suffix_arrays
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -539,14 +539,41 @@ def test_null_ids_in_stages(spark, docs, labels):
 
 
 def test_pipeline(spark, tmp_path, docs, labels, rows):
+    """run() gives what its stages give one after the other, each of which has been compared with brute force above; nothing but the last stage's tables stays."""
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
+    before = set(common._written)
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    left = [x for x in common._written if x not in before]
+    assert len(left) <= 2 and any("stage-4" in x for x in left)
     some = out[out.piece_words > 0]
     assert len(some) and some.groupby("bin_id").piece_words.sum().max() <= packing.CAPACITY
-    read, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), None
+    read, sizes = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, read, str(tmp_path))
         assert kept.columns == read.columns
         read = spark.createDataFrame(kept.collect(), kept.schema)
+        sizes.append(read.count())
+    last = corpus_pipeline.STAGES[-1][1](spark, read, str(tmp_path)).toPandas()
+    order = ["doc_id", "source", "cluster", "piece", "piece_words", "start"]
+    text = lambda df: sorted(map(str, df[order].itertuples(index=False)))
+    assert text(out) == text(last) and sizes[0] < len(rows)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path, empty, labels):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_tables_kept(spark):
+    with common.cleaned_up(spark):
+        a = common.kept(spark.range(3).toDF("k"), "a")
+        b = common.settled(lambda: common.kept(a, "b").where("k > 0"), "c")
+        assert [x for x in common._written if "-b-" in x] == [] and b.count() == 2
+        common.forget(a)
+    assert not any(x in common._written for x in (a.kept_at, b.kept_at))
+    many = spark.createDataFrame([(k % 3 if k % 5 else 9, k) for k in range(60)], "key long, k long")
+    one = spark.createDataFrame([(0, "a"), (9, "b"), (7, "c")], "key long, v string")
+    assert sorted(map(tuple, common.spread_join(many, one, ["key"], ["k"], 4).collect())) == sorted(map(tuple, many.join(one, "key").collect()))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from starmill.llm import classifier, line_dedup, minhash, mixing, packing
-from starmill.llm.common import kept, read
+from starmill.llm.common import forget, read, settled
 
 #: SQL has no discriminant, patience diff, dart signatures or best-fit search; tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -44,9 +44,11 @@ STAGES = [("quality classifier", quality), ("line dedup", lines), ("near duplica
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = kept(docs, f"stage-{k + 1}")
-    return docs
+    """The last stage's result. What a stage has kept on its way goes when its result is written, and that when the next one's is; the last stage's tables stay, as the result is read from them."""
+    docs, last = read(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{k + 1}")
+        if last is not None:
+            forget(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

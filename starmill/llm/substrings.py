@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from starmill.llm.suffixes import suffix_arrays
 
 #: Bytes of a match and of an anchor.
 LENGTH, ANCHOR = 50, 16
-#: Rows that a task looks at at once, and symbols that it takes to suffix arrays at once. An anchor with more occurrences than FREQUENT is dealt by whole windows; of such anchors so many are broadcast.
+#: Rows that a task looks at at once, and symbols that it takes to suffix arrays at once. An anchor of more texts than FREQUENT is dealt by whole windows; of such anchors so many are broadcast.
 ROWS, SYMBOLS, FREQUENT, BROADCAST = 1 << 16, 1 << 20, 100_000, 100_000
 #: Bits of an anchor that its own text can do without, and parts over which the rows of an anchor known to be shared are spread.
 BRIEF, SALTS = 17, 1 << 12
@@ -58,9 +59,8 @@ def with_anchors(texts: DataFrame, length: int) -> DataFrame:
     """to, tag, mark: the anchors of texts (key, tag, text), each once a text. A text that a task has met before is passed over.
 
     An anchor of several texts of one part of the input needs no look at other parts to be shared: of these texts one speaks for it
-    elsewhere. That row, and that of an anchor of one text alone, has the anchor as `to` and in `mark` how often it occurs, times two, plus one
-    if several texts have it. The rows of the others have a negative `to` with the anchor's brief() and mark 0. So no anchor brings
-    more rows to one place than there are parts.
+    elsewhere. That row, and that of an anchor of one text alone, has the anchor as `to` and in `mark` how many texts it speaks for. The rows of
+    the others have a negative `to` with the anchor's brief form and mark 0. So no anchor brings more rows to one place than there are parts.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,12 +74,11 @@ def with_anchors(texts: DataFrame, length: int) -> DataFrame:
                     continue
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
-                own = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
-                times = np.diff(np.r_[own, len(h)])
+                own = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]
                 h, text = h[own], text[own]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 mark = np.zeros(len(h), np.int64)
-                mark[first] = 2 * np.add.reduceat(times, first) + (np.diff(np.r_[first, len(h)]) > 1)
+                mark[first] = np.diff(np.r_[first, len(h)])
                 to = np.where(mark > 0, h, -1 - ((h >> BRIEF) | (text % SALTS << (48 - BRIEF))))
                 by_text = np.argsort(text, kind="stable")  # tags in a row take little room
                 tags = batch.column(1).slice(at, len(offsets) - 1).take(pa.array(text[by_text]))
@@ -89,11 +88,11 @@ def with_anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """tag, brief, times: the anchors that several texts have; times (occurrences) stands in one row of each at least."""
+    """tag, brief, times: the anchors that several texts have; times (how many) stands in one row of each at least."""
     w = W.partitionBy("to")
-    rows = with_anchors(texts, length).select("to", "tag", "mark", F.min("tag").over(w).alias("low"), F.max("tag").over(w).alias("high"), F.max(F.col("mark") % 2).over(w).alias("many"), F.sum(F.floor(F.col("mark") / 2)).over(w).alias("times"))
+    rows = with_anchors(texts, length).select("to", "tag", "mark", F.min("tag").over(w).alias("low"), F.max("tag").over(w).alias("high"), F.max("mark").over(w).alias("many"), F.sum("mark").over(w).alias("times"))
     of = F.when(F.col("to") < 0, (-1 - F.col("to")).bitwiseAND((1 << (48 - BRIEF)) - 1)).otherwise(F.shiftright("to", BRIEF))
-    return rows.where("to < 0 OR many > 0 OR low <> high").select("tag", of.cast("int").alias("brief"), F.when(F.col("to") >= 0, F.col("times")).alias("times"))
+    return rows.where("to < 0 OR many > 1 OR low <> high").select("tag", of.cast("int").alias("brief"), F.when(F.col("to") >= 0, F.col("times")).alias("times"))
 
 
 def bytes_at(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -116,11 +115,18 @@ def leaders(content: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.n
         content = np.where(wrong, mix(content + U(1)), content)
 
 
+def keys_of(lists: pa.Array) -> np.ndarray:
+    """Hashes of each list's row and its elements: brief anchors, told apart by text."""
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    return mix(values.view(U) + mix(of.astype(U)))
+
+
 def contexts(docs: DataFrame, length: int) -> DataFrame:
-    """h, doc, which, starts, spot, piece: for each anchor of a text (doc, which, text) that is in its array `shared`, the bytes of its windows, their start and the anchor's distance.
+    """h, doc, which, starts, spot, piece: for each anchor of a text (doc, which, text, shared, frequent) that is in its array `shared`, the bytes of its windows, their start and the anchor's distance.
 
     Of equal pieces in one part of the input the least doc's go on, as one with all its starts. What another doc has of them is known then to be removed: a negative h,
-    no piece, and its length in bytes as spot.
+    no bytes, and its length as spot. Pieces of anchors in the array `frequent` have a negative h too, so that they are dealt anywhere.
     """
     names = ["h", "doc", "which", "starts", "spot", "piece"]
 
@@ -132,11 +138,10 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                 shared = batch.column(3).slice(at, n)
                 h, text, first, last, spot = anchors(data, offsets, length)
                 key = mix((h >> BRIEF).view(U) + mix(text.astype(U)))
-                lists = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                of = np.repeat(np.arange(n), shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                take = np.flatnonzero(np.isin(key, mix(lists.view(U) + mix(of.astype(U)))))
+                take = np.flatnonzero(np.isin(key, keys_of(shared)))
                 if not len(take):
                     continue
+                often = np.isin(key[take], keys_of(batch.column(4).slice(at, n)))
                 h, text, first, last, spot = (x[take] for x in (h, text, first, last, spot))
                 size = last - first + length
                 content = mix(slice_hashes(*byte_sums(data), first, first + size) ^ mix(h.view(U) + mix((spot - first).astype(U))))
@@ -150,12 +155,13 @@ def contexts(docs: DataFrame, length: int) -> DataFrame:
                 new = np.flatnonzero(np.r_[True, (back[own][1:] != back[own][:-1]) | (text[own][1:] != text[own][:-1])])
                 go = own[new]
                 row = np.r_[gone, go]
-                spread = -1 - (mix(mix(doc[gone].view(U)) + first[gone].astype(U)) >> U(2)).astype(np.int64)
+                spread = -1 - (mix(mix(doc[row].view(U)) + first[row].astype(U)) >> U(2)).astype(np.int64)
+                to = np.where((np.arange(len(row)) < len(gone)) | often[row], spread, h[row])
                 starts = pa.ListArray.from_arrays(pa.array(np.r_[np.arange(len(gone)), len(gone) + np.r_[new, len(own)]].astype(np.int32)), pa.array(np.r_[start[gone], start[own]]))
                 ends = np.r_[np.zeros(len(gone) + 1, np.int64), np.cumsum(size[go])]
                 pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bytes_at(data, first[go], size[go])))]).cast(pa.binary())
                 which = batch.column(1).slice(at, n).take(pa.array(text[row]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[spread, h[go]]), pa.array(doc[row]), which, starts, pa.array(np.r_[size[gone], (spot - first)[go]].astype(np.int32)), pieces], names)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(doc[row]), which, starts, pa.array(np.r_[size[gone], (spot - first)[go]].astype(np.int32)), pieces], names)
 
     return docs.mapInArrow(work, "h long, doc long, which long, starts array<long>, spot int, piece binary")
 
@@ -270,24 +276,36 @@ def removed_runs(pieces: DataFrame, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_runs(batches, ROWS):
             h = table.column("h").to_numpy()
-            known = int(np.searchsorted(h, 0))
-            if known:
-                doc, which, size = (table.column(c).to_numpy()[:known] for c in ("doc", "which", "spot"))
-                start = table.column("starts").slice(0, known).combine_chunks().flatten().to_numpy()  # one each
+            below = int(np.searchsorted(h, 0))
+            if below:
+                known = table.slice(0, below)
+                known = known.filter(pc.equal(pc.binary_length(known.column("piece")), 0))
+                doc, which, size = (known.column(c).to_numpy() for c in ("doc", "which", "spot"))
+                start = known.column("starts").combine_chunks().flatten().to_numpy()  # one each
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, which, start, start + size)], names)
-            if known < len(h):
-                yield solve(table.slice(known))
+            if below < len(h):
+                yield solve(table.slice(below))
 
     return pieces.mapInArrow(work, "doc long, which long, low long, high long")
 
 
 def frequent_runs(pieces: DataFrame, length: int) -> DataFrame:
-    """As removed_runs(), for anchors of any number of rows: every window is a row, and the least doc of each is a plain aggregate with sums before the shuffle."""
-    at = F.explode(F.sequence(F.lit(1), F.length("piece") - (length - 1)))
-    windows = pieces.where("h >= 0").select("doc", "which", "starts", "piece", at.alias("k")).select("doc", "which", "starts", "k", F.substring("piece", F.col("k"), F.lit(length)).alias("window"))
-    least = windows.groupBy("window").agg(F.min("doc").alias("least"))
-    cut = windows.join(least, "window").where("least < doc").select("doc", "which", F.explode(F.transform("starts", lambda x: x + F.col("k") - 1)).alias("low"))
-    return cut.select("doc", "which", "low", (F.col("low") + length).alias("high")).union(pieces.where("h < 0").select("doc", "which", F.get("starts", F.lit(0)), F.get("starts", F.lit(0)) + F.col("spot")))
+    """As removed_runs(), for the pieces of frequent anchors, of any number: every window is a row, and equal ones meet in a window that is sorted, and spilled if need be. A part of the input sends equal pieces once."""
+    names = ["doc", "which", "low", "window"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pc.and_(pc.less(batch.column(0), 0), pc.greater(pc.binary_length(batch.column(5)), 0)))
+            rows = [
+                (doc, which, start + k, piece[k : k + length])
+                for doc, which, starts, piece in zip(*(some.column(k).to_pylist() for k in (1, 2, 3, 5)), strict=True) for k in range(len(piece) - length + 1) for start in starts
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
+
+    windows = pieces.mapInArrow(work, "doc long, which long, low long, window binary")
+    least = F.min("doc").over(W.partitionBy("window"))
+    return windows.withColumn("least", least).where("least < doc").select("doc", "which", "low", (F.col("low") + length).alias("high"))
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -350,11 +368,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, frequent: int = FREQ
     # one exchange of the texts serves the comparison and the cutting
     at = known.withColumnsRenamed({"doc": "doc_id"})
     marked = named.join(at, ["doc_id", "key"]).select("doc_id", "which", "text", "shared", "frequent")
-    some = lambda c: marked.select(F.col("doc_id").alias("doc"), "which", "text", c.alias("shared"))
-    pieces = contexts(some(F.array_except("shared", "frequent")), length)
-    runs = removed_runs(pieces.repartition("h").sortWithinPartitions("h"), length)
+    pieces = contexts(marked.withColumnRenamed("doc_id", "doc"), length).repartition("h")
+    runs = removed_runs(pieces.sortWithinPartitions("h"), length)
     if not many.isEmpty():
-        runs = runs.union(frequent_runs(contexts(some(F.when(F.size("frequent") > 0, F.col("frequent"))), length), length))
+        runs = runs.union(frequent_runs(pieces, length))
     runs = runs.groupBy("doc", "which").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))
     runs = at.select("doc_id", "key", "which", "copy").join(runs.withColumnRenamed("doc", "doc_id"), ["doc_id", "which"], "left").select("doc_id", "key", "copy", "runs")
     joined = named.join(runs, ["doc_id", "key"])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import log, pi
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from starmill.functions.columns import chi2, total, uniform_bin
 
 #: lnP below a star's largest that still counts, and the stars that go to every executor at most.
 THRESHOLD, BROADCAST_STARS = -10.0, 100_000
+#: Stars and models of a block.
+STAR_BLOCK, MODEL_BLOCK = 256, 2048
 
 
 @dataclass(frozen=True)
@@ -66,17 +69,59 @@ def stars_to_models(stars: DataFrame, prepared: DataFrame, columns: Sequence[str
     return both.select("star_id", "model_id", *columns, "chi2", (F.col("base") - 0.5 * F.col("chi2")).alias("lnp"))
 
 
+def in_blocks(df: DataFrame, key: str, size: int) -> DataFrame:
+    """block and rows: about `size` rows of df, dealt by a hash of their key, as one array of structs."""
+    n = max(1, -(-df.count() // size))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+
+
+def block_product(stars: DataFrame, ready: DataFrame, columns: Sequence[str], bands: Bands, schema: str, emit: Callable[..., list[pa.Array]]) -> DataFrame:
+    """emit(star columns, model columns, chi2, lnp) of each block of stars with each block of prepared models, as rows of `schema`; chi2 and lnp are arrays star x model.
+
+    Up to BROADCAST_STARS stars go to every executor in blocks; the blocks of more are joined by Spark's Cartesian product. No row is made per pair.
+    """
+    numbers = [F.col(c).cast("double").alias(c) for c in ready.columns if c != "model_id"]
+    wide = in_blocks(ready.select("model_id", *numbers), "model_id", MODEL_BLOCK).select(F.col("rows").alias("models"))
+    few = in_blocks(stars.select("star_id", *[F.col(c).cast("double").alias(c) for c in [*bands.flux, *columns]]), "star_id", STAR_BLOCK).select(F.col("rows").alias("stars"))
+    small = few.agg(F.count(F.lit(1))).first()[0] * STAR_BLOCK <= BROADCAST_STARS
+    names = [part.split()[0].strip("`") for part in schema.split(", ")]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                s, m = ({f.name: x for f, x in zip(t.type, t.flatten(), strict=True)} for t in (batch.column(0)[r].values, batch.column(1)[r].values))
+                number = lambda x: x.to_numpy(zero_copy_only=False).astype(float)
+                c2 = 0.0
+                for k, f in enumerate(bands.flux):
+                    c2 = c2 + (number(s[f])[:, None] - number(m[f"p_{k}"])) ** 2 * number(m[f"w_{k}"])
+                yield pa.RecordBatch.from_arrays(emit(s, m, c2, number(m["base"]) - 0.5 * c2), names)
+
+    return wide.crossJoin(F.broadcast(few) if small else few).select("stars", "models").mapInArrow(work, schema)
+
+
 def sparse(stars: DataFrame, models: DataFrame, params: Sequence[str] = (), threshold: float = THRESHOLD, bands: Bands = BANDS) -> DataFrame:
     """The likely rows: star_id, model_id, params, chi2, lnp, mx (the star's largest lnp) and w = exp(lnp - mx), where lnp - mx > threshold.
 
-    Two passes over star x model and none of its rows shuffled: the first leaves one maximum per star and task, the
+    Two passes over star x model, by blocks, and none of its rows shuffled: the first leaves one maximum per star and block, the
     second keeps what is above the threshold, so only likely rows go on.
     """
-    fluxes = stars.select("star_id", *bands.flux)
-    first = stars_to_models(fluxes, prepare(models, (), bands), (), bands).groupBy("star_id").agg(F.max("lnp").alias("mx"))
-    known = fluxes.join(first, "star_id")
-    rows = stars_to_models(known, prepare(models, params, bands), [*params, "mx"], bands)
-    return rows.where(F.col("lnp") - F.col("mx") > threshold).withColumn("w", F.exp(F.col("lnp") - F.col("mx")))
+    star, model = (df.schema[c].dataType.simpleString() for df, c in ((stars, "star_id"), (models, "model_id")))
+
+    def most(s: dict, _: dict, __: np.ndarray, lnp: np.ndarray) -> list[pa.Array]:
+        return [s["star_id"], pa.array(np.where(np.isnan(lnp), -np.inf, lnp).max(1))]
+
+    def likely(s: dict, m: dict, c2: np.ndarray, lnp: np.ndarray) -> list[pa.Array]:
+        top = s["mx"].to_numpy(zero_copy_only=False)
+        i, j = np.nonzero(lnp - top[:, None] > threshold)
+        at = pa.array(j)
+        return [s["star_id"].take(pa.array(i)), m["model_id"].take(at), *[m[p].take(at) for p in params], pa.array(c2[i, j]), pa.array(lnp[i, j]), pa.array(top[i])]
+
+    first = block_product(stars, prepare(models, (), bands), (), bands, f"star_id {star}, mx double", most).groupBy("star_id").agg(F.max("mx").alias("mx"))
+    known = stars.select("star_id", *bands.flux).join(first, "star_id")
+    schema = ", ".join([f"star_id {star}", f"model_id {model}", *[f"`{p}` double" for p in params], "chi2 double", "lnp double", "mx double"])
+    rows = block_product(known, prepare(models, params, bands), ["mx"], bands, schema, likely)
+    typed = [F.col(p).cast(models.schema[p].dataType).alias(p) for p in params]
+    return rows.select("star_id", "model_id", *typed, "chi2", "lnp", "mx", F.exp(F.col("lnp") - F.col("mx")).alias("w"))
 
 
 def summary(rows: DataFrame, params: Sequence[str]) -> DataFrame:
@@ -179,10 +224,10 @@ def weighted_percentile(rows: DataFrame, by: str | Sequence[str], value: str, we
 def fit(stars: DataFrame, models: DataFrame, noise: DataFrame, params: Sequence[str], percentiles: Sequence[float] = (16, 50, 84), threshold: float = THRESHOLD, max_bins: int = 50, bands: Bands = BANDS) -> dict[str, DataFrame]:
     """stats, pdf1d, pdf2d and lnp of a catalogue. Percentiles come from the 1-D tables.
 
-    The likely rows are kept on the executors' disks (persist), so the product of stars and models is made once for all four; what an executor loses is made anew.
+    stats takes two passes over star x model beside those for the rows' threshold, however many parameters there are: one for the sums, one for the 1-D tables. Each other table takes one.
     """
     ready = positive_weight(attach_noise(models, noise), bands)
-    rows = sparse(stars, ready, params, threshold, bands).persist(StorageLevel.DISK_ONLY)
+    rows = sparse(stars, ready, params, threshold, bands)
     one = pdf1d(rows, [bin_spec(models, p, max_bins) for p in params])
     some = weighted_percentile(one, ["star_id", "param"], "bin_val", "p", percentiles)
     # one row per star again: each parameter has one row there

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starmill.llm.common import kept, read, spread_join, text_key, word_count
+from starmill.llm.common import forget, kept, read, spread_join, text_key, word_count
 from starmill.llm.shingles import U, mix
 
 #: A common block goes if its lines have so many characters together.
@@ -171,11 +171,13 @@ def overlaps(arrays: DataFrame, least: int) -> DataFrame:
     exceed the lines and runs (two for each line at most), however many documents share one. What is held once drops out before the join. The
     runs bring a block to a document that holds it where its lines stand earlier elsewhere, one by one.
     """
-    lines = with_runs(arrays, least).where("line <> 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    lines = kept(with_runs(arrays, least).where("line <> 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "runs")
     # any share of the documents may hold one line: they are dealt to parts, and its first holder is told to those that have some
     first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("holders"), F.collect_set("part").alias("parts")).where("holders > 1")
     pairs = lines.join(first.select("line", "first", F.explode("parts").alias("part")), ["line", "part"]).where(F.struct("doc_id", "tag") != F.col("first")).select("doc_id", "tag", "first").distinct()
-    return pairs.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag"))
+    pairs = kept(pairs.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")), "pairs")
+    forget(lines)
+    return pairs
 
 
 def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
@@ -183,7 +185,7 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     arrays = kept(line_arrays(docs.where(F.col("doc_id").isNotNull())), "lines")
     texts = arrays.groupBy("tag").agg(F.min("doc_id").alias("doc_id"))
     single = kept(arrays.join(texts, ["tag", "doc_id"], "left_semi").dropDuplicates(["tag", "doc_id"]), "texts")
-    pairs = kept(overlaps(single, least), "pairs")
+    pairs = overlaps(single, least)
     # which is `later` follows from the order of ids; the pairs get both line arrays, not the texts
     firsts = single.select(F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("hashes").alias("first_hashes"))
     laters = single.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), "hashes", "chars")

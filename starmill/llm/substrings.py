@@ -17,7 +17,7 @@ from starmill.llm.suffixes import suffix_arrays
 
 #: Bytes of a match and of an anchor.
 LENGTH, ANCHOR = 50, 16
-#: Rows that a task looks at at once, and symbols that it takes to suffix arrays at once. An anchor of more texts than FREQUENT is dealt by whole windows; of such anchors so many are broadcast.
+#: Rows that a task looks at at once, and symbols that it takes to suffix arrays at once. An anchor with more occurrences than FREQUENT is dealt by whole windows; of such anchors so many are broadcast.
 ROWS, SYMBOLS, FREQUENT, BROADCAST = 1 << 16, 1 << 20, 100_000, 100_000
 #: Bits of an anchor that its own text can do without, and parts over which the rows of an anchor known to be shared are spread.
 BRIEF, SALTS = 17, 1 << 12
@@ -59,8 +59,9 @@ def with_anchors(texts: DataFrame, length: int) -> DataFrame:
     """to, tag, mark: the anchors of texts (key, tag, text), each once a text. A text that a task has met before is passed over.
 
     An anchor of several texts of one part of the input needs no look at other parts to be shared: of these texts one speaks for it
-    elsewhere. That row, and that of an anchor of one text alone, has the anchor as `to` and in `mark` how many texts it speaks for. The rows of
-    the others have a negative `to` with the anchor's brief form and mark 0. So no anchor brings more rows to one place than there are parts.
+    elsewhere. That row, and that of an anchor of one text alone, has the anchor as `to` and in `mark` how often it occurs, times two, plus one
+    if several texts have it. The rows of the others have a negative `to` with the anchor's brief form and mark 0. So no anchor brings
+    more rows to one place than there are parts.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,11 +75,12 @@ def with_anchors(texts: DataFrame, length: int) -> DataFrame:
                     continue
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
-                own = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])]
+                own = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+                times = np.diff(np.r_[own, len(h)])
                 h, text = h[own], text[own]
                 first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
                 mark = np.zeros(len(h), np.int64)
-                mark[first] = np.diff(np.r_[first, len(h)])
+                mark[first] = 2 * np.add.reduceat(times, first) + (np.diff(np.r_[first, len(h)]) > 1)
                 to = np.where(mark > 0, h, -1 - ((h >> BRIEF) | (text % SALTS << (48 - BRIEF))))
                 by_text = np.argsort(text, kind="stable")  # tags in a row take little room
                 tags = batch.column(1).slice(at, len(offsets) - 1).take(pa.array(text[by_text]))
@@ -88,11 +90,11 @@ def with_anchors(texts: DataFrame, length: int) -> DataFrame:
 
 
 def shared_anchors(texts: DataFrame, length: int) -> DataFrame:
-    """tag, brief, times: the anchors that several texts have; times (how many) stands in one row of each at least."""
+    """tag, brief, times: the anchors that several texts have; times (occurrences) stands in one row of each at least."""
     w = W.partitionBy("to")
-    rows = with_anchors(texts, length).select("to", "tag", "mark", F.min("tag").over(w).alias("low"), F.max("tag").over(w).alias("high"), F.max("mark").over(w).alias("many"), F.sum("mark").over(w).alias("times"))
+    rows = with_anchors(texts, length).select("to", "tag", "mark", F.min("tag").over(w).alias("low"), F.max("tag").over(w).alias("high"), F.max(F.col("mark") % 2).over(w).alias("many"), F.sum(F.floor(F.col("mark") / 2)).over(w).alias("times"))
     of = F.when(F.col("to") < 0, (-1 - F.col("to")).bitwiseAND((1 << (48 - BRIEF)) - 1)).otherwise(F.shiftright("to", BRIEF))
-    return rows.where("to < 0 OR many > 1 OR low <> high").select("tag", of.cast("int").alias("brief"), F.when(F.col("to") >= 0, F.col("times")).alias("times"))
+    return rows.where("to < 0 OR many > 0 OR low <> high").select("tag", of.cast("int").alias("brief"), F.when(F.col("to") >= 0, F.col("times")).alias("times"))
 
 
 def bytes_at(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:

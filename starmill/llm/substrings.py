@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from starmill.llm.common import kept, read, text_key
 from starmill.llm.shingles import U, by_runs, byte_sums, mix, parts, slice_hashes
-from starmill.llm.suffixes import suffix_arrays
+from starmill.llm.suffixes import narrow, suffix_arrays
 
 #: Bytes of a match and of an anchor.
 LENGTH, ANCHOR = 50, 16
@@ -82,7 +82,7 @@ def with_anchors(texts: DataFrame, length: int) -> DataFrame:
                 mark = np.zeros(len(h), np.int64)
                 mark[first] = 2 * np.add.reduceat(times, first) + (np.diff(np.r_[first, len(h)]) > 1)
                 to = np.where(mark > 0, h, -1 - ((h >> BRIEF) | (text % SALTS << (48 - BRIEF))))
-                by_text = np.argsort(text, kind="stable")  # tags in a row take little room
+                by_text = np.argsort(narrow(text), kind="stable")  # tags in a row take little room
                 tags = batch.column(1).slice(at, len(offsets) - 1).take(pa.array(text[by_text]))
                 yield pa.RecordBatch.from_arrays([pa.array(to[by_text]), tags, pa.array(mark[by_text].astype(np.int32))], ["to", "tag", "mark"])
 
@@ -198,6 +198,28 @@ def first_owners(data: np.ndarray, begin: np.ndarray, group: np.ndarray, owner:
     return out[valid]
 
 
+def common(data: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray, step: int) -> np.ndarray:
+    """How many bytes from `start` on (up to `end`; step -1: back from before start, down to end) a slice shares with another of its group, at most: its neighbours in order tell."""
+    size = (end - start) * step
+    width = int(size.max()) if len(size) else 0
+    if not width:
+        return size
+    k = np.arange(width)
+    at = start[:, None] + (k if step > 0 else -1 - k)
+    # 0xFF stands in no UTF-8 text
+    rows = np.where(k < size[:, None], data[np.clip(at, 0, len(data) - 1)], np.uint8(0xFF)).astype(np.uint8)
+    words = np.full((len(rows), -(-width // 8) * 8), 0xFF, np.uint8)
+    words[:, :width] = rows
+    order = np.lexsort((*words.view(">u8").T[::-1], group))
+    sorted_rows, g = rows[order], group[order]
+    differs = sorted_rows[1:] != sorted_rows[:-1]
+    equal = np.where(differs.any(1), differs.argmax(1), width)
+    equal = np.minimum(equal, np.minimum(size[order][1:], size[order][:-1])) * (g[1:] == g[:-1])
+    out = np.zeros(len(size), np.int64)
+    out[order] = np.maximum(np.r_[equal, 0], np.r_[0, equal])
+    return out
+
+
 def owned(h: np.ndarray, doc: np.ndarray, spot: np.ndarray, data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Least document of each window of the pieces, and where each piece's windows begin. h is sorted.
 
@@ -224,7 +246,7 @@ def owned(h: np.ndarray, doc: np.ndarray, spot: np.ndarray, data: np.ndarray, be
     side, pb, pl, who, of, key_from, key_to = (x[some] for x in (side, pb, pl, who, of, key_from, key_to))
     key = mix(slice_hashes(*sums, key_from, np.minimum(key_to, len(data))) ^ mix(h[lead][of].view(U) + side.astype(U)))
     order = np.argsort(key, kind="stable")
-    side, pb, pl, who, of, key = (x[order] for x in (side, pb, pl, who, of, key))
+    side, pb, pl, who, of, key, key_from, key_to = (x[order] for x in (side, pb, pl, who, of, key, key_from, key_to))
     head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     group = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(key)]))
     alone = np.bincount(group)[group] == 1
@@ -237,14 +259,36 @@ def owned(h: np.ndarray, doc: np.ndarray, spot: np.ndarray, data: np.ndarray, be
     if len(one):
         result[where(one)] = np.repeat(who[one], count[one])
     if len(many):
-        # whole groups, as many at once as have SYMBOLS bytes
-        size = count[many] + length - 1
-        lead_of = np.flatnonzero(np.r_[True, group[many][1:] != group[many][:-1]])
-        turn = np.cumsum(np.add.reduceat(size, lead_of)) // SYMBOLS
-        cuts = lead_of[np.flatnonzero(np.r_[True, turn[1:] != turn[:-1]])]
-        for a, b in zip(cuts, np.r_[cuts[1:], len(many)], strict=True):
-            some = many[a:b]
-            result[where(some)] = first_owners(bytes_at(data, pb[some], size[a:b]), np.r_[0, np.cumsum(size[a:b])], group[some], who[some], length)
+        result[where(many)] = np.repeat(who[many], count[many])
+        # what no other part of the group goes on with, before the shared bytes or behind them, can't be equal to anything
+        low = key_from[many] - common(data, key_from[many], pb[many], group[many], -1)
+        high = key_to[many] + common(data, key_to[many], pl[many] + length, group[many], 1)
+        some = high - low >= length
+        many, low, high = many[some], low[some], high[some]
+    if len(many):
+        size, of_group = high - low, group[many]
+        content = mix(slice_hashes(*sums, low, high) ^ mix(of_group.astype(U) + mix((key_from[many] - low).astype(U))))
+        kind, same = leaders(content, data, low, size)
+        first_who = np.full(len(kind), np.iinfo(np.int64).max)
+        np.minimum.at(first_who, same, who[many])
+        order = np.argsort(of_group[kind], kind="stable")
+        kind, first_who, same = kind[order], first_who[order], np.argsort(order)[same]
+        windows = size[kind] - length + 1
+        begins = np.r_[0, np.cumsum(windows)]
+        found = np.repeat(first_who, windows)
+        # groups of several kinds to suffix arrays: whole ones, as many at once as have SYMBOLS bytes
+        kinds = np.flatnonzero(np.bincount(of_group[kind])[of_group[kind]] > 1)
+        turn = np.cumsum(size[kind[kinds]]) // SYMBOLS
+        lead_of = np.flatnonzero(np.r_[True, of_group[kind[kinds]][1:] != of_group[kind[kinds]][:-1]][: len(kinds)])
+        cuts = lead_of[np.flatnonzero(np.r_[True, turn[lead_of][1:] != turn[lead_of][:-1]][: len(lead_of)])]
+        for a, b in zip(cuts, np.r_[cuts[1:], len(kinds)].astype(np.int64)[: len(cuts)], strict=True):
+            k = kinds[a:b]
+            owner = first_owners(bytes_at(data, low[kind[k]], size[kind[k]]), np.r_[0, np.cumsum(size[kind[k]])], of_group[kind[k]], first_who[k], length)
+            found[np.repeat(begins[k] - (np.cumsum(windows[k]) - windows[k]), windows[k]) + np.arange(windows[k].sum())] = owner
+        n = windows[same]
+        at = np.repeat(np.cumsum(n) - n, n)
+        inner = np.arange(n.sum()) - at
+        result[np.repeat(to[many] + low - pb[many], n) + inner] = found[np.repeat(begins[same], n) + inner]
     return result, np.c_[at_lead[:-1], at_lead[1:]][back]
 
 

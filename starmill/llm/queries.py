@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starmill.llm import chat, classifier, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings
+from starmill.llm import chat, classifier, collocations, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings
 
 QUERIES = {
     "op1_ngram_ratio": quality_rules.op1_ngram_ratio,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quadratic_discriminant": classifier.op8_quadratic_discriminant,
     "op9_nn_descent": neighbours.op9_nn_descent,
     "op10_licence_paragraphs": licences.op10_licence_paragraphs,
+    "op11_quotient_collocations": collocations.op11_quotient_collocations,
 }
 
-ORACLES = {"op3_grammar_round_trip": chat.SQL, "op6_sainte_lague": mixing.SQL}
+ORACLES = {"op3_grammar_round_trip": chat.SQL, "op6_sainte_lague": mixing.SQL, "op11_quotient_collocations": collocations.SQL}

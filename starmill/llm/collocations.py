@@ -112,7 +112,7 @@ def frequent(filters: DataFrame, bits: int, part_bits: int, least: int) -> DataF
         keys, counts = merged_filters(rows, packing, int(key[1]), part_bits)
         many = np.flatnonzero(counts >= least)
         ids = packing.unpack((keys[0][many], keys[1][many]))
-        return pd.DataFrame({"ids": list(np.stack(ids, 1)) if len(many) else [], "f": counts[many]})
+        return pd.DataFrame({"ids": pd.Series(list(np.stack(ids, 1)), dtype=object), "f": counts[many]})
 
     return filters.groupBy("n", "part").applyInPandas(merge, "ids array<long>, f long")
 

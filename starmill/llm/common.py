@@ -38,6 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder, which goes at the end of cleaned_up()."""
+    path = f"{shared_dir(spark)}/starmill-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once to the shared folder and read back: later steps don't compute them again.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starmill.llm import chat, classifier, collocations, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, substrings
+from starmill.llm import chat, classifier, collocations, licences, line_dedup, minhash, mixing, neighbours, packing, quality_rules, repair, substrings, token_files
 
 QUERIES = {
     "op1_ngram_ratio": quality_rules.op1_ngram_ratio,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_nn_descent": neighbours.op9_nn_descent,
     "op10_licence_paragraphs": licences.op10_licence_paragraphs,
     "op11_quotient_collocations": collocations.op11_quotient_collocations,
+    "op12_arrow_sequences": token_files.op12_arrow_sequences,
+    "op13_run_length_repair": repair.op13_run_length_repair,
 }
 
-ORACLES = {"op3_grammar_round_trip": chat.SQL, "op6_sainte_lague": mixing.SQL, "op11_quotient_collocations": collocations.SQL}
+ORACLES = {"op3_grammar_round_trip": chat.SQL, "op6_sainte_lague": mixing.SQL, "op11_quotient_collocations": collocations.SQL, "op13_run_length_repair": repair.SQL}

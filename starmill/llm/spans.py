@@ -24,7 +24,8 @@ def slices(texts: pa.StringArray, classes: np.ndarray, most: int) -> Iterator[tu
 
     A text of more than `most` bytes is cut behind the first byte of the class of largest number there is, wherever that comes: where no break follows, the text stays whole.
     """
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     first = 0
     while first < len(texts):

@@ -43,11 +43,13 @@ def slices(texts: pa.StringArray, classes: np.ndarray, most: int) -> Iterator[tu
         first = last
 
 
-def words(data: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct words (binary), each word's number among them, and where the words start. ends: where the texts end."""
+def words(data: np.ndarray, ends: np.ndarray, classes: np.ndarray, cuts: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words (binary), each word's number among them, and where the words start. ends: where the texts end; cuts: whether a word ends between each byte and the next."""
     is_word = classes[data] == WORD
     edge = np.zeros(len(data) + 1, bool)
     edge[ends] = edge[0] = edge[-1] = True
+    if cuts is not None:
+        edge[1:-1] |= cuts
     begins, stops = is_word.copy(), is_word.copy()
     begins[1:] &= ~is_word[:-1] | edge[1:-1]
     stops[:-1] &= ~is_word[1:] | edge[1:-1]

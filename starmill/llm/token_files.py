@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -23,56 +24,84 @@ from starmill.llm.spans import byte_classes, slices, words
 LENGTH, BATCH, FILE_ROWS, END_ID = 1024, 256, 16384, 1
 #: Blanks that no token of the vocabulary crosses.
 BLANKS = byte_classes(b" \t\n\x0c\r")
-#: Bytes of text that are cut into words at once, and words whose ids a worker remembers.
-SLICE, REMEMBERED = 16 << 20, 1 << 19
-#: Values of a mask.
-PADDING, TOKEN, LAST = 0, 1, 2
+#: ASCII letters, and the marks that the vocabulary's pattern always parts from letters beside them.
+LETTERS = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+MARKS = np.isin(np.arange(256), list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"))
+#: Bytes of text that are cut into words at once; runs, and characters of runs, that a worker remembers; runs that are encoded as one text.
+SLICE, REMEMBERED, CHARACTERS, JOINED = 8 << 20, 1 << 19, 64 << 20, 64
 
 _encoders: dict[int, Encoder] = {}
 
 
 class Encoder:
-    """Ids of texts by a public vocabulary that drops white space, so that each run of other characters has its own ids, wherever it stands. Ids of short runs are remembered."""
+    """Ids of texts by a public vocabulary that drops white space, so that each run of other characters has its own ids, wherever it stands. Ids of runs are remembered."""
 
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, runs: list[bytes]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [r for r in runs if r not in self.known]
-        made = {}
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for run, ids in zip(some, self.tokenizer.encode_batch_fast([r.decode() for r in some], add_special_tokens=False), strict=True):
-                made[run] = np.array(ids.ids, self.kind).tobytes()
-        out = [made[r] if r in made else self.known[r] for r in runs]
-        self.known |= {r: x for r, x in made.items() if len(r) <= 64}
-        return out
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
+        suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        self.ends_word = np.zeros(size, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends_word[k] = bool(suffix) and token.endswith(suffix)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.sizes, self.begins, self.characters = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for k in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
+
+    def _joined(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of runs of ASCII letters, and how many each has, from texts of many runs: the vocabulary marks the last id of a word. None if it doesn't."""
+        ids = np.concatenate([np.zeros(0, self.kind), *self._encode([" ".join(runs[k : k + JOINED]) for k in range(0, len(runs), JOINED)])])
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stops) != len(runs) or len(runs) and stops[-1] != len(ids):
+            return None
+        return ids, np.diff(stops, prepend=0)
+
+    def places(self, runs: list[str]) -> np.ndarray:
+        """Where the runs' ids stand among those that are known, which the new ones join."""
+        if len(self.known) > REMEMBERED or self.characters > CHARACTERS:
+            self._forget()
+        at = np.fromiter((self.known.get(r, -1) for r in runs), np.int64, len(runs))
+        new = [runs[k] for k in np.flatnonzero(at < 0)]
+        if new:
+            plain = [r for r in new if r.isalpha() and r.isascii()]
+            other = [r for r in new if not (r.isalpha() and r.isascii())]
+            together = self._joined(plain)
+            if together is None:
+                plain, other, together = [], new, (np.zeros(0, self.kind), np.zeros(0, np.int64))
+            alone = self._encode(other)
+            sizes = np.concatenate([together[1], np.array([len(x) for x in alone], np.int64)])
+            first = len(self.sizes)
+            self.known.update(zip([*plain, *other], range(first, first + len(new)), strict=True))
+            self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, together[0], *alone])
+            self.characters += sum(map(len, new))
+            at[at < 0] = [self.known[r] for r in new]
+        return at
 
     def ids(self, texts: pa.StringArray, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of the texts in order, each with `end` behind it, and the places of those ends, some texts or parts of a text a time."""
         for data, stops, whole in _parts(texts):
-            distinct, number, starts = words(data, stops, BLANKS)
-            coded = self.encode(distinct.to_pylist())
-            sizes = np.array([len(c) for c in coded], np.int64) // np.dtype(self.kind).itemsize
-            flat = np.frombuffer(b"".join(coded), self.kind)
-            begins = np.cumsum(sizes) - sizes
-            n = sizes[number]
+            letter, mark = LETTERS[data], MARKS[data]
+            distinct, number, starts = words(data, stops, BLANKS, letter[:-1] & mark[1:] | mark[:-1] & letter[1:])
+            at = self.places(distinct.cast(pa.large_string()).to_pylist())[number]
+            n = self.sizes[at]
             upto = np.cumsum(n)
-            spread = flat[np.repeat(begins[number] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)] if len(upto) else np.zeros(0, self.kind)
+            spread = self.flat[np.repeat(self.begins[at] - (upto - n), n) + np.arange(upto[-1])] if len(upto) else np.zeros(0, self.kind)
             if not whole:
                 yield spread, np.zeros(0, np.int64)
                 continue
             # words before each text's end
             before = np.searchsorted(starts, stops, "left")
-            at = np.concatenate([[0], upto])[before]
-            yield np.insert(spread, at, end), at + np.arange(len(at))
+            last = np.concatenate([[0], upto])[before]
+            yield np.insert(spread, last, end), last + np.arange(len(last))
 
 
 def _parts(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -88,8 +117,8 @@ def _parts(texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray, bool
 
 
 def schema(length: int, kind: np.dtype) -> pa.Schema:
-    """ids and mask of a sequence (mask: 0 padding, 1 an id, 2 the last id of a document), and the doc_ids of the documents that end in it."""
-    return pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(kind), length), False), pa.field("mask", pa.list_(pa.uint8(), length), False), pa.field("doc_ids", pa.list_(pa.int64()), False)])
+    """ids and mask of a sequence (the mask is false in the padding), and of the documents that end in it the doc_ids and the places of their last ids."""
+    return pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(kind), length), False), pa.field("mask", pa.list_(pa.bool_(), length), False), pa.field("doc_ids", pa.list_(pa.int64()), False), pa.field("ends", pa.list_(pa.int32()), False)])
 
 
 class SequenceWriter:
@@ -98,30 +127,30 @@ class SequenceWriter:
     def __init__(self, sink: pa.NativeFile, length: int, kind: np.dtype):
         self.length, self.kind = length, kind
         self.file = pa.ipc.new_file(sink, schema(length, kind))
-        self.ids, self.mask, self.docs = np.zeros(0, kind), np.zeros(0, np.uint8), []
+        self.ids, self.ends, self.docs = np.zeros(0, kind), np.zeros(0, np.int64), []
 
     def add(self, ids: np.ndarray, ends: np.ndarray, docs: list[int | None]) -> None:
-        mask = np.full(len(ids), TOKEN, np.uint8)
-        mask[ends] = LAST
-        self.ids, self.mask = np.concatenate([self.ids, ids]), np.concatenate([self.mask, mask])
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, ends + len(self.ids)])
         self.docs += docs
-        step = BATCH * self.length
-        whole = len(self.ids) // step
-        for k in range(whole):
-            self._write(self.ids[k * step : (k + 1) * step], self.mask[k * step : (k + 1) * step])
-        self.ids, self.mask = self.ids[whole * step :], self.mask[whole * step :]
-
-    def _write(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        ends = (mask.reshape(-1, self.length) == LAST).sum(1)
-        offsets = np.concatenate([[0], np.cumsum(ends)])
-        docs, self.docs = self.docs[: offsets[-1]], self.docs[offsets[-1] :]
+        step, at = BATCH * self.length, 0
+        while len(self.ids) - at >= step:
+            self._write(self.ids[at : at + step], np.ones(step, bool), at)
+            at += step
+        self.ids, self.ends = self.ids[at:], self.ends - at
+
+    def _write(self, ids: np.ndarray, mask: np.ndarray, first: int) -> None:
+        n = int(np.searchsorted(self.ends, first + len(ids)))
+        ends, self.ends = self.ends[:n] - first, self.ends[n:]
+        docs, self.docs = self.docs[:n], self.docs[n:]
+        offsets = pa.array(np.searchsorted(ends, np.arange(0, len(ids) + 1, self.length)), pa.int32())
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-        self.file.write_batch(pa.RecordBatch.from_arrays([*lists, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(docs, pa.int64()))], schema=schema(self.length, self.kind)))
+        more = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(docs, pa.int64()), pa.array(ends % self.length, pa.int32()))]
+        self.file.write_batch(pa.RecordBatch.from_arrays([*lists, *more], schema=schema(self.length, self.kind)))
 
     def close(self) -> None:
         if len(self.ids):
             more = -len(self.ids) % self.length
-            self._write(np.append(self.ids, np.zeros(more, self.kind)), np.append(self.mask, np.full(more, PADDING, np.uint8)))
+            self._write(np.append(self.ids, np.zeros(more, self.kind)), np.arange(len(self.ids) + more) < len(self.ids), 0)
         self.file.close()
 
 
@@ -139,16 +168,16 @@ class Sequences:
     def __len__(self) -> int:
         return self.size
 
-    def _row(self, column: str, k: int) -> np.ndarray:
+    def _row(self, column: str, k: int) -> pa.Array:
         if not 0 <= k < self.size:
             raise IndexError(k)
-        values = self.file.get_batch(k // BATCH).column(column).values
-        return values.to_numpy()[k % BATCH * self.length : (k % BATCH + 1) * self.length]
+        return self.file.get_batch(k // BATCH).column(column).values.slice(k % BATCH * self.length, self.length)
 
     def ids(self, k: int) -> np.ndarray:
-        return self._row("ids", k)
+        return self._row("ids", k).to_numpy()
 
-    def mask(self, k: int) -> np.ndarray:
+    def mask(self, k: int) -> pa.BooleanArray:
+        """A bit per place, as the file has them."""
         return self._row("mask", k)
 
     def documents(self) -> Iterator[tuple[int | None, list[np.ndarray]]]:
@@ -156,13 +185,13 @@ class Sequences:
         open_pieces: list[np.ndarray] = []
         for b in range(self.file.num_record_batches):
             batch = self.file.get_batch(b)
-            ids, mask = (batch.column(c).values.to_numpy() for c in ("ids", "mask"))
-            names = batch.column("doc_ids").values.to_pylist()
+            ids, ends = batch.column("ids").values.to_numpy(), batch.column("ends")
+            rows = np.repeat(np.arange(len(batch)), pc.list_value_length(ends).to_numpy(zero_copy_only=False))
             start = 0
-            for name, end in zip(names, np.flatnonzero(mask == LAST) + 1, strict=True):
+            for name, end in zip(batch.column("doc_ids").values.to_pylist(), (rows * self.length + ends.values.to_numpy() + 1).tolist(), strict=True):
                 yield name, [*open_pieces, ids[start:end]]
-                open_pieces, start = [], int(end)
-            rest = ids[start:][mask[start:] != PADDING]
+                open_pieces, start = [], end
+            rest = ids[start : pc.sum(batch.column("mask").values).as_py()]
             if len(rest):
                 open_pieces.append(rest)
 
@@ -170,7 +199,7 @@ class Sequences:
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end: int = END_ID, length: int = LENGTH, file_rows: int = FILE_ROWS) -> DataFrame:
     """Writes the documents' ids in ascending doc_id order, and returns the files: part (their order), path, documents, tokens, start (ids in the files before it).
 
-    vocabulary: the text of a tokenizers file. Each text's ids are followed by `end`, which may be an id of words too: the mask tells
+    vocabulary: the text of a tokenizers file. Each text's ids are followed by `end`, which may be an id of words too: `ends` tells
     where documents end. A file has the documents of one range of doc_id, cut into sequences of `length`, of which the last is padded.
 
     Nulls: a null text is empty and has the end id alone; null doc_ids come first. Repeated rows and rows of one doc_id are

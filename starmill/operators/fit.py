@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from math import log, pi
+from functools import cached_property
+from math import asinh, log, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from starmill.functions.columns import chi2, total, uniform_bin
 
 #: lnP below a star's largest that still counts, and the stars that go to every executor at most.
 THRESHOLD, BROADCAST_STARS = -10.0, 100_000
-#: Stars and models of a block.
-STAR_BLOCK, MODEL_BLOCK = 256, 2048
+#: Stars and models of a block, and the numbers of bins that a task holds for its stars.
+STAR_BLOCK, MODEL_BLOCK, HELD = 128, 1024, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -69,59 +74,321 @@ def stars_to_models(stars: DataFrame, prepared: DataFrame, columns: Sequence[str
     return both.select("star_id", "model_id", *columns, "chi2", (F.col("base") - 0.5 * F.col("chi2")).alias("lnp"))
 
 
-def in_blocks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """block and rows: about `size` rows of df, dealt by a hash of their key, as one array of structs."""
-    n = max(1, -(-df.count() // size))
-    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("block")).agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+def morton(quantities: Sequence[str], lows: Sequence[float], highs: Sequence[float], bits: int = 10) -> str:
+    """SQL: a row's place on a Z-curve through its quantities (the first five of them), each cut into 2 ** bits even steps. Neighbours on it are near in all of them.
+
+    The bits of a step, read as digits to the base 2 ** n, stand n places apart.
+    """
+    n, parts = min(len(quantities), 5), []
+    for k, (q, lo, hi) in enumerate(list(zip(quantities, lows, highs, strict=True))[:n]):
+        step = f"CAST(greatest(least(floor(({q} - ({lo!r}D)) * {(1 << bits) / ((hi - lo) or 1.0)!r}D), {(1 << bits) - 1}), 0) AS BIGINT)"
+        parts.append(f"shiftleft({f'CAST(conv(bin({step}), {1 << n}, 10) AS BIGINT)' if n > 1 else step}, {k})")
+    return " + ".join(parts)
 
 
-def block_product(stars: DataFrame, ready: DataFrame, columns: Sequence[str], bands: Bands, schema: str, emit: Callable[..., list[pa.Array]]) -> DataFrame:
-    """emit(star columns, model columns, chi2, lnp) of each block of stars with each block of prepared models, as rows of `schema`; chi2 and lnp are arrays star x model.
+def in_blocks(df: DataFrame, curve: str, tasks: int, size: int, quantities: Sequence[str], least: Sequence[str] = (), most: Sequence[str] = (), ahead: str = "") -> DataFrame:
+    """Blocks of up to `size` neighbours on a curve: `id` and the other columns as arrays in the order of id, lo_<q> and hi_<q> of each quantity, least_<c> and most_<c> of further columns. All names begin with `ahead`.
 
-    Up to BROADCAST_STARS stars go to every executor in blocks; the blocks of more are joined by Spark's Cartesian product. No row is made per pair.
+    The rows are dealt by ranges of the curve, and a task cuts its own into blocks: no group is collected.
     """
-    numbers = [F.col(c).cast("double").alias(c) for c in ready.columns if c != "model_id"]
-    wide = in_blocks(ready.select("model_id", *numbers), "model_id", MODEL_BLOCK).select(F.col("rows").alias("models"))
-    few = in_blocks(stars.select("star_id", *[F.col(c).cast("double").alias(c) for c in [*bands.flux, *columns]]), "star_id", STAR_BLOCK).select(F.col("rows").alias("stars"))
-    small = few.agg(F.count(F.lit(1))).first()[0] * STAR_BLOCK <= BROADCAST_STARS
-    names = [part.split()[0].strip("`") for part in schema.split(", ")]
+    values = [c for c in df.columns if c != "id"]
+    kinds = [(f"{ahead}id", f"array<{df.schema['id'].dataType.simpleString()}>"), *[(f"{ahead}{c}", "array<double>") for c in values]]
+    kinds += [(f"{ahead}{e}_{c}", "double") for e, some in (("lo", quantities), ("hi", quantities), ("least", least), ("most", most)) for c in some]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(len(batch)):
-                s, m = ({f.name: x for f, x in zip(t.type, t.flatten(), strict=True)} for t in (batch.column(0)[r].values, batch.column(1)[r].values))
-                number = lambda x: x.to_numpy(zero_copy_only=False).astype(float)
-                c2 = 0.0
-                for k, f in enumerate(bands.flux):
-                    c2 = c2 + (number(s[f])[:, None] - number(m[f"p_{k}"])) ** 2 * number(m[f"w_{k}"])
-                yield pa.RecordBatch.from_arrays(emit(s, m, c2, number(m["base"]) - 0.5 * c2), names)
+            pieces = -(-len(batch) // size)
+            for k in range(pieces):
+                part = batch.slice(len(batch) * k // pieces, len(batch) * (k + 1) // pieces - len(batch) * k // pieces)
+                part = part.take(pc.sort_indices(part.column("id")))
+                of = lambda f, c: float(f(part.column(c).to_numpy(zero_copy_only=False)))
+                ends = [of(np.fmin.reduce, c) for c in quantities] + [of(np.fmax.reduce, c) for c in quantities] + [of(np.fmin.reduce, c) for c in least] + [of(np.fmax.reduce, c) for c in most]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(c)) for c in ("id", *values)]
+                yield pa.RecordBatch.from_arrays([*lists, *[pa.array([x]) for x in ends]], [name for name, _ in kinds])
+
+    dealt = df.selectExpr("id", *[f"CAST({c} AS DOUBLE) AS {c}" for c in values], f"{curve} AS curve")
+    dealt = (dealt.repartitionByRange(tasks, "curve") if tasks > 1 else dealt.coalesce(1)).sortWithinPartitions("curve", "id")
+    return dealt.select("id", *values).mapInArrow(cut, ", ".join(f"`{n}` {k}" for n, k in kinds))
+
+
+class Most:
+    """Each star's largest lnP so far."""
+
+    def __init__(self, stars: dict[str, np.ndarray]):
+        self.stars, self.top = stars, np.full(len(stars["id"]), -np.inf)
+
+    def add(self, models: dict[str, np.ndarray], c2: np.ndarray, lnp: np.ndarray) -> None:
+        self.top = np.fmax(self.top, np.fmax.reduce(lnp, axis=1))
+
+    def columns(self) -> dict[str, list]:
+        return {"star_id": self.stars["id"], "mx": self.top}
+
+
+class Sums:
+    """Each star's likely models so far: their number, sums of weights, of weighted parameters and of the weights in bins, the best and the nearest one."""
+
+    def __init__(self, stars: dict[str, np.ndarray], params: Sequence[str], specs: Sequence[dict], joint: bool, threshold: float):
+        n, widths = len(stars["id"]), [len(s["vals"]) for s in specs]
+        self.specs, self.joint = [(list(params).index(s["param"]), s) for s in specs], joint
+        self.widths = [widths[i] * widths[j] for i in range(len(specs)) for j in range(i + 1, len(specs))] if joint else widths
+        self.stars, self.threshold, self.params = stars, threshold, len(params)
+        params, widths = self.params, self.widths
+        self.n, self.w, self.moments, self.bins = np.zeros(n, np.int64), np.zeros(n), np.zeros((n, params)), np.zeros((n, sum(widths)))
+        self.best, self.near = {}, {}
+        for held, worst in ((self.best, -np.inf), (self.near, np.inf)):
+            held |= {"value": np.full(n, worst), "id": np.empty(n, stars["model_kind"]), "x": np.zeros((n, params))}
+
+    def _first(self, held: dict, values: np.ndarray, at: np.ndarray, models: dict[str, np.ndarray], sign: int) -> None:
+        value, ids = values[np.arange(len(at)), at], models["id"][at]
+        some = np.isfinite(value)
+        better = some & (value * sign > held["value"] * sign)
+        tied = some & (value == held["value"])
+        better[tied] = ids[tied] < held["id"][tied]
+        held["value"][better], held["id"][better] = value[better], ids[better]
+        held["x"][better] = np.stack([models[f"x_{k}"][at[better]] for k in range(self.params)], 1) if self.params else held["x"][better]
+
+    def add(self, models: dict[str, np.ndarray], c2: np.ndarray, lnp: np.ndarray) -> None:
+        over = lnp - self.stars["mx"][:, None]
+        likely = over > self.threshold
+        at = np.flatnonzero(likely.any(0))
+        if not len(at):
+            return
+        models = {k: v[at] for k, v in models.items()}
+        likely, c2, lnp, over = likely[:, at], c2[:, at], lnp[:, at], over[:, at]
+        w = np.where(likely, np.exp(np.where(likely, over, 0.0)), 0.0)
+        self.n += likely.sum(1)
+        self.w += w.sum(1)
+        if self.params:
+            self.moments += w @ np.nan_to_num(np.stack([models[f"x_{k}"] for k in range(self.params)], 1))
+        first, places = 0, [bins_of(s, models[f"x_{k}"]) for k, s in self.specs]
+        if self.joint:
+            places = [places[i] * len(self.specs[j][1]["vals"]) + places[j] for i in range(len(places)) for j in range(i + 1, len(places))]
+        for codes, width in zip(places, self.widths, strict=True):
+            order = np.argsort(codes, kind="stable")
+            begins = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            self.bins[:, first + codes[order][begins]] += np.add.reduceat(w[:, order], begins, axis=1)
+            first += width
+        top, low = np.where(likely, lnp, -np.inf), np.where(likely, c2, np.inf)
+        self._first(self.best, top, top.argmax(1), models, 1)
+        self._first(self.near, low, low.argmin(1), models, -1)
+
+    def columns(self) -> dict[str, list]:
+        some = np.flatnonzero(self.n)
+        out = {"star_id": self.stars["id"][some], "code": np.full(len(some), -1), "n": self.n[some], "w": self.w[some], "lnp": self.best["value"][some], "model_id": self.best["id"][some], "chi2": self.near["value"][some], "near_id": self.near["id"][some], "best": list(self.best["x"][some]), "moments": list(self.moments[some])}
+        i, code = np.nonzero(self.bins)
+        nothing = [None] * len(i)
+        more = {"star_id": self.stars["id"][i], "code": code, "n": nothing, "w": self.bins[i, code]} | dict.fromkeys(("lnp", "model_id", "chi2", "near_id", "best", "moments"), nothing)
+        return {k: [*v, *more[k]] for k, v in out.items()}
 
-    return wide.crossJoin(F.broadcast(few) if small else few).select("stars", "models").mapInArrow(work, schema)
 
+@dataclass(frozen=True)
+class StarFit:
+    """Stars against models with their noise, by blocks, without a row per pair.
 
-def sparse(stars: DataFrame, models: DataFrame, params: Sequence[str] = (), threshold: float = THRESHOLD, bands: Bands = BANDS) -> DataFrame:
-    """The likely rows: star_id, model_id, params, chi2, lnp, mx (the star's largest lnp) and w = exp(lnp - mx), where lnp - mx > threshold.
+    Blocks of stars and of models are cut along a Z-curve through the fluxes. From the boxes of two blocks, the models' largest constant
+    and their least inverse variances follows a bound that no lnP between them exceeds. Each star's lnP with one model of each block is a
+    floor of its largest lnP; the largest itself is then looked for only where a pair's bound reaches the floor of one of its
+    stars; and likely rows only where it reaches the largest lnP plus the threshold of one. Stars that have a band without a number don't come out.
 
-    Two passes over star x model, by blocks, and none of its rows shuffled: the first leaves one maximum per star and block, the
-    second keeps what is above the threshold, so only likely rows go on.
+    Up to BROADCAST_STARS stars (counted first) go to every executor; the blocks of more meet in Spark's Cartesian product, on the same condition. What a task finds for a star is added up before it leaves it.
     """
-    star, model = (df.schema[c].dataType.simpleString() for df, c in ((stars, "star_id"), (models, "model_id")))
 
-    def most(s: dict, _: dict, __: np.ndarray, lnp: np.ndarray) -> list[pa.Array]:
-        return [s["star_id"], pa.array(np.where(np.isnan(lnp), -np.inf, lnp).max(1))]
+    stars: DataFrame
+    models: DataFrame
+    params: Sequence[str] = ()
+    threshold: float = THRESHOLD
+    bands: Bands = BANDS
+
+    @cached_property
+    def layout(self) -> dict:
+        """Number of stars, and of the models their number and each band's ends and mean sigma: all that the driver knows."""
+        p, w = [[F.col(f"{c}_{k}") for k in range(len(self.bands.flux))] for c in "pw"]
+        some = self.prepared.agg(F.count(F.lit(1)).alias("models"), *[f(x).alias(f"{n}_{k}") for k, x in enumerate(p) for n, f in (("lo", F.min), ("hi", F.max))], *[F.avg(1 / F.sqrt(x)).alias(f"s_{k}") for k, x in enumerate(w)]).first().asDict()
+        return some | {"stars": self.stars.count()}
+
+    @cached_property
+    def prepared(self) -> DataFrame:
+        return prepare(self.models, self.params, self.bands)
+
+    def curve(self, fluxes: Sequence[str]) -> str:
+        """Fluxes are stretched so that a step is near a sigma where they are faint, and a share where they are bright."""
+        at = self.layout
+        scale = [at[f"s_{k}"] or 1.0 for k in range(len(fluxes))]
+        ends = [[asinh((at[f"{e}_{k}"] or 0.0) / s) for k, s in enumerate(scale)] for e in ("lo", "hi")]
+        return morton([f"asinh({f} / {s!r}D)" for f, s in zip(fluxes, scale, strict=True)], *ends)
+
+    @cached_property
+    def model_blocks(self) -> DataFrame:
+        """Blocks of models with the parameters as x_k, persisted: all passes of a fit read them."""
+        n = range(len(self.bands.flux))
+        blocks = -(-self.layout["models"] // MODEL_BLOCK)
+        context = self.models.sparkSession
+        cores = max(context.sparkContext.defaultParallelism, int(context.conf.get("spark.sql.shuffle.partitions")))
+        some = self.prepared.selectExpr("model_id AS id", "base", *[f"{c}_{k}" for c in "pw" for k in n], *[f"`{p}` AS x_{k}" for k, p in enumerate(self.params)])
+        return in_blocks(some, self.curve([f"p_{k}" for k in n]), max(1, min(blocks, max(2 * cores, blocks // 64))), MODEL_BLOCK, [f"p_{k}" for k in n], [f"w_{k}" for k in n], ["base"]).persist()
+
+    def star_blocks(self, known: DataFrame | None = None) -> DataFrame:
+        """Blocks of stars with what is known of their largest lnP as mx."""
+        names = [f"f_{k}" for k in range(len(self.bands.flux))]
+        some = self.stars.selectExpr("star_id AS id", *[f"CAST({f} AS DOUBLE) AS {n}" for f, n in zip(self.bands.flux, names, strict=True)])
+        some = some.where(" AND ".join(f"{n} IS NOT NULL AND NOT isnan({n})" for n in names))
+        some = some.selectExpr("*", "CAST('-Infinity' AS DOUBLE) AS mx") if known is None else some.join(known.withColumnRenamed("star_id", "id"), "id")
+        return in_blocks(some, self.curve(names), max(1, -(-self.layout["stars"] // (STAR_BLOCK * 256))), STAR_BLOCK, names, ["mx"], ahead="s_")
+
+    def pairs(self, stars: DataFrame, margin: float = 0.0) -> DataFrame:
+        """Pairs of blocks whose bound reaches the least known lnP of their stars plus the margin."""
+        gaps = [f"greatest(lo_p_{k} - s_hi_f_{k}, s_lo_f_{k} - hi_p_{k}, 0D)" for k in range(len(self.bands.flux))]
+        bound = "most_base" + "".join(f" - 0.5D * {g} * {g} * least_w_{k}" for k, g in enumerate(gaps))
+        reached = F.expr(f"({bound}) + 1e-9D * (abs({bound}) + 1) >= s_least_mx + ({margin!r}D)")  # rounding must not lose a pair
+        return self.model_blocks.join(F.broadcast(stars) if self.layout["stars"] <= BROADCAST_STARS else stars, reached)
+
+    def reduced(self, pairs: DataFrame, schema: str, new: Callable[[dict], Most | Sums]) -> DataFrame:
+        """What a reducer gathers from pairs of blocks: a task adds up all it meets of a block of stars before that leaves it, or what fits into HELD numbers."""
+        numbers = range(len(self.bands.flux))
+        model_names = [c for c in pairs.columns if c in ("id", "base") or c[:2] in ("p_", "w_", "x_")]
+        star_names = ["s_id", "s_mx", *[f"s_f_{k}" for k in numbers]]
+        kind = np.dtype(object) if "string" in dict(pairs.dtypes)["id"] else np.dtype(np.int64)
+        fields = [part.strip().split(" ")[0].strip("`") for part in schema.split(", ")]
+        arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+        def arrays(batch: pa.RecordBatch, names: list[str], r: int) -> dict[str, np.ndarray]:
+            return {c.removeprefix("s_"): batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in names}
+
+        def listed(held: dict) -> Iterator[pa.RecordBatch]:
+            for x in held.values():
+                rows = x.columns()
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c], arrow.field(c).type) for c in fields], names=fields)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict = {}
+            for batch in batches:
+                for r in range(len(batch)):
+                    s, m = arrays(batch, star_names, r), arrays(batch, model_names, r)
+                    at = (s["id"][0], len(s["id"]))
+                    if at not in held:
+                        held[at] = new(s | {"model_kind": kind})
+                    with np.errstate(all="ignore"):
+                        c2 = 0.0
+                        for k in numbers:
+                            c2 = c2 + (s[f"f_{k}"][:, None] - m[f"p_{k}"]) ** 2 * m[f"w_{k}"]
+                        held[at].add(m, c2, m["base"] - 0.5 * c2)
+                    if sum(x.bins.size for x in held.values() if isinstance(x, Sums)) > HELD:
+                        yield from listed(held)
+                        held = {}
+            yield from listed(held)
+
+        return pairs.select(*model_names, *star_names).mapInArrow(work, schema)
+
+    @cached_property
+    def star_type(self) -> str:
+        return self.stars.schema["star_id"].dataType.simpleString()
+
+    @cached_property
+    def model_type(self) -> str:
+        return self.models.schema["model_id"].dataType.simpleString()
+
+    def _most(self, pairs: DataFrame) -> DataFrame:
+        return self.reduced(pairs, f"star_id {self.star_type}, mx double", Most).groupBy("star_id").agg(F.max("mx").alias("mx"))
+
+    def floors(self) -> DataFrame:
+        """star_id, mx: the largest lnP with one model of each block, the middle one of those in order of id."""
+        lists = ["id", "base", *[f"{c}_{k}" for c in "pw" for k in range(len(self.bands.flux))]]
+        one = self.model_blocks.selectExpr(*[f"slice({c}, CAST(size({c}) / 2 AS INT) + 1, 1) AS {c}" for c in lists])
+        stars = self.star_blocks()
+        return self._most(one.crossJoin(F.broadcast(stars) if self.layout["stars"] <= BROADCAST_STARS else stars))
+
+    @cached_property
+    def maxima(self) -> DataFrame:
+        """star_id, mx: each star's largest lnP, persisted."""
+        return self._most(self.pairs(self.star_blocks(self.floors()))).persist()
+
+    def release(self) -> None:
+        """Lets go of what is persisted, when all results are written."""
+        for name in ("model_blocks", "maxima"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+
+    def tables(self, specs: Sequence[dict] = (), joint: bool = False) -> DataFrame:
+        """Sums over the likely models of each star by `code`: -1 has n, w, moments (of params) and the best and nearest models; from 0 up the weights in the bins of the specs one after the other (joint: of each pair of specs)."""
+        pairs = self.pairs(self.star_blocks(self.maxima), self.threshold)
+        schema = f"star_id {self.star_type}, code int, n long, w double, lnp double, model_id {self.model_type}, chi2 double, near_id {self.model_type}, best array<double>, moments array<double>"
+        params, threshold, specs = list(self.params), self.threshold, list(specs)
+        rows = self.reduced(pairs, schema, lambda s: Sums(s, params, specs, joint, threshold))
+        sums = ["sum(n) AS n", "sum(w) AS w", "min(CASE WHEN code < 0 THEN struct(-lnp AS order, model_id, best) END) AS best", "min(CASE WHEN code < 0 THEN struct(chi2, near_id) END) AS nearest", *[f"sum(moments[{k}]) AS moment_{k}" for k in range(len(params))]]
+        # a task has added up what it met of a star already, and one exchange serves the star's codes and the star
+        return rows.repartition("star_id").groupBy("star_id", "code").agg(*map(F.expr, sums))
+
+    def stats(self, percentiles: Sequence[float] = (), specs: Sequence[dict] = ()) -> DataFrame:
+        """summary() of the likely rows, and with percentiles <param>_p<percentile> from the bins of the specs, in one pass."""
+        of = lambda c: f"max(CASE WHEN code < 0 THEN {c} END) AS {c}"
+        bins = "array_sort(collect_list(CASE WHEN code >= 0 THEN struct(code, w) END)) AS bins"
+        whole = self.tables(specs).groupBy("star_id").agg(*map(F.expr, [*map(of, ["n", "w", "best", "nearest"]), *[of(f"moment_{k}") for k in range(len(self.params))], bins]))
+        if percentiles:
+            begins = [sum(len(s["vals"]) for s in specs[:k]) for k in range(len(specs))]
+            known = F.from_json(F.lit(json.dumps([{"first": a, "vals": [float(v) for v in s["vals"]]} for a, s in zip(begins, specs, strict=True)])), "array<struct<first:int,vals:array<double>>>")
+
+            def of_spec(spec: Column) -> Column:
+                own = F.filter("bins", lambda e: (e["code"] >= spec["first"]) & (e["code"] < spec["first"] + F.size(spec["vals"])))
+                points = F.transform(own, lambda e: F.struct(F.get(spec["vals"], e["code"] - spec["first"]).alias("x"), e["w"].alias("w")))
+                return percentiles_of_sorted(points, percentiles)
+
+            whole = whole.withColumn("places", F.transform(known, of_spec))
+        kind = lambda p: self.models.schema[p].dataType.simpleString()
+        columns = ["star_id", "n AS n_sparse", "-best.order AS pmax", "best.model_id AS pmax_indx", "nearest.chi2 AS chi2min", "nearest.near_id AS chi2min_indx", "-best.order + ln(w) AS total_log_norm"]
+        columns += [f"CAST(best.best[{k}] AS {kind(p)}) AS `{p}_best`" for k, p in enumerate(self.params)] + [f"moment_{k} / w AS `{p}_exp`" for k, p in enumerate(self.params)]
+        return whole.selectExpr(*columns, *[f"places[{k}][{i}] AS `{s['param']}_p{q:g}`" for k, s in enumerate(specs) for i, q in enumerate(percentiles)])
+
+    def pdf1d(self, specs: Sequence[dict]) -> DataFrame:
+        """star_id, param, bin, bin_val, p: share of a star's weight in each bin that has some."""
+        cells = [(s["param"], b, float(v)) for s in specs for b, v in enumerate(s["vals"])]
+        known = F.array(*[F.struct(F.lit(p).alias("param"), F.lit(b).alias("bin"), F.lit(v).alias("bin_val")) for p, b, v in cells])
+        long = self.tables(specs).where("code >= 0").select("star_id", F.get(known, F.col("code")).alias("q"), "w")
+        return long.select("star_id", "q.*", (F.col("w") / F.sum("w").over(W.partitionBy("star_id", "q.param"))).alias("p"))
+
+    def pdf2d(self, specs: Sequence[dict]) -> DataFrame:
+        """star_id, p1, p2, bin1, bin2, val1, val2, p over the pairs of parameters of more than one value, in their order."""
+        specs = [s for s in specs if len(s["vals"]) > 1]
+        couples, first, place = [(a, b) for i, a in enumerate(specs) for b in specs[i + 1 :]], 0, F.lit(None)
+        for k, (a, b) in reversed(list(enumerate(couples))):
+            first = sum(len(x["vals"]) * len(y["vals"]) for x, y in couples[:k])
+            inner, width = F.col("code") - first, len(b["vals"])
+            i, j = F.floor(inner / width).cast("int"), (inner % width).cast("int")
+            vals = [F.get(F.array(*map(F.lit, x["vals"])), at) for x, at in ((a, i), (b, j))]
+            own = F.struct(F.lit(a["param"]).alias("p1"), F.lit(b["param"]).alias("p2"), i.alias("bin1"), j.alias("bin2"), vals[0].alias("val1"), vals[1].alias("val2"))
+            place = F.when(F.col("code") >= first, own).otherwise(place) if k == len(couples) - 1 else F.when((F.col("code") >= first) & (F.col("code") < first + len(a["vals"]) * width), own).otherwise(place)
+        long = self.tables(specs, joint=True).where("code >= 0").select("star_id", place.alias("q"), "w")
+        return long.select("star_id", "q.*", (F.col("w") / F.sum("w").over(W.partitionBy("star_id", "q.p1", "q.p2"))).alias("p"))
+
+    def likely(self) -> DataFrame:
+        """The likely rows: star_id, model_id, params, chi2, lnp, mx (the star's largest lnp) and w = exp(lnp - mx)."""
+        threshold, params = self.threshold, self.params
+        names = ["s_id", "s_mx", *[f"s_f_{k}" for k in range(len(self.bands.flux))]]
+        pairs = self.pairs(self.star_blocks(self.maxima), threshold)
+        schema = ", ".join([f"star_id {self.star_type}", f"model_id {self.model_type}", *[f"`{p}` double" for p in params], "chi2 double", "lnp double", "mx double"])
+        fields, bands = ["star_id", "model_id", *params, "chi2", "lnp", "mx"], range(len(self.bands.flux))
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(len(batch)):
+                    of = lambda c, r=r, batch=batch: batch.column(c)[r].values
+                    number = lambda c: of(c).to_numpy(zero_copy_only=False)
+                    with np.errstate(all="ignore"):
+                        c2 = 0.0
+                        for k in bands:
+                            c2 = c2 + (number(f"s_f_{k}")[:, None] - number(f"p_{k}")) ** 2 * number(f"w_{k}")
+                        lnp, top = number("base") - 0.5 * c2, number("s_mx")
+                        i, j = np.nonzero(lnp - top[:, None] > threshold)
+                    at = pa.array(j)
+                    yield pa.RecordBatch.from_arrays([of("s_id").take(pa.array(i)), of("id").take(at), *[of(f"x_{k}").take(at) for k in range(len(params))], pa.array(c2[i, j]), pa.array(lnp[i, j]), pa.array(top[i])], fields)
+
+        found = pairs.select("id", "base", *[f"{c}_{k}" for c in "pw" for k in bands], *[f"x_{k}" for k in range(len(params))], *names).mapInArrow(rows, schema)
+        typed = [F.col(p).cast(self.models.schema[p].dataType).alias(p) for p in params]
+        return found.select("star_id", "model_id", *typed, "chi2", "lnp", "mx", F.exp(F.col("lnp") - F.col("mx")).alias("w"))
 
-    def likely(s: dict, m: dict, c2: np.ndarray, lnp: np.ndarray) -> list[pa.Array]:
-        top = s["mx"].to_numpy(zero_copy_only=False)
-        i, j = np.nonzero(lnp - top[:, None] > threshold)
-        at = pa.array(j)
-        return [s["star_id"].take(pa.array(i)), m["model_id"].take(at), *[m[p].take(at) for p in params], pa.array(c2[i, j]), pa.array(lnp[i, j]), pa.array(top[i])]
 
-    first = block_product(stars, prepare(models, (), bands), (), bands, f"star_id {star}, mx double", most).groupBy("star_id").agg(F.max("mx").alias("mx"))
-    known = stars.select("star_id", *bands.flux).join(first, "star_id")
-    schema = ", ".join([f"star_id {star}", f"model_id {model}", *[f"`{p}` double" for p in params], "chi2 double", "lnp double", "mx double"])
-    rows = block_product(known, prepare(models, params, bands), ["mx"], bands, schema, likely)
-    typed = [F.col(p).cast(models.schema[p].dataType).alias(p) for p in params]
-    return rows.select("star_id", "model_id", *typed, "chi2", "lnp", "mx", F.exp(F.col("lnp") - F.col("mx")).alias("w"))
+def sparse(stars: DataFrame, models: DataFrame, params: Sequence[str] = (), threshold: float = THRESHOLD, bands: Bands = BANDS) -> DataFrame:
+    """The likely rows of StarFit: star_id, model_id, params, chi2, lnp, mx (the star's largest lnp) and w = exp(lnp - mx), where lnp - mx > threshold."""
+    return StarFit(stars, models, params, threshold, bands).likely()
 
 
 def summary(rows: DataFrame, params: Sequence[str]) -> DataFrame:
@@ -142,23 +409,35 @@ def expectation(value: str, weight: str | None = None) -> Column:
     return F.avg(value) if weight is None else F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
 
 
-def bin_spec(models: DataFrame, param: str, max_bins: int = 50, uniform: bool = False, logarithmic: bool = False) -> dict:
-    """Centres and edges of a parameter's bins.
+def bin_specs(models: DataFrame, params: Sequence[str], max_bins: int = 50, uniform: bool = False, logarithmic: bool = False) -> list[dict]:
+    """Centres and edges of the parameters' bins, from one pass over the models.
 
     With more than max_bins distinct values (or uniform) the centres are evenly spaced from the least to the largest, by
     log10 if logarithmic; else they are the distinct values, with midpoints as edges and mirrored ends.
     """
-    q = F.log10(param) if logarithmic else F.col(param)
-    low, high = models.agg(F.min(q), F.max(q)).first()
-    values = [r[0] for r in models.select(q.alias("q")).distinct().orderBy("q").limit(max_bins + 1).collect()]  # max_bins + 1 numbers
+    long = models.select(F.explode(F.array(*[F.struct(F.lit(p).alias("param"), (F.log10(p) if logarithmic else F.col(p)).cast("double").alias("q")) for p in params])).alias("e")).select("e.*").where("q IS NOT NULL")
+    ends = long.groupBy("param").agg(F.min("q").alias("q"), F.max("q").alias("high"))
+    first = long.distinct().withColumn("rank", F.row_number().over(W.partitionBy("param").orderBy("q"))).where(F.col("rank") <= max_bins + 1)
+    found = ends.unionByName(first.select("param", "q", F.lit(None).cast("double").alias("high"))).collect()  # max_bins + 2 rows a parameter at most
+    return [spec_of(p, *next((r.q, r.high) for r in found if r.param == p and r.high is not None), sorted(r.q for r in found if r.param == p and r.high is None), max_bins, uniform, logarithmic) for p in params]
+
+
+def spec_of(param: str, low: float, high: float, values: Sequence[float], max_bins: int = 50, uniform: bool = False, logarithmic: bool = False) -> dict:
+    """A parameter's bins from its ends and its distinct values, of which max_bins + 1 are enough."""
+    values = list(values)
     n = min(len(values), max_bins)
     if len(values) > max_bins or uniform and n > 1:
         step = (high - low) / (n - 1)
-        return {"param": param, "log": logarithmic, "vals": [low + step * k for k in range(n)], "edges": [low + step * (k - 0.5) for k in range(n + 1)]}
+        return {"param": param, "log": logarithmic, "vals": [low + step * k for k in range(n)], "edges": [low + step * (k - 0.5) for k in range(n + 1)], "even": True}
     if n == 1:
-        return {"param": param, "log": logarithmic, "vals": values, "edges": [0.95 * values[0], 1.05 * values[0]]}
+        return {"param": param, "log": logarithmic, "vals": values, "edges": [0.95 * values[0], 1.05 * values[0]], "even": False}
     mid = [(a + b) / 2 for a, b in zip(values[:-1], values[1:], strict=True)]
-    return {"param": param, "log": logarithmic, "vals": values, "edges": [2 * values[0] - mid[0], *mid, 2 * values[-1] - mid[-1]]}
+    return {"param": param, "log": logarithmic, "even": False, "vals": values, "edges": [2 * values[0] - mid[0], *mid, 2 * values[-1] - mid[-1]]}
+
+
+def bin_spec(models: DataFrame, param: str, max_bins: int = 50, uniform: bool = False, logarithmic: bool = False) -> dict:
+    """bin_specs() of one parameter."""
+    return bin_specs(models, [param], max_bins, uniform, logarithmic)[0]
 
 
 def bin_of(spec: dict) -> Column:
@@ -171,34 +450,26 @@ def bin_of(spec: dict) -> Column:
     return total([F.when(q >= float(e), 1).otherwise(0) for e in inner]).cast("int") if inner else F.lit(0)
 
 
-def pdf1d(rows: DataFrame, specs: Sequence[dict]) -> DataFrame:
-    """star_id, param, bin, bin_val, p: share of a star's weight in each bin that has some."""
-    cases = F.array(*[F.struct(F.lit(s["param"]).alias("param"), bin_of(s).alias("bin"), F.get(F.array(*map(F.lit, s["vals"])), bin_of(s)).alias("bin_val")) for s in specs])
-    long = rows.select("star_id", "w", F.explode(cases).alias("q")).groupBy("star_id", "q.param", "q.bin", "q.bin_val").agg(F.sum("w").alias("w"))
-    return long.select("star_id", "param", "bin", "bin_val", (F.col("w") / F.sum("w").over(W.partitionBy("star_id", "param"))).alias("p"))
-
+def bins_of(spec: dict, values: np.ndarray) -> np.ndarray:
+    """bin_of() of an array."""
+    q = np.log10(values) if spec["log"] else values
+    inner = np.array(spec["edges"][1:-1], float)
+    return np.searchsorted(inner, q, "right")
 
-def pdf2d(rows: DataFrame, specs: Sequence[dict]) -> DataFrame:
-    """star_id, p1, p2, bin1, bin2, val1, val2, p over the pairs of parameters of more than one value, in their order."""
-    specs = [s for s in specs if len(s["vals"]) > 1]
-    of = lambda s, k: [F.lit(s["param"]).alias(f"p{k}"), bin_of(s).alias(f"bin{k}"), F.get(F.array(*map(F.lit, s["vals"])), bin_of(s)).alias(f"val{k}")]
-    cases = F.array(*[F.struct(*of(a, 1), *of(b, 2)) for i, a in enumerate(specs) for b in specs[i + 1 :]])
-    names = ["p1", "p2", "bin1", "bin2", "val1", "val2"]
-    long = rows.select("star_id", "w", F.explode(cases).alias("q")).groupBy("star_id", *[f"q.{n}" for n in names]).agg(F.sum("w").alias("w"))
-    return long.select("star_id", *names, (F.col("w") / F.sum("w").over(W.partitionBy("star_id", "p1", "p2"))).alias("p"))
 
-
-def percentile_of_sorted(pairs: Column, p: float) -> Column:
-    """Weighted percentile of an array of (x, w), w above 0: x where (running weight - w / 2) over the total meets p, linear between, held at the ends."""
+def percentiles_of_sorted(pairs: Column, percentiles: Sequence[float]) -> Column:
+    """Weighted percentiles of an array of (x, w), w above 0, as an array: x where (running weight - w / 2) over the total meets p, linear between, held at the ends."""
     sums = F.aggregate(pairs, F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<x:double,c:double>>").alias("a")), lambda s, e: F.struct((s["c"] + e["w"]).alias("c"), F.concat(s["a"], F.array(F.struct(e["x"].alias("x"), (s["c"] + e["w"] / 2).alias("c")))).alias("a")))
-    at = F.lit(p / 100)
 
     def pick(s: Column) -> Column:
-        points = F.transform(s["a"], lambda e: F.struct(e["x"].alias("x"), (e["c"] / s["c"]).alias("c")))
-        low = F.array_max(F.transform(F.filter(points, lambda e: e["c"] <= at), lambda e: F.struct(e["c"].alias("c"), e["x"].alias("x"))))
-        high = F.array_min(F.transform(F.filter(points, lambda e: e["c"] > at), lambda e: F.struct(e["c"].alias("c"), e["x"].alias("x"))))
-        blend = low["x"] + (high["x"] - low["x"]) * (at - low["c"]) / (high["c"] - low["c"])
-        return F.coalesce(blend, low["x"], high["x"])
+        def at(p: Column) -> Column:
+            meets = p * s["c"]
+            low = F.array_max(F.transform(F.filter(s["a"], lambda e: e["c"] <= meets), lambda e: F.struct(e["c"].alias("c"), e["x"].alias("x"))))
+            high = F.array_min(F.transform(F.filter(s["a"], lambda e: e["c"] > meets), lambda e: F.struct(e["c"].alias("c"), e["x"].alias("x"))))
+            blend = lambda b: F.coalesce(b["l"]["x"] + (b["h"]["x"] - b["l"]["x"]) * (meets - b["l"]["c"]) / (b["h"]["c"] - b["l"]["c"]), b["l"]["x"], b["h"]["x"])
+            return F.get(F.transform(F.array(F.struct(low.alias("l"), high.alias("h"))), blend), F.lit(0))
+
+        return F.transform(F.array(*[F.lit(p / 100) for p in percentiles]), at)
 
     return F.get(F.transform(F.array(sums), pick), F.lit(0))
 
@@ -222,18 +493,12 @@ def weighted_percentile(rows: DataFrame, by: str | Sequence[str], value: str, we
 
 
 def fit(stars: DataFrame, models: DataFrame, noise: DataFrame, params: Sequence[str], percentiles: Sequence[float] = (16, 50, 84), threshold: float = THRESHOLD, max_bins: int = 50, bands: Bands = BANDS) -> dict[str, DataFrame]:
-    """stats, pdf1d, pdf2d and lnp of a catalogue. Percentiles come from the 1-D tables.
-
-    stats takes two passes over star x model beside those for the rows' threshold, however many parameters there are: one for the sums, one for the 1-D tables. Each other table takes one.
-    """
+    """stats, pdf1d, pdf2d and lnp of a catalogue, each one pass of StarFit over the pairs of blocks that matter. Percentiles come from the 1-D tables, which the pass of stats fills on its way."""
     ready = positive_weight(attach_noise(models, noise), bands)
-    rows = sparse(stars, ready, params, threshold, bands)
-    one = pdf1d(rows, [bin_spec(models, p, max_bins) for p in params])
-    some = weighted_percentile(one, ["star_id", "param"], "bin_val", "p", percentiles)
-    # one row per star again: each parameter has one row there
-    wide = some.groupBy("star_id").agg(*[F.max(F.when(F.col("param") == p, F.col(f"p{q:g}"))).alias(f"{p}_p{q:g}") for p in params for q in percentiles])
-    even = [bin_spec(models, p, max_bins, uniform=True) for p in params]
-    return {"stats": summary(rows, params).join(wide, "star_id"), "pdf1d": one, "pdf2d": pdf2d(rows, even), "lnp": rows.select("star_id", "model_id", "lnp", "chi2")}
+    one = StarFit(stars, ready, params, threshold, bands)
+    specs = bin_specs(models, params, max_bins)
+    even = [spec_of(s["param"], s["vals"][0], s["vals"][-1], s["vals"], max_bins, uniform=True) for s in specs]
+    return {"stats": one.stats(percentiles, specs), "pdf1d": one.pdf1d(specs), "pdf2d": one.pdf2d(even), "lnp": one.likely().select("star_id", "model_id", "lnp", "chi2")}
 
 
 def lnp_sample(rows: DataFrame, most: int, seed: int = 1) -> DataFrame:

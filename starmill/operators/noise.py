@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starmill.operators.percentiles import grouped_percentiles
+
 
 def toothpick_bins(asts: DataFrame, by: Sequence[str] = (), bins: int = 50, ratio: float = 2.0, least: int = 10, robust: bool = True) -> DataFrame:
     """Per bin of log input flux (and per `by`, such as band): n, compl, bias, sigma (relative) and flux_in, the bin's centre.
@@ -21,8 +23,11 @@ def toothpick_bins(asts: DataFrame, by: Sequence[str] = (), bins: int = 50, rati
     a = a.join(F.broadcast(limits), list(by)) if by else a.crossJoin(F.broadcast(limits))
     width = (F.col("hi") - F.col("lo")) / bins
     a = a.select(*by, F.floor((F.log10("f_in") - F.col("lo")) / width).cast("int").alias("bin"), F.pow(F.lit(10.0), F.col("lo") + width * (F.floor((F.log10("f_in") - F.col("lo")) / width) + 0.5)).alias("flux_in"), F.when(F.col("f_out") != 0, (F.col("f_out") - F.col("f_in")) / F.col("f_in")).alias("d"))
-    middle = (F.percentile("d", 0.5), (F.percentile("d", 0.84) - F.percentile("d", 0.16)) / 2) if robust else (F.avg("d"), F.stddev_pop("d"))
-    out = a.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("found"), F.max("flux_in").alias("flux_in"), middle[0].alias("bias"), middle[1].alias("sigma"))
+    counts = [F.count(F.lit(1)).alias("n"), F.count("d").alias("found"), F.max("flux_in").alias("flux_in")]
+    if robust:
+        out = grouped_percentiles(a, [*by, "bin"], "d", {"p16": 0.16, "bias": 0.5, "p84": 0.84}, *counts).withColumn("sigma", (F.col("p84") - F.col("p16")) / 2)
+    else:
+        out = a.groupBy(*by, "bin").agg(*counts, F.avg("d").alias("bias"), F.stddev_pop("d").alias("sigma"))
     return out.where(F.col("found") > least).select(*by, "bin", "n", "flux_in", (F.col("found") / F.col("n")).alias("compl"), "bias", "sigma")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starmill.functions.columns import sphdist
+from starmill.operators.percentiles import grouped_percentiles
 
 
 def zone_search(df: DataFrame, ra0: float, ra1: float, dec0: float, dec1: float, ra: str = "ra", dec: str = "decl") -> DataFrame:
@@ -185,7 +186,8 @@ def aperture_background(stars: DataFrame, pixels: DataFrame, r: float, width: fl
 
 def tile_median(rows: DataFrame, value: str, ra_edges: Sequence[float], dec_edges: Sequence[float], ra: str = "ra", dec: str = "decl") -> DataFrame:
     """Median of a value and count of rows in each tile that has some."""
-    return rows.groupBy(tile_index(F.col(ra), ra_edges).alias("i_ra"), tile_index(F.col(dec), dec_edges).alias("i_dec")).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
+    placed = rows.select(tile_index(F.col(ra), ra_edges).alias("i_ra"), tile_index(F.col(dec), dec_edges).alias("i_dec"), F.col(value).alias("value"))
+    return grouped_percentiles(placed, ["i_ra", "i_dec"], "value", {"median": 0.5}, F.count(F.lit(1)).alias("n")).select("i_ra", "i_dec", "median", "n")
 
 
 def background_map(stars: DataFrame, pixels: DataFrame, r: float, width: float, ra_edges: Sequence[float], dec_edges: Sequence[float]) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starmill.functions.columns import digitize, flux2mag
+from starmill.operators.percentiles import grouped_percentiles
 from starmill.operators.tables import row_ids
 
 
@@ -66,7 +67,7 @@ def hdr_levels(pdf: DataFrame, levels: Sequence[float] = (0.68, 0.95, 0.997), by
 
 def faint_limit(df: DataFrame, mag: str, offset: float = 0.0) -> DataFrame:
     """90th percentile of the detected magnitudes, plus an offset."""
-    return df.where(F.col(mag) < 99).agg((F.percentile(mag, 0.9) + offset).alias("faint"))
+    return grouped_percentiles(df.where(F.col(mag) < 99), [], mag, {"p90": 0.9}, F.count(F.lit(1)).alias("n")).select((F.col("p90") + offset).alias("faint"))
 
 
 def noise_curves(models: DataFrame, flux: str, bias: str, sigma: str, compl: str, every: int) -> DataFrame:

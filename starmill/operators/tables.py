@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from starmill.operators.percentiles import grouped_percentiles
+
 
 def names_like(df: DataFrame, fields: str | Sequence[str], full: bool = False) -> list[str]:
     """Columns whose names a pattern matches, case ignored: from their start, or as a whole; several patterns by comma or blank."""
@@ -78,8 +80,9 @@ def find_duplicates(df: DataFrame, columns: Sequence[str], position: str) -> Dat
 def stats(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """A row per field: mean, std (population), min, max, p16, p50, p84 without NaN, and has_nan."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("x")) for f in fields])).alias("e")).select("e.*")
-    x = F.when(~F.isnan("x"), F.col("x"))
-    return long.groupBy("field").agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), *[F.percentile(x, p / 100).alias(f"p{p}") for p in (16, 50, 84)], F.bool_or(F.coalesce(F.isnan("x"), F.lit(False))).alias("has_nan"))
+    some = long.withColumn("q", F.when(~F.isnan("x"), F.col("x")))
+    moments = [F.avg("q").alias("mean"), F.stddev_pop("q").alias("std"), F.min("q").alias("min"), F.max("q").alias("max"), F.bool_or(F.coalesce(F.isnan("x"), F.lit(False))).alias("has_nan")]
+    return grouped_percentiles(some, ["field"], "q", {"p16": 0.16, "p50": 0.5, "p84": 0.84}, *moments).select("field", "mean", "std", "min", "max", "p16", "p50", "p84", "has_nan")
 
 
 def difference_metrics(df: DataFrame, keys: Sequence[str], by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -87,7 +90,7 @@ def difference_metrics(df: DataFrame, keys: Sequence[str], by: Sequence[str], or
     w = W.partitionBy(*by).orderBy(*order)
     steps = df.select(*[F.abs(F.col(k) - F.lag(k).over(w)).alias(k) for k in keys])
     long = steps.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).cast("double").alias("d")) for k in keys])).alias("e")).select("e.*").where("d IS NOT NULL")
-    return long.groupBy("field").agg(F.min("d").alias("min"), F.max("d").alias("max"), F.median("d").alias("median"), F.avg("d").alias("mean"))
+    return grouped_percentiles(long, ["field"], "d", {"median": 0.5}, F.min("d").alias("min"), F.max("d").alias("max"), F.avg("d").alias("mean"))
 
 
 def stack(tables: Sequence[DataFrame], defaults: dict[str, object] | None = None) -> DataFrame:

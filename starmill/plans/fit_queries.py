@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from starmill.functions.columns import lnp_cholesky, lnp_cov, chi2_cov
-from starmill.operators import fit, merge, noise, trim
+from starmill.operators import fit, merge, noise, tables, trim
 from starmill.plans.registry import query
 
 PARAMS = ["av", "rv", "log_a"]
@@ -16,15 +16,19 @@ def ready(v):
     return fit.positive_weight(fit.attach_noise(v("fx_models"), v("fx_noise")))
 
 
+def star_fit(v):
+    return fit.StarFit(v("fx_stars"), ready(v), PARAMS)
+
+
 def rows(v):
-    return fit.sparse(v("fx_stars"), ready(v), PARAMS)
+    return star_fit(v).likely()
 
 
 @query("fit", "star_id #n_sparse ~pmax pmax_indx ~chi2min chi2min_indx ~av_best ~av_exp ~rv_exp ~log_a_exp ~total_log_norm", f"""WITH {PAIRS}
 SELECT star_id, count(*) AS n_sparse, max(lnp) AS pmax, arg_min(model_id, row(-lnp, model_id)) AS pmax_indx, min(chi2) AS chi2min, arg_min(model_id, row(chi2, model_id)) AS chi2min_indx, arg_min(av, row(-lnp, model_id)) AS av_best,
  sum(w*av)/sum(w) AS av_exp, sum(w*rv)/sum(w) AS rv_exp, sum(w*log_a)/sum(w) AS log_a_exp, max(mx)+ln(sum(w)) AS total_log_norm FROM k GROUP BY star_id""")
 def _fit(v):
-    return fit.summary(rows(v), PARAMS)
+    return star_fit(v).stats()
 
 
 @query("j3_fit_join", "star_id #n ~lnp_sum ~chi2_min", f"WITH {PAIRS} SELECT star_id, count(*) AS n, sum(lnp)/count(*) AS lnp_sum, min(chi2) AS chi2_min FROM l GROUP BY star_id")
@@ -65,13 +69,13 @@ def _bins(v):
 @query("a4_pdf1d", "star_id param ~bin_val ~p", f"""WITH {PAIRS}, u AS (SELECT star_id, 'av' AS param, av AS q, w FROM k UNION ALL SELECT star_id, 'rv', rv, w FROM k UNION ALL SELECT star_id, 'log_a', log_a, w FROM k),
 g AS (SELECT star_id, param, q AS bin_val, sum(w) AS w FROM u GROUP BY ALL) SELECT star_id, param, bin_val, w/sum(w) OVER (PARTITION BY star_id, param) AS p FROM g""")
 def _pdf1d(v):
-    return fit.pdf1d(rows(v), [fit.bin_spec(ready(v), p) for p in PARAMS])
+    return star_fit(v).pdf1d(fit.bin_specs(ready(v), PARAMS))
 
 
 @query("a5_pdf2d", "star_id p1 p2 ~val1 ~val2 ~p", f"""WITH {PAIRS}, u AS (SELECT star_id, 'av' AS p1, 'rv' AS p2, av AS val1, rv AS val2, w FROM k UNION ALL SELECT star_id, 'av', 'log_a', av, log_a, w FROM k UNION ALL SELECT star_id, 'rv', 'log_a', rv, log_a, w FROM k),
 g AS (SELECT star_id, p1, p2, val1, val2, sum(w) AS w FROM u GROUP BY ALL) SELECT star_id, p1, p2, val1, val2, w/sum(w) OVER (PARTITION BY star_id, p1, p2) AS p FROM g""")
 def _pdf2d(v):
-    return fit.pdf2d(rows(v), [fit.bin_spec(ready(v), p, uniform=True) for p in PARAMS])
+    return star_fit(v).pdf2d(fit.bin_specs(ready(v), PARAMS, uniform=True))
 
 
 @query("a6_lnp_norm", "star_id ~w_sum ~total_log_norm", f"WITH {PAIRS} SELECT star_id, sum(w) AS w_sum, max(mx)+ln(sum(w)) AS total_log_norm FROM k GROUP BY star_id")
@@ -81,7 +85,7 @@ def _norm(v):
 
 @query("a7_best_models", "star_id pmax_indx chi2min_indx ~rv_best ~log_a_best", f"WITH {PAIRS} SELECT star_id, arg_min(model_id, row(-lnp, model_id)) AS pmax_indx, arg_min(model_id, row(chi2, model_id)) AS chi2min_indx, arg_min(rv, row(-lnp, model_id)) AS rv_best, arg_min(log_a, row(-lnp, model_id)) AS log_a_best FROM k GROUP BY star_id")
 def _best(v):
-    return fit.summary(rows(v), PARAMS)
+    return star_fit(v).stats()
 
 
 @query("a8_fit_percentiles", "star_id ~pmax ~av_p50 ~rv_p16 ~log_a_p84", f"""WITH {PAIRS}, u AS (SELECT star_id, 'av' AS param, av AS x, w FROM k UNION ALL SELECT star_id, 'rv', rv, w FROM k UNION ALL SELECT star_id, 'log_a', log_a, w FROM k),
@@ -125,7 +129,7 @@ def _parts(v):
     parts = []
     for k in range(2):
         part = ready(v).where(F.col("model_id") % 2 == k)
-        parts.append(fit.summary(fit.sparse(v("fx_stars"), part, PARAMS), PARAMS).withColumn("subgrid", F.lit(k)))
+        parts.append(fit.StarFit(v("fx_stars"), part, PARAMS).stats().withColumn("subgrid", F.lit(k)))
     return parts[0].unionByName(parts[1])
 
 
@@ -136,6 +140,23 @@ def _merge(v):
     return merge.merge_stats(_parts(v), PARAMS)
 
 
+MERGED = """g AS (SELECT star_id, param, x, sum(w) AS w FROM u GROUP BY ALL), c AS (SELECT *, (sum(w) OVER (PARTITION BY star_id, param ORDER BY x) - w/2) / sum(w) OVER (PARTITION BY star_id, param) AS c FROM g),
+s AS (SELECT *, lead(x) OVER o AS x1, lead(c) OVER o AS c1, row_number() OVER o AS rn FROM c WINDOW o AS (PARTITION BY star_id, param ORDER BY x)), q AS (SELECT * FROM s, (VALUES (0.16e0), (0.5e0), (0.84e0)) t(q)),
+a AS (SELECT star_id, param, q, coalesce(max(CASE WHEN c<=q AND c1>q THEN x+(x1-x)*(q-c)/(c1-c) END), max(CASE WHEN rn=1 AND c>q THEN x END), max(x)) AS y FROM q GROUP BY star_id, param, q)"""
+
+
+@query("a12_merged_percentiles", "star_id ~total_log_norm ~av_exp ~av_p16 ~av_p50 ~av_p84 ~rv_p50 ~log_a_p16 ~log_a_p84", f"""WITH {PAIRS.replace('PARTITION BY star_id) AS mx', 'PARTITION BY star_id, model_id % 3) AS mx')}, top AS (SELECT star_id, max(mx) AS t FROM k GROUP BY star_id), v AS (SELECT k.star_id, av, rv, log_a, exp(lnp-t) AS w, t FROM k JOIN top ON top.star_id=k.star_id),
+u AS (SELECT star_id, 'av' AS param, av AS x, w FROM v UNION ALL SELECT star_id, 'rv', rv, w FROM v UNION ALL SELECT star_id, 'log_a', log_a, w FROM v), {MERGED}, n AS (SELECT star_id, max(t)+ln(sum(w)) AS total_log_norm, sum(w*av)/sum(w) AS av_exp FROM v GROUP BY star_id)
+SELECT n.star_id, any_value(total_log_norm) AS total_log_norm, any_value(av_exp) AS av_exp, max(y) FILTER (WHERE param='av' AND q=0.16e0) AS av_p16, max(y) FILTER (WHERE param='av' AND q=0.5e0) AS av_p50, max(y) FILTER (WHERE param='av' AND q=0.84e0) AS av_p84, max(y) FILTER (WHERE param='rv' AND q=0.5e0) AS rv_p50,
+ max(y) FILTER (WHERE param='log_a' AND q=0.16e0) AS log_a_p16, max(y) FILTER (WHERE param='log_a' AND q=0.84e0) AS log_a_p84 FROM n JOIN a ON a.star_id=n.star_id GROUP BY n.star_id""")
+def _merged(v):
+    grid = ready(v).withColumn("subgrid", (F.col("model_id") % 3).cast("int"))
+    specs = merge.merged_specs(merge.grid_info(grid, PARAMS, ["subgrid"]), PARAMS)
+    fits = [fit.StarFit(v("fx_stars"), grid.where(F.col("subgrid") == k), PARAMS) for k in range(3)]
+    stats, pdfs = (tables.stack([one(f).withColumn("subgrid", F.lit(k)) for k, f in enumerate(fits)]) for one in (lambda f: f.stats(), lambda f: f.pdf1d(specs)))
+    return merge.merge_fits(stats, pdfs, PARAMS, n_parts=3)["stats"]
+
+
 @query("t2_partial_merge", "star_id ~total_log_norm", f"""WITH {PAIRS.replace('PARTITION BY star_id) AS mx', 'PARTITION BY star_id, model_id % 2) AS mx')},
 s AS (SELECT star_id, model_id % 2 AS sub, max(mx)+ln(sum(w)) AS norm FROM k WHERE NOT (model_id % 2 = 1 AND star_id % 3 = 0) GROUP BY ALL) SELECT star_id, max(norm)+ln(sum(exp(norm-m))) AS total_log_norm FROM (SELECT *, max(norm) OVER (PARTITION BY star_id) AS m, count(*) OVER (PARTITION BY star_id) AS n FROM s) WHERE n=2 GROUP BY star_id""")
 def _partial(v):

@@ -1,5 +1,6 @@
 """Queries of positions, density maps and catalogues."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from starmill.operators import catalogues as K
@@ -222,6 +223,44 @@ def _s4(v):
     return samples.pick_per_group(v("fx_models").where("f0 < 20"), ["log_a"], 5, 3).groupBy("log_a").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Young ages get more stars per year than old ones (an exponential law), and a Salpeter law of the masses, not its means in bins.
+AGE_PRIOR, AGE_SQL = (lambda a: np.exp(-(10.0 ** (a - 9)))), "exp(-power(10e0, log_a-9e0))"
+SALPETER, SALPETER_SQL = (lambda m: m**-2.35), "power({m}, -2.35e0)"
+STARS_SQL = f"""fm AS (SELECT * FROM fx_models WHERE m_ini<=20.5e0-3e0*(log_a-6e0)), e AS (SELECT min(m_ini) AS lo, max(m_ini) AS hi FROM fm), i AS (SELECT k, power(10e0, log10(lo)+(log10(hi)-log10(lo))/99e0*k) AS m FROM e, range(100) r(k)), j AS (SELECT *, {SALPETER_SQL.format(m='m')} AS p FROM i),
+t AS (SELECT m AS a, lead(m) OVER (ORDER BY k) AS b, (p+lead(p) OVER (ORDER BY k))/2*(lead(m) OVER (ORDER BY k)-m) AS x, (m*p+lead(m*p) OVER (ORDER BY k))/2*(lead(m) OVER (ORDER BY k)-m) AS mx FROM j), z AS (SELECT sum(x) AS total, sum(mx)/sum(x) AS mean FROM t WHERE b IS NOT NULL),
+g AS (SELECT log_a, min(m_ini) AS min_mass, max(m_ini) AS max_mass FROM fm GROUP BY log_a), y AS (SELECT *, lag(log_a) OVER (ORDER BY log_a) AS l, lead(log_a) OVER (ORDER BY log_a) AS u FROM g),
+w AS (SELECT *, power(10e0, log_a+coalesce((u-log_a)/2, (log_a-l)/2))-power(10e0, log_a-coalesce((log_a-l)/2, (u-log_a)/2)) AS years FROM y), q AS (SELECT w.*, coalesce((SELECT sum(x) FROM t WHERE a>=min_mass*(1-1e-12) AND b<=max_mass*(1+1e-12)), 0)/total AS living, years*{AGE_SQL}*3e-6 AS formed, mean FROM w, z),
+n AS (SELECT log_a, min_mass, max_mass, living, formed, formed*living AS mass, CAST(round_even(formed*living/mean, 0) AS BIGINT) AS stars FROM q)"""
+
+
+def living_models(v):
+    """Old ages have lost their massive stars."""
+    return v("fx_models").where("m_ini <= 20.5e0 - 3e0 * (log_a - 6e0)")
+
+
+def stars_of_ages(models):
+    return samples.stars_per_age(models, "log_a", "m_ini", SALPETER, lambda a: 3e-6 * AGE_PRIOR(a))
+
+
+@query("a43_stars_formed", "~log_a ~min_mass ~max_mass ~living ~formed ~mass #stars", f"WITH {STARS_SQL} SELECT * FROM n")
+def _stars_formed(v):
+    return stars_of_ages(living_models(v))
+
+
+@query("s3_stratified_sample", "model_id ~log_a #draw", f"""WITH {STARS_SQL}, m AS (SELECT model_id, fm.log_a, weight AS w, stars, sum(weight) OVER (PARTITION BY fm.log_a) AS total, sum(weight) OVER (PARTITION BY fm.log_a ORDER BY model_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM fm JOIN n ON n.log_a=fm.log_a),
+r AS (SELECT *, CAST(greatest(ceil((upto-w)/total*stars-{unit_sql(1, 'log_a')}), 0) AS BIGINT) AS k0, CAST(least(ceil(upto/total*stars-{unit_sql(1, 'log_a')})-1, stars-1) AS BIGINT) AS k1 FROM m), d AS (SELECT model_id, log_a, unnest(range(k0, k1+1)) AS draw FROM r WHERE k0<=k1)
+SELECT d.* FROM d JOIN fx_noise ON fx_noise.model_id=d.model_id WHERE {unit_sql(2, 'd.model_id', 'draw')}<=greatest(c0, c1, c2)""")
+def _stratified(v):
+    drawn = samples.stratified_sample(living_models(v), "log_a", stars_of_ages(living_models(v)), F.col("weight"), rows_per_part=300)
+    return samples.thin(drawn.join(v("fx_noise"), "model_id"), F.greatest("c0", "c1", "c2"), 2)
+
+
+@query("s4_draws_per_age", "model_id ~log_a #draw #realization", f"""WITH m AS (SELECT model_id, log_a, row_number() OVER (PARTITION BY log_a ORDER BY model_id)-1 AS place, count(*) OVER (PARTITION BY log_a) AS n FROM fx_models WHERE f0<20),
+g AS (SELECT DISTINCT log_a, n FROM m), d AS (SELECT log_a, n, draw, floor({unit_sql(1, 'log_a', 'draw')}*n) AS place FROM g, range(70) r(draw)) SELECT model_id, m.log_a, draw, realization FROM d JOIN m ON m.log_a=d.log_a AND m.place=d.place, range(3) r(realization)""")
+def _draws(v):
+    return samples.draw_per_group(v("fx_models").where("f0 < 20"), ["log_a"], 70, 3, rows_per_part=300)
+
+
 BINNED = " UNION ALL ".join(f"SELECT model_id, {k} AS band, least(floor((f{k}-lo)/((hi-lo)/10)), 9) AS bin FROM fx_models, (SELECT min(f{k}) AS lo, max(f{k}) AS hi FROM fx_models)" for k in range(3))
 
 
@@ -230,30 +269,53 @@ def _s5(v):
     return samples.pick_by_flux_bins(v("fx_models"), ["f0", "f1", "f2"], 10, 3)
 
 
-@query("s6_supplement", "#n #used", "SELECT 40 AS n, 0 AS used FROM region LIMIT 1")
+@query("s6_supplement", "#n #used", "SELECT least(40, count(*)) AS n, 0 AS used FROM fx_models WHERE model_id NOT IN (SELECT star_id FROM fx_stars)")
 def _s6(v):
     more = samples.supplement(v("fx_models"), v("fx_stars").selectExpr("star_id AS model_id"), 40)
     both = more.join(v("fx_stars").selectExpr("star_id AS model_id", "1 AS hit"), "model_id", "left")
     return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("hit"), F.lit(0)).alias("used"))
 
 
+@query("s6_supplement_draws", "model_id #draw ~m0", f"""WITH a AS (SELECT model_id, 30e0-2.5e0*log10(f0) AS m0, 30e0-2.5e0*log10(f1) AS m1, 30e0-2.5e0*log10(f2) AS m2 FROM fx_models WHERE model_id NOT IN (SELECT star_id FROM fx_stars)),
+c AS (SELECT *, row_number() OVER (ORDER BY model_id)-1 AS place, count(*) OVER () AS n FROM a WHERE m0 BETWEEN 26e0 AND 27.2e0 AND m1 BETWEEN 26e0 AND 28e0 AND m0-m1<=-0.15e0), d AS (SELECT draw, floor({unit_sql(1, 'draw')}*n) AS place FROM (SELECT DISTINCT n FROM c), range(400) r(draw)) SELECT model_id, draw, m0 FROM d JOIN c ON c.place=d.place""")
+def _supplement_draws(v):
+    mags = v("fx_models").select("model_id", *[(30 - 2.5 * F.log10(f"f{k}")).alias(f"m{k}") for k in range(3)])
+    cuts = samples.within_cuts({"m0": (26.0, 27.2), "m1": (26.0, 28.0)}, {"m0": [("m1", -0.15)], "m2": [("m0", -9.0)]})
+    return samples.supplement_draws(mags, v("fx_stars").selectExpr("star_id AS model_id"), 400, cuts)
+
+
 @query("j20_positions_near_catalog", "star_id #k ~x ~y", f"WITH k AS (SELECT star_id, ra, decl, k FROM fx_stars, range(4) r(k)), p AS (SELECT star_id, k, ra, decl, sqrt(0.001e0*0.001e0+(0.002e0*0.002e0-0.001e0*0.001e0)*{unit_sql(1, 'star_id', 'k')}) AS r, 2e0*pi()*{unit_sql(2, 'star_id', 'k')} AS a FROM k) SELECT * FROM (SELECT star_id, k, ra+r*cos(a) AS x, decl+r*sin(a) AS y FROM p) WHERE x BETWEEN 80e0 AND 80.1e0 AND y BETWEEN -69e0 AND -68.96e0", 9)
 def _j20(v):
     return samples.positions_near(v("fx_stars").selectExpr("star_id", "ra AS x", "decl AS y"), 4, 0.001, 0.002, (80.0, 80.1, -69.0, -68.96))
 
 
-DRAWN_FROM = ["model_id", "realization", "bin", "try"]
+def clip_sql(name: str, table: str, corners) -> str:
+    """Common tables <name>_1, ... that cut the polygons `poly` (lists of x and y) of a table along each side of a convex one in turn."""
+    out = []
+    for k, ((ax, ay), (bx, by)) in enumerate(zip(corners, [*corners[1:], corners[0]], strict=True), 1):
+        side = lambda p: f"({bx - ax!r}e0*({p}.y-({ay!r}e0))-({by - ay!r}e0)*({p}.x-({ax!r}e0)))"  # noqa: E731,B023
+        p, q = "poly[i]", "poly[i % len(poly) + 1]"
+        cut = f"[{{'x': {p}.x+({q}.x-{p}.x)*({side(p)}/({side(p)}-{side(q)})), 'y': {p}.y+({q}.y-{p}.y)*({side(p)}/({side(p)}-{side(q)}))}}]"
+        step = f"flatten(list_transform(range(1, len(poly)+1), lambda i: list_concat(CASE WHEN {side(p)}>=0 THEN [{p}] ELSE [] END, CASE WHEN {side(p)}*{side(q)}<0 THEN {cut} ELSE [] END)))"
+        out.append(f"{name}_{k} AS (SELECT * EXCLUDE (poly), {step} AS poly FROM {table if k == 1 else f'{name}_{k - 1}'})")
+    return ", ".join(out)
+
+
+PLACE_KEYS = ["model_id", "realization", "h.bin"]
 
 
 @query("j21_positions_from_map", "model_id #realization #bin ~ra ~decl", f"""WITH t AS (SELECT i.i AS i_ra, j.j AS i_dec FROM range(5) i(i), range(4) j(j)), c AS (SELECT {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec, count(*) AS n FROM fx_stars GROUP BY ALL),
 d AS (SELECT t.i_ra, t.i_dec, coalesce(n,0)/(0.0101e0*0.0101e0*cos(radians(-69e0+0.0101e0*(t.i_dec+0.5e0)))) AS value FROM t LEFT JOIN c USING (i_ra, i_dec)), e AS (SELECT min(value) AS lo, max(value) AS hi FROM d), b AS (SELECT i_ra, i_dec, CASE WHEN hi>lo THEN CAST(floor((value-(lo-0.01e0*(hi-lo)))/(1.02e0*(hi-lo)/3)) AS INT) ELSE 0 END AS bin FROM d, e),
-k AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY i_ra, i_dec) AS rk, count(*) OVER (PARTITION BY bin) AS tiles FROM b), x AS (SELECT model_id, realization, bin, "try", CAST(floor({unit_sql(1, *DRAWN_FROM)}*tiles) AS INT)+1 AS rk FROM fx_models, range(2) r(realization), range(8) y("try"), (SELECT DISTINCT bin, tiles FROM k)),
-p AS (SELECT model_id, realization, x.bin, "try", 80e0+0.0101e0*i_ra+0.0101e0*{unit_sql(2, 'model_id', 'realization', 'x.bin', '"try"')} AS ra, -69e0+0.0101e0*i_dec+0.0101e0*{unit_sql(3, 'model_id', 'realization', 'x.bin', '"try"')} AS decl FROM x JOIN k ON k.bin=x.bin AND k.rk=x.rk),
-i AS (SELECT * FROM p WHERE {SIDES.replace('0.0023e0', '0e0')}) SELECT model_id, realization, bin, arg_min(ra, "try") AS ra, arg_min(decl, "try") AS decl FROM i GROUP BY model_id, realization, bin""".replace("CAST(try AS", 'CAST("try" AS'), 7)
+w AS (SELECT *, 80e0+0.0101e0*i_ra AS x0, 80e0+0.0101e0*(i_ra+1) AS x1, -69e0+0.0101e0*i_dec AS y0, -69e0+0.0101e0*(i_dec+1) AS y1 FROM b), p AS (SELECT bin, i_ra, i_dec, [{{'x': x0, 'y': y0}}, {{'x': x1, 'y': y0}}, {{'x': x1, 'y': y1}}, {{'x': x0, 'y': y1}}] AS poly FROM w),
+{clip_sql('clip', 'p', CORNERS)}, g AS (SELECT *, unnest(range(2, len(poly))) AS k FROM clip_3), h0 AS (SELECT bin, i_ra, i_dec, k, poly[1].x AS ax, poly[1].y AS ay, poly[k].x AS bx, poly[k].y AS by_, poly[k+1].x AS cx, poly[k+1].y AS cy FROM g),
+h1 AS (SELECT *, ((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax))/2 AS area FROM h0), h2 AS (SELECT *, sum(area) OVER o / sum(area) OVER (PARTITION BY bin) AS hi, row_number() OVER (PARTITION BY bin ORDER BY i_ra DESC, i_dec DESC, k DESC) AS r FROM h1 WHERE area>0 WINDOW o AS (PARTITION BY bin ORDER BY i_ra, i_dec, k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+h AS (SELECT *, CASE WHEN r=1 THEN 1e0 ELSE hi END AS up, coalesce(lag(hi) OVER (PARTITION BY bin ORDER BY i_ra, i_dec, k), 0e0) AS lo FROM h2), m AS (SELECT model_id, realization FROM fx_models, range(2) r(realization)),
+x AS (SELECT model_id, realization, h.bin, h.* EXCLUDE (bin), {unit_sql(2, *PLACE_KEYS)} AS s0, {unit_sql(3, *PLACE_KEYS)} AS t0 FROM m JOIN h ON {unit_sql(1, *PLACE_KEYS)}>=lo AND {unit_sql(1, *PLACE_KEYS)}<up),
+y AS (SELECT *, CASE WHEN s0+t0>1 THEN 1-s0 ELSE s0 END AS s, CASE WHEN s0+t0>1 THEN 1-t0 ELSE t0 END AS t FROM x) SELECT model_id, realization, bin, ax+s*(bx-ax)+t*(cx-ax) AS ra, ay+s*(by_-ay)+t*(cy-ay) AS decl FROM y""", 7)
 def _j21(v):
     stars = v("fx_stars").withColumns({"ra": F.col("ra") + 0.00005, "decl": F.col("decl") + 0.00005})
     tiles = sky.bin_density_map(sky.source_density(stars, RA, DEC), 3)
-    return samples.positions_in_tiles(v("fx_models"), tiles, 2, inside=sky.inside_hull(F.col("ra"), F.col("decl"), CORNERS))
+    return samples.positions_in_tiles(v("fx_models"), tiles, 2, corners=CORNERS)
 
 
 @query("a43_mass_formed", "~log_a ~share ~min_mass ~max_mass", "WITH a AS (SELECT log_a, min(m_ini) AS min_mass, max(m_ini) AS max_mass FROM fx_models GROUP BY log_a), y AS (SELECT *, power(10e0,log_a+0.25e0)-power(10e0,log_a-0.25e0) AS y FROM a) SELECT log_a, y/sum(y) OVER () AS share, min_mass, max_mass FROM y")

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from starmill.operators import fit
 from starmill.operators import summaries as S
-from starmill.plans.fit_queries import PAIRS, PARAMS, ready, rows
+from starmill.plans.fit_queries import PAIRS, PARAMS, ready, rows, star_fit
 from starmill.plans.registry import query
 
 
 def pdf2d(v):
-    return fit.pdf2d(rows(v), [fit.bin_spec(ready(v), p, uniform=True) for p in PARAMS])
+    return star_fit(v).pdf2d(fit.bin_specs(ready(v), PARAMS, uniform=True))
 
 
 PDF = f"{PAIRS}, g AS (SELECT star_id, av, log_a, sum(w) AS w FROM k GROUP BY ALL), p2 AS (SELECT star_id, av, log_a, w/sum(w) OVER (PARTITION BY star_id) AS p FROM g)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from starmill.operators.fit import sparse, summary
+from starmill.operators.fit import StarFit
 from starmill.operators.merge import merge_stats
 
 
@@ -16,7 +16,7 @@ def fit_stream(spark: SparkSession, stars_dir: str, schema: str, models: DataFra
     """Each new file of stars is fitted with all models and its stats are appended to `out`; the checkpoint is where a restart goes on. A batch that is run again replaces its own folder."""
 
     def batch(stars: DataFrame, number: int) -> None:
-        summary(sparse(stars, models, params), params).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        StarFit(stars, models, params).stats().write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(stars_dir)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

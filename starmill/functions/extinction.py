@@ -141,3 +141,24 @@ def mixture(a: Column, b: Column, f_a: Column | float) -> Column:
     """f_a of one law and the rest of another."""
     f = F.lit(f_a) if not isinstance(f_a, Column) else f_a
     return f * a + (1 - f) * b
+
+
+def extended(rows: DataFrame, wave: str, rv: Column | float, law: str, reach: tuple[float, float], curves: DataFrame, of_rv: dict[float, str], seam: tuple[float, float], out: str = "a") -> DataFrame:
+    """Adds A(lambda) / A(V) of a law within its reach, and beyond of tabulated curves, with linear weights across the seam (all in inverse microns; in it the curves' weight grows from 0 to 1).
+
+    curves: x and a column for each R_V in of_rv, of which the two around a row's R_V count, linear between them and carried on beyond the ends.
+    """
+    from starmill.operators.noise import interp_join
+
+    rv = rv if isinstance(rv, Column) else F.lit(float(rv))
+    found = interp_join(rows.withColumn("x_of", 1e4 / F.col(wave)), "x_of", curves.withColumnRenamed("x", "x_at"), "x_at", list(of_rv.values()))
+    known = sorted(of_rv.items())
+    table = F.col(known[0][1]) if len(known) == 1 else F.lit(None)
+    for k in range(len(known) - 2, -1, -1):
+        (r0, c0), (r1, c1) = known[k], known[k + 1]
+        line = F.col(c0) + (F.col(c1) - F.col(c0)) * ((rv - r0) / (r1 - r0))
+        table = line if k == len(known) - 2 else F.when(rv < r1, line).otherwise(table)
+    x, inner = F.col("x_of"), LAWS[law](F.col(wave), rv)
+    share = (x - seam[0]) / (seam[1] - seam[0])
+    merged = F.when((x > reach[0]) & (x < reach[1]), F.when((x > seam[0]) & (x < seam[1]), (1 - share) * inner + share * table).otherwise(inner)).otherwise(table)
+    return found.withColumn(out, merged).drop("x_of", *of_rv.values())

@@ -48,6 +48,13 @@ def remove_bands(models: DataFrame, array: str, bands: Sequence[str], drop: Sequ
     return models.withColumn(array, F.filter(array, lambda _, i: i.isin(keep))), [bands[i] for i in keep]
 
 
+def remove_band_columns(df: DataFrame, bands: Sequence[str], drop: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """A catalogue without the columns of the given bands (named as in remove_bands), and the bands left. A band's columns begin with its name, full or short, and an underscore, in either case."""
+    _, left = remove_bands(df.select(F.array(*[F.lit(0)] * len(bands)).alias("x")), "x", bands, drop)
+    starts = tuple(f"{name}_" for b in bands if b not in left for name in (b.lower(), b.split("_")[-1].lower()))
+    return df.drop(*[c for c in df.columns if c.lower().startswith(starts)]), left
+
+
 def chunks(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], size: int) -> DataFrame:
     """Adds `sub`: pieces of `size` rows in an order within `by`; without `by` by ranges of the order (columns), so no task has all rows."""
     if not by:

@@ -16,8 +16,8 @@ def packed(n: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(n) for j in range(i + 1, n)]
 
 
-def trunchen_noise(rows: DataFrame, n: int, absflux: float = 0.0) -> DataFrame:
-    """model_id, icov_diag, icov_off, q_norm of covariances cov_i_j (i <= j) with fluxes flux_i; the calibration term adds absflux^2 f_i f_j.
+def trunchen_noise(rows: DataFrame, n: int, absflux: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
+    """model_id, icov_diag, icov_off, q_norm of covariances cov_i_j (i <= j) with fluxes flux_i, and the columns in keep; the calibration term adds absflux^2 f_i f_j.
 
     Matrices of one batch are inverted together. q_norm is -1/2 ln det.
     """
@@ -31,10 +31,10 @@ def trunchen_noise(rows: DataFrame, n: int, absflux: float = 0.0) -> DataFrame:
                     c[:, i, j] = c[:, j, i] = f[f"cov_{i}_{j}"].to_numpy() + absflux**2 * f[f"flux_{i}"].to_numpy() * f[f"flux_{j}"].to_numpy()
             inv, (_, det) = np.linalg.inv(c), np.linalg.slogdet(c)
             off = [inv[:, i, j] for i, j in packed(n)]
-            yield pd.DataFrame({"model_id": f["model_id"], "icov_diag": list(np.einsum("kii->ki", inv)), "icov_off": list(np.array(off).reshape(len(off), -1).T), "q_norm": -0.5 * det})
+            yield pd.DataFrame({"model_id": f["model_id"], "icov_diag": list(np.einsum("kii->ki", inv)), "icov_off": list(np.array(off).reshape(len(off), -1).T), "q_norm": -0.5 * det} | {c: f[c] for c in keep})
 
-    some = rows.select("model_id", *columns, *[f"flux_{i}" for i in range(n)])
-    return some.mapInPandas(work, "model_id long, icov_diag array<double>, icov_off array<double>, q_norm double")
+    some = rows.select("model_id", *columns, *[f"flux_{i}" for i in range(n)], *keep)
+    return some.mapInPandas(work, ", ".join(["model_id long, icov_diag array<double>, icov_off array<double>, q_norm double", *[f"{c} double" for c in keep]]))
 
 
 def absflux_covariance(spectra: DataFrame, key: str, sed: str, bands: np.ndarray, covariance: np.ndarray, floor: float = 4.9e-5) -> DataFrame:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from starmill.operators.covariances import trunchen_noise
+from starmill.operators.fit import MODEL_BLOCK, in_blocks, morton
 from starmill.operators.percentiles import grouped_percentiles
 
+#: Nodes that go to every executor at most, and nodes of a block.
+BROADCAST_NODES, NODE_BLOCK = 100_000, 64
+
 
 def toothpick_bins(asts: DataFrame, by: Sequence[str] = (), bins: int = 50, ratio: float = 2.0, least: int = 10, robust: bool = True) -> DataFrame:
     """Per bin of log input flux (and per `by`, such as band): n, compl, bias, sigma (relative) and flux_in, the bin's centre.
@@ -67,32 +74,99 @@ def splinter_noise(models: DataFrame, fluxes: Sequence[str], fraction: float, ab
 
 
 def ast_covariance(asts: DataFrame, key: str, inputs: Sequence[str], outputs: Sequence[str], mags: Sequence[str], least: int = 5) -> DataFrame:
-    """Per input model of the tests: n, compl, bias_i, cov_i_j (i <= j, sample) of out - in over the detected (any mag below 90), where more than `least` are."""
+    """Per input model of the tests: n, compl, bias_i, cov_i_j and corr_i_j (i <= j, sample; of bands that don't vary 1 with themselves and 0 with others) of out - in over the detected (any mag below 90), where more than `least` are.
+
+    in_i is the input itself, and least_i and most_i are the ends of the detected outputs.
+    """
     seen = F.expr(" OR ".join(f"{m} < 90" for m in mags))
     d = [F.when(seen, F.col(o) - F.col(i)) for i, o in zip(inputs, outputs, strict=True)]
+    pairs = [(i, j) for i in range(len(d)) for j in range(i, len(d))]
+    ends = [f(F.when(seen, F.col(o))).alias(f"{name}_{k}") for k, o in enumerate(outputs) for name, f in (("least", F.min), ("most", F.max))]
     agg = asts.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(seen, 1)).alias("found"), *[F.avg(x).alias(f"bias_{k}") for k, x in enumerate(d)],
-        *[F.covar_samp(d[i], d[j]).alias(f"cov_{i}_{j}") for i in range(len(d)) for j in range(i, len(d))],
+        F.count(F.lit(1)).alias("n"), F.count(F.when(seen, 1)).alias("found"), *[F.avg(x).alias(f"bias_{k}") for k, x in enumerate(d)], *[F.covar_samp(d[i], d[j]).alias(f"cov_{i}_{j}") for i, j in pairs],
+        *ends, *[F.avg(F.col(i)).alias(f"in_{k}") for k, i in enumerate(inputs)],
     )
-    return agg.where(F.col("found") > least).withColumn("compl", F.col("found") / F.col("n"))
+    scale = lambda i, j: F.sqrt(F.col(f"cov_{i}_{i}") * F.col(f"cov_{j}_{j}"))
+    corr = {f"corr_{i}_{j}": F.lit(1.0) if i == j else F.when(scale(i, j) > 0, F.col(f"cov_{i}_{j}") / scale(i, j)).otherwise(0.0) for i, j in pairs}
+    return agg.where(F.col("found") > least).withColumn("compl", F.col("found") / F.col("n")).withColumns(corr)
 
 
-def knn_blend(models: DataFrame, nodes: DataFrame, fluxes: Sequence[str], values: Sequence[str], k: int = 10) -> DataFrame:
-    """model_id and each value blended over the k nearest nodes in log10 flux, by 1 / max(distance, 0.01). Nodes are the distinct inputs of the tests, a bounded table.
+def knn_blend(models: DataFrame, nodes: DataFrame, fluxes: Sequence[str], values: Sequence[str], k: int = 10, keep: Sequence[str] = ()) -> DataFrame:
+    """model_id, each value blended over the k nearest nodes in log10 flux by 1 / max(distance, 0.01) (the smaller node_id on ties), and the model's own columns in keep.
 
-    All nodes are one array that goes to every executor, and a model sorts its distances in its own row: no pair is shuffled.
+    Models and nodes (the distinct inputs of the tests) lie in blocks along a Z-curve. From the boxes of the nodes' blocks follows how far the k nearest of any model of a block can be,
+    and only blocks of nodes that come as near as that meet it. Up to BROADCAST_NODES nodes (counted first) go to every executor; of more each
+    model gets its nearest from every part of them, and the nearest of those.
     """
-    logs = lambda prefix: [F.log10(f).alias(f"{prefix}_{f}") for f in fluxes]
-    near = nodes.select(F.struct("node_id", *logs("n"), *values).alias("e")).agg(F.array_sort(F.collect_list("e")).alias("nodes"))
-    both = models.select("model_id", *logs("m")).crossJoin(F.broadcast(near))
-
-    def at(e: Column) -> Column:
-        d = F.sqrt(sum(((F.col(f"m_{f}") - e[f"n_{f}"]) * (F.col(f"m_{f}") - e[f"n_{f}"]) for f in fluxes), F.lit(0.0)))
-        return F.struct(d.alias("d"), e["node_id"].alias("node_id"), (1 / F.greatest(d, F.lit(0.01))).alias("w"), *[e[v].alias(v) for v in values])
-
-    top = both.select("model_id", F.slice(F.array_sort(F.transform("nodes", at)), 1, k).alias("top"))
-    total = lambda f: F.aggregate("top", F.lit(0.0), lambda a, e: a + f(e))
-    return top.select("model_id", *[(total(lambda e, v=v: e["w"] * e[v]) / total(lambda e: e["w"])).alias(v) for v in values])
+    dims, n = [f"l_{i}" for i in range(len(fluxes))], len(values)
+    model = models.selectExpr("model_id AS id", *[f"log10(`{f}`) AS l_{i}" for i, f in enumerate(fluxes)], *[f"`{c}` AS z_{j}" for j, c in enumerate(keep)])
+    node = nodes.selectExpr("node_id AS id", *[f"log10(`{f}`) AS l_{i}" for i, f in enumerate(fluxes)], *[f"`{c}` AS v_{j}" for j, c in enumerate(values)])
+    ends = node.selectExpr("count(*) AS n", *[f"{f}({d}) AS {f}_{d}" for d in dims for f in ("min", "max")]).first()
+    few, session = ends.n <= BROADCAST_NODES, models.sparkSession
+    curve = morton(dims, [ends[f"min_{d}"] or 0.0 for d in dims], [ends[f"max_{d}"] or 0.0 for d in dims])
+    cores = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    there = in_blocks(node, curve, max(1, ends.n // (NODE_BLOCK * 256)), NODE_BLOCK, dims, ahead="n_")
+    here = in_blocks(model, curve, 2 * cores, MODEL_BLOCK, dims)
+    # how far away the k nearest may be: boxes by their farthest distance, until they have k nodes
+    boxes = there.selectExpr("array_sort(collect_list(struct(size(n_id) AS c, " + ", ".join(f"n_lo_{d} AS lo_{d}, n_hi_{d} AS hi_{d}" for d in dims) + "))) AS boxes")
+    far = " + ".join(f"pow(greatest(abs(hi_{d} - b.lo_{d}), abs(b.hi_{d} - lo_{d})), 2)" for d in dims)
+    reach = f"aggregate(array_sort(transform(boxes, b -> struct({far} AS f, b.c AS c))), struct(0L AS n, CAST(0 AS DOUBLE) AS f), (s, x) -> struct(s.n + x.c AS n, CASE WHEN s.n >= {k} THEN s.f ELSE x.f END AS f)).f"
+    gaps = [f"greatest(lo_{d} - n_hi_{d}, n_lo_{d} - hi_{d}, 0D)" for d in dims]
+    here = here.crossJoin(F.broadcast(boxes)).selectExpr("*", f"{reach} AS reach").drop("boxes")
+    pairs = here.join(F.broadcast(there) if few else there, F.expr(" + ".join(f"{g} * {g}" for g in gaps) + " <= reach * (1 + 1e-9D) + 1e-12D"))
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((models, "model_id"), (nodes, "node_id"))]
+    schema = ", ".join([f"id {kinds[0]}", *[f"z_{j} double" for j in range(len(keep))], "d array<double>", f"node array<{kinds[1]}>", *[f"v_{j} array<double>" for j in range(n)]])
+    names = [part.split()[0] for part in schema.split(", ")]
+    mine, theirs = ["id", *dims, *[f"z_{j}" for j in range(len(keep))]], ["n_id", *[f"n_{d}" for d in dims], *[f"n_v_{j}" for j in range(n)]]
+
+    def nearest(own: dict, pieces: list[dict]) -> pa.RecordBatch:
+        found = {c: np.concatenate([p[c] for p in pieces]) for c in theirs}
+        order = np.argsort(found["n_id"], kind="stable")
+        found = {c: x[order] for c, x in found.items()}
+        d = np.sqrt(sum((own[c][:, None] - found[f"n_{c}"]) ** 2 for c in dims))
+        most = min(k, d.shape[1])
+        limit = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
+        at = np.empty((len(d), most), np.int64)
+        clear = (d <= limit).sum(1) == most
+        at[clear] = np.nonzero(d[clear] <= limit[clear])[1].reshape(-1, most)
+        at[~clear] = np.argsort(d[~clear], axis=1, kind="stable")[:, :most]
+        offsets = pa.array(np.arange(len(d) + 1) * most, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))) for x in (np.take_along_axis(d, at, 1), found["n_id"][at], *[found[f"n_v_{j}"][at] for j in range(n)])]
+        return pa.RecordBatch.from_arrays([pa.array(own["id"]), *[pa.array(own[f"z_{j}"]) for j in range(len(keep))], *lists], names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pieces = None, []  # a block of models meets its blocks of nodes one after the other
+        for batch in batches:
+            for r in range(len(batch)):
+                row = {c: batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in [*mine, *theirs]}
+                if own is None or row["id"][0] != own["id"][0] or len(row["id"]) != len(own["id"]):
+                    if own is not None:
+                        yield nearest(own, pieces)
+                    own, pieces = row, []
+                pieces.append(row)
+        if own is not None:
+            yield nearest(own, pieces)
+
+    found = pairs.select(*mine, *theirs).mapInArrow(work, schema)
+    zipped = "arrays_zip(d, node, " + ", ".join(f"v_{j}" for j in range(n)) + ")"
+    own = [f"z_{j}" for j in range(len(keep))]
+    top = found.selectExpr("id", *own, f"{zipped} AS top") if few else found.groupBy("id", *own).agg(F.expr(f"slice(array_sort(flatten(collect_list({zipped}))), 1, {k}) AS top"))
+    blend = [f"aggregate(top, 0D, (s, e) -> s + e.v_{j} / greatest(e.d, 0.01D)) / aggregate(top, 0D, (s, e) -> s + 1 / greatest(e.d, 0.01D)) AS `{v}`" for j, v in enumerate(values)]
+    return top.selectExpr("id AS model_id", *blend, *[f"z_{j} AS `{c}`" for j, c in enumerate(keep)])
+
+
+def blended_noise(models: DataFrame, nodes: DataFrame, fluxes: Sequence[str], absflux: float = 0.0, k: int = 10) -> DataFrame:
+    """The full noise of each model from ast_covariance() of the tests: model_id, bias_i, compl, icov_diag, icov_off, q_norm.
+
+    Biases, completeness and covariances are blended over the k nearest inputs, the calibration term of the model's own fluxes comes on top, and then the matrices are inverted. nodes: a row per input with in_i, bias_i, compl and cov_i_j.
+    """
+    n = len(fluxes)
+    covs = [f"cov_{i}_{j}" for i in range(n) for j in range(i, n)]
+    biases = [f"bias_{i}" for i in range(n)]
+    own = models.selectExpr("model_id", *[f"`{f}` AS flux_{i}" for i, f in enumerate(fluxes)])
+    inputs = nodes.selectExpr("node_id", *[f"in_{i} AS flux_{i}" for i in range(n)], "compl", *biases, *covs)
+    rows = knn_blend(own, inputs, [f"flux_{i}" for i in range(n)], ["compl", *biases, *covs], k, [f"flux_{i}" for i in range(n)])
+    return trunchen_noise(rows, n, absflux, ["compl", *biases])
 
 
 #: Noise models by name: functions of models and what they are fitted on, giving model_id with bias, error and completeness.

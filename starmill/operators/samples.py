@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starmill.operators.tables import in_ranges, row_ids
+from starmill.operators.tables import in_ranges, row_ids, stack
 from starmill.operators.weights import bin_boundaries
 
 
@@ -46,6 +46,27 @@ def sample_models(models: DataFrame, n: int, weight: Column, seed: int = 1) -> D
     return drawn.select(*models.columns, F.explode(F.sequence("k0", "k1")).alias("draw"))
 
 
+def observable(models: DataFrame, completeness: Sequence[str], bands: int, least: float = 0.0, flux_limit: tuple[str, float] | None = None) -> DataFrame:
+    """Models whose completeness is above `least` in that many bands or more, and whose flux in a band reaches a limit (flux column, least flux)."""
+    seen = sum((F.when(F.col(c) > least, 1).otherwise(0) for c in completeness), F.lit(0)) >= bands
+    return models.where(seen if flux_limit is None else seen & (F.col(flux_limit[0]) >= flux_limit[1]))
+
+
+def simulated(models: DataFrame, n: int, completeness: Sequence[str], bands: int = 1, weight: str | None = "weight", of_band: str | None = None, least: float = 0.0, flux_limit: tuple[str, float] | None = None, seed: int = 1) -> DataFrame:
+    """n draws with replacement from the observable models: by weight times completeness (the largest of all bands, or that of one), or evenly without a weight."""
+    some = observable(models, completeness, bands, least, flux_limit)
+    if weight is None:
+        return draw_per_group(some, [], n, 1, seed).drop("realization")
+    compl = F.col(of_band) if of_band else F.greatest(*completeness) if len(completeness) > 1 else F.col(completeness[0])
+    return sample_models(some, n, F.col(weight) * compl, seed)
+
+
+def simulated_grids(grids: Sequence[tuple[DataFrame, int]], completeness: Sequence[str], seed: int = 1, **how: object) -> DataFrame:
+    """One catalogue from several grids: the draws of each (models, number) with its place as `grid`, each by a seed of its own."""
+    parts = [simulated(models, n, completeness, seed=seed + 1000 * k, **how).withColumn("grid", F.lit(k)) for k, (models, n) in enumerate(grids)]
+    return stack(parts)
+
+
 def synthetic_catalog(drawn: DataFrame, fluxes: Sequence[str], bias: Sequence[str], sigma: Sequence[str], seed: int = 1) -> DataFrame:
     """Observed fluxes of draws: normal around flux + bias by |sigma| (Box-Muller on hashes), and magnitudes, 99.999 where the flux isn't positive."""
     out = drawn

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starmill.functions.columns import sphdist
+from starmill.functions.columns import digitize, sphdist
 from starmill.operators.percentiles import grouped_percentiles
+from starmill.operators.tables import row_ids
 
 
 def zone_search(df: DataFrame, ra0: float, ra1: float, dec0: float, dec1: float, ra: str = "ra", dec: str = "decl") -> DataFrame:
@@ -197,6 +198,37 @@ def background_map(stars: DataFrame, pixels: DataFrame, r: float, width: float,
     return tiles, onto_rows(own, tiles, "median", ra_edges, dec_edges)
 
 
+def regions_of(points: DataFrame, regions: DataFrame, cell: float, x: str = "ra", y: str = "decl", keep: Sequence[str] = ("star_id",)) -> DataFrame:
+    """Pairs of points and the polygons that hold them: the points' columns in keep, and region_id.
+
+    regions: region_id and corners, an array of (x, y) of a simple polygon, convex or not, in either direction; regions may overlap. A polygon goes to the cells (`cell` wide) that its box covers, a point to
+    its own, and they meet there; so a table of regions may have any number of rows. Inside is where a ray to larger x crosses an odd number of sides. Points without a place are in none.
+    """
+    sides = F.expr("transform(corners, (p, i) -> struct(p.x AS x1, p.y AS y1, corners[(i + 1) % size(corners)].x AS x2, corners[(i + 1) % size(corners)].y AS y2))")
+    box = regions.select("region_id", sides.alias("sides"), *[F.expr(f"CAST(floor({f}(transform(corners, p -> p.{c})) / {cell!r}D) AS BIGINT)").alias(f"{f}_{c}") for c in "xy" for f in ("array_min", "array_max")])
+    cover = box.select("region_id", "sides", F.explode(F.sequence("array_min_x", "array_max_x")).alias("cell_x"), "array_min_y", "array_max_y")
+    cover = cover.select("region_id", "sides", "cell_x", F.explode(F.sequence("array_min_y", "array_max_y")).alias("cell_y"))
+    placed = points.select(*keep, F.col(x).alias("at_x"), F.col(y).alias("at_y"), *[F.floor(F.col(c) / cell).alias(f"cell_{n}") for c, n in ((x, "x"), (y, "y"))])
+    crossed = F.expr("size(filter(sides, s -> (s.y1 > at_y) <> (s.y2 > at_y) AND at_x < (s.x2 - s.x1) * (at_y - s.y1) / (s.y2 - s.y1) + s.x1)) % 2 = 1")
+    return placed.join(cover, ["cell_x", "cell_y"]).where(crossed).select(*keep, "region_id")
+
+
+def bin_by_width(tiles: DataFrame, width: float) -> DataFrame:
+    """Adds `bin`, from 1: steps of `width` from the least tile value; a value at the end of the last step is one further."""
+    low = tiles.agg(F.min("value").alias("lo"))
+    return tiles.crossJoin(F.broadcast(low)).withColumn("bin", (F.floor((F.col("value") - F.col("lo")) / width) + 1).cast("int")).drop("lo")
+
+
+def bin_by_edges(tiles: DataFrame, edges: Sequence[float]) -> DataFrame:
+    """Adds `bin`: the number of edges at or below the tile's value, so 0 lies below all of them."""
+    return tiles.withColumn("bin", digitize(F.col("value"), edges).cast("int"))
+
+
+def bin_per_tile(tiles: DataFrame) -> DataFrame:
+    """Adds `bin`: each tile is one, numbered from 0 in the order of its indices."""
+    return row_ids(tiles, ["i_ra", "i_dec"], "bin").withColumn("bin", F.col("bin").cast("int"))
+
+
 def inside_hull(x: Column, y: Column, corners: Sequence[tuple[float, float]], margin: float = 0.0) -> Column:
     """Whether a point lies in a convex polygon (counter-clockwise corners) and further than `margin` from each of its sides."""
     inside = F.lit(True)

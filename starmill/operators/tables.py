@@ -127,7 +127,9 @@ def in_ranges(df: DataFrame, order: Sequence[str], rows_per_part: int = 1 << 20,
     share = min(1.0, 50 * parts / n)
     names = [f"k{i}" for i in range(len(keys))]
     some = df.select(*[k.alias(c) for k, c in zip(keys, names, strict=True)])
-    drawn = some.where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct().orderBy(*names).limit(100 * parts).collect()
+    # a share that follows n, in steps fine enough for any n; of more keys than expected those of the least hash, wherever they lie in the order
+    by_hash = F.pmod(F.xxhash64(*names), F.lit(1 << 48))
+    drawn = some.where(by_hash < int(share * (1 << 48)) + 1).distinct().orderBy(by_hash, *names).limit(100 * parts).orderBy(*names).collect()
     ends = [drawn[len(drawn) * k // parts] for k in range(1, parts)] if drawn else []
     key = F.struct(*[k.alias(c) for k, c in zip(keys, names, strict=True)])
     ends = [F.struct(*[F.lit(v).cast(some.schema[c].dataType).alias(c) for c, v in zip(names, e, strict=True)]) for e in ends]

@@ -180,6 +180,19 @@ def _smc(v):
     return v("part").select(F.col("p_partkey").alias("k"), extinction.LAWS["g03_smc_uv"](1100.0 + 0.7 * F.col("p_partkey")).alias("a")).where("a IS NOT NULL")
 
 
+CURVES = "SELECT 0.25e0+0.5e0*n_nationkey AS x, 0.2e0+0.3e0*(n_nationkey % 7)+0.1e0*n_nationkey AS a31, 0.1e0+0.25e0*(n_nationkey % 5)+0.11e0*n_nationkey AS a40, 0.3e0+0.2e0*(n_nationkey % 3)+0.09e0*n_nationkey AS a55 FROM nation"
+
+
+@query("m20_extended_law", "k ~a", f"""WITH c AS ({CURVES}), s AS (SELECT *, lead(x) OVER (ORDER BY x) AS x1, lead(a31) OVER (ORDER BY x) AS b31, lead(a40) OVER (ORDER BY x) AS b40, lead(a55) OVER (ORDER BY x) AS b55 FROM c),
+l AS ({law_sql(F99_KNOTS, F99_AT, 3.1, F99_UV, 4.596, 0.99)}), w AS (SELECT p_partkey AS k, 0.3001e0+0.0048e0*(p_partkey % 2000) AS x, 3.1e0 AS rv FROM part),
+t AS (SELECT w.k, w.x, a31+(b31-a31)*(w.x-s.x)/(x1-s.x)+(a40+(b40-a40)*(w.x-s.x)/(x1-s.x)-(a31+(b31-a31)*(w.x-s.x)/(x1-s.x)))*((rv-3e0)/(4e0-3e0)) AS t FROM w JOIN s ON w.x>=s.x AND w.x<x1)
+SELECT t.k, CASE WHEN x>0.3e0 AND x<8.5e0 THEN CASE WHEN x>5.97e0 AND x<8.5e0 THEN (1-(x-5.97e0)/2.53e0)*a+(x-5.97e0)/2.53e0*t ELSE a END ELSE t END AS a FROM t JOIN l ON l.k=t.k""")
+def _extended(v):
+    rows = v("part").select(F.col("p_partkey").alias("k"), (1e4 / (0.3001 + 0.0048 * (F.col("p_partkey") % 2000))).alias("wave"))
+    curves = v("nation").selectExpr("0.25e0+0.5e0*n_nationkey AS x", "0.2e0+0.3e0*(n_nationkey % 7)+0.1e0*n_nationkey AS a31", "0.1e0+0.25e0*(n_nationkey % 5)+0.11e0*n_nationkey AS a40", "0.3e0+0.2e0*(n_nationkey % 3)+0.09e0*n_nationkey AS a55")
+    return extinction.extended(rows, "wave", 3.1, "f99", (0.3, 8.5), curves, {3.0: "a31", 4.0: "a40", 5.5: "a55"}, (5.97, 8.5))
+
+
 @query("m19_mixture", "model_id ~mix ~rv_a ~back", "SELECT model_id, 0.3e0*f0+0.7e0*f1 AS mix, 1/(1/(rv*0.8e0)-0.2e0/(0.8e0*2.74e0)) AS rv_a, rv AS back FROM fx_models")
 def _mix(v):
     from starmill.operators.grids import rv_a, rv_mixture

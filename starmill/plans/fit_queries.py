@@ -227,6 +227,20 @@ def _cov(v):
     return noise.ast_covariance(a, "k", ["i0", "i1"], ["o0", "o1"], ["m"])
 
 
+@query("a16_ast_correlation", "#k ~corr_0_0 ~corr_0_1 ~least_0 ~most_1 ~in_0", f"{COV_SQL}, g AS (SELECT k, covar_samp(o0-i0,o0-i0) FILTER (WHERE m<90) AS a, covar_samp(o0-i0,o1-i1) FILTER (WHERE m<90) AS b, covar_samp(o1-i1,o1-i1) FILTER (WHERE m<90) AS d, min(o0) FILTER (WHERE m<90) AS least_0, max(o1) FILTER (WHERE m<90) AS most_1, avg(i0) AS in_0 FROM a GROUP BY k HAVING count(*) FILTER (WHERE m<90)>5) SELECT k, 1e0 AS corr_0_0, CASE WHEN a*d>0 THEN b/sqrt(a*d) ELSE 0 END AS corr_0_1, least_0, most_1, in_0 FROM g")
+def _corr(v):
+    return _cov(v)
+
+
+@query("a17_blended_noise", "model_id ~compl ~bias_0 ~bias_1 ~d0 ~d1 ~off ~q_norm", f"""{COV_SQL}, n AS (SELECT k AS node_id, avg(i0) AS in0, avg(i1) AS in1, count(*) FILTER (WHERE m<90)*1e0/count(*) AS compl, avg(o0-i0) FILTER (WHERE m<90) AS b0, avg(o1-i1) FILTER (WHERE m<90) AS b1, covar_samp(o0-i0,o0-i0) FILTER (WHERE m<90) AS c00, covar_samp(o0-i0,o1-i1) FILTER (WHERE m<90) AS c01, covar_samp(o1-i1,o1-i1) FILTER (WHERE m<90) AS c11 FROM a GROUP BY k HAVING count(*) FILTER (WHERE m<90)>5),
+d AS (SELECT model_id, m.f0, m.f1, n.*, sqrt(power(log10(m.f0)-log10(in0),2)+power(log10(m.f1)-log10(in1),2)) AS d FROM fx_models m CROSS JOIN n), r AS (SELECT *, 1/greatest(d,0.01e0) AS w, row_number() OVER (PARTITION BY model_id ORDER BY d, node_id) AS r FROM d),
+b AS (SELECT model_id, any_value(f0) AS f0, any_value(f1) AS f1, sum(w*compl)/sum(w) AS compl, sum(w*b0)/sum(w) AS b0, sum(w*b1)/sum(w) AS b1, sum(w*c00)/sum(w) AS c00, sum(w*c01)/sum(w) AS c01, sum(w*c11)/sum(w) AS c11 FROM r WHERE r<=10 GROUP BY model_id),
+e AS (SELECT *, c00+0.0004e0*f0*f0 AS a, c01+0.0004e0*f0*f1 AS c, c11+0.0004e0*f1*f1 AS g FROM b) SELECT model_id, compl, b0 AS bias_0, b1 AS bias_1, g/(a*g-c*c) AS d0, a/(a*g-c*c) AS d1, -c/(a*g-c*c) AS off, -0.5e0*ln(a*g-c*c) AS q_norm FROM e""")
+def _blended(v):
+    out = noise.blended_noise(v("fx_models"), _cov(v).withColumnRenamed("k", "node_id"), ["f0", "f1"], 0.02)
+    return out.select("model_id", "compl", "bias_0", "bias_1", F.get("icov_diag", F.lit(0)).alias("d0"), F.get("icov_diag", F.lit(1)).alias("d1"), F.get("icov_off", F.lit(0)).alias("off"), "q_norm")
+
+
 @query("j12_knn_blend", "model_id ~bias", "WITH n AS (SELECT star_id AS node_id, f0, f1, f2, f0*0.01e0 AS bias FROM fx_stars), d AS (SELECT m.model_id, n.node_id, n.bias, sqrt(power(log10(m.f0)-log10(n.f0),2)+power(log10(m.f1)-log10(n.f1),2)+power(log10(m.f2)-log10(n.f2),2)) AS d FROM fx_models m CROSS JOIN n), k AS (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY d, node_id) AS r FROM d) SELECT model_id, sum(bias/greatest(d,0.01e0))/sum(1/greatest(d,0.01e0)) AS bias FROM k WHERE r<=10 GROUP BY model_id")
 def _knn(v):
     nodes = v("fx_stars").selectExpr("star_id AS node_id", "f0", "f1", "f2", "f0*0.01e0 AS bias")

@@ -42,6 +42,17 @@ def _tile(v):
     return v("fx_stars").select("star_id", sky.tile_index(F.col("ra") + 0.00005, RA).alias("i_ra"), sky.tile_index(F.col("decl") + 0.00005, DEC).alias("i_dec"))
 
 
+STAR_SHAPES = "SELECT s_suppkey AS region_id, 80e0+0.0011e0*(s_suppkey % 97) AS cx, -69e0+0.0023e0*(s_suppkey % 41) AS cy, 0.004e0+0.0003e0*(s_suppkey % 17) AS r FROM supplier"
+
+
+@query("j11_points_in_regions", "star_id #region_id", f"""WITH g AS ({STAR_SHAPES}), k AS (SELECT g.*, i, cx+r*(CASE WHEN i%2=0 THEN 1e0 ELSE 0.45e0 END)*cos(pi()*i/5) AS x, cy+r*(CASE WHEN i%2=0 THEN 1e0 ELSE 0.45e0 END)*sin(pi()*i/5) AS y FROM g, range(10) t(i)),
+e AS (SELECT a.region_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM k a JOIN k b ON b.region_id=a.region_id AND b.i=(a.i+1)%10) SELECT star_id, region_id FROM fx_catalog p JOIN e ON (y1>p.decl)<>(y2>p.decl) AND p.ra<(x2-x1)*(p.decl-y1)/(y2-y1)+x1 GROUP BY star_id, region_id HAVING count(*)%2=1""")
+def _regions(v):
+    corner = "named_struct('x', cx + r * CASE WHEN i % 2 = 0 THEN 1e0 ELSE 0.45e0 END * cos(pi() * i / 5), 'y', cy + r * CASE WHEN i % 2 = 0 THEN 1e0 ELSE 0.45e0 END * sin(pi() * i / 5))"
+    shapes = v("supplier").selectExpr("s_suppkey AS region_id", "80e0+0.0011e0*(s_suppkey % 97) AS cx", "-69e0+0.0023e0*(s_suppkey % 41) AS cy", "0.004e0+0.0003e0*(s_suppkey % 17) AS r").selectExpr("region_id", f"transform(sequence(0, 9), i -> {corner}) AS corners")
+    return sky.regions_of(v("fx_catalog"), shapes, 0.005)
+
+
 @query("j11_points_in_polygon", "star_id", "SELECT star_id FROM fx_stars WHERE ra>80.0105e0 AND ra<80.0705e0 AND decl>-68.9955e0 AND decl<-68.9745e0")
 def _polygon(v):
     box = [(80.0105, -68.9955), (80.0705, -68.9955), (80.0705, -68.9745), (80.0105, -68.9745)]
@@ -119,11 +130,40 @@ def _color(v):
     return K.color_cut(v("fx_models"), {"f0": (12, 20.05)}, "f0", "f1", 3.7)
 
 
+TILES = f"WITH v AS (SELECT {tile('ra+0.00005e0', RA)} AS i_ra, {tile('decl+0.00005e0', DEC)} AS i_dec, count(*)*1e0 AS value FROM fx_stars GROUP BY ALL)"
+
+
+def counted_tiles(v):
+    stars = v("fx_stars").withColumns({"ra": F.col("ra") + 0.00005, "decl": F.col("decl") + 0.00005})
+    return sky.tile_median(stars, "f0", RA, DEC).select("i_ra", "i_dec", F.col("n").cast("double").alias("value"))
+
+
+@query("a24_bins_by_width", "#i_ra #i_dec #bin", f"{TILES} SELECT i_ra, i_dec, CAST(floor((value-(SELECT min(value) FROM v))/1.7e0) AS INT)+1 AS bin FROM v")
+def _width_bins(v):
+    return sky.bin_by_width(counted_tiles(v), 1.7)
+
+
+@query("a24_bins_by_edges", "#i_ra #i_dec #bin", f"{TILES} SELECT i_ra, i_dec, CASE WHEN value<2 THEN 0 WHEN value<5 THEN 1 WHEN value<9.5e0 THEN 2 ELSE 3 END AS bin FROM v")
+def _edge_bins(v):
+    return sky.bin_by_edges(counted_tiles(v), [2.0, 5.0, 9.5])
+
+
+@query("a24_bin_per_tile", "#i_ra #i_dec #bin", f"{TILES} SELECT i_ra, i_dec, row_number() OVER (ORDER BY i_ra, i_dec)-1 AS bin FROM v")
+def _tile_bins(v):
+    return sky.bin_per_tile(counted_tiles(v))
+
+
 @query("p15_filter_tracks", "track_row", "SELECT track_row FROM fx_tracks WHERE NOT (eep<5 OR log_l<0.3e0)")
 def _filter(v):
     return K.filter_tracks(v("fx_tracks"))
 
 
+@query("p17_remove_columns", "star_id ~f814w_rate #n", "SELECT star_id, f814w_rate, 4 AS n FROM fx_catalog")
+def _band_columns(v):
+    rows, left = K.remove_band_columns(v("fx_catalog"), ["HST_ACS_WFC_F475W", "HST_ACS_WFC_F814W"], ["f475w"])
+    return rows.select("star_id", "f814w_rate", F.lit(len(rows.columns)).alias("n"))
+
+
 @query("p17_remove_filters", "model_id ~first ~last #n", "SELECT model_id, f0 AS first, f2 AS last, 2 AS n FROM fx_models")
 def _bands(v):
     rows, _ = K.remove_bands(v("fx_models").select("model_id", F.array("f0", "f1", "f2").alias("sed")), "sed", ["HST_WFC3_F275W", "HST_ACS_WFC_F475W", "HST_ACS_WFC_F814W"], ["f475w"])
@@ -205,6 +245,25 @@ def normal_sql(seed: int) -> str:
     return f"sqrt(-2e0*ln({unit_sql(seed, 'model_id', 'draw')}))*cos(2e0*pi()*{unit_sql(seed + 1, 'model_id', 'draw')})"
 
 
+@query("s1_observable_draws", "model_id #draw #grid", f"""WITH {drawn_sql('weight*greatest(c0, c1, c2)').replace('WHERE weight', 'WHERE (CAST(c0>0.75e0 AS INT)+CAST(c1>0.75e0 AS INT)+CAST(c2>0.75e0 AS INT))>=2 AND f1>=12e0 AND weight')},
+p AS (SELECT fx_models.model_id, row_number() OVER (ORDER BY fx_models.model_id)-1 AS place, count(*) OVER () AS n FROM fx_models JOIN fx_noise ON fx_noise.model_id=fx_models.model_id WHERE (CAST(c0>0.75e0 AS INT)+CAST(c1>0.75e0 AS INT)+CAST(c2>0.75e0 AS INT))>=2 AND f1>=12e0),
+e AS (SELECT draw, floor({unit_sql(7, 'draw')}*n) AS place FROM (SELECT DISTINCT n FROM p), range(200) r(draw)) SELECT model_id, draw, 0 AS grid FROM drawn UNION ALL SELECT model_id, draw, 1 FROM e JOIN p ON p.place=e.place""")
+def _observable(v):
+    rows, compl = v("fx_models").join(v("fx_noise"), "model_id"), ["c0", "c1", "c2"]
+    limits = {"bands": 2, "least": 0.75, "flux_limit": ("f1", 12.0)}
+    weighted = samples.simulated(rows, 500, compl, **limits).withColumn("grid", F.lit(0))
+    even = samples.simulated(rows, 200, compl, weight=None, seed=7, **limits).withColumn("grid", F.lit(1))
+    return weighted.select("model_id", "draw", "grid").unionByName(even.select("model_id", "draw", "grid"))
+
+
+@query("s2_several_grids", "model_id #draw #grid", f"""WITH {drawn_sql('weight*greatest(c0, c1, c2)').replace('WHERE weight', 'WHERE fx_models.model_id % 2=0 AND c0>0 AND weight')}, d2 AS (SELECT 1),
+{drawn_sql('weight*greatest(c0, c1, c2)').replace('WHERE weight', 'WHERE fx_models.model_id % 2=1 AND c0>0 AND weight').replace(repr(samples.offset(1)), repr(samples.offset(1001))).replace('500', '300').replace('499', '299').replace('m AS (', 'm2 AS (').replace('c AS (', 'c2_ AS (').replace('FROM m)', 'FROM m2)').replace('r AS (', 'r2 AS (').replace('FROM c)', 'FROM c2_)').replace('drawn AS (', 'drawn2 AS (').replace('FROM r WHERE', 'FROM r2 WHERE')}
+SELECT model_id, draw, 0 AS grid FROM drawn UNION ALL SELECT model_id, draw, 1 FROM drawn2""")
+def _several(v):
+    rows = v("fx_models").join(v("fx_noise"), "model_id").where("c0 > 0")
+    return samples.simulated_grids([(rows.where("model_id % 2 = 0"), 500), (rows.where("model_id % 2 = 1"), 300)], ["c0", "c1", "c2"])
+
+
 @query("s2_synthetic_catalog", "model_id #draw ~obs_0 ~mag_0 ~obs_2", f"WITH {drawn_sql('weight*c0')}, o AS (SELECT d.model_id, draw, f0+b0+abs(e0)*{normal_sql(1).replace('model_id', 'd.model_id')} AS obs_0, f2+b2+abs(e2)*{normal_sql(5).replace('model_id', 'd.model_id')} AS obs_2 FROM drawn d JOIN fx_models m ON m.model_id=d.model_id JOIN fx_noise n ON n.model_id=d.model_id) SELECT *, CASE WHEN obs_0>0 THEN -2.5e0*log10(obs_0) ELSE 99.999e0 END AS mag_0 FROM o")
 def _s2(v):
     rows = v("fx_models").join(v("fx_noise"), "model_id")

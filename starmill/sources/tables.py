@@ -38,6 +38,13 @@ def read_grid(spark: SparkSession, path: str, columns: Sequence[str] | None = No
     return models.select(*columns) if columns else models, spark.read.parquet(f"{path}/bands.parquet")
 
 
+def save_bucketed(df: DataFrame, name: str, buckets: int, key: str = "model_id", path: str | None = None) -> DataFrame:
+    """A table of the catalogue in sorted buckets of a key. Tables of as many buckets (a grid, its noise, its likelihoods) are joined by that key without an exchange."""
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def read_noise(spark: SparkSession, path: str, needed: Sequence[str] = ("bias", "error", "completeness")) -> DataFrame:
     """A noise model; an error where one of the needed columns is missing."""
     df = spark.read.parquet(path)

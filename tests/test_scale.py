@@ -181,3 +181,86 @@ def test_places_by_area(spark):
     assert abs((one.ra < 1).mean() - 1 / 2.5) < 0.03 and abs(one.ra[one.ra > 1].mean() - (0.5 * 2.0 * 0 + 1 * 1.5 + 0.5 * (2 + 1 / 3)) / 1.5) < 0.03
     whole = samples.positions_in_tiles(models, tiles, 2)
     assert whole.groupBy("bin").count().toPandas().set_index("bin")["count"].to_dict() == {0: 8000, 1: 8000, 2: 8000}
+
+
+@pytest.mark.parametrize("nodes_to_all", [100_000, 1])
+def test_nearest_nodes_of_blocks(spark, monkeypatch, nodes_to_all):
+    from starmill.operators import noise
+
+    monkeypatch.setattr(noise, "BROADCAST_NODES", nodes_to_all)
+    monkeypatch.setattr(noise, "NODE_BLOCK", 5)
+    monkeypatch.setattr(noise, "MODEL_BLOCK", 16)
+    r = np.random.default_rng(4)
+    nodes = np.round(10 ** r.uniform(0, 2, (90, 2)), 1)
+    nodes[60:] = nodes[:30]  # nodes at one place
+    models = np.concatenate([10 ** r.uniform(-0.5, 2.5, (100, 2)), nodes[:10]])
+    n_df = spark.createDataFrame([(f"n{k:02d}", *map(float, x), float(k), k * 0.5) for k, x in enumerate(nodes)], "node_id string, f double, g double, v double, w double")
+    m_df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(models)], "model_id long, f double, g double")
+    for k in (10, 200):
+        got = {x.model_id: x for x in noise.knn_blend(m_df, n_df, ["f", "g"], ["v", "w"], k, ["g"]).collect()}
+        assert len(got) == len(models)
+        for i, m in enumerate(models):
+            d = np.sqrt(((np.log10(m) - np.log10(nodes)) ** 2).sum(1))
+            at = np.lexsort((np.arange(90), d))[:k]
+            w = 1 / np.maximum(d[at], 0.01)
+            assert np.isclose(got[i].v, (w * at).sum() / w.sum()) and np.isclose(got[i].w, (w * at).sum() / w.sum() / 2) and got[i].g == m[1]
+
+
+def test_ranges_of_many_keys(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 7 AS a", "-id AS b")
+    placed = tables.in_ranges(df, ["a", "-id"], 500).groupBy("part_of").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", -F.col("id"))).alias("lo"), F.max(F.struct("a", -F.col("id"))).alias("hi")).orderBy("part_of").collect()
+    assert len(placed) == 40 and max(x.n for x in placed) < 1500
+    assert all(tuple(one.hi) < tuple(two.lo) for one, two in zip(placed[:-1], placed[1:], strict=True))
+
+
+def test_buckets_meet_without_exchange(spark, tmp_path):
+    from starmill.sources.tables import save_bucketed
+
+    v = lambda n: view(spark, SF, n)
+    grid_table = save_bucketed(v("fx_models"), "bucketed_models", 4, path=f"{tmp_path}/models")
+    noise_table = save_bucketed(v("fx_noise"), "bucketed_noise", 4, path=f"{tmp_path}/noise")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = fit.attach_noise(grid_table, noise_table)
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        assert both.count() == v("fx_models").count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_models")
+        spark.sql("DROP TABLE bucketed_noise")
+
+
+def test_parts_merge_as_they_come(spark, tmp_path):
+    from starmill.streaming.fits import merge_stream
+
+    stars, models = grid(spark)
+    parts = [fit.StarFit(stars, models.where(F.col("model_id") % 3 == k), PARAMS, -300.0).stats().withColumn("subgrid", F.lit(k)) for k in range(3)]
+    columns = ["star_id", "subgrid", "pmax", "chi2min", "total_log_norm", *[f"{p}_{e}" for p in PARAMS for e in ("best", "exp")]]
+    parts = [p.select(*columns).cache() for p in parts]
+    parts[0].write.parquet(f"{tmp_path}/in/a")
+    schema = spark.read.parquet(f"{tmp_path}/in/a").schema
+
+    def run():
+        """Each start goes on where the last one has stopped."""
+        stream = merge_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), PARAMS, 3)
+        query = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.schema("star_id long, pmax double, chi2min double, total_log_norm double, best_gridsub_tag int, " + ", ".join(f"{p}_{e} double" for e in ("best", "exp") for p in PARAMS)).parquet(f"{tmp_path}/out")
+
+    assert run().isEmpty()
+    # the last part first, and a part again; the second one is late for some stars
+    parts[2].union(parts[0]).write.parquet(f"{tmp_path}/in/b")
+    assert run().isEmpty()
+    parts[1].where("star_id % 2 = 0").write.parquet(f"{tmp_path}/in/c")
+    first = run()
+    assert first.where("star_id % 2 = 1").isEmpty() and first.count() == stars.where("star_id % 2 = 0").count()
+    parts[1].where("star_id % 2 = 1").write.parquet(f"{tmp_path}/in/d")
+    got = {x.star_id: x for x in run().collect()}
+    want = merge.merge_stats(tables.stack(parts), PARAMS, 3).collect()
+    assert len(got) == len(want) == stars.count()
+    for w in want:
+        g = got[w.star_id]
+        assert g.best_gridsub_tag == w.best_gridsub_tag
+        assert np.allclose([g.pmax, g.chi2min, g.total_log_norm, *[g[f"{p}_{e}"] for p in PARAMS for e in ("best", "exp")]], [w.pmax, w.chi2min, w.total_log_norm, *[w[f"{p}_{e}"] for p in PARAMS for e in ("best", "exp")]], rtol=1e-9)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from starmill.llm.common import forget, kept, read, spread_join, text_key, word_count
 from starmill.llm.shingles import U, mix
+from starmill.operators.tables import row_ids
 
 #: A common block goes if its lines have so many characters together.
 LEAST_CHARS = 60
@@ -164,31 +165,50 @@ def with_runs(arrays: DataFrame, least: int) -> DataFrame:
     return told.select("doc_id", "tag", F.explode("lines").alias("line"))
 
 
-def overlaps(arrays: DataFrame, least: int) -> DataFrame:
-    """Pairs (later_id, later_tag, first_id, first_tag): for each line of a text and each of its runs (see with_runs), the first document that holds it.
+def left_runs(arrays: DataFrame, least: int) -> DataFrame:
+    """doc_id, tag, line: of texts with the places `removed` (null: none) the lines and shortest runs of `least` characters or more of which no occurrence has gone whole."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for hashes, chars, removed in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                h, c = (x.values.to_numpy(zero_copy_only=False) for x in (hashes, chars))
+                gone = np.zeros(len(h) + 1, np.int64)
+                if removed.is_valid:
+                    gone[removed.values.to_numpy(zero_copy_only=False) + 1] = 1
+                gone = np.cumsum(gone)
+                runs = Runs(h, c)
+                start, end = (np.r_[x, y] for x, y in zip(runs.reach(0, len(h), least), runs.reach_back(least), strict=True))
+                long = end - start > 1
+                hashed = np.where(long, runs.hashes(start, end).view(np.int64), h[np.minimum(start, max(len(h) - 1, 0))] if len(h) else 0)
+                whole = gone[end] - gone[start] == end - start
+                lists.append(np.setdiff1d(hashed[~whole], hashed[whole]))
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32))
+            values = pa.array(np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, values)], ["doc_id", "tag", "lines"])
+
+    told = arrays.select(F.col("doc_id").cast("long").alias("doc_id"), "tag", "hashes", "chars", "removed").mapInArrow(work, "doc_id long, tag binary, lines array<long>")
+    return told.select("doc_id", "tag", F.explode("lines").alias("line")).where("line <> 0")
+
+
+def overlaps(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (later_id, later_tag, first_id, first_tag): for each line of a text and each of its runs (see with_runs), the first document that holds it; and the lines of several holders with their first.
 
     What a document shares leads to the holders; each occurrence gives one pair at most, so the pairs never
     exceed the lines and runs (two for each line at most), however many documents share one. What is held once drops out before the join. The
     runs bring a block to a document that holds it where its lines stand earlier elsewhere, one by one.
     """
-    lines = kept(with_runs(arrays, least).where("line <> 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "runs")
     # any share of the documents may hold one line: they are dealt to parts, and its first holder is told to those that have some
-    first = lines.groupBy("line").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("holders"), F.collect_set("part").alias("parts")).where("holders > 1")
+    first = kept(lines.groupBy("line").agg(F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("holders"), F.collect_set("part").alias("parts")).where("holders > 1"), "firsts")
     pairs = lines.join(first.select("line", "first", F.explode("parts").alias("part")), ["line", "part"]).where(F.struct("doc_id", "tag") != F.col("first")).select("doc_id", "tag", "first").distinct()
-    pairs = kept(pairs.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")), "pairs")
-    forget(lines)
-    return pairs
+    return kept(pairs.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), F.col("first.doc_id").alias("first_id"), F.col("first.tag").alias("first_tag")), "pairs"), first
 
 
-def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, tag, removed (places of the lines to delete, sorted), one row per text of an id that loses lines."""
-    arrays = kept(line_arrays(docs.where(F.col("doc_id").isNotNull())), "lines")
-    texts = arrays.groupBy("tag").agg(F.min("doc_id").alias("doc_id"))
-    single = kept(arrays.join(texts, ["tag", "doc_id"], "left_semi").dropDuplicates(["tag", "doc_id"]), "texts")
-    pairs = overlaps(single, least)
+def aligned_pairs(texts: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """tag, removed: the places of a text's lines that alignments with its partners delete."""
     # which is `later` follows from the order of ids; the pairs get both line arrays, not the texts
-    firsts = single.select(F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("hashes").alias("first_hashes"))
-    laters = single.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), "hashes", "chars")
+    firsts = texts.select(F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("hashes").alias("first_hashes"))
+    laters = texts.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), "hashes", "chars")
     both = spread_join(pairs, firsts, ["first_id", "first_tag"], ["later_id"], PARTS).join(laters, ["later_id", "later_tag"]).select("later_id", "later_tag", "first_hashes", "hashes", "chars")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +218,59 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "tag", "removed"])
 
     cut = both.mapInArrow(align, "doc_id long, tag binary, removed array<int>").where(F.size("removed") > 0)
-    cut = cut.groupBy("tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+    return together(cut)
+
+
+def together(cut: DataFrame) -> DataFrame:
+    return cut.groupBy("tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"))
+
+
+def further(texts: DataFrame, lines: DataFrame, first: DataFrame, pairs: DataFrame, cut: DataFrame, least: int) -> DataFrame:
+    """aligned_pairs() with the further holders of what the first ones have left (where blocks cross, an alignment keeps one of them).
+
+    Runs of `least` characters that stay are brought to their other holders in the order of ids: to the second, then to as many again as have been tried,
+    until each run has gone or has no holder that comes before its document. Rounds are few, and most runs go with the first holder of the same order.
+    """
+    of_text = lambda cut: texts.join(cut, "tag", "left")
+    rest = spread_join(left_runs(of_text(cut), least), first.where("holders > 2").select("line", "first"), ["line"], ["doc_id"], PARTS)
+    rest = kept(rest.where(F.struct("doc_id", "tag") > F.col("first")).select("doc_id", "tag", "line"), "left")
+    if rest.isEmpty():
+        forget(rest)
+        return cut
+    some = kept(lines.select("line", "doc_id", "tag").join(rest.select("line").distinct(), "line", "left_semi"), "held")
+    places = kept(row_ids(some, ["line", "doc_id", "tag"], "place"), "places")
+    begin = places.groupBy("line").agg(F.min("place").alias("begin"))
+    own = rest.join(places.withColumnRenamed("place", "own"), ["line", "doc_id", "tag"])
+    spent = [rest, some]
+    rest = kept(spread_join(own, begin, ["line"], ["doc_id"], PARTS).where("own - begin > 1"), "left")
+    tried, a, b = pairs, 1, 2
+    while not rest.isEmpty():
+        at = F.explode(F.sequence(F.col("begin") + a, F.least(F.col("begin") + b, F.col("own")) - 1))
+        targets = rest.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"), at.alias("place"))
+        found = targets.join(places.select("place", F.col("doc_id").alias("first_id"), F.col("tag").alias("first_tag")), "place").drop("place").distinct()
+        new = kept(found.join(tried, ["later_id", "later_tag", "first_id", "first_tag"], "left_anti"), "pairs")
+        spent += [rest, new]
+        if not new.isEmpty():
+            spent.append(cut)
+            cut = kept(together(cut.unionByName(aligned_pairs(texts, new, least))), "cut")
+            tried = tried.unionByName(new)
+        a, b = b, 2 * b
+        # what is left of the runs that have more holders
+        more = rest.where(F.col("begin") + a < F.col("own"))
+        rest = kept(more.join(left_runs(of_text(cut).join(more.select("doc_id", "tag").distinct(), ["doc_id", "tag"], "left_semi"), least), ["doc_id", "tag", "line"], "left_semi"), "left")
+    forget(rest, places, *spent)
+    return cut
+
+
+def repeated_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, tag, removed (places of the lines to delete, sorted), one row per text of an id that loses lines."""
+    arrays = kept(line_arrays(docs.where(F.col("doc_id").isNotNull())), "lines")
+    texts = arrays.groupBy("tag").agg(F.min("doc_id").alias("doc_id"))
+    single = kept(arrays.join(texts, ["tag", "doc_id"], "left_semi").dropDuplicates(["tag", "doc_id"]), "texts")
+    lines = kept(with_runs(single, least).where("line <> 0").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")), "runs")
+    pairs, first = overlaps(lines)
+    cut = further(single, lines, first, pairs, kept(aligned_pairs(single, pairs, least), "cut"), least)
+    forget(lines, first, pairs)
     # copies of an earlier text are aligned with it from end to end
     sizes = arrays.select("doc_id", "tag", F.size("chars").alias("n_lines"), F.aggregate("chars", F.lit(0), lambda a, c: a + c).alias("n_chars")).where(F.col("n_chars") >= least).distinct()
     copies = spread_join(sizes, texts.withColumnRenamed("doc_id", "first_id"), ["tag"], ["doc_id"], PARTS).where("doc_id > first_id")
@@ -214,7 +286,7 @@ def drop_lines(text: Column, removed: Column) -> Column:
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs without the lines that an earlier document holds, and `n_removed_lines` beside.
 
-    Documents that share a line, or a run of lines of `least` characters, meet through the first document with it; a patience diff aligns them, and the blocks
+    Documents that share a line, or a run of lines of `least` characters, meet through the first document with it, and through the further ones while the run stays; a patience diff aligns them, and the blocks
     in common of `least` characters or more are deleted from the later document (the greater doc_id). All is judged on the texts
     as they come. A copy of a whole text loses every line; its text is then empty.
 

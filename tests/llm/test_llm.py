@@ -300,6 +300,25 @@ def test_lines_of_all_earlier_documents(spark):
     assert all(got[k] == texts[k] for k in (*range(9), 10, 12))
 
 
+def test_lines_of_crossing_blocks(spark):
+    """Blocks that cross those of the first document that holds them go with a later one; compared with alignments of all pairs."""
+    r = random.Random(7)
+    block = {n: [f"block {n} line {k} of the shared text" for k in range(3)] for n in "XYZW"}
+    own = lambda k: [f"own line {k} of document {k}" for _ in range(1)]
+    texts = [[*block["X"], *own(0), *block["Y"]], [*own(1), *block["Y"], *own(91)], [*block["Y"], *own(2), *block["X"]]]
+    for k in range(3, 30):
+        some = r.sample("XYZW", r.randint(2, 4))
+        texts.append([x for n in some for x in [*block[n][: r.choice([2, 3, 3])], *own(100 * k + ord(n))]])
+    df = spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text.split("\n") for x in line_dedup.dedup_lines(df).collect()}
+    assert got[2] == own(2)
+    for k, t in enumerate(texts):
+        gone = set()
+        for e in texts[:k]:
+            gone |= set(line_dedup.common_lines(e, t, [len(x) for x in t], line_dedup.LEAST_CHARS))
+        assert got[k] == ([x for i, x in enumerate(t) if i not in gone] or [""]), k
+
+
 def test_longest_run():
     """Parts without a line of its own on both sides: the blocks found are those of a search over all runs."""
     r = random.Random(2)

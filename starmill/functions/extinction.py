@@ -100,6 +100,7 @@ SMC_UV, SMC_X0, SMC_GAMMA, SMC_RV = (-4.959, 2.264, 0.389, 0.461), 4.6, 1.0, 2.7
 def f99(wave: Column, rv: Column | float) -> Column:
     """Fitzpatrick 1999, from 0.3 to 10 inverse microns; null beyond."""
     x, rv = 1e4 / wave, F.lit(rv) if not isinstance(rv, Column) else rv
+    # fixed values: the law's own ultraviolet parameters
     slope = -0.824 + 4.717 / rv
     ultraviolet = lambda w: fm_uv(w, rv, (2.030 - 3.007 * slope, slope, 3.23, 0.41), 4.596, 0.99)
     values = [*[v / 3.1 for v in F99_INFRARED], *[poly(rv, c) / rv for c in F99_OPTICAL], *[ultraviolet(F.lit(1e4 / a)) for a in UV_ANCHORS]]

@@ -110,6 +110,7 @@ def step(x: np.ndarray, y: np.ndarray, dist0: float, amp1: float, damp2: float,
     return out
 
 
+# Slopes of the initial mass functions, and the masses at which they change.
 @register("salpeter")
 def salpeter(x: np.ndarray, slope: float = 2.35) -> np.ndarray:
     return mean_imf(x, [0.0, np.inf], [slope])

@@ -161,7 +161,7 @@ def source_density(df: DataFrame, ra_edges: Sequence[float], dec_edges: Sequence
 def onto_rows(df: DataFrame, tiles: DataFrame, value: str, ra_edges: Sequence[float], dec_edges: Sequence[float], ra: str = "ra", dec: str = "decl") -> DataFrame:
     """The rows with the value of the tile that holds them."""
     at = df.withColumn("i_ra", tile_index(F.col(ra), ra_edges)).withColumn("i_dec", tile_index(F.col(dec), dec_edges))
-    return at.join(F.broadcast(tiles.select("i_ra", "i_dec", value)), ["i_ra", "i_dec"], "left").drop("i_ra", "i_dec")
+    return at.join(tiles.select("i_ra", "i_dec", value), ["i_ra", "i_dec"], "left").drop("i_ra", "i_dec")
 
 
 def bin_density_map(tiles: DataFrame, n: int, mode: str = "linear") -> DataFrame:

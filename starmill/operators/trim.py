@@ -22,16 +22,17 @@ def trim_models(models: DataFrame, stars: DataFrame, factor: float = 3.0, strict
     """Models complete in all bands whose flux + bias, within factor sigmas, meets the stars' range in each band.
 
     Bands count one after the other; one that would leave no model is passed over (strict: an error). Adds fullgrid_idx, the
-    model_id. The ranges are one row, which goes to every executor.
+    model_id. The ranges are one row, which goes to every executor; which bands count is told by one pass that counts the models by the bands they meet.
     """
     rows = models.where(" AND ".join(f"{c} > 0" for c in bands.complete)).crossJoin(F.broadcast(ranges(stars, bands=bands)))
-    for k in range(len(bands.flux)):
-        kept = rows.where(overlaps(k, factor, bands))
-        if kept.isEmpty():
-            if strict:
-                raise ValueError(f"band {bands.flux[k]} leaves no model")
-            continue
-        rows = kept
+    n = range(len(bands.flux))
+    met = rows.groupBy(*[overlaps(k, factor, bands).alias(f"met_{k}") for k in n]).agg(F.count(F.lit(1)).alias("models")).collect()  # 2 ** bands rows at most
+    for k in n:
+        kept = [r for r in met if r[f"met_{k}"]]
+        if kept:
+            met, rows = kept, rows.where(overlaps(k, factor, bands))
+        elif strict:
+            raise ValueError(f"band {bands.flux[k]} leaves no model")
     return rows.select(*models.columns, F.col("model_id").alias("fullgrid_idx"))
 
 

@@ -125,19 +125,23 @@ def load_isochrones(df: DataFrame, age: str = "log_a", metal: str = "z", digits:
 
 
 def read_described(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
-    """Blank-separated text whose comment lines describe it: `# alias NAME = COLUMN`, `## COLUMN UNIT DESCRIPTION`; the last comment line or first line names the columns.
+    """Blank-separated text whose comment lines describe it: `# alias NAME = COLUMN`, `## COLUMN UNIT DESCRIPTION`; the first other line of each file names the columns, in all files the same.
 
-    Gives the table, all columns as strings with unit and comment in their metadata, and the aliases. The comment lines come to the driver, a header's worth.
+    Gives the table, all columns as strings with unit and comment in their metadata, and the aliases. The comment lines come to the driver, a header's worth, and a row per file.
     """
-    lines = spark.read.text(path)
-    head = [r.value for r in lines.where(F.col("value").startswith("#")).limit(10_000).collect()]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    head = [r.value for r in lines.where(F.col("value").startswith("#")).select("value").collect()]
     aliases = {a.strip(): b.strip() for x in head if x.startswith("# alias ") for a, b in [x.removeprefix("# alias ").split("=", 1)]}
     told = {w[0]: (w[1] if len(w) > 1 else "", " ".join(w[2:])) for x in head if x.startswith("##") and (w := x[2:].split())}
-    names = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).limit(1).collect()
-    columns = names[0].value.split() if names else []
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    first = rows.groupBy("file").agg(F.min(F.struct("start", "line", "value")).alias("f")).select("file", F.col("f.line").alias("named"), F.col("f.value").alias("names"))
+    names = {tuple(r.names.split()) for r in first.select("names").distinct().collect()}
+    if len(names) > 1:
+        raise ValueError(f"the files of {path} name other columns each")
+    columns = list(names.pop()) if names else []
     words = F.split(F.trim("value"), r"\s+")
-    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "") & (F.trim("value") != F.lit(names[0].value.strip() if names else ""))).select(words.alias("w"))
-    out = rows.select(*[F.get("w", F.lit(k)).alias(c) for k, c in enumerate(columns)])
+    out = rows.join(first.select("file", "named"), "file").where("line <> named").select(words.alias("w"))
+    out = out.select(*[F.get("w", F.lit(k)).alias(c) for k, c in enumerate(columns)])
     for c in columns:
         if c in told:
             out = out.withMetadata(c, {"unit": told[c][0], "comment": told[c][1]})

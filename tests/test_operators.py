@@ -19,6 +19,7 @@ def axis(spark, values):
     return spark.createDataFrame([(float(x),) for x in values], "x double")
 
 
+# What these weights, boundaries and priors have to come to.
 @pytest.mark.parametrize(
     ("values", "log", "want"),
     [
@@ -40,6 +41,7 @@ def test_boundaries(spark):
 
 
 def test_priors():
+    # fixed values, as above
     x = np.array([6.0, 7, 8, 9, 10])
     assert np.allclose(priors.prior("age", "flat_log", x), [9.00009e-01 / 10**k for k in range(5)], atol=1e-6)
     assert np.allclose(priors.prior("age", "bins_histo", x, x_bins=[6, 7, 8, 9, 10], values=[1, 2, 1, 5]), [1, 2, 1, 5, 0])

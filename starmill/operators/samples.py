@@ -61,10 +61,10 @@ def simulated(models: DataFrame, n: int, completeness: Sequence[str], bands: int
     return sample_models(some, n, F.col(weight) * compl, seed)
 
 
-def simulated_grids(grids: Sequence[tuple[DataFrame, int]], completeness: Sequence[str], seed: int = 1, **how: object) -> DataFrame:
-    """One catalogue from several grids: the draws of each (models, number) with its place as `grid`, each by a seed of its own."""
-    parts = [simulated(models, n, completeness, seed=seed + 1000 * k, **how).withColumn("grid", F.lit(k)) for k, (models, n) in enumerate(grids)]
-    return stack(parts)
+def simulated_grids(grids: Sequence[DataFrame], n: int, completeness: Sequence[str], seed: int = 1, **how: object) -> DataFrame:
+    """One catalogue from several grids that share n draws evenly (rounded up): those of each with its place as `grid`, each by a seed of its own."""
+    each = -(-n // len(grids))
+    return stack([simulated(models, each, completeness, seed=seed + 1000 * k, **how).withColumn("grid", F.lit(k)) for k, models in enumerate(grids)])
 
 
 def synthetic_catalog(drawn: DataFrame, fluxes: Sequence[str], bias: Sequence[str], sigma: Sequence[str], seed: int = 1) -> DataFrame:

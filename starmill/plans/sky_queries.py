@@ -256,12 +256,12 @@ def _observable(v):
     return weighted.select("model_id", "draw", "grid").unionByName(even.select("model_id", "draw", "grid"))
 
 
-@query("s2_several_grids", "model_id #draw #grid", f"""WITH {drawn_sql('weight*greatest(c0, c1, c2)').replace('WHERE weight', 'WHERE fx_models.model_id % 2=0 AND c0>0 AND weight')}, d2 AS (SELECT 1),
-{drawn_sql('weight*greatest(c0, c1, c2)').replace('WHERE weight', 'WHERE fx_models.model_id % 2=1 AND c0>0 AND weight').replace(repr(samples.offset(1)), repr(samples.offset(1001))).replace('500', '300').replace('499', '299').replace('m AS (', 'm2 AS (').replace('c AS (', 'c2_ AS (').replace('FROM m)', 'FROM m2)').replace('r AS (', 'r2 AS (').replace('FROM c)', 'FROM c2_)').replace('drawn AS (', 'drawn2 AS (').replace('FROM r WHERE', 'FROM r2 WHERE')}
+@query("s2_several_grids", "model_id #draw #grid", f"""WITH {drawn_sql('weight*greatest(c0, c1, c2)').replace('WHERE weight', 'WHERE fx_models.model_id % 2=0 AND c0>0 AND weight')},
+{drawn_sql('weight*greatest(c0, c1, c2)').replace('WHERE weight', 'WHERE fx_models.model_id % 2=1 AND c0>0 AND weight').replace(repr(samples.offset(1)), repr(samples.offset(1001))).replace('m AS (', 'm2 AS (').replace('c AS (', 'c2_ AS (').replace('FROM m)', 'FROM m2)').replace('r AS (', 'r2 AS (').replace('FROM c)', 'FROM c2_)').replace('drawn AS (', 'drawn2 AS (').replace('FROM r WHERE', 'FROM r2 WHERE')}
 SELECT model_id, draw, 0 AS grid FROM drawn UNION ALL SELECT model_id, draw, 1 FROM drawn2""")
 def _several(v):
     rows = v("fx_models").join(v("fx_noise"), "model_id").where("c0 > 0")
-    return samples.simulated_grids([(rows.where("model_id % 2 = 0"), 500), (rows.where("model_id % 2 = 1"), 300)], ["c0", "c1", "c2"])
+    return samples.simulated_grids([rows.where("model_id % 2 = 0"), rows.where("model_id % 2 = 1")], 999, ["c0", "c1", "c2"])
 
 
 @query("s2_synthetic_catalog", "model_id #draw ~obs_0 ~mag_0 ~obs_2", f"WITH {drawn_sql('weight*c0')}, o AS (SELECT d.model_id, draw, f0+b0+abs(e0)*{normal_sql(1).replace('model_id', 'd.model_id')} AS obs_0, f2+b2+abs(e2)*{normal_sql(5).replace('model_id', 'd.model_id')} AS obs_2 FROM drawn d JOIN fx_models m ON m.model_id=d.model_id JOIN fx_noise n ON n.model_id=d.model_id) SELECT *, CASE WHEN obs_0>0 THEN -2.5e0*log10(obs_0) ELSE 99.999e0 END AS mag_0 FROM o")

@@ -232,8 +232,12 @@ def further(texts: DataFrame, lines: DataFrame, first: DataFrame, pairs: DataFra
     until each run has gone or has no holder that comes before its document. Rounds are few, and most runs go with the first holder of the same order.
     """
     of_text = lambda cut: texts.join(cut, "tag", "left")
-    rest = spread_join(left_runs(of_text(cut), least), first.where("holders > 2").select("line", "first"), ["line"], ["doc_id"], PARTS)
+    # only texts that have a partner before them hold lines that somebody else does
+    later = pairs.select(F.col("later_id").alias("doc_id"), F.col("later_tag").alias("tag")).distinct()
+    stay = kept(left_runs(of_text(cut).join(later, ["doc_id", "tag"], "left_semi"), least), "left")
+    rest = spread_join(stay, first.where("holders > 2").select("line", "first"), ["line"], ["doc_id"], PARTS)
     rest = kept(rest.where(F.struct("doc_id", "tag") > F.col("first")).select("doc_id", "tag", "line"), "left")
+    forget(stay)
     if rest.isEmpty():
         forget(rest)
         return cut

@@ -39,6 +39,17 @@ OTHERS = [
     "See the license file for details.", "Permission is granted to members only.", "This software is subject to the terms of use of the vendor.", "Redistribution is not permitted.", "Licensed to the public by the publisher.",
     "Licensed under the Eclipse Public License, version 2.0.", "Released under the zlib License.", "This software is distributed under the Boost Software License.", "Licensed under the Artistic License 2.0.", "SPDX-License-Identifier: ISC",
 ]
+# Notices of licences near some of the families above, whose differing words the family's templates don't have.
+SIBLINGS = {
+    ("gpl", "lgpl"): ["This work is licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "This work is licensed under the GNU Free Documentation License, version 1.3."],
+    ("cc_by", "cc_by_sa", "cc_by_nc"): ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    ("apache",): ["Licensed under the Apache License, Version 1.1."],
+}
 # Notices in other words than those above, and of licences that are not among them. They calibrate, and teach nothing.
 CALIBRATION = [
     ("apache", "This project is available under the Apache License 2.0, see the file for the License text."), ("apache", "Distributed under the Apache License, Version 2.0"), ("mit", "The code is made available under the terms of the MIT License"), ("mit", "MIT License, free of charge to any person"),
@@ -51,8 +62,8 @@ NONE, UNKNOWN = "none", "unknown"
 FAMILIES = [*NOTICES, UNKNOWN, NONE]
 #: Buckets of word n-grams; documents and lines of the corpus that teach `none`, at most; variants of each notice.
 BUCKETS, SAMPLE_DOCS, SAMPLE, VARIANTS = 4096, 1000, 3000, 12
-#: Share of a template's word triples that confirms a family, and the grid of the calibration's factor.
-CONFIRMED, FACTORS = 0.5, (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
+#: Share of a template's word triples that confirms a family, the least calibrated probability of one, and the grid of the calibration's factor.
+CONFIRMED, LEAST, FACTORS = 0.5, 0.25, (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)
 #: Share of the evidence a licence needs that a line must have to be part of a paragraph of several lines.
 PART = 0.3
 WORDS = r"[\p{L}\p{N}]+"
@@ -88,7 +99,7 @@ def taught_notices(variants: int) -> list[tuple[str, int, int]]:
     chance, out = random.Random(3), []
     around = ["", "this file is ", "note: ", "the code here is "]
     for label, name in enumerate(FAMILIES[:-1]):
-        for text, k in product(NOTICES.get(name, OTHERS), range(variants)):
+        for text, k in product(NOTICES.get(name, [*OTHERS, *[t for texts in SIBLINGS.values() for t in texts]]), range(variants)):
             words = text.split(" ")
             some = [w for w in words if len(words) < 8 or chance.random() > 0.04 * k / variants * 4]
             out.append(((around[k % 4] if k else "") + " ".join(some), label, 0))
@@ -154,46 +165,83 @@ def runs_of_lines(text: Column, evidence, start: float) -> Column:  # noqa: ANN0
     return F.filter(F.aggregate(some, none, add), lambda r: (F.size(r["lines"]) > 1) | (F.get(r["lines"], F.lit(0))["e"] >= -start - 1e-6))
 
 
+def segments(scores: Column, n: int, change: float) -> Column:
+    """Pieces (at, n, family: its number) of lines that belong together: of all ways to give each line one of n families the one of the largest sum, where each change of the family costs `change`. scores: (at, of: the line's score by family)."""
+    begin = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda f: F.struct(F.get(F.get(scores, F.lit(0))["of"], f).alias("sum"), F.array(F.struct(F.lit(0).alias("at"), f.alias("family"))).alias("pieces")))
+
+    def add(state: Column, x: Column) -> Column:
+        def best(top: Column) -> Column:
+            stay = lambda own, f: F.struct((own["sum"] + F.get(x["of"], f)).alias("sum"), own["pieces"].alias("pieces"))
+            turn = lambda f: F.struct((top["sum"] - change + F.get(x["of"], f)).alias("sum"), F.concat(top["pieces"], F.array(F.struct(x["at"].alias("at"), f.alias("family")))).alias("pieces"))
+            return F.transform(state, lambda own, f: F.when(own["sum"] >= top["sum"] - change, stay(own, f)).otherwise(turn(f)))
+
+        return let(F.array_max(state), best)
+
+    found = F.aggregate(F.slice(scores, F.lit(2), F.greatest(F.size(scores) - 1, F.lit(0))), begin, add, lambda state: F.array_max(state)["pieces"])
+    ends = lambda p, k: F.coalesce(F.get(found, k + 1)["at"], F.size(scores))
+    return F.transform(found, lambda p, k: F.struct(p["at"].alias("at"), (ends(p, k) - p["at"]).alias("n"), p["family"].alias("family")))
+
+
 def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """One row per licence paragraph: doc_id, paragraph (place of its first line), n_lines, family, probability, similarity, confirmed.
 
-    A paragraph is a line, or a run of neighbouring lines that each have some words of a licence, as notices are wrapped: the run counts as one where none
-    of its lines is a licence by itself. Marks of comments are no words and change nothing. The classifier scores every paragraph; those it takes
-    for a licence are compared with its family's templates: the best share of a template's word triples that it holds. family is `unknown` where the
-    classifier says so or where that share is below CONFIRMED. Before the families' logits comes their common bound: per
+    A paragraph is a line, or lies in a run of neighbouring lines that each have some words of a licence, as notices are wrapped. Marks of comments are no words and change nothing. The classifier scores every line, and
+    the run as a whole, and cuts it where the family of the evidence changes (see segments). Pieces come where more families are confirmed in them than in single lines or the whole run (or as many of several, some of
+    them wrapped), else the run where it is confirmed and no line by itself is, else the lines. What the classifier takes
+    for a licence is compared with its family's templates: the best share of a template's word triples that it holds. family is `unknown` where the
+    classifier says so, where that share is below CONFIRMED or the probability below LEAST, or where of a licence nearby (SIBLINGS) the run holds a larger share than of the family. Before the families' logits comes their common bound: per
     n-gram the largest weight of any family over that of `none`, so lines below it can't be a licence.
 
     Null and empty texts have no paragraphs to find. Repeated rows are scanned each on its own; a null doc_id is kept. An empty table
     gives no rows. Other columns are not read.
     """
     weights, biases = model or train(docs)
-    n = len(FAMILIES)
     weights, biases = np.round(weights, 3), np.round(biases, 3)
     bound, start = constant_array((weights[:-1] - weights[-1]).max(0), 3), float((biases[:-1] - biases[-1]).max())
     found = docs.select("doc_id", runs_of_lines(F.col("text"), lambda line: F.aggregate(ngrams(line), F.lit(0.0), _adder(bound)), start).alias("runs"))
     found = kept(found.select("doc_id", F.explode_outer("runs").alias("run")).where(F.col("run").isNotNull()).select("doc_id", "run.paragraph", F.transform("run.lines", lambda x: x["line"]).alias("lines")), "hits")
-    templates = rows(docs.sparkSession, [(f, t) for f, texts in NOTICES.items() for t in texts], ["family", "template"]).select("family", triples(F.col("template")).alias("wanted")).collect()
-    of_family = F.create_map(*[c for f in NOTICES for c in (F.lit(f), F.array(*[F.lit(r["wanted"]) for r in templates if r["family"] == f]))])
+    templates = rows(docs.sparkSession, [(f, t) for f, texts in [*NOTICES.items(), *[(f"near {f}", texts) for some, texts in SIBLINGS.items() for f in some]] for t in texts], ["family", "template"]).select("family", triples(F.col("template")).alias("wanted")).collect()
+    of_family = F.create_map(*[c for f in dict.fromkeys(r["family"] for r in templates) for c in (F.lit(f), F.array(*[F.lit(r["wanted"]) for r in templates if r["family"] == f]))])
+    names = F.array(*[F.lit(f) for f in FAMILIES])
+
+    found = found.withColumn("run", triples(F.array_join("lines", " ")))
 
-    def judged(text: Column, at: Column, n_lines: Column) -> Column:
+    def judged(text: Column, at: Column, n_lines: Column, family: Column | None = None) -> Column:
+        """The classifier's guess and its probability, and how near the text is to templates of `family` (the guess by default); 0 where its run is nearer to a licence nearby."""
         logits = lambda grams: F.array(*[F.aggregate(grams, F.lit(float(b)), _adder(constant_array(w, 3))) for w, b in zip(weights, biases, strict=True)])
-        share = lambda family: F.array_max(F.transform(F.element_at(of_family, family), lambda t: F.size(F.array_intersect(t, triples(text))) / F.size(t)))
+        share = lambda own, name: F.array_max(F.transform(F.element_at(of_family, name), lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
+        other = lambda name: F.coalesce(share(F.col("run"), F.concat(F.lit("near "), name)), F.lit(0.0))
+        near = lambda name: F.when(other(name) > share(F.col("run"), name), 0.0).otherwise(let(triples(text), lambda own: share(own, name)))
 
         def told(z: Column) -> Column:
             top = F.array_max(z)
-            guess = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position(z, top).cast("int"))
-            probability = 1 / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-            return F.struct(at.cast("long").alias("paragraph"), n_lines.cast("long").alias("n_lines"), guess.alias("guess"), probability.alias("probability"), F.when(~guess.isin(NONE, UNKNOWN), share(guess)).otherwise(0.0).alias("similarity"))
+            guess = F.element_at(names, F.array_position(z, top).cast("int"))
+            wanted = guess if family is None else family
+            of = top if family is None else F.element_at(z, F.array_position(names, family).cast("int"))
+            probability = F.exp(of - top) / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+            return F.struct(at.cast("long").alias("paragraph"), n_lines.cast("long").alias("n_lines"), wanted.alias("guess"), probability.alias("probability"), F.when(~wanted.isin(NONE, UNKNOWN), near(wanted)).otherwise(0.0).alias("similarity"))
 
         return let(let(ngrams(text), logits), told)
 
+    kind = "array<struct<paragraph:bigint,n_lines:bigint,guess:string,probability:double,similarity:double>>"
+    many, nothing = F.size("lines") > 1, F.array().cast(kind)
     one = F.transform("lines", lambda x, i: judged(x, F.col("paragraph") + i, F.lit(1)))
-    licences = lambda x: x["guess"] != NONE
-    whole = F.when(F.size("lines") > 1, F.array(judged(F.array_join("lines", " "), F.col("paragraph"), F.size("lines")))).otherwise(F.array().cast("array<struct<paragraph:bigint,n_lines:bigint,guess:string,probability:double,similarity:double>>"))
-    found = found.select("doc_id", F.filter(one, licences).alias("one"), F.filter(whole, licences).alias("whole"))
-    sure = lambda name: F.exists(name, lambda x: x["similarity"] >= CONFIRMED)
-    told = found.select("doc_id", F.explode(F.when(sure("whole") & ~sure("one"), F.col("whole")).otherwise(F.col("one"))).alias("p")).select("doc_id", "p.*")
-    confirmed = F.col("similarity") >= CONFIRMED
+    found = found.select("*", one.alias("one"), F.when(many, F.array(judged(F.array_join("lines", " "), F.col("paragraph"), F.size("lines")))).otherwise(nothing).alias("whole"))
+
+    over = [constant_array(w - weights[-1], 3) for w in weights[:-1]]
+    scores = F.transform("lines", lambda x, i: F.struct(i.alias("at"), let(ngrams(x), lambda grams: F.array(*[F.aggregate(grams, F.lit(0.0), _adder(w)) for w in over])).alias("of")))
+    pieces = segments(F.col("scores"), len(over), max(-start, 1.0))
+
+    def span(piece: Column) -> Column:
+        return judged(F.array_join(F.slice("lines", piece["at"] + 1, piece["n"]), " "), F.col("paragraph") + piece["at"], piece["n"], F.element_at(names, piece["family"] + 1))
+
+    found = found.withColumn("scores", F.when(many, scores)).withColumn("spans", F.when(many, F.transform(pieces, span)).otherwise(nothing))
+    licences, sure = (lambda x: x["guess"] != NONE), (lambda x: (x["similarity"] >= CONFIRMED) & (x["probability"] >= LEAST))
+    distinct = lambda name: F.size(F.array_distinct(F.transform(F.filter(name, sure), lambda x: x["guess"])))
+    several = (distinct("spans") > F.greatest(distinct("one"), distinct("whole"))) | ((distinct("spans") > 1) & (distinct("spans") >= distinct("one")) & F.exists("spans", lambda x: sure(x) & (x["n_lines"] > 1)))
+    told = F.when(several, F.filter("spans", sure)).when((distinct("whole") > 0) & (distinct("one") == 0), F.filter("whole", licences)).otherwise(F.filter("one", licences))
+    told = found.select("doc_id", F.explode(told).alias("p")).select("doc_id", "p.*")
+    confirmed = (F.col("similarity") >= CONFIRMED) & (F.col("probability") >= LEAST)
     return told.select("doc_id", "paragraph", "n_lines", F.when(confirmed, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "similarity", confirmed.alias("confirmed"))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 import textwrap
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -520,6 +521,39 @@ def test_wrapped_licences(spark, rows, licence_model):
     assert sorted(x[1] for x in got[two]) == ["apache", "mit"] and not any(two + 1 + k in got for k in range(len(unseen)))
 
 
+def test_segments(spark):
+    """The pieces' sum is that of a search over all ways."""
+    r = random.Random(6)
+    rows = [(k, [(i, [round(r.uniform(-1, 4), 3) for _ in range(3)]) for i in range(r.randint(1, 5))]) for k in range(30)]
+    df = spark.createDataFrame(rows, "k long, scores array<struct<at:int,of:array<double>>>").select("k", licences.segments(F.col("scores"), 3, 2.5).alias("pieces"))
+    got = {x.k: x.pieces for x in df.collect()}
+    for k, scores in rows:
+        cost = lambda way, scores=scores: sum(x[1][f] for x, f in zip(scores, way, strict=True)) - 2.5 * sum(a != b for a, b in zip(way[:-1], way[1:], strict=True))
+        way = [p.family for p in got[k] for _ in range(p.n)]
+        assert [p.at for p in got[k]] == list(np.cumsum([0, *[p.n for p in got[k]]])[:-1]) and len(way) == len(scores)
+        assert np.isclose(cost(way), max(cost(w) for w in product(range(3), repeat=len(scores))))
+
+
+def test_neighbouring_and_near_licences(spark, licence_model):
+    """Wrapped notices one above the other are both found; licences near a family are not taken for it."""
+    wrapped = lambda t: "\n".join(textwrap.wrap(t, 60))
+    longest = {f: max(ts, key=len) for f, ts in licences.NOTICES.items()}
+    pairs = [("mit", "apache"), ("bsd", "apache"), ("mit", "bsd"), ("gpl", "mpl")]
+    near = [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0.",
+    ]
+    texts = [wrapped(longest[a]) + "\n" + wrapped(longest[b]) for a, b in pairs] + near + [wrapped(x) for x in near] + [longest["gpl"], longest["lgpl"], longest["cc_by"], longest["cc_by_sa"], longest["cc_by_nc"]]
+    got = {}
+    for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), licence_model).collect():
+        if r.confirmed:
+            got.setdefault(r.doc_id, set()).add(r.family)
+    for k, pair in enumerate(pairs):
+        assert got.get(k) == set(pair), pair
+    assert [texts[k] for k in range(4, 12) if k in got] == []
+    assert [got.get(k) for k in range(12, 17)] == [{"gpl"}, {"lgpl"}, {"cc_by"}, {"cc_by_sa"}, {"cc_by_nc"}]
+
+
 def test_licence_scores_by_numpy(spark, docs, rows, licence_model):
     """Logits, bound, family and similarity of single lines, recomputed from Spark's hashes of words."""
     weights, biases = (np.round(x, 3) for x in licence_model)
@@ -538,7 +572,10 @@ def test_licence_scores_by_numpy(spark, docs, rows, licence_model):
         runs = lambda v: {tuple(v[i : i + 3]) for i in range(len(v) - 2)} or {tuple(v)}
         notices = [re.findall(r"[^\W_]+", t.lower()) for t in licences.NOTICES.get(licences.FAMILIES[at], [])]
         share = max((len(runs(t) & runs(ws)) / len(runs(t)) for t in notices), default=0.0)
-        want[k] = (licences.FAMILIES[at] if share >= licences.CONFIRMED else "unknown", round(float(np.exp(z[at] - z.max()) / np.exp(z - z.max()).sum()), 2), round(share, 6))
+        near = max((len(runs(t) & runs(ws)) / len(runs(t)) for some, ts in licences.SIBLINGS.items() if licences.FAMILIES[at] in some for t in (re.findall(r"[^\W_]+", x.lower()) for x in ts)), default=0.0)
+        share = share if notices and share >= near else 0.0
+        probability = float(np.exp(z[at] - z.max()) / np.exp(z - z.max()).sum())
+        want[k] = (licences.FAMILIES[at] if share >= licences.CONFIRMED and probability >= licences.LEAST else "unknown", round(probability, 2), round(share, 6))
     out = licences.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), licence_model).collect()
     got = {r.doc_id: (r.family, round(r.probability, 2), round(r.similarity, 6)) for r in out}
     assert got.keys() == want.keys()

@@ -197,6 +197,23 @@ def search(starts: DataFrame, graph: DataFrame, codes: DataFrame, beam: int = BE
             return held.select("q", "v")
 
 
+def cosines(pairs: DataFrame, vectors: DataFrame, one: str, two: str) -> DataFrame:
+    """Pairs of vec_ids (columns one and two) and `score`, the cosine of their vectors in double precision."""
+    side = lambda c, vec: vectors.select(F.col("vec_id").alias(c), F.col("vec").alias(vec))
+    both = pairs.select(one, two).join(side(two, "b"), two).join(side(one, "a"), one).select(one, two, "a", "b")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                a, b = (matrix(batch.column(c)) for c in (2, 3))
+                scale = np.abs(a).max(1), np.abs(b).max(1)
+                a, b = a / scale[0][:, None], b / scale[1][:, None]  # no square over- or underflows
+                s = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], [one, two, "score"])
+
+    return both.mapInArrow(exact, f"{one} long, {two} long, score double")
+
+
 def nearest(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every` its k nearest other vectors by cosine, nearest first, ties to the smaller vec_id.
 
@@ -212,22 +229,13 @@ def nearest(rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     asked = codes.join(queries.select(F.col("rep").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("q"), "code")
     starts = asked.join(graph.withColumnRenamed("u", "q"), "q").select("q", "code", F.explode("near").alias("e")).select("q", "code", F.col("e.v").alias("v"))
     found = search(starts, graph, codes).unionByName(asked.select("q", F.col("q").alias("v")))
-    pairs = found.join(vectors.select(F.col("vec_id").alias("v"), F.col("vec").alias("v_vec")), "v").join(vectors.select(F.col("vec_id").alias("q"), F.col("vec").alias("q_vec")), "q").select("q", "v", "q_vec", "v_vec")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                a, b = (matrix(batch.column(c)) for c in (2, 3))
-                scale = np.abs(a).max(1), np.abs(b).max(1)
-                a, b = a / scale[0][:, None], b / scale[1][:, None]  # no square over- or underflows
-                s = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["q", "v", "score"])
-
-    scored = pairs.mapInArrow(exact, "q long, v long, score double")
+    scored = cosines(found, vectors, "q", "v")
     named = members.select(F.col("rep").alias("v"), "vec_id")
     # of a query's directions k + 1 are enough, as each holds a vector
     near = scored.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "v"))).where(F.col("rank") <= k + 1).drop("rank")
-    scored = near.join(named, "v").join(queries.withColumnRenamed("rep", "q"), "q").where(F.col("vec_id") != F.col("query_id"))
+    members_of = near.join(named, "v").join(queries.withColumnRenamed("rep", "q"), "q").where(F.col("vec_id") != F.col("query_id"))
+    # a direction's members differ by rounding: each pair that may come out is measured on its own vectors
+    scored = cosines(members_of, vectors, "query_id", "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

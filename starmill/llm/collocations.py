@@ -93,15 +93,15 @@ def merged_filters(rows: pd.DataFrame, packing: Packing, part: int, part_bits: i
     return counted(tuple(np.concatenate([k[i] for k, _ in some]) for i in (0, 1)), np.concatenate([c for _, c in some]))
 
 
-def finer(filters: DataFrame, bits: int, part_bits: int, next_bits: int) -> DataFrame:
-    """A round of merging: the filters of FAN shards of a part become one, which is split into parts of more bits. shard is then the number of the FAN."""
+def finer(filters: DataFrame, bits: int, part_bits: int, next_bits: int, groups: int) -> DataFrame:
+    """A round of merging: the shards fall into groups, of whose filters of a part one is made, which is split into parts of more bits. shard is then the group."""
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         packing = Packing(int(key[0]), bits)
         made = list(split(*merged_filters(rows, packing, int(key[1]), part_bits), packing, next_bits))
         return pd.DataFrame({"n": key[0], "part": [m[0] for m in made], "shard": key[2], "filter": [m[1] for m in made]})
 
-    return filters.groupBy("n", "part", F.floor(F.col("shard") / FAN).alias("shard")).applyInPandas(merge, "n int, part long, shard long, filter binary")
+    return filters.groupBy("n", "part", F.pmod(F.xxhash64("shard"), F.lit(groups)).alias("shard")).applyInPandas(merge, "n int, part long, shard long, filter binary")
 
 
 def frequent(filters: DataFrame, bits: int, part_bits: int, least: int) -> DataFrame:
@@ -138,9 +138,10 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_
     wanted = max(3, (total // part_words).bit_length())
     part_bits = min(wanted, round_bits)
     filters = shard_filters(coded, bits, part_bits)
+    groups = made.count() if part_bits < wanted else 0
     while part_bits < wanted:
-        after = min(wanted, part_bits + round_bits)
-        filters, part_bits = finer(filters, bits, part_bits, after), after
+        after, groups = min(wanted, part_bits + round_bits), -(-groups // FAN)
+        filters, part_bits = finer(filters, bits, part_bits, after, groups), after
     phrases = frequent(filters, bits, part_bits, least)
     return kept(phrases.unionByName(vocabulary.select(F.array("id").alias("ids"), "f")), "phrases"), vocabulary, totals
 

@@ -249,6 +249,18 @@ def test_first_common_band_is_by_hash(spark):
     assert [tuple(r) for r in minhash.across(df, 3).collect()] == [(1, 2)]
 
 
+def test_pairs_of_a_large_bucket(spark, monkeypatch):
+    """A text of a bucket of many blocks gives no pairs in each of them: less than CLOSEST per class and round."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    r, n = random.Random(5), 300
+    rows = [(105, 5, k, k, bytes(7 if r.random() < 0.9 else r.randrange(256) for _ in range(128)), list(range(32))) for k in range(n)]
+    rows = [(*x[:5], [-(32 * k + j) - 1 for j in range(5)] + x[5][5:]) for k, x in enumerate(rows)]
+    df = spark.createDataFrame(rows, "band long, place int, tag long, root long, signature binary, bands array<long>")
+    pairs = [tuple(x) for step in (1, 2) for x in minhash.across(df, 3, step).collect()]
+    assert 0 < len(pairs) < 2 * 3 * n and len({t for p in pairs for t in p}) == n
+    assert minhash.forests({(-9, 0, 1), (-8, 0, 2), (-7, 1, 2)}, [4, 5, 6], 1) == [(0, 1), (0, 2)] and len(minhash.forests({(-9, 0, 1), (-8, 0, 2), (-7, 1, 2)}, [4, 5, 6], 2)) == 3
+
+
 def test_signature_agreement():
     r = np.random.default_rng(2)
     a = r.integers(1, 1 << 62, 400).astype(np.uint64)

@@ -74,11 +74,12 @@ def let(value: Column, then) -> Column:  # noqa: ANN001
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def ngrams(line: Column) -> Column:
-    """Distinct buckets of the words and of the pairs of neighbours of a line, in lower case."""
+def ngrams(line: Column, telling: Column | None = None) -> Column:
+    """Distinct buckets of the words and of the pairs of neighbours of a line, in lower case; if `telling` is given, those where it holds 1 alone."""
+    some = (lambda grams: grams) if telling is None else (lambda grams: F.filter(grams, lambda b: F.get(telling, b) > 0))
     words = F.transform(F.regexp_extract_all(F.lower(line), F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w))
     pairs = lambda h: F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda w, i: F.xxhash64(F.get(h, i), w))
-    return let(words, lambda h: F.array_distinct(F.transform(F.concat(h, pairs(h)), lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))))
+    return let(words, lambda h: F.array_distinct(some(F.transform(F.concat(h, pairs(h)), lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")))))
 
 
 def triples(line: Column) -> Column:
@@ -150,11 +151,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray
     return weights * best, biases * best
 
 
-def runs_of_lines(text: Column, evidence, start: float) -> Column:  # noqa: ANN001
+def runs_of_lines(text: Column, grams, evidence, start: float) -> Column:  # noqa: ANN001
     """The parts of a text that may be a licence: arrays (paragraph: place of the first line, lines) of neighbouring lines with some evidence each, of one line with enough."""
-    lines = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line"), evidence(x).alias("e")))
+    lines = F.transform(F.split(text, "\n", -1), lambda x, i: let(grams(x), lambda g: F.struct(i.alias("at"), x.alias("line"), g.alias("grams"), evidence(g).alias("e"))))
     some = F.filter(lines, lambda x: x["e"] >= -start * PART - 1e-6)
-    none = F.array().cast("array<struct<paragraph:int,lines:array<struct<at:int,line:string,e:double>>>>")
+    none = F.array().cast("array<struct<paragraph:int,lines:array<struct<at:int,line:string,grams:array<int>,e:double>>>>")
 
     def add(runs: Column, x: Column) -> Column:
         last = F.get(runs, F.size(runs) - 1)
@@ -190,7 +191,8 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) ->
     them wrapped), else the run where it is confirmed and no line by itself is, else the lines. What the classifier takes
     for a licence is compared with its family's templates: the best share of a template's word triples that it holds. family is `unknown` where the
     classifier says so, where that share is below CONFIRMED or the probability below LEAST, or where of a licence nearby (SIBLINGS) the run holds a larger share than of the family. Before the families' logits comes their common bound: per
-    n-gram the largest weight of any family over that of `none`, so lines below it can't be a licence.
+    n-gram the largest weight of any family over that of `none`, so lines below it can't be a licence. n-grams that weigh nothing in any family are left out of all sums, and what has neither a line that the classifier takes for a licence nor, in
+    several lines, a triple of a template goes before anything else is worked out: none of its lines, pieces or itself could come.
 
     Null and empty texts have no paragraphs to find. Repeated rows are scanned each on its own; a null doc_id is kept. An empty table
     gives no rows. Other columns are not read.
@@ -198,17 +200,24 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) ->
     weights, biases = model or train(docs)
     weights, biases = np.round(weights, 3), np.round(biases, 3)
     bound, start = constant_array((weights[:-1] - weights[-1]).max(0), 3), float((biases[:-1] - biases[-1]).max())
-    found = docs.select("doc_id", runs_of_lines(F.col("text"), lambda line: F.aggregate(ngrams(line), F.lit(0.0), _adder(bound)), start).alias("runs"))
-    found = kept(found.select("doc_id", F.explode_outer("runs").alias("run")).where(F.col("run").isNotNull()).select("doc_id", "run.paragraph", F.transform("run.lines", lambda x: x["line"]).alias("lines")), "hits")
+    telling = constant_array(weights.any(0), 0)
+    grams_of = lambda line: ngrams(line, telling)
+    logits = lambda grams: F.array(*[F.aggregate(grams, F.lit(float(b)), _adder(constant_array(w, 3))) for w, b in zip(weights, biases, strict=True)])
+    found = docs.select("doc_id", runs_of_lines(F.col("text"), grams_of, lambda grams: F.aggregate(grams, F.lit(0.0), _adder(bound)), start).alias("runs"))
+    found = found.select("doc_id", F.explode_outer("runs").alias("run")).where(F.col("run").isNotNull())
+    found = kept(found.select("doc_id", "run.paragraph", F.transform("run.lines", lambda x: x["line"]).alias("lines"), F.transform("run.lines", lambda x: x["grams"]).alias("grams")), "hits")
     templates = rows(docs.sparkSession, [(f, t) for f, texts in [*NOTICES.items(), *[(f"near {f}", texts) for some, texts in SIBLINGS.items() for f in some]] for t in texts], ["family", "template"]).select("family", triples(F.col("template")).alias("wanted")).collect()
     of_family = F.create_map(*[c for f in dict.fromkeys(r["family"] for r in templates) for c in (F.lit(f), F.array(*[F.lit(r["wanted"]) for r in templates if r["family"] == f]))])
     names = F.array(*[F.lit(f) for f in FAMILIES])
 
+    # the first of the largest logits is the guess, and `none` comes last
+    guessed = F.exists("grams", lambda g: let(logits(g), lambda z: F.array_position(z, F.array_max(z)) < len(FAMILIES)))
+    of_any = F.array(*[F.lit(x) for x in sorted({x for r in templates for x in r["wanted"]})])
+    found = found.where(guessed | ((F.size("lines") > 1) & F.arrays_overlap(triples(F.array_join("lines", " ")), of_any)))
     found = found.withColumn("run", triples(F.array_join("lines", " ")))
 
     def judged(text: Column, at: Column, n_lines: Column, family: Column | None = None) -> Column:
         """The classifier's guess and its probability, and how near the text is to templates of `family` (the guess by default); 0 where its run is nearer to a licence nearby."""
-        logits = lambda grams: F.array(*[F.aggregate(grams, F.lit(float(b)), _adder(constant_array(w, 3))) for w, b in zip(weights, biases, strict=True)])
         share = lambda own, name: F.array_max(F.transform(F.element_at(of_family, name), lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))
         other = lambda name: F.coalesce(share(F.col("run"), F.concat(F.lit("near "), name)), F.lit(0.0))
         near = lambda name: F.when(other(name) > share(F.col("run"), name), 0.0).otherwise(let(triples(text), lambda own: share(own, name)))
@@ -221,7 +230,7 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) ->
             probability = F.exp(of - top) / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
             return F.struct(at.cast("long").alias("paragraph"), n_lines.cast("long").alias("n_lines"), wanted.alias("guess"), probability.alias("probability"), F.when(~wanted.isin(NONE, UNKNOWN), near(wanted)).otherwise(0.0).alias("similarity"))
 
-        return let(let(ngrams(text), logits), told)
+        return let(let(grams_of(text), logits), told)
 
     kind = "array<struct<paragraph:bigint,n_lines:bigint,guess:string,probability:double,similarity:double>>"
     many, nothing = F.size("lines") > 1, F.array().cast(kind)
@@ -229,7 +238,7 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) ->
     found = found.select("*", one.alias("one"), F.when(many, F.array(judged(F.array_join("lines", " "), F.col("paragraph"), F.size("lines")))).otherwise(nothing).alias("whole"))
 
     over = [constant_array(w - weights[-1], 3) for w in weights[:-1]]
-    scores = F.transform("lines", lambda x, i: F.struct(i.alias("at"), let(ngrams(x), lambda grams: F.array(*[F.aggregate(grams, F.lit(0.0), _adder(w)) for w in over])).alias("of")))
+    scores = F.transform("lines", lambda x, i: F.struct(i.alias("at"), let(grams_of(x), lambda grams: F.array(*[F.aggregate(grams, F.lit(0.0), _adder(w)) for w in over])).alias("of")))
     pieces = segments(F.col("scores"), len(over), max(-start, 1.0))
 
     def span(piece: Column) -> Column:

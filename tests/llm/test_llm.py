@@ -546,6 +546,18 @@ def test_segments(spark):
         assert np.isclose(cost(way), max(cost(w) for w in product(range(3), repeat=len(scores))))
 
 
+def test_sums_over_telling_ngrams_alone(spark, licence_model, monkeypatch):
+    """Lines keep the n-grams that weigh something in some family, once each, and no others."""
+    hits, kept = [], licences.kept
+    monkeypatch.setattr(licences, "kept", lambda df, name: hits.append(kept(df, name)) or hits[-1])
+    lines = ["Licensed under the MIT License, thereof thereof words of no licence at all", "Released under the MIT License."]
+    assert {r.family for r in licences.scan(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), licence_model).collect()} >= {"mit"}
+    some = set(np.flatnonzero(np.round(licence_model[0], 3).any(0)).tolist())
+    all_grams = {r.line: r.grams for r in spark.createDataFrame([(x,) for x in lines], "line string").select("line", licences.ngrams(F.col("line")).alias("grams")).collect()}
+    got = {x: g for r in hits[0].collect() for x, g in zip(r.lines, r.grams, strict=True)}
+    assert got and got == {x: [b for b in all_grams[x] if b in some] for x in got} and any(len(got[x]) < len(all_grams[x]) for x in got)
+
+
 def test_neighbouring_and_near_licences(spark, licence_model):
     """Wrapped notices one above the other are both found; licences near a family are not taken for it."""
     wrapped = lambda t: "\n".join(textwrap.wrap(t, 60))

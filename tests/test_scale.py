@@ -264,3 +264,67 @@ def test_parts_merge_as_they_come(spark, tmp_path):
         g = got[w.star_id]
         assert g.best_gridsub_tag == w.best_gridsub_tag
         assert np.allclose([g.pmax, g.chi2min, g.total_log_norm, *[g[f"{p}_{e}"] for p in PARAMS for e in ("best", "exp")]], [w.pmax, w.chi2min, w.total_log_norm, *[w[f"{p}_{e}"] for p in PARAMS for e in ("best", "exp")]], rtol=1e-9)
+
+
+def repeated(stars):
+    """Stars of which each has two more of its fluxes, besides two without a number."""
+    more = stars.withColumn("star_id", F.explode(F.array("star_id", F.col("star_id") + 10_000, F.col("star_id") + 20_000)))
+    return more.unionByName(stars.limit(2).withColumns({"star_id": F.col("star_id") + 10**6, "f0": F.lit(1.0), "f1": F.lit(None).cast("double"), "f2": F.lit(1.0)}))
+
+
+@pytest.mark.parametrize("to_all", [100_000, 1])
+def test_stars_alike_are_fitted_once(spark, monkeypatch, to_all):
+    monkeypatch.setattr(fit, "STAR_BLOCK", 3)
+    monkeypatch.setattr(fit, "MODEL_BLOCK", 32)
+    monkeypatch.setattr(fit, "BROADCAST_STARS", to_all)
+    monkeypatch.setattr(fit, "BROADCAST_ALIKE", to_all)
+    stars, models = grid(spark, 2, 0.4)
+    some, models = repeated(stars), models.cache()
+    s, m, c2, lnp, likely = by_hand(stars, models, -2000.0)
+    one = fit.StarFit(some, models, PARAMS, -2000.0)
+    assert one.alike.counts == {"stars": 3 * len(s) + 2, "leaders": len(s) + 1}
+    pairs = one.pairs(one.star_blocks(one.maxima), one.threshold).select(F.explode("s_id").alias("star_id"))
+    assert {r.star_id for r in pairs.distinct().collect()} == set(s.star_id)  # the others meet no model
+    at = {k + int(i): n for n, i in enumerate(s.star_id) for k in (0, 10_000, 20_000)}
+    for got in (one.stats(), one.ranges()):
+        rows = {r.star_id: r for r in got.collect()}
+        assert rows.keys() == at.keys() and len(rows) == got.count()
+        for i, n in at.items():
+            r = rows[i].asDict()
+            assert r.get("n", r.get("n_sparse")) == likely[n].sum() and np.isclose(r.get("mx", r.get("pmax")), lnp[n].max())
+            assert np.isclose(r.get("chi2", r.get("chi2min")), c2[n][likely[n]].min()) and np.isclose(r.get("low", lnp[n][likely[n]].min()), lnp[n][likely[n]].min())
+    assert {(r.star_id, r.model_id) for r in one.likely().collect()} == {(i, int(m.model_id[j])) for i, n in at.items() for j in np.flatnonzero(likely[n])}
+    sizes = {i: likely[n].sum() for i, n in at.items()}
+    specs = fit.bin_specs(models, PARAMS)
+    assert all(np.isclose(r.p, 3) for r in one.pdf1d(specs).groupBy("star_id").agg(F.sum("p").alias("p")).collect()) and one.pdf1d(specs).select("star_id").distinct().count() == len(at)
+    for most in (3, 10**6):
+        rows = one.sample(most).collect()
+        assert {i: sum(r.star_id == i for r in rows) for i in at} == {i: min(most, n) for i, n in sizes.items()}
+        assert len({(r.star_id, r.model_id) for r in rows}) == len(rows) and all(likely[at[r.star_id], m.model_id.tolist().index(r.model_id)] for r in rows)
+        if most == 3:
+            assert sorted(rows) == sorted(one.sample(most).collect()) != sorted(one.sample(most, 2).collect())
+    one.release()
+
+
+def test_stars_of_one_id_are_one(spark):
+    """An id that stands twice keeps both its rows, so nothing is taken as alike."""
+    stars, models = grid(spark)
+    both = stars.unionByName(stars.limit(2))
+    alike = fit.Alike(both)
+    assert alike.counts["leaders"] == both.count() and alike.leaders.count() == both.count()
+    want = {r.star_id: r.n for r in fit.stars_to_models(both.select("star_id", "f0", "f1", "f2"), fit.prepare(models, PARAMS), PARAMS).groupBy("star_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {r.star_id: r.n for r in alike.of_all(fit.stars_to_models(alike.leaders, fit.prepare(models, PARAMS), PARAMS).groupBy("star_id").agg(F.count(F.lit(1)).alias("n"))).collect()} == want
+
+
+def test_ranges_are_those_of_the_rows(spark):
+    stars, models = grid(spark, 2)
+    rows = fit.StarFit(stars, models, PARAMS).likely()
+    found = {r.star_id: r for r in fit.StarFit(stars, models, PARAMS).ranges().collect()}
+    low = {r.star_id: r.lnp for r in fit.shifted(rows, per_star=True).groupBy("star_id").agg(F.min("lnp").alias("lnp")).collect()}
+    assert found and all(np.isclose(r.low - r.mx, low[i]) for i, r in found.items())
+    merged = {r.star_id: r["count"] for r in merge.merge_lnp(rows.select("star_id", "model_id", "lnp"), -5.0).groupBy("star_id").count().collect()}
+    assert {r.star_id: r.n for r in fit.StarFit(stars, models, threshold=-5.0).ranges().collect()} == merged
+    sizes = {r.star_id: r["count"] for r in fit.lnp_sample(rows, 20).groupBy("star_id").count().collect()}
+    assert {r.star_id: r["count"] for r in fit.StarFit(stars, models, PARAMS).sample(20).groupBy("star_id").count().collect()} == sizes
+    joined = {(r.star_id, r.model_id): r.z for r in fit.lnp_grid_vals(rows.select("star_id", "model_id", "lnp"), models, ["z"]).collect()}
+    assert {(r.star_id, r.model_id): r.z for r in fit.StarFit(stars, models, ["z"]).likely().collect()} == joined

@@ -203,14 +203,29 @@ def regions_of(points: DataFrame, regions: DataFrame, cell: float, x: str = "ra"
 
     regions: region_id and corners, an array of (x, y) of a simple polygon, convex or not, in either direction; regions may overlap. A polygon goes to the cells (`cell` wide) that its box covers, a point to
     its own, and they meet there; so a table of regions may have any number of rows. Inside is where a ray to larger x crosses an odd number of sides. Points without a place are in none.
+    Where places have two points or more on average (counted first), each place is looked up once. Only points inside a polygon's box meet its sides.
     """
+    session = points.sparkSession
+    tasks = 4 * max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    counts = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(x, y)).alias("places")).first()
+    if counts.n >= 2 * max(counts.places, 1):
+        at = [F.col(x).alias("x_of_place"), F.col(y).alias("y_of_place")]
+        found = regions_of(points.select(*at).distinct(), regions, cell, "x_of_place", "y_of_place", ("x_of_place", "y_of_place"))
+        sides = [df.repartition(tasks, "x_of_place", "y_of_place") for df in (points.select(*keep, *at), found)]
+        return sides[0].join(sides[1], ["x_of_place", "y_of_place"]).select(*keep, "region_id")
     sides = F.expr("transform(corners, (p, i) -> struct(p.x AS x1, p.y AS y1, corners[(i + 1) % size(corners)].x AS x2, corners[(i + 1) % size(corners)].y AS y2))")
-    box = regions.select("region_id", sides.alias("sides"), *[F.expr(f"CAST(floor({f}(transform(corners, p -> p.{c})) / {cell!r}D) AS BIGINT)").alias(f"{f}_{c}") for c in "xy" for f in ("array_min", "array_max")])
-    cover = box.select("region_id", "sides", F.explode(F.sequence("array_min_x", "array_max_x")).alias("cell_x"), "array_min_y", "array_max_y")
-    cover = cover.select("region_id", "sides", "cell_x", F.explode(F.sequence("array_min_y", "array_max_y")).alias("cell_y"))
+    ends = ["lo_x", "hi_x", "lo_y", "hi_y"]
+    around = [F.expr(f"{f}(transform(corners, p -> CAST(p.{c} AS DOUBLE))) AS {n}_{c}") for c in "xy" for n, f in (("lo", "array_min"), ("hi", "array_max"))]
+    box = regions.select("region_id", sides.alias("sides"), *around, *[F.expr(f"CAST(floor({f}(transform(corners, p -> p.{c})) / {cell!r}D) AS BIGINT)").alias(f"{f}_{c}") for c in "xy" for f in ("array_min", "array_max")])
+    cover = box.select("region_id", "sides", *ends, F.explode(F.sequence("array_min_x", "array_max_x")).alias("cell_x"), "array_min_y", "array_max_y")
+    cover = cover.select("region_id", "sides", *ends, "cell_x", F.explode(F.sequence("array_min_y", "array_max_y")).alias("cell_y"))
     placed = points.select(*keep, F.col(x).alias("at_x"), F.col(y).alias("at_y"), *[F.floor(F.col(c) / cell).alias(f"cell_{n}") for c, n in ((x, "x"), (y, "y"))])
     crossed = F.expr("size(filter(sides, s -> (s.y1 > at_y) <> (s.y2 > at_y) AND at_x < (s.x2 - s.x1) * (at_y - s.y1) / (s.y2 - s.y1) + s.x1)) % 2 = 1")
-    return placed.join(cover, ["cell_x", "cell_y"]).where(crossed).select(*keep, "region_id")
+    # a little room, as the crossings are rounded
+    near = F.expr("at_y >= lo_y AND at_y <= hi_y AND at_x >= lo_x - 1e-9D * (1 + abs(lo_x)) AND at_x <= hi_x + 1e-9D * (1 + abs(hi_x))")
+    # few bytes meet for much work, so the number of tasks isn't left to their size
+    placed, cover = (df.repartition(tasks, "cell_x", "cell_y") for df in (placed, cover))
+    return placed.join(cover, ["cell_x", "cell_y"]).where(near).where(crossed).select(*keep, "region_id")
 
 
 def bin_by_width(tiles: DataFrame, width: float) -> DataFrame:

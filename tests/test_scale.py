@@ -349,3 +349,19 @@ def test_quadrants_by_blocks(spark, monkeypatch, block):
     assert {k: d for k, (_, d) in got.items() if k[0] == 900} == {(900, 0, 0): None, (900, 0, 1): None}
     plan = grids.quadrant_nodes(p_df, spark.createDataFrame(nodes, "n long, log_t double, log_g double"), "p", "n")._jdf.queryExecution().toString()
     assert "SortAggregate" not in plan  # no row per pair of point and node is sorted
+
+
+def test_regions_by_place(spark):
+    r = np.random.default_rng(5)
+    places = [(float(a), float(b)) for a, b in r.uniform(0, 1, (30, 2))]
+    corner = lambda cx, cy, k: (cx + 0.2 * (1 if k % 2 else 0.45) * np.cos(np.pi * k / 5), cy + 0.2 * (1 if k % 2 else 0.45) * np.sin(np.pi * k / 5))
+    shapes = [(i, [tuple(map(float, corner(*c, k))) for k in range(10)]) for i, c in enumerate(r.uniform(0, 1, (25, 2)))]
+    regions = spark.createDataFrame(shapes, "region_id long, corners array<struct<x:double,y:double>>")
+    once = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "star_id long, ra double, decl double")
+    more = spark.createDataFrame([(i, *places[i % 30]) for i in range(90)] + [(99, None, 0.5)], "star_id long, ra double, decl double")
+    some = lambda df: {(x.star_id, x.region_id) for x in sky.regions_of(df, regions, 0.05).collect()}
+    want = {(i, k) for i, (x, y) in enumerate(places) for k, c in shapes if sum((y0 > y) != (y1 > y) and x < (x1 - x0) * (y - y0) / (y1 - y0) + x0 for (x0, y0), (x1, y1) in zip(c, c[1:] + c[:1], strict=True)) % 2}
+    assert some(once) == want and len(want) > 20
+    assert some(more) == {(i + 30 * n, k) for i, k in want for n in range(3)}
+    plan = sky.regions_of(more, regions, 0.05)._jdf.queryExecution().toString()
+    assert "x_of_place" in plan and "x_of_place" not in sky.regions_of(once, regions, 0.05)._jdf.queryExecution().toString()

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starmill.functions.columns import digitize, sphdist
+from starmill.operators.fit import Alike
 from starmill.operators.percentiles import grouped_percentiles
 from starmill.operators.tables import row_ids
 
@@ -41,12 +42,27 @@ def cells(df: DataFrame, size: float, ra: str, dec: str, around: bool) -> DataFr
     return rows.withColumn("cell", F.explode(F.array_distinct(F.array(*[F.pmod((at + k).cast("long"), n.cast("long")) for k in (-1, 0, 1)]))))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, r: float, left_id: str, right_id: str, ra: str = "ra", dec: str = "decl", keep: Sequence[str] = ()) -> DataFrame:
-    """left_id, right_id, separation (and columns `keep` of the right side) of all pairs less than r degrees apart: an equi-join on sky cells."""
-    a = cells(left.select(F.col(left_id).alias("left_id"), F.col(ra).alias("a_ra"), F.col(dec).alias("a_dec")), r, "a_ra", "a_dec", True)
+def pairs_within(left: DataFrame, right: DataFrame, r: float, left_id: str, right_id: str, ra: str = "ra", dec: str = "decl", keep: Sequence[str] = (), own: Sequence[str] = ()) -> DataFrame:
+    """left_id, right_id, separation (and columns `keep` of the right side, `own` of the left one) of all pairs less than r degrees apart: an equi-join on sky cells."""
+    a = cells(left.select(F.col(left_id).alias("left_id"), F.col(ra).alias("a_ra"), F.col(dec).alias("a_dec"), *own), r, "a_ra", "a_dec", True)
     b = cells(right.select(F.col(right_id).alias("right_id"), F.col(ra).alias("b_ra"), F.col(dec).alias("b_dec"), *keep), r, "b_ra", "b_dec", False)
     both = a.join(b, ["band", "cell"]).withColumn("separation", sphdist(F.col("a_ra"), F.col("a_dec"), F.col("b_ra"), F.col("b_dec")))
-    return both.where(F.col("separation") < r).select("left_id", "right_id", "separation", *keep)
+    return both.where(F.col("separation") < r).select("left_id", "right_id", "separation", *keep, *own)
+
+
+def best_within(left: DataFrame, right: DataFrame, r: float, left_id: str, right_id: str, ra: str, dec: str, order: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """left_id, right_id, separation and keep of the pair of least `order` (of the separation and keep) of each left row that has one, the smaller right_id on ties.
+
+    Left rows of one place are matched once, and of right rows of one place (and keep) the smallest id stands for all. A first pass over the pairs finds each row's least order, by
+    a number that a hash aggregate holds; a second one takes the pairs that have it. So no pairs are sorted, and none go to disk.
+    """
+    alike = Alike(left.select(F.col(left_id).alias("star_id"), F.col(ra).alias("ra"), F.col(dec).alias("decl")), ("ra", "decl"))
+    there = right.groupBy(F.col(ra).alias("ra"), F.col(dec).alias("decl"), *keep).agg(F.min(right_id).alias("right_id"))
+    least = pairs_within(alike.leaders, there, r, "star_id", "right_id", keep=keep).groupBy("left_id").agg(F.min(order).alias("least"))
+    again = alike.leaders.join(least.withColumnRenamed("left_id", "star_id"), "star_id")
+    best = pairs_within(again, there, r, "star_id", "right_id", keep=keep, own=["least"]).where(order == F.col("least"))
+    best = best.groupBy(F.col("left_id").alias("star_id")).agg(F.min(F.struct("right_id", "separation", *keep)).alias("n"))
+    return alike.of_all(best).select(F.col("star_id").alias("left_id"), "n.*")
 
 
 def nearest_match(left: DataFrame, right: DataFrame, r: float, left_id: str, right_id: str, ra: str = "ra", dec: str = "decl") -> DataFrame:
@@ -56,9 +72,12 @@ def nearest_match(left: DataFrame, right: DataFrame, r: float, left_id: str, rig
 
 
 def brightest_within(left: DataFrame, right: DataFrame, r: float, left_id: str, right_id: str, flux: str, ra: str = "ra", dec: str = "decl") -> DataFrame:
-    """The brightest row of the right side less than r degrees away (the smaller id on ties); null where there is none."""
-    best = pairs_within(left, right, r, left_id, right_id, ra, dec, [flux]).groupBy("left_id").agg(F.min(F.struct((-F.col(flux)).alias("faint"), "right_id", "separation")).alias("n"))
-    return left.select(F.col(left_id).alias("left_id")).join(best, "left_id", "left").select("left_id", F.col("n.right_id").alias("right_id"), (-F.col("n.faint")).alias("flux"), F.col("n.separation").alias("separation"))
+    """The brightest row of the right side less than r degrees away (the smaller id on ties); null where there is none. Rows without a flux take no part."""
+    lit = right.select(right_id, ra, dec, F.col(flux).alias("flux")).where("flux IS NOT NULL")
+    # of one place only the brightest can be it
+    lit = lit.join(lit.groupBy(ra, dec).agg(F.max("flux").alias("flux")), [ra, dec, "flux"], "left_semi")
+    best = best_within(left, lit, r, left_id, right_id, ra, dec, -F.col("flux"), ["flux"])
+    return left.select(F.col(left_id).alias("left_id")).join(best, "left_id", "left").select("left_id", "right_id", "flux", "separation")
 
 
 def tile_index(x: Column, edges: Sequence[float]) -> Column:

@@ -67,8 +67,8 @@ def best_within(left: DataFrame, right: DataFrame, r: float, left_id: str, right
 
 def nearest_match(left: DataFrame, right: DataFrame, r: float, left_id: str, right_id: str, ra: str = "ra", dec: str = "decl") -> DataFrame:
     """The nearest row of the right side within r degrees (the smaller id on ties); null where there is none."""
-    near = pairs_within(left, right, r, left_id, right_id, ra, dec).groupBy("left_id").agg(F.min(F.struct("separation", "right_id")).alias("n"))
-    return left.select(F.col(left_id).alias("left_id")).join(near, "left_id", "left").select("left_id", F.col("n.right_id").alias("right_id"), F.col("n.separation").alias("separation"))
+    near = best_within(left, right, r, left_id, right_id, ra, dec, F.col("separation"))
+    return left.select(F.col(left_id).alias("left_id")).join(near, "left_id", "left").select("left_id", "right_id", "separation")
 
 
 def brightest_within(left: DataFrame, right: DataFrame, r: float, left_id: str, right_id: str, flux: str, ra: str = "ra", dec: str = "decl") -> DataFrame:
@@ -283,9 +283,8 @@ def first_in_order(df: DataFrame, by: Sequence[str], order: Sequence[Column]) ->
 
 def nearest_rounded(left: DataFrame, right: DataFrame, r: float, digits: int = 9) -> DataFrame:
     """nearest_match() of star_id with separations that differ by less than a rounding step taken as ties."""
-    near = pairs_within(left, right, r, "star_id", "star_id").withColumn("separation", F.round("separation", digits))
-    best = near.groupBy("left_id").agg(F.min(F.struct("separation", "right_id")).alias("n"))
-    return left.select(F.col("star_id").alias("left_id")).join(best, "left_id", "left").select("left_id", F.col("n.right_id").alias("right_id"), F.col("n.separation").alias("separation"))
+    best = best_within(left, right, r, "star_id", "star_id", "ra", "decl", F.round("separation", digits))
+    return left.select(F.col("star_id").alias("left_id")).join(best, "left_id", "left").select("left_id", "right_id", F.round("separation", digits).alias("separation"))
 
 
 def inside_box(df: DataFrame, margin_ra: float, margin_dec: float, ra: str = "ra", dec: str = "decl") -> DataFrame:

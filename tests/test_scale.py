@@ -351,6 +351,29 @@ def test_quadrants_by_blocks(spark, monkeypatch, block):
     assert "SortAggregate" not in plan  # no row per pair of point and node is sorted
 
 
+@pytest.mark.parametrize("digits", [9, 2])
+def test_matches_sort_no_pairs(spark, digits):
+    r = np.random.default_rng(3)
+    place = lambda n: [(float(80 + a / 100), float(-60 + b / 100)) for a, b in r.integers(0, 9, (n, 2))]
+    left = spark.createDataFrame([(i, *p) for i, p in enumerate(place(60))] + [(500, None, 1.0), (501, 10.0, 10.0)], "star_id long, ra double, decl double")
+    flux = [float(x) for x in r.integers(0, 4, 90)]
+    right = spark.createDataFrame([(1000 + i, *p, flux[i] if i % 7 else None) for i, p in enumerate(place(90))], "star_id long, ra double, decl double, flux double")
+    pairs = sky.pairs_within(left, right, 0.02, "star_id", "star_id", keep=["flux"]).toPandas()
+    near, bright = sky.nearest_rounded(left, right, 0.02, digits), sky.brightest_within(left, right, 0.02, "star_id", "star_id", "flux")
+    for got, order in ((near, lambda p: (round(p.separation, digits), p.right_id)), (bright, lambda p: (-p.flux, p.right_id))):
+        want = {}
+        for p in pairs.itertuples():
+            if order is None or got is near or p.flux == p.flux:
+                want[p.left_id] = min(want.get(p.left_id, order(p)), order(p))
+        rows = {x.left_id: x for x in got.collect()}
+        assert len(rows) == 62 == got.count() and rows[500].right_id is None and rows[501].right_id is None
+        for i in range(60):
+            assert rows[i].right_id == (want[i][1] if i in want else None)
+            assert i not in want or np.isclose(rows[i].separation if got is near else -rows[i].flux, want[i][0])
+    first = sky.best_within(left, right, 0.02, "star_id", "star_id", "ra", "decl", F.col("separation"))._jdf.queryExecution().toString()
+    assert "max(struct" not in first and "min(separation" in first  # a number, which a hash aggregate holds
+
+
 def test_regions_by_place(spark):
     r = np.random.default_rng(5)
     places = [(float(a), float(b)) for a, b in r.uniform(0, 1, (30, 2))]

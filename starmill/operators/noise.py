@@ -59,12 +59,17 @@ def interp_join(rows: DataFrame, x: str, knots: DataFrame, at: str, values: Sequ
 
 
 def toothpick_noise(models: DataFrame, knots: DataFrame, flux: str, absflux: float = 0.0) -> DataFrame:
-    """model_id, bias, error, completeness of one band: knots at each model's flux, constant beyond; error has the calibration term in squares and is negative where completeness is 0."""
+    """model_id, bias, error, completeness and rel_error (of the flux) of one band: knots at each model's flux, constant beyond; errors have the calibration term in squares and are negative where completeness is 0.
+
+    The knots (a row per bin) are worked out once. A relative error doesn't depend on the flux, so it holds where that, or its square, is too small for a number.
+    """
+    knots = knots.sparkSession.createDataFrame(knots.collect(), knots.schema)  # as few as bins
     ends = {v: (F.min_by(v, "flux_in"), F.max_by(v, "flux_in")) for v in ("bias", "sigma", "compl")}
     edge = knots.agg(*[c.alias(f"{v}_{k}") for v, cs in ends.items() for k, c in enumerate(cs)]).first()
     near = interp_join(models.select("model_id", F.col(flux).alias("flux")), "flux", knots, "flux_in", ["bias", "sigma", "compl"], {v: (edge[f"{v}_0"], edge[f"{v}_1"]) if v != "compl" else (0.0, edge["compl_1"]) for v in ends})
-    error = F.sqrt(F.pow(F.col("sigma") * F.col("flux"), 2) + F.pow(absflux * F.col("flux"), 2))
-    return near.select("model_id", (F.col("bias") * F.col("flux")).alias("bias"), F.when(F.col("compl") <= 0, -error).otherwise(error).alias("error"), F.col("compl").alias("completeness"))
+    rel = F.sqrt(F.pow("sigma", 2) + absflux**2)
+    rel = F.when(F.col("compl") <= 0, -rel).otherwise(rel)
+    return near.select("model_id", (F.col("bias") * F.col("flux")).alias("bias"), (rel * F.abs("flux")).alias("error"), F.col("compl").alias("completeness"), rel.alias("rel_error"))
 
 
 def splinter_noise(models: DataFrame, fluxes: Sequence[str], fraction: float, absflux: float = 0.0) -> DataFrame:
@@ -184,7 +189,7 @@ def register(name: str) -> Callable:
 @register("toothpick")
 def toothpick(models: DataFrame, asts: DataFrame, flux: str, absflux: float = 0.0, **how: object) -> DataFrame:
     """A band's noise from bins of artificial-star tests."""
-    return toothpick_noise(models, toothpick_bins(asts, **how), flux, absflux)
+    return toothpick_noise(models, toothpick_bins(asts, **how), flux, absflux).drop("rel_error")
 
 
 @register("splinter")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starmill.operators import fit, grids, merge, percentiles, samples, sky, tables
+from starmill.operators import fit, grids, merge, noise, percentiles, samples, sky, tables
 from starmill.plans.fixtures import view
 
 SF = "/root/testdata/sf0.001"
@@ -388,3 +388,15 @@ def test_regions_by_place(spark):
     assert some(more) == {(i + 30 * n, k) for i, k in want for n in range(3)}
     plan = sky.regions_of(more, regions, 0.05)._jdf.queryExecution().toString()
     assert "x_of_place" in plan and "x_of_place" not in sky.regions_of(once, regions, 0.05)._jdf.queryExecution().toString()
+
+
+def test_noise_of_fluxes_too_small_for_a_number(spark):
+    """Copies of the grid have fluxes of 0, and such whose squares are 0: their relative error is that of the faintest bin."""
+    knots = spark.createDataFrame([(0, 30, 1e-10, 0.5, 0.1, 0.3), (1, 30, 1e-9, 1.0, 0.0, 0.1)], "bin int, n long, flux_in double, compl double, bias double, sigma double")
+    models = spark.createDataFrame([(1, 0.0), (2, 1e-200), (3, 1e-10), (4, 1e-9), (5, 5.0)], "model_id long, flux double")
+    got = {r.model_id: r for r in noise.toothpick_noise(models, knots, "flux", 0.4).collect()}
+    faint, bright = 0.5, (0.1**2 + 0.4**2) ** 0.5
+    assert [round(got[i].rel_error, 12) for i in (1, 2, 3, 4, 5)] == [round(x, 12) for x in (-faint, -faint, faint, bright, bright)]
+    assert got[1].error == 0 and np.isclose(got[2].error / 1e-200, -faint) and np.isclose(got[5].error, 5 * bright) and got[1].completeness == 0
+    none = noise.toothpick_noise(models, knots.where("n < 0"), "flux").collect()
+    assert len(none) == 5 and all(r.error is None for r in none)

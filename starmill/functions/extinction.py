@@ -34,8 +34,8 @@ def poly(x: Column, c: tuple[float, ...]) -> Column:
 
 
 @register("ccm89")
-def ccm89(wave: Column, rv: Column | float) -> Column:
-    """From 0.3 to 10 inverse microns; null beyond."""
+def ccm89(wave: Column, rv: Column | float, beyond: bool = False) -> Column:
+    """From 0.3 to 10 inverse microns; null beyond, or carried on by the formulas at the ends."""
     x, rv = 1e4 / wave, F.lit(rv) if not isinstance(rv, Column) else rv
     infrared = 0.574 * F.pow(x, 1.61) - 0.527 * F.pow(x, 1.61) / rv
     y = x - 1.82
@@ -45,7 +45,8 @@ def ccm89(wave: Column, rv: Column | float) -> Column:
     f_b = F.when(x >= 5.9, 0.2130 * d * d + 0.1207 * d * d * d).otherwise(0.0)
     uv = 1.752 - 0.316 * x - 0.104 / (F.pow(x - 4.67, 2) + 0.341) + f_a + (-3.090 + 1.825 * x + 1.206 / (F.pow(x - 4.62, 2) + 0.263) + f_b) / rv
     far = poly(x - 8, FUV_A) + poly(x - 8, FUV_B) / rv
-    return F.when((x >= 0.3) & (x < 1.1), infrared).when((x >= 1.1) & (x < 3.3), optical).when((x >= 3.3) & (x < 8), uv).when((x >= 8) & (x <= 10), far)
+    low, high = (F.lit(True), F.lit(True)) if beyond else (x >= 0.3, x <= 10)
+    return F.when(low & (x < 1.1), infrared).when((x >= 1.1) & (x < 3.3), optical).when((x >= 3.3) & (x < 8), uv).when((x >= 8) & high, far)
 
 
 @register("fm_uv")

@@ -400,3 +400,19 @@ def test_noise_of_fluxes_too_small_for_a_number(spark):
     assert got[1].error == 0 and np.isclose(got[2].error / 1e-200, -faint) and np.isclose(got[5].error, 5 * bright) and got[1].completeness == 0
     none = noise.toothpick_noise(models, knots.where("n < 0"), "flux").collect()
     assert len(none) == 5 and all(r.error is None for r in none)
+
+
+def test_ccm89_beyond_its_range(spark, tmp_path):
+    """Tables of many parts reach wavelengths where the law ends; the query's SQL carries it on."""
+    import duckdb
+
+    from starmill.functions.extinction import LAWS
+    from starmill.plans.catalogue import ORACLES, QUERIES
+
+    spark.range(5).selectExpr("id * 60000 AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["m18_ccm89"](spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.sql(ORACLES["m18_ccm89"]).fetchall()) and all(a is not None for _, a in got)
+    ends = spark.createDataFrame([(500.0,), (5000.0,), (50000.0,)], "w double").select("w", LAWS["ccm89"](F.col("w"), 3.1).alias("a"), LAWS["ccm89"](F.col("w"), 3.1, beyond=True).alias("b")).orderBy("w").collect()
+    assert [r.a is None for r in ends] == [True, False, True] and ends[1].a == ends[1].b and all(r.b is not None for r in ends)

@@ -14,8 +14,8 @@ from starmill.operators.covariances import trunchen_noise
 from starmill.operators.fit import MODEL_BLOCK, in_blocks, morton
 from starmill.operators.percentiles import grouped_percentiles
 
-#: Nodes that go to every executor at most, and nodes of a block.
-BROADCAST_NODES, NODE_BLOCK = 100_000, 64
+#: Nodes that go to every executor at most, nodes of a block, and models that look for their nearest together.
+BROADCAST_NODES, NODE_BLOCK, LEAF = 100_000, 64, 32
 
 
 def toothpick_bins(asts: DataFrame, by: Sequence[str] = (), bins: int = 50, ratio: float = 2.0, least: int = 10, robust: bool = True) -> DataFrame:
@@ -96,22 +96,49 @@ def ast_covariance(asts: DataFrame, key: str, inputs: Sequence[str], outputs: Se
     return agg.where(F.col("found") > least).withColumn("compl", F.col("found") / F.col("n")).withColumns(corr)
 
 
+def leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
+    """Row numbers of up to `size` neighbours each: halves along the widest side."""
+    todo, out = [np.arange(len(points))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        wide = points[at, np.ptp(points[at], axis=0).argmax()]
+        order = at[np.argpartition(wide, len(at) // 2)]
+        todo += [order[: len(at) // 2], order[len(at) // 2 :]]
+    return out
+
+
+def first_nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k least distances of each row, the first columns on ties."""
+    limit = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    less, same = d < limit, d == limit
+    taken = less | same & (np.cumsum(same, axis=1) <= k - less.sum(1, keepdims=True))
+    at, clear = np.empty((len(d), k), np.int64), taken.sum(1) == k
+    at[clear] = np.nonzero(taken[clear])[1].reshape(-1, k)
+    at[~clear] = np.argsort(d[~clear], axis=1, kind="stable")[:, :k]  # distances that are no numbers
+    return at
+
+
 def knn_blend(models: DataFrame, nodes: DataFrame, fluxes: Sequence[str], values: Sequence[str], k: int = 10, keep: Sequence[str] = ()) -> DataFrame:
     """model_id, each value blended over the k nearest nodes in log10 flux by 1 / max(distance, 0.01) (the smaller node_id on ties), and the model's own columns in keep.
 
     Models and nodes (the distinct inputs of the tests) lie in blocks along a Z-curve. From the boxes of the nodes' blocks follows how far the k nearest of any model of a block can be,
-    and only blocks of nodes that come as near as that meet it. Up to BROADCAST_NODES nodes (counted first) go to every executor; of more each
+    and only blocks of nodes that come as near as that meet it. Inside the task, leaves of a few models look for theirs in the same way. Up to BROADCAST_NODES nodes (counted first) go to every executor; of more each
     model gets its nearest from every part of them, and the nearest of those.
     """
     dims, n = [f"l_{i}" for i in range(len(fluxes))], len(values)
     model = models.selectExpr("model_id AS id", *[f"log10(`{f}`) AS l_{i}" for i, f in enumerate(fluxes)], *[f"`{c}` AS z_{j}" for j, c in enumerate(keep)])
     node = nodes.selectExpr("node_id AS id", *[f"log10(`{f}`) AS l_{i}" for i, f in enumerate(fluxes)], *[f"`{c}` AS v_{j}" for j, c in enumerate(values)])
-    ends = node.selectExpr("count(*) AS n", *[f"{f}({d}) AS {f}_{d}" for d in dims for f in ("min", "max")]).first()
+    # each side has a curve through its own range: models aside of all nodes would share a place on the nodes' one
+    spans = ["count(*) AS n", *[f"{f}({d}) AS {f}_{d}" for d in dims for f in ("min", "max")]]
+    ends, own_ends = node.selectExpr(*spans).first(), model.selectExpr(*spans).first()
     few, session = ends.n <= BROADCAST_NODES, models.sparkSession
-    curve = morton(dims, [ends[f"min_{d}"] or 0.0 for d in dims], [ends[f"max_{d}"] or 0.0 for d in dims])
+    curve, own_curve = (morton(dims, [e[f"min_{d}"] or 0.0 for d in dims], [e[f"max_{d}"] or 0.0 for d in dims]) for e in (ends, own_ends))
     cores = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
     there = in_blocks(node, curve, max(1, ends.n // (NODE_BLOCK * 256)), NODE_BLOCK, dims, ahead="n_")
-    here = in_blocks(model, curve, 2 * cores, MODEL_BLOCK, dims)
+    here = in_blocks(model, own_curve, 2 * cores, MODEL_BLOCK, dims)
     # how far away the k nearest may be: boxes by their farthest distance, until they have k nodes
     boxes = there.selectExpr("array_sort(collect_list(struct(size(n_id) AS c, " + ", ".join(f"n_lo_{d} AS lo_{d}, n_hi_{d} AS hi_{d}" for d in dims) + "))) AS boxes")
     far = " + ".join(f"pow(greatest(abs(hi_{d} - b.lo_{d}), abs(b.hi_{d} - lo_{d})), 2)" for d in dims)
@@ -128,27 +155,40 @@ def knn_blend(models: DataFrame, nodes: DataFrame, fluxes: Sequence[str], values
         found = {c: np.concatenate([p[c] for p in pieces]) for c in theirs}
         order = np.argsort(found["n_id"], kind="stable")
         found = {c: x[order] for c, x in found.items()}
-        d = np.sqrt(sum((own[c][:, None] - found[f"n_{c}"]) ** 2 for c in dims))
-        most = min(k, d.shape[1])
-        limit = np.partition(d, most - 1, axis=1)[:, most - 1 : most]
-        at = np.empty((len(d), most), np.int64)
-        clear = (d <= limit).sum(1) == most
-        at[clear] = np.nonzero(d[clear] <= limit[clear])[1].reshape(-1, most)
-        at[~clear] = np.argsort(d[~clear], axis=1, kind="stable")[:, :most]
-        offsets = pa.array(np.arange(len(d) + 1) * most, pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))) for x in (np.take_along_axis(d, at, 1), found["n_id"][at], *[found[f"n_v_{j}"][at] for j in range(n)])]
+        piece = np.repeat(np.arange(len(pieces)), [len(p["n_id"]) for p in pieces])[order]
+        points = np.stack([own[c] for c in dims], 1)
+        most, whole = min(k, len(order)), np.isnan(points).any() or any(np.isnan(found[f"n_{c}"]).any() for c in dims)
+        at, far = np.empty((len(points), most), np.int64), np.empty((len(points), most))
+        low, high = (np.array([[f(p[f"n_{c}"]) for c in dims] for p in pieces]) for f in (np.min, np.max))
+        sizes = np.bincount(piece)
+        for leaf in leaves(points, len(points) if whole else LEAF):
+            some = slice(None)
+            if not whole:
+                a, b = points[leaf].min(0), points[leaf].max(0)
+                reach = (np.maximum(np.abs(high - a), np.abs(b - low)) ** 2).sum(1)
+                by = np.argsort(reach)
+                reach = reach[by[np.searchsorted(np.cumsum(sizes[by]), most)]]
+                gap = (np.maximum(np.maximum(a - high, low - b), 0) ** 2).sum(1)
+                some = np.flatnonzero((gap <= reach * (1 + 1e-9) + 1e-12)[piece])
+            d = np.sqrt(sum((points[leaf, i][:, None] - found[f"n_{c}"][some]) ** 2 for i, c in enumerate(dims)))
+            first = first_nearest(d, most)
+            far[leaf] = np.take_along_axis(d, first, 1)
+            at[leaf] = first if whole else some[first]
+        offsets = pa.array(np.arange(len(points) + 1) * most, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))) for x in (far, found["n_id"][at], *[found[f"n_v_{j}"][at] for j in range(n)])]
         return pa.RecordBatch.from_arrays([pa.array(own["id"]), *[pa.array(own[f"z_{j}"]) for j in range(len(keep))], *lists], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pieces = None, []  # a block of models meets its blocks of nodes one after the other
         for batch in batches:
             for r in range(len(batch)):
-                row = {c: batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in [*mine, *theirs]}
-                if own is None or row["id"][0] != own["id"][0] or len(row["id"]) != len(own["id"]):
+                of = lambda c, r=r, batch=batch: batch.column(c)[r].values.to_numpy(zero_copy_only=False)
+                ids = of("id")
+                if own is None or ids[0] != own["id"][0] or len(ids) != len(own["id"]):
                     if own is not None:
                         yield nearest(own, pieces)
-                    own, pieces = row, []
-                pieces.append(row)
+                    own, pieces = {c: of(c) for c in mine}, []
+                pieces.append({c: of(c) for c in theirs})
         if own is not None:
             yield nearest(own, pieces)
 

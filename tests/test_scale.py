@@ -416,3 +416,24 @@ def test_ccm89_beyond_its_range(spark, tmp_path):
     assert got == sorted(duck.sql(ORACLES["m18_ccm89"]).fetchall()) and all(a is not None for _, a in got)
     ends = spark.createDataFrame([(500.0,), (5000.0,), (50000.0,)], "w double").select("w", LAWS["ccm89"](F.col("w"), 3.1).alias("a"), LAWS["ccm89"](F.col("w"), 3.1, beyond=True).alias("b")).orderBy("w").collect()
     assert [r.a is None for r in ends] == [True, False, True] and ends[1].a == ends[1].b and all(r.b is not None for r in ends)
+
+
+def test_models_aside_of_nodes_are_dealt_out(spark, monkeypatch):
+    """Where all models lie beyond the nodes' range, tasks share them, and the few nearest nodes are found among many of equal distance."""
+    made = []
+    monkeypatch.setattr(noise, "in_blocks", lambda *a, f=noise.in_blocks, **b: made.append((f(*a, **b), b)) or made[-1][0])
+    r = np.random.default_rng(6)
+    nodes, models = np.repeat(10 ** r.uniform(0, 0.1, (50, 2)), 4, axis=0), 10 ** r.uniform(1, 2, (400, 2))
+    n_df = spark.createDataFrame([(k, *map(float, x), float(k)) for k, x in enumerate(nodes)], "node_id long, f double, g double, v double")
+    m_df = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(models)], "model_id long, f double, g double")
+    got = {x.model_id: x.v for x in noise.knn_blend(m_df, n_df, ["f", "g"], ["v"], 10).collect()}
+    for i, m in enumerate(models):
+        d = np.sqrt(((np.log10(m) - np.log10(nodes)) ** 2).sum(1))
+        at = np.lexsort((np.arange(200), d))[:10]
+        assert np.isclose(got[i], (at / d[at]).sum() / (1 / d[at]).sum())
+    here = next(df for df, how in made if "ahead" not in how)
+    sizes = [x.n for x in here.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.size("id")).alias("n")).collect()]
+    assert len(sizes) > 4 and max(sizes) < 200
+    assert noise.first_nearest(np.array([[2.0, 1, 1, 1], [np.nan, 3, np.nan, 1], [0, 0, 0, 0]]), 2)[[0, 2]].tolist() == [[1, 2], [0, 1]]
+    parts = noise.leaves(models, 32)
+    assert sorted(np.concatenate(parts)) == list(range(400)) and max(map(len, parts)) <= 32
